@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 GRAM_FEATURES = 2000
 
@@ -183,3 +183,9 @@ def coefficient_table(models: DataFrame, features: list[str], keys: list[str]) -
 
 def active(coefficients: DataFrame, cut: float = 1e-12) -> DataFrame:
     return coefficients.filter(F.abs("weight") > cut)
+
+
+def top_coefficients(coefficients: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k strongest coefficients of every model (absolute weight, ties by position)."""
+    strongest = W.partitionBy(*keys).orderBy(F.abs("weight").desc(), F.col("idx"))
+    return coefficients.withColumn("rn", F.row_number().over(strongest).cast("long")).filter(F.col("rn") <= k)

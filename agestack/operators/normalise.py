@@ -8,7 +8,7 @@ from ..schema import (
     AGE_ALIASES, ENSEMBLE_MARK, EXPERT_FALLBACK_PREFIX, EXPERT_PREFIX, METADATA, STAGE1_PRED,
     STAGE1_PRED_ALIASES, TISSUE_ALIASES,
 )
-from .ranking import number_by_key
+from .ranking import number_rows
 
 
 def ensure_sample_id(df: DataFrame, id_col: str | None = None) -> DataFrame:
@@ -24,10 +24,10 @@ def id_as_text(df: DataFrame, col: str = "sample_id") -> DataFrame:
 
 
 def generate_ids(df: DataFrame, key: str) -> DataFrame:
-    """Give ``sample_0, sample_1, ...`` in the order of an integer key, spread over all tasks."""
+    """Give ``sample_0, sample_1, ...`` in the order of a key, spread over all tasks."""
     if "sample_id" in df.columns:
         return df
-    numbered = number_by_key(df, key, "__i")
+    numbered = number_rows(df, [key], "__i")
     return numbered.withColumn("sample_id", F.concat(F.lit("sample_"), (F.col("__i") - 1).cast("string"))).drop("__i")
 
 

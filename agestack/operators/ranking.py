@@ -79,13 +79,14 @@ def strength_rank(df: DataFrame, keys: list[str], strength: str, tie: str, out:
     return bucket_rank(df, keys, [level, zeros], [F.col(strength).desc(), F.col(tie)], out, at_most)
 
 
-def number_by_key(df: DataFrame, key: str, out: str, buckets: int = 4096) -> DataFrame:
-    """Number all rows of a table 1..n by an integer key, without one global window."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn(out, F.lit(1).cast("long"))
-    width = max(1, (high - low + buckets) // buckets)
-    return bucket_rank(df, [], [F.floor((F.col(key) - F.lit(low)) / width)], [F.col(key)], out)
+def number_rows(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Number all rows of a table 1..n in the given order, without one global window.
+
+    Rows are cut into ranges of about equal size, whatever the distribution of the keys.  The ranges are
+    written once, so that counting and numbering see the same cuts.
+    """
+    ranges = settle(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    return bucket_rank(ranges, [], [F.col("__p")], [F.col(c) for c in order], out).drop("__p")
 
 
 def _plain_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:

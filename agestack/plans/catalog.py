@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import q_tables  # noqa: F401
+from . import q_shape, q_stats, q_tables  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
