@@ -79,7 +79,7 @@ def agg2_mean(spark, sf):
     return _imputed(spark, sf, "mean")
 
 
-@query("agg2_impute_zero", _impute_sql("0"))
+@query("agg2_impute_zero", _impute_sql("min(0)"))
 def agg2_zero(spark, sf):
     return _imputed(spark, sf, "zero")
 
