@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..functions.scalar import AGE_TARGET, PLAIN_TARGET, Target, hash_fraction
 from ..session import settle
 from .folds import fold_samples, fold_targets, valid_copies
-from .linear import elastic_net_weights, ridge_weights, solve_per_key, spread
+from .impute import impute_packed
+from .linear import (
+    GRAM_FEATURES, elastic_net_weights, fit_elastic_net_wide, ridge_weights, solve_per_key, spread,
+)
 from .score import MODEL_NUMBERS
 from .stats import fewer_tasks, gram, matrix
 
@@ -106,17 +109,49 @@ def stacked(models: list, fold: str) -> dict:
     }
 
 
-class SampledStats(NamedTuple):
-    """Gram statistics per (training set, band), and the band each trial uses in each set."""
+@dataclass
+class SampledStats:
+    """Sampled training rows of every training set, and the band each trial uses in each set.
 
-    stats: DataFrame
+    A narrow matrix has one set of Gram statistics for all feature subsets.  For a matrix too wide for that,
+    subsets up to the limit get their own, and larger ones are fitted by gradient aggregation.
+    """
+
+    rows: DataFrame
     uses: list[dict]
     n_splits: int
+    p: int
+    y: str
+    fills: list[float] | None
+    gram_features: int
+    triangles: dict = field(default_factory=dict)
+
+    def stats(self, use: tuple[int, ...] | None) -> DataFrame:
+        """Gram statistics per (training set, band), bands added up; ``use`` picks features."""
+        if use not in self.triangles:
+            rows, fills, p = self.rows, self.fills, self.p
+            if use is not None:
+                rows, p = rows.withColumn("values", pick(use)), len(use)
+                fills = None if fills is None else [fills[i] for i in use]
+            parts = gram(rows, ["held_out", "band"], p, self.y, fills)
+            upto = W.partitionBy("held_out", "i", "j").orderBy("band").rowsBetween(W.unboundedPreceding, 0)
+            self.triangles[use] = settle(parts.withColumn("v", F.sum("v").over(upto)), "gram")
+        return self.triangles[use]
+
+    @property
+    def narrow(self) -> bool:
+        return self.p <= self.gram_features
+
+
+def pick(use: tuple[int, ...]) -> Column:
+    """The features at the given positions of the packed row."""
+    return F.transform(F.lit(list(use)), lambda i: F.get("values", i))
 
 
 def sampled_fold_stats(data: DataFrame, p: int, y: str, caps: DataFrame, n_splits: int = 5, min_cohorts: int = 2,
-                       seed: int = 42, fills: list[float] | None = None) -> SampledStats:
-    """Statistics of the balanced sample of every training set and every sampler setting, in one pass.
+                       seed: int = 42, fills: list[float] | None = None,
+                       gram_features: int = GRAM_FEATURES) -> SampledStats:
+    """The balanced sample of every training set and every sampler setting, in one pass.
 
     Balanced samples are nested, so each sampled row enters one band, the smallest size that includes it;
     adding up the bands gives the statistics of every size without sampling or summing twice.
@@ -134,10 +169,6 @@ def sampled_fold_stats(data: DataFrame, p: int, y: str, caps: DataFrame, n_split
     band = F.array_min(F.filter(F.element_at(lists, F.col("held_out")), lambda t: t >= F.col("rn")))
     sampled = fold_samples(copies, targets, n_splits, seed)
     banded = settle(sampled.select("sample_id", "held_out", band.cast("int").alias("band")), "sample")
-    rows = data.select("sample_id", "values", y).join(banded, "sample_id")
-    parts = gram(rows, ["held_out", "band"], p, y, fills)
-    upto = W.partitionBy("held_out", "i", "j").orderBy("band").rowsBetween(W.unboundedPreceding, 0)
-    stats = settle(parts.withColumn("v", F.sum("v").over(upto)), "gram")
     filled: dict[int, list] = {}
     for r in banded.select("held_out", "band").distinct().collect():
         filled.setdefault(r["held_out"], []).append(r["band"])
@@ -146,17 +177,53 @@ def sampled_fold_stats(data: DataFrame, p: int, y: str, caps: DataFrame, n_split
         usable = [b for b in filled.get(w["held_out"], []) if b <= w["target_n"]]
         if usable:
             uses.append({**w, "band": max(usable)})
-    return SampledStats(stats, uses, n_splits)
+    matrix_rows = data.select("sample_id", "values", y)
+    if p > gram_features:  # read again per fit, so keep only the sampled rows
+        matrix_rows = settle(matrix_rows.join(banded.select("sample_id").distinct(), "sample_id", "left_semi"), "rows")
+    return SampledStats(matrix_rows.join(banded, "sample_id"), uses, n_splits, p, y, fills, gram_features)
 
 
-def fit_jobs(sampled: SampledStats, p: int, jobs: list[dict], max_iter: int = 2000) -> DataFrame:
-    """Fit jobs (``trial`` = job number, ``held_out, band, alpha, l1, use``) on their statistics."""
+def _solver(p: int, max_iter: int):
+    """Solve one job and return its weights full-length (``use`` holds positions in a matrix of ``p`` features)."""
     def solve(total: np.ndarray, c: dict) -> tuple[float, np.ndarray]:
-        use = None if c["use"] is None else np.asarray(c["use"])
-        base, w = elastic_net_weights(total, c["alpha"], c["l1"], max_iter, use=use)
-        return base, spread(w, p, use)
-
-    return solve_per_key(sampled.stats, ["held_out", "band"], p, jobs, solve)
+        positions = None if c["use"] is None else np.asarray(c["use"])
+        base, w = elastic_net_weights(total, c["alpha"], c["l1"], max_iter, use=positions)
+        return base, spread(w, p, positions)
+    return solve
+
+
+def fit_jobs(sampled: SampledStats, jobs: list[dict], max_iter: int = 2000) -> list[dict]:
+    """Fit jobs (``trial`` = job number, ``held_out, band, alpha, l1, use``); weights come back full-length."""
+    keys, p = ["held_out", "band"], sampled.p
+    if sampled.narrow:
+        return [r.asDict() for r in solve_per_key(sampled.stats(None), keys, p, jobs, _solver(p, max_iter)).collect()]
+    out: list[dict] = []
+    for use in dict.fromkeys(c["use"] for c in jobs):
+        same = [c for c in jobs if c["use"] == use]
+        if use is not None and len(use) <= sampled.gram_features:
+            own = [{**c, "use": None} for c in same]
+            fitted = solve_per_key(sampled.stats(use), keys, len(use), own, _solver(len(use), max_iter)).collect()
+        else:
+            fitted = [fit_wide(sampled, c, max_iter) for c in same]
+        positions = None if use is None else np.asarray(use)
+        for r in fitted:
+            out.append({
+                "held_out": r["held_out"], "band": r["band"], "trial": r["trial"], "n": r["n"], "intercept": r["intercept"],
+                "weights": spread(np.asarray(r["weights"]), p, positions),
+            })
+    return out
+
+
+def fit_wide(sampled: SampledStats, c: dict, max_iter: int) -> dict:
+    """One job on its sampled rows by gradient aggregation."""
+    rows = sampled.rows.filter((F.col("held_out") == c["held_out"]) & (F.col("band") <= c["band"]))
+    if sampled.fills is not None:
+        rows = impute_packed(rows, sampled.fills)
+    if c["use"] is not None:
+        rows = rows.withColumn("values", pick(c["use"]))
+    model = fit_elastic_net_wide(rows.select("values", sampled.y), sampled.y, c["alpha"], c["l1"], max_iter).first()
+    return {"held_out": c["held_out"], "band": c["band"], "trial": c["trial"], "n": model["n"],
+            "intercept": model["intercept"], "weights": model["weights"]}
 
 
 def jobs_for(sampled: SampledStats, chosen: dict[str, dict], subsets: dict[str, list[int] | None],
@@ -166,14 +233,17 @@ def jobs_for(sampled: SampledStats, chosen: dict[str, dict], subsets: dict[str,
     names = list(subsets)
     return [
         {"trial": names.index(name), "held_out": h, "band": used[(c["trial"], h)]["band"], "alpha": c["alpha"],
-         "l1": c["l1"], "use": subsets[name]}
+         "l1": c["l1"], "use": _key_of(subsets[name])}
         for name, c in chosen.items() for h in sets if (c["trial"], h) in used
     ]
 
 
-def search_elastic_net(data: DataFrame, p: int, candidates: list[dict], sampled: SampledStats, y: str = "y",
-                       fills: list[float] | None = None, target: Target = AGE_TARGET, max_iter: int = 2000,
-                       halving: bool = False, subsets: dict[str, list[int] | None] | None = None) -> DataFrame:
+def _key_of(use: list[int] | None) -> tuple[int, ...] | None:
+    return None if use is None else tuple(use)
+
+
+def search_elastic_net(data: DataFrame, candidates: list[dict], sampled: SampledStats,
+                       target: Target = AGE_TARGET, max_iter: int = 2000, halving: bool = False, subsets: dict[str, list[int] | None] | None = None) -> DataFrame:
     """Score every candidate for every model key: fit on the balanced sample, held-out MAE in years per fold.
 
     ``subsets`` maps model keys (hallmarks) to feature positions; all keys share one set of statistics and
@@ -184,19 +254,19 @@ def search_elastic_net(data: DataFrame, p: int, candidates: list[dict], sampled:
     names, params = list(subsets), {c["trial"]: c for c in candidates}
     pairs = [(name, t) for name in names for t in sorted(params)]
     used = {(u["trial"], u["held_out"]): u for u in sampled.uses}
-    width = max(1, MODEL_NUMBERS // max(1, p))
+    width = max(1, MODEL_NUMBERS // max(1, sampled.p))
 
     def score(chosen: list[tuple], folds: list[int]) -> list:
         jobs = [
-            {"trial": pairs.index(pair), "held_out": f, "band": used[(pair[1], f)]["band"], "use": subsets[pair[0]],
+            {"trial": pairs.index(pair), "held_out": f, "band": used[(pair[1], f)]["band"], "use": _key_of(subsets[pair[0]]),
              "alpha": params[pair[1]]["alpha"], "l1": params[pair[1]]["l1"]}
             for pair in chosen for f in folds if (pair[1], f) in used
         ]
         held_out = data.filter(F.col("fold").isin(folds)) if len(folds) < sampled.n_splits else data
         out: list = []
         for start in range(0, len(jobs), width):
-            fitted = fit_jobs(sampled, p, jobs[start:start + width], max_iter).collect()
-            out += candidate_errors(held_out, stacked(fitted, "held_out"), p, y, fills, target).collect()
+            fitted = fit_jobs(sampled, jobs[start:start + width], max_iter)
+            out += candidate_errors(held_out, stacked(fitted, "held_out"), sampled.p, sampled.y, sampled.fills, target).collect()
         return out
 
     if not halving:

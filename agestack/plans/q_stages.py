@@ -105,14 +105,14 @@ def _prepared(spark, sf):
     data = settle(folds.with_folds(rows, folds.balanced_folds(samples, 5, 42)))
     candidates = random_candidates(spark, N_TRIALS, ELASTIC_NET_SPACE, 42)
     sampled = sampled_fold_stats(data, t.DIMS, "y", candidates, fills=fills)
-    return data, fills, [r.asDict() for r in candidates.collect()], sampled
+    return data, [r.asDict() for r in candidates.collect()], sampled
 
 
 @query("sel1_search_objective")
 def sel1(spark, sf):
     """Held-out MAE in years of every candidate in every fold."""
-    data, fills, candidates, sampled = _prepared(spark, sf)
-    report = search_elastic_net(data, t.DIMS, candidates, sampled, fills=fills)
+    data, candidates, sampled = _prepared(spark, sf)
+    report = search_elastic_net(data, candidates, sampled)
     return report.select("trial", "fold", "target_n", rounded("mae").alias("mae"))
 
 
@@ -126,8 +126,8 @@ def sel3(spark, sf):
 @query("sel5_halving")
 def sel5(spark, sf):
     """Folds one after the other, the better half of the trials goes on."""
-    data, fills, candidates, sampled = _prepared(spark, sf)
-    report = search_elastic_net(data, t.DIMS, candidates, sampled, fills=fills, halving=True)
+    data, candidates, sampled = _prepared(spark, sf)
+    report = search_elastic_net(data, candidates, sampled, halving=True)
     return report.groupBy("fold").agg(F.count("*").alias("n_trials"), rounded(F.min("mae")).alias("best_mae"))
 
 

@@ -7,10 +7,12 @@ hands the next one tables in a ``ModelStore``.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalar import AGE_TARGET, PLAIN_TARGET
+from ..functions.scalar import AGE_TARGET, PLAIN_TARGET, Target
 from ..operators.align import (
     FIRST_SCORING, FIRST_TRAINING, align_columns, expand_over_modalities, join_context, join_stages, one_hot,
     order_output, pack_columns, pc_names, unpack,
@@ -18,7 +20,7 @@ from ..operators.align import (
 from ..operators.contract import require_unique, require_width
 from ..operators.folds import balanced_folds, healthy_filter, with_folds
 from ..operators.impute import fill_values, fill_vector
-from ..operators.linear import fit_tissue_family
+from ..operators.linear import GRAM_FEATURES, fit_tissue_family
 from ..operators.normalise import expert_columns, resolve_metadata, resolve_stage1_prediction
 from ..operators.score import GLOBAL, fused_age, model_arrays, residual, score_packed
 from ..operators.search import (
@@ -48,45 +50,48 @@ def training_table(samples: DataFrame, packed: DataFrame, features: list[str], n
     return settle(folded.join(packed, "sample_id"), "training")
 
 
-def _report(data: DataFrame, p: int, candidates: list[dict], fills: list[float], n_splits: int, min_cohorts: int,
-            seed: int, max_iter: int, halving: bool, subsets: dict):
-    caps = data.sparkSession.createDataFrame(
-        [(c["trial"], c["min_cap"], c["max_cap"], float(c["mult"])) for c in candidates],
-        "trial int, min_cap int, max_cap int, mult double")
-    sampled = sampled_fold_stats(data, p, "y", caps, n_splits, min_cohorts, seed, fills)
-    report = search_elastic_net(data, p, candidates, sampled, "y", fills, AGE_TARGET, max_iter, halving, subsets)
-    report = settle(report, "trials")
-    chosen = best_params(report)
-    names = list(chosen)
-    folds = fit_jobs(sampled, p, jobs_for(sampled, chosen, subsets, list(range(n_splits))), max_iter)
-    final = fit_jobs(sampled, p, jobs_for(sampled, chosen, subsets, [n_splits]), max_iter)
-    keys = list(subsets)
-    label = F.get(F.lit(keys), F.col("trial")).alias("model_key")
-    models = final.select(label, "intercept", "weights")
-    by_fold = stacked(folds.collect(), "held_out")
-    for f, (jobs, _, _) in by_fold.items():
-        missing = set(range(len(keys))) - set(jobs)
-        if missing:
-            raise ValueError(f"fold {f} has no training rows for {[keys[m] for m in missing]}")
-    ordered = {}
-    for f, (jobs, bases, weights) in by_fold.items():
+class Fitted(NamedTuple):
+    """Trial report, final models (``model_key, intercept, weights``) and per fold the models of all keys."""
+
+    report: DataFrame
+    models: DataFrame
+    by_fold: dict
+
+
+def _fit_all(data: DataFrame, p: int, candidates: list[dict], fills: list[float], subsets: dict, target: Target,
+             n_splits: int, min_cohorts: int, seed: int, max_iter: int, halving: bool, gram_features: int) -> Fitted:
+    """Search, held-out models and final models of all model keys from one balanced sample."""
+    spark = data.sparkSession
+    caps = spark.createDataFrame([(c["trial"], c["min_cap"], c["max_cap"], float(c["mult"])) for c in candidates],
+                                 "trial int, min_cap int, max_cap int, mult double")
+    sampled = sampled_fold_stats(data, p, "y", caps, n_splits, min_cohorts, seed, fills, gram_features)
+    report = search_elastic_net(data, candidates, sampled, target, max_iter, halving, subsets)
+    chosen, keys = best_params(report), list(subsets)
+    fitted = fit_jobs(sampled, jobs_for(sampled, chosen, subsets, list(range(n_splits + 1))), max_iter)
+    final = [(keys[m["trial"]], float(m["intercept"]), [float(w) for w in m["weights"]])
+             for m in fitted if m["held_out"] == n_splits]
+    models = spark.createDataFrame(final, "model_key string, intercept double, weights array<double>")
+    by_fold = {}
+    for fold, (jobs, bases, weights) in stacked([m for m in fitted if m["held_out"] < n_splits], "held_out").items():
+        if len(jobs) < len(keys):
+            raise ValueError(f"fold {fold} has no training rows for some of {keys}")
         at = [jobs.index(i) for i in range(len(keys))]
-        ordered[(f,)] = (bases[at], weights[:, at])
-    return report, models, ordered, names
+        by_fold[(fold,)] = (bases[at], weights[:, at])
+    return Fitted(report, models, by_fold)
 
 
 def train_stage1(store: ModelStore, samples: DataFrame, packed: DataFrame, features: list[str],
                  hallmark_sites: DataFrame, candidates: list[dict] | None = None, n_splits: int = 5, seed: int = 42,
                  min_cohorts: int = 2, max_iter: int = 2000, halving: bool = False, orthogonal: bool = True,
-                 healthy_only: bool = True) -> DataFrame:
+                 healthy_only: bool = True, gram_features: int = GRAM_FEATURES) -> DataFrame:
     """Global elastic net on all features.  Saves models, fills, features, trials, the hallmark dictionary and
     the training table; returns the out-of-fold table."""
     p = len(features)
     data = training_table(samples, packed, features, n_splits, seed, healthy_only)
     fills_table = settle(fill_values(unpack(data, features)), "fills")
     fills = fill_vector(fills_table, features)
-    report, models, by_fold, _ = _report(data, p, candidates or [DEFAULT_TRIAL], fills, n_splits, min_cohorts, seed,
-                                         max_iter, halving, {GLOBAL: None})
+    report, models, by_fold = _fit_all(data, p, candidates or [DEFAULT_TRIAL], fills, {GLOBAL: None}, AGE_TARGET, n_splits,
+                                       min_cohorts, seed, max_iter, halving, gram_features)
     meta = ["sample_id", "Age", "project_id", "Tissue", "Sex", "Is_Healthy"]
     oof = score_packed(data, by_fold, ["pred_age"], p, meta, ["fold"], fills=fills, target=AGE_TARGET)
     oof = oof.withColumnRenamed("Age", "age").select(
@@ -124,7 +129,8 @@ def hallmark_subsets(store: ModelStore, features: list[str]) -> dict[str, list[i
 
 
 def train_stage2(store: ModelStore, candidates: list[dict] | None = None, n_splits: int = 5, seed: int = 42,
-                 min_cohorts: int = 2, max_iter: int = 2000, halving: bool = False, target: str = "age") -> DataFrame:
+                 min_cohorts: int = 2, max_iter: int = 2000, halving: bool = False, target: str = "age",
+                 gram_features: int = GRAM_FEATURES) -> DataFrame:
     """One expert per hallmark.  All experts share one pass for statistics and one for scoring.
 
     ``target='age'`` fits the transformed age; ``'residual'`` fits age minus the stage-1 prediction.
@@ -137,9 +143,8 @@ def train_stage2(store: ModelStore, candidates: list[dict] | None = None, n_spli
         pred = oof1.select("sample_id", "pred_age")
         data = settle(data.join(pred, "sample_id").withColumn("y", residual(F.col("Age"), F.col("pred_age"))).drop("pred_age"))
         inverse = PLAIN_TARGET
-    caps = candidates or [DEFAULT_TRIAL]
-    report, models, by_fold, _ = _report(data, len(features), caps, fills, n_splits, min_cohorts, seed, max_iter,
-                                         halving, subsets)
+    report, models, by_fold = _fit_all(data, len(features), candidates or [DEFAULT_TRIAL], fills, subsets, inverse, n_splits,
+                                       min_cohorts, seed, max_iter, halving, gram_features)
     outs = [EXPERT_PREFIX + h for h in subsets]
     preds = score_packed(data, by_fold, outs, len(features), ["sample_id"], ["fold"], fills=fills, target=inverse)
     store.save("stage2_trials", report)
