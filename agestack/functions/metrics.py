@@ -29,6 +29,7 @@ def regression_metrics(df: DataFrame, keys: list[str], y: str = "y", yhat: str =
     """``MAE, R2, PearsonR, MedianAE`` and the row count per key, rounded."""
     true, guess = F.col(y).cast("double"), F.col(yhat).cast("double")
     pairs = df.select(*keys, true.alias("__y"), guess.alias("__p"), F.abs(true - guess).alias("__e"))
+    pairs = pairs.filter("__e is not null")
     if not keys:
         return regression_metrics(df.withColumn("__all", F.lit(1)), ["__all"], y, yhat, digits, group_rows).drop("__all")
     true, guess = F.col("__y"), F.col("__p")

@@ -50,10 +50,18 @@ def filter_and_impute(wide: DataFrame, strategy: str = "median", group_rows: int
     })
 
 
-def fill_vector(fills: DataFrame, features: list[str]) -> list[float]:
-    """Fill values in feature order; as many numbers as the model has features."""
-    by_name = {r["feature"]: r["fill"] for r in fills.collect()}
-    return [float(by_name.get(f) or 0.0) for f in features]
+def packed_fills(packed: DataFrame, p: int, strategy: str = "median") -> list[float]:
+    """Fill value of every column of a packed matrix, 0 for columns without values.
+
+    As many numbers as the model has features come to the driver.  The row count bounds every group.
+    """
+    cells = packed.select(F.posexplode("values").alias("feature", "value"))
+    if strategy == "median":
+        fills = exact_median(cells, ["feature"], "value", "fill", largest=packed.count())
+    else:
+        fills = fill_values(cells, strategy)
+    by_index = {r["feature"]: r["fill"] for r in fills.collect()}
+    return [float(by_index.get(i) or 0.0) for i in range(p)]
 
 
 def impute_packed(packed: DataFrame, fills: list[float]) -> DataFrame:

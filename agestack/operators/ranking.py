@@ -139,10 +139,15 @@ def bracketed_median(df: DataFrame, keys: list[str], value: str, out: str = "med
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
-                 group_rows: int = MEDIAN_GROUP_ROWS) -> DataFrame:
-    """Median per key without missing values; the route depends on the counted size of the largest group."""
+                 group_rows: int = MEDIAN_GROUP_ROWS, largest: int | None = None) -> DataFrame:
+    """Median per key without missing values; the route depends on the size of the largest group.
+
+    ``largest`` is an upper bound the caller knows (such as the row count of a packed table); without it the
+    groups are counted first.
+    """
     clean = df.select(*keys, missing_to_null(F.col(value).cast("double")).alias("__x")).filter("__x is not null")
-    largest = clean.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest is None:
+        largest = clean.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest <= group_rows:
         return _plain_median(clean, keys, "__x", out)
     return bracketed_median(clean, keys, "__x", out)

@@ -48,17 +48,19 @@ def score_joined(df: DataFrame, models: DataFrame, on: list[str], out: str = "sc
     return scored.withColumn(out, F.col("intercept") + dot(F.col("values"), F.col("weights"))).drop("intercept", "weights")
 
 
-def model_key_with_fallback(df: DataFrame, keys: DataFrame, col: str = "Tissue", key: str = "model_key") -> DataFrame:
-    """The row's own model where there is one, else ``Global``."""
-    known = settle(keys.select(F.col(key).alias("__own")).distinct(), "keys")
+def model_key_with_fallback(df: DataFrame, keys: DataFrame, col: str = "Tissue", fallback: Column | None = None) -> DataFrame:
+    """The row's own model where there is one, else ``Global`` (or the key in the column ``fallback``)."""
+    known = settle(keys.select(F.col("model_key").alias("__own")).distinct(), "keys")
     joined = df.join(known, F.col(col) == F.col("__own"), "left")
-    return joined.withColumn(key, F.coalesce("__own", F.lit(GLOBAL))).drop("__own")
+    other = F.lit(GLOBAL) if fallback is None else fallback
+    return joined.withColumn("model_key", F.coalesce("__own", other)).drop("__own")
 
 
-def score_with_fallback(df: DataFrame, models: DataFrame, col: str = "Tissue", out: str = "correction") -> DataFrame:
+def score_with_fallback(df: DataFrame, models: DataFrame, col: str = "Tissue", out: str = "correction",
+                        fallback: Column | None = None) -> DataFrame:
     """Score packed rows with the model of their tissue, the global model, or 0 without either."""
     models = settle(models.select("model_key", "intercept", "weights"), "models")
-    keyed = model_key_with_fallback(df, models, col)
+    keyed = model_key_with_fallback(df, models, col, fallback)
     score = F.coalesce(F.col("intercept") + dot(F.col("values"), F.col("weights")), F.lit(0.0))
     return keyed.join(models, "model_key", "left").withColumn(out, score).drop("intercept", "weights")
 
@@ -72,23 +74,32 @@ def score_simple_with_fallback(df: DataFrame, models: DataFrame, x: str, col: st
     return keyed.join(models, "model_key", "left").withColumn(out, score).drop("intercept", "weight")
 
 
-def model_arrays(models: DataFrame, keys: list[str], name: str | None = None,
+def few_numbers(models: DataFrame) -> bool:
+    """Whether all weights may be shipped to every task."""
+    return (models.agg(F.sum(F.size("weights"))).first()[0] or 0) <= MODEL_NUMBERS
+
+
+def model_arrays(models: list[dict], keys: list[str], p: int, name: str | None = None,
                  outs: list[str] | None = None) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
-    """Models on the driver: key -> intercepts and weight matrix.  Their number of weights is checked first.
+    """Fitted models as key -> intercepts and weight matrix.
 
-    With ``name`` the models of a key that differ in that column become the matrix columns ``outs``.
+    A model may carry ``use``, the positions of its weights.  With ``name`` the models of a key that differ in
+    that field become the matrix columns ``outs``.
     """
-    size = models.agg(F.sum(F.size("weights"))).first()[0] or 0
-    if size > MODEL_NUMBERS:
-        raise ValueError(f"{size} weights are too many to ship to every task; score with a join")
     found: dict[tuple, dict] = {}
-    for r in models.collect():
-        found.setdefault(tuple(r[k] for k in keys), {})[r[name] if name else None] = r
+    for m in models:
+        found.setdefault(tuple(m[k] for k in keys), {})[m[name] if name else None] = m
     order = outs if name else [None]
-    return {
-        key: (np.array([ms[o]["intercept"] for o in order]), np.column_stack([ms[o]["weights"] for o in order]))
-        for key, ms in found.items() if all(o in ms for o in order)
-    }
+    arrays = {}
+    for key, ms in found.items():
+        if any(o not in ms for o in order):
+            raise ValueError(f"no model for some of {order} under {key}")
+        weights = np.zeros((p, len(order)))
+        for i, o in enumerate(order):
+            use = ms[o].get("use")
+            weights[slice(None) if use is None else np.asarray(use, dtype=int), i] = ms[o]["weights"]
+        arrays[key] = (np.array([ms[o]["intercept"] for o in order]), weights)
+    return arrays
 
 
 def score_packed(df: DataFrame, models: dict[tuple, tuple], outs: list[str], p: int, keep: list[str],
@@ -119,6 +130,24 @@ def score_packed(df: DataFrame, models: dict[tuple, tuple], outs: list[str], p:
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def score_many(df: DataFrame, models: list[dict], names: list[str], outs: list[str], p: int, keep: list[str],
+               keys: list[str] | None = None, model_keys: list[str] | None = None, fills: list[float] | None = None,
+               target: Target = PLAIN_TARGET) -> DataFrame:
+    """``score_packed`` for any number of models: as many at once as may be shipped to a task, no shuffle."""
+    n_keys = len({tuple(m[k] for k in model_keys or []) for m in models})
+    width = max(1, MODEL_NUMBERS // max(1, p * n_keys))
+    done: list[str] = []
+    for start in range(0, len(names), width):
+        part, made = names[start:start + width], outs[start:start + width]
+        last = start + width >= len(names)
+        chosen = [m for m in models if m["model_key"] in set(part)]
+        arrays = model_arrays(chosen, model_keys or [], p, "model_key", part)
+        kept = [*keep, *done, *([] if last else [c for c in [*(keys or []), "values"] if c not in keep])]
+        df = score_packed(df, arrays, made, p, list(dict.fromkeys(kept)), keys, fills=fills, target=target)
+        done += made
+    return df.select(*keep, *outs)
+
+
 def residual(age: Column, pred: Column) -> Column:
     return age - pred
 

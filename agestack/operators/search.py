@@ -14,9 +14,9 @@ from ..session import settle
 from .folds import fold_samples, fold_targets, valid_copies
 from .impute import impute_packed
 from .linear import (
-    GRAM_FEATURES, elastic_net_weights, fit_elastic_net_wide, ridge_weights, solve_per_key, spread,
+    GRAM_FEATURES, elastic_net_weights, fit_elastic_net_wide, ridge_weights, solve_per_key,
 )
-from .score import MODEL_NUMBERS
+from .score import MODEL_NUMBERS, model_arrays
 from .stats import fewer_tasks, gram, matrix
 
 # The default search ranges of the three stages.
@@ -98,15 +98,18 @@ def candidate_errors(data: DataFrame, models: dict, p: int, y: str, fills: list[
     return partial.groupBy("fold", "job").agg((F.sum("abs_error") / F.sum("n")).alias("mae"), F.sum("n").alias("n"))
 
 
-def stacked(models: list, fold: str) -> dict:
-    """Fitted rows -> fold -> (job numbers, intercepts, weight matrix)."""
+def stacked(models: list[dict], fold: str, p: int) -> dict:
+    """Fitted models -> fold -> (job numbers, intercepts, weight matrix)."""
+    names = sorted({m["trial"] for m in models})
     by_fold: dict[int, list] = {}
     for m in models:
         by_fold.setdefault(int(m[fold]), []).append(m)
-    return {
-        f: ([m["trial"] for m in ms], np.array([m["intercept"] for m in ms]), np.column_stack([m["weights"] for m in ms]))
-        for f, ms in by_fold.items()
-    }
+    out = {}
+    for f, ms in by_fold.items():
+        jobs = [j for j in names if any(m["trial"] == j for m in ms)]
+        bases, weights = model_arrays(ms, [], p, "trial", jobs)[()]
+        out[f] = (jobs, bases, weights)
+    return out
 
 
 @dataclass
@@ -183,34 +186,33 @@ def sampled_fold_stats(data: DataFrame, p: int, y: str, caps: DataFrame, n_split
     return SampledStats(matrix_rows.join(banded, "sample_id"), uses, n_splits, p, y, fills, gram_features)
 
 
-def _solver(p: int, max_iter: int):
-    """Solve one job and return its weights full-length (``use`` holds positions in a matrix of ``p`` features)."""
+def _solver(max_iter: int):
     def solve(total: np.ndarray, c: dict) -> tuple[float, np.ndarray]:
         positions = None if c["use"] is None else np.asarray(c["use"])
-        base, w = elastic_net_weights(total, c["alpha"], c["l1"], max_iter, use=positions)
-        return base, spread(w, p, positions)
+        return elastic_net_weights(total, c["alpha"], c["l1"], max_iter, use=positions)
     return solve
 
 
 def fit_jobs(sampled: SampledStats, jobs: list[dict], max_iter: int = 2000) -> list[dict]:
-    """Fit jobs (``trial`` = job number, ``held_out, band, alpha, l1, use``); weights come back full-length."""
-    keys, p = ["held_out", "band"], sampled.p
+    """Fit jobs (``trial`` = job number, ``held_out, band, alpha, l1, use``).
+
+    A result carries the weights of the features its job uses, with their positions in ``use``.
+    """
+    keys, by_number = ["held_out", "band"], {c["trial"]: c["use"] for c in jobs}
+
+    def solved(stats: DataFrame, p: int, some: list[dict]) -> list[dict]:
+        rows = solve_per_key(stats, keys, p, some, _solver(max_iter)).collect()
+        return [{**r.asDict(), "use": by_number[r["trial"]]} for r in rows]
+
     if sampled.narrow:
-        return [r.asDict() for r in solve_per_key(sampled.stats(None), keys, p, jobs, _solver(p, max_iter)).collect()]
+        return solved(sampled.stats(None), sampled.p, jobs)
     out: list[dict] = []
     for use in dict.fromkeys(c["use"] for c in jobs):
         same = [c for c in jobs if c["use"] == use]
         if use is not None and len(use) <= sampled.gram_features:
-            own = [{**c, "use": None} for c in same]
-            fitted = solve_per_key(sampled.stats(use), keys, len(use), own, _solver(len(use), max_iter)).collect()
+            out += solved(sampled.stats(use), len(use), [{**c, "use": None} for c in same])
         else:
-            fitted = [fit_wide(sampled, c, max_iter) for c in same]
-        positions = None if use is None else np.asarray(use)
-        for r in fitted:
-            out.append({
-                "held_out": r["held_out"], "band": r["band"], "trial": r["trial"], "n": r["n"], "intercept": r["intercept"],
-                "weights": spread(np.asarray(r["weights"]), p, positions),
-            })
+            out += [fit_wide(sampled, c, max_iter) for c in same]
     return out
 
 
@@ -222,7 +224,7 @@ def fit_wide(sampled: SampledStats, c: dict, max_iter: int) -> dict:
     if c["use"] is not None:
         rows = rows.withColumn("values", pick(c["use"]))
     model = fit_elastic_net_wide(rows.select("values", sampled.y), sampled.y, c["alpha"], c["l1"], max_iter).first()
-    return {"held_out": c["held_out"], "band": c["band"], "trial": c["trial"], "n": model["n"],
+    return {"held_out": c["held_out"], "band": c["band"], "trial": c["trial"], "n": model["n"], "use": c["use"],
             "intercept": model["intercept"], "weights": model["weights"]}
 
 
@@ -232,7 +234,7 @@ def jobs_for(sampled: SampledStats, chosen: dict[str, dict], subsets: dict[str,
     used = {(u["trial"], u["held_out"]): u for u in sampled.uses}
     names = list(subsets)
     return [
-        {"trial": names.index(name), "held_out": h, "band": used[(c["trial"], h)]["band"], "alpha": c["alpha"],
+        {"trial": names.index(name), "model_key": name, "held_out": h, "band": used[(c["trial"], h)]["band"], "alpha": c["alpha"],
          "l1": c["l1"], "use": _key_of(subsets[name])}
         for name, c in chosen.items() for h in sets if (c["trial"], h) in used
     ]
@@ -266,7 +268,7 @@ def search_elastic_net(data: DataFrame, candidates: list[dict], sampled: Sampled
         out: list = []
         for start in range(0, len(jobs), width):
             fitted = fit_jobs(sampled, jobs[start:start + width], max_iter)
-            out += candidate_errors(held_out, stacked(fitted, "held_out"), sampled.p, sampled.y, sampled.fills, target).collect()
+            out += candidate_errors(held_out, stacked(fitted, "held_out", sampled.p), sampled.p, sampled.y, sampled.fills, target).collect()
         return out
 
     if not halving:
@@ -327,9 +329,9 @@ def search_ridge(data: DataFrame, per_fold: DataFrame, p: int, candidates: list[
     stats = settle(training_triangles(per_fold, [], n_splits), "gram")
 
     def solve(total: np.ndarray, c: dict) -> tuple[float, np.ndarray]:
-        use = np.asarray(c["use"], dtype=int)
-        base, w = ridge_weights(total, c["alpha"], use)
-        return base, spread(w, p, use)
+        return ridge_weights(total, c["alpha"], np.asarray(c["use"], dtype=int))
 
-    fitted = solve_per_key(stats, ["held_out"], p, candidates, solve).collect()
-    return candidate_errors(data, stacked(fitted, "held_out"), p, y, None, target)
+    uses = {c["trial"]: c["use"] for c in candidates}
+    fitted = [{**r.asDict(), "use": uses[r["trial"]]}
+              for r in solve_per_key(stats, ["held_out"], p, candidates, solve).collect()]
+    return candidate_errors(data, stacked(fitted, "held_out", p), p, y, None, target)

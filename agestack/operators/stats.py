@@ -13,15 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 PARTIAL_BYTES = 256 << 20
-TASKS_PER_CORE = 4
+PARTIAL_TASKS = 20_000
 
 
 def fewer_tasks(df: DataFrame) -> DataFrame:
-    """Let each task stream several input splits, so that fewer partial results are shuffled.
+    """Let each task stream several input splits, so that the partial results shuffled stay few.
 
-    ``coalesce`` moves no data and leaves smaller inputs as they are.
+    ``coalesce`` moves no data and leaves inputs with fewer splits as they are.
     """
-    return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    return df.coalesce(PARTIAL_TASKS)
 
 
 def matrix(column: pa.Array, p: int, fills: np.ndarray | None = None) -> np.ndarray:
@@ -76,13 +76,14 @@ def moments(df: DataFrame, keys: list[str], p: int, y: str, fills: list[float] |
             x_all = matrix(batch.column("values"), p, shift if impute else None) - shift
             y_all = np.asarray(batch.column("__y").to_numpy(zero_copy_only=False), dtype=np.float64)
             for key, rows in group_rows(batch, keys):
-                x, t = x_all[rows], y_all[rows][:, None]
-                seen = ~np.isnan(x)
-                x0 = np.where(seen, x, 0.0)
-                sums = np.stack([
-                    seen.sum(0).astype(np.float64), x0.sum(0), (x0 * x0).sum(0),
-                    (seen * t).sum(0), (seen * t * t).sum(0), (x0 * t).sum(0),
-                ])
+                x, t = x_all[rows], y_all[rows]
+                if impute:
+                    here = [np.full(p, float(len(t))), np.full(p, t.sum()), np.full(p, t @ t)]
+                else:
+                    seen = ~np.isnan(x)
+                    x = np.where(seen, x, 0.0)
+                    here = [seen.sum(0).astype(np.float64), t @ seen, (t * t) @ seen]
+                sums = np.stack([here[0], x.sum(0), np.einsum("ij,ij->j", x, x), here[1], here[2], t @ x])
                 totals[key] = totals[key] + sums if key in totals else sums
                 if len(totals) * 6 * p * 8 > PARTIAL_BYTES:
                     yield from emit()

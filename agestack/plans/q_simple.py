@@ -104,8 +104,8 @@ SELECT 'Global' AS model_key, round(w, 5) + 0.0 AS weight, round(b, 5) + 0.0 AS
 FROM models SEMI JOIN best USING (trial) WHERE held_out = 5""")
 def trn1_simple(spark, sf):
     """The best candidate refitted on the balanced sample of all samples."""
-    models, features = trained(spark, sf).load_models("stage1")
-    weight = coefficient_table(models, features, ["model_key"]).select("model_key", rounded("weight", 5).alias("weight"))
+    models = trained(spark, sf).load_models("stage1")
+    weight = coefficient_table(models, [FEATURE], ["model_key"]).select("model_key", rounded("weight", 5).alias("weight"))
     return weight.join(models.select("model_key", rounded("intercept", 5).alias("intercept")), "model_key")
 
 

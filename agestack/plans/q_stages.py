@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.metrics import regression_metrics
 from ..functions.scalar import AGE_TARGET, age_to_scale
 from ..operators import align, folds, linear
-from ..operators.impute import fill_values, fill_vector, impute_cells
+from ..operators.impute import fill_values, impute_cells, packed_fills
 from ..operators.normalise import expert_columns
 from ..operators.search import ELASTIC_NET_SPACE, PARAMS, RIDGE_SPACE, random_candidates, sampled_fold_stats, search_elastic_net, trial_scores
 from ..operators.stats import gram
@@ -60,7 +60,7 @@ def prd5(spark, sf):
 
 def _training(spark, sf):
     rows = t.packed(spark, sf, with_meta=True).withColumn("y", age_to_scale(F.col("Age")))
-    fills = fill_vector(fill_values(t.cells(spark, sf)), t.FEATURES)
+    fills = packed_fills(t.packed(spark, sf), t.DIMS)
     return rows, fills
 
 
@@ -244,7 +244,7 @@ def imp1(spark, sf):
     m = moments(rows.filter("Is_Healthy"), [], t.DIMS, "y", fills)
     spread = m.select("idx", F.sqrt(F.greatest(F.col("sxx") / F.col("n") - (F.col("sx") / F.col("n")) ** 2, F.lit(0.0))).alias("sd"))
     table = store.load("stage2_coefficients").join(settle(spread), "idx")
-    table = table.withColumn("weight", F.col("weight") * F.col("sd")).drop("mean", "scale", "sd")
+    table = table.withColumn("weight", F.col("weight") * F.col("sd")).drop("sd")
     top = linear.top_coefficients(table, ["model_key"], 10)
     return top.select("model_key", "feature", "rn", rounded(F.abs("weight")).alias("importance"))
 

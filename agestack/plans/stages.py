@@ -7,24 +7,23 @@ hands the next one tables in a ``ModelStore``.
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
-import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import AGE_TARGET, PLAIN_TARGET, Target
 from ..operators.align import (
-    FIRST_SCORING, FIRST_TRAINING, align_columns, expand_over_modalities, join_context, join_stages, one_hot,
-    order_output, pack_columns, pc_names, unpack,
+    FIRST_SCORING, FIRST_TRAINING, expand_over_modalities, join_context, join_stages, one_hot,
+    order_output, pack_columns, pc_names,
 )
 from ..operators.contract import require_unique, require_width
 from ..operators.folds import balanced_folds, healthy_filter, with_folds
-from ..operators.impute import fill_values, fill_vector
+from ..operators.impute import packed_fills
 from ..operators.linear import GRAM_FEATURES, fit_tissue_family
 from ..operators.normalise import expert_columns, resolve_metadata, resolve_stage1_prediction
-from ..operators.score import GLOBAL, fused_age, model_arrays, residual, score_packed
+from ..operators.score import (
+    GLOBAL, few_numbers, fused_age, model_arrays, residual, score_many, score_packed, score_with_fallback,
+)
 from ..operators.search import (
-    best_params, fit_jobs, jobs_for, sampled_fold_stats, search_elastic_net, search_ridge, stacked, training_triangles,
+    best_params, fit_jobs, jobs_for, sampled_fold_stats, search_elastic_net, search_ridge, training_triangles,
 )
 from ..operators.selection import assign_features, packed_correlation
 from ..operators.stats import gram
@@ -50,34 +49,22 @@ def training_table(samples: DataFrame, packed: DataFrame, features: list[str], n
     return settle(folded.join(packed, "sample_id"), "training")
 
 
-class Fitted(NamedTuple):
-    """Trial report, final models (``model_key, intercept, weights``) and per fold the models of all keys."""
-
-    report: DataFrame
-    models: DataFrame
-    by_fold: dict
-
-
 def _fit_all(data: DataFrame, p: int, candidates: list[dict], fills: list[float], subsets: dict, target: Target,
-             n_splits: int, min_cohorts: int, seed: int, max_iter: int, halving: bool, gram_features: int) -> Fitted:
-    """Search, held-out models and final models of all model keys from one balanced sample."""
+             n_splits: int, min_cohorts: int, seed: int, max_iter: int, halving: bool,
+             gram_features: int) -> tuple[DataFrame, list[dict], list[dict]]:
+    """Search, held-out models and final models of all model keys from one balanced sample.
+
+    Returns the trial report, the final models and the models per held-out fold.
+    """
     spark = data.sparkSession
     caps = spark.createDataFrame([(c["trial"], c["min_cap"], c["max_cap"], float(c["mult"])) for c in candidates],
                                  "trial int, min_cap int, max_cap int, mult double")
     sampled = sampled_fold_stats(data, p, "y", caps, n_splits, min_cohorts, seed, fills, gram_features)
     report = search_elastic_net(data, candidates, sampled, target, max_iter, halving, subsets)
-    chosen, keys = best_params(report), list(subsets)
-    fitted = fit_jobs(sampled, jobs_for(sampled, chosen, subsets, list(range(n_splits + 1))), max_iter)
-    final = [(keys[m["trial"]], float(m["intercept"]), [float(w) for w in m["weights"]])
-             for m in fitted if m["held_out"] == n_splits]
-    models = spark.createDataFrame(final, "model_key string, intercept double, weights array<double>")
-    by_fold = {}
-    for fold, (jobs, bases, weights) in stacked([m for m in fitted if m["held_out"] < n_splits], "held_out").items():
-        if len(jobs) < len(keys):
-            raise ValueError(f"fold {fold} has no training rows for some of {keys}")
-        at = [jobs.index(i) for i in range(len(keys))]
-        by_fold[(fold,)] = (bases[at], weights[:, at])
-    return Fitted(report, models, by_fold)
+    jobs = jobs_for(sampled, best_params(report), subsets, list(range(n_splits + 1)))
+    keys = list(subsets)
+    fitted = [{**m, "model_key": keys[m["trial"]]} for m in fit_jobs(sampled, jobs, max_iter)]
+    return report, [m for m in fitted if m["held_out"] == n_splits], [m for m in fitted if m["held_out"] < n_splits]
 
 
 def train_stage1(store: ModelStore, samples: DataFrame, packed: DataFrame, features: list[str],
@@ -88,12 +75,11 @@ def train_stage1(store: ModelStore, samples: DataFrame, packed: DataFrame, featu
     the training table; returns the out-of-fold table."""
     p = len(features)
     data = training_table(samples, packed, features, n_splits, seed, healthy_only)
-    fills_table = settle(fill_values(unpack(data, features)), "fills")
-    fills = fill_vector(fills_table, features)
-    report, models, by_fold = _fit_all(data, p, candidates or [DEFAULT_TRIAL], fills, {GLOBAL: None}, AGE_TARGET, n_splits,
+    fills = packed_fills(data, p)
+    report, models, fold_models = _fit_all(data, p, candidates or [DEFAULT_TRIAL], fills, {GLOBAL: None}, AGE_TARGET, n_splits,
                                        min_cohorts, seed, max_iter, halving, gram_features)
     meta = ["sample_id", "Age", "project_id", "Tissue", "Sex", "Is_Healthy"]
-    oof = score_packed(data, by_fold, ["pred_age"], p, meta, ["fold"], fills=fills, target=AGE_TARGET)
+    oof = score_many(data, fold_models, [GLOBAL], ["pred_age"], p, meta, ["fold"], ["held_out"], fills, AGE_TARGET)
     oof = oof.withColumnRenamed("Age", "age").select(
         "sample_id", "age", "pred_age", "project_id", "Tissue", "Sex", "Is_Healthy")
 
@@ -108,7 +94,7 @@ def train_stage1(store: ModelStore, samples: DataFrame, packed: DataFrame, featu
     store.save("features", index)
     store.save("stage1_trials", report)
     store.save("hallmark_features", dictionary)
-    store.save_models("stage1", models, features)
+    store.save_fitted("stage1", models, features)
     store.save("stage1_oof", oof)
     return store.load("stage1_oof")
 
@@ -143,17 +129,37 @@ def train_stage2(store: ModelStore, candidates: list[dict] | None = None, n_spli
         pred = oof1.select("sample_id", "pred_age")
         data = settle(data.join(pred, "sample_id").withColumn("y", residual(F.col("Age"), F.col("pred_age"))).drop("pred_age"))
         inverse = PLAIN_TARGET
-    report, models, by_fold = _fit_all(data, len(features), candidates or [DEFAULT_TRIAL], fills, subsets, inverse, n_splits,
+    report, models, fold_models = _fit_all(data, len(features), candidates or [DEFAULT_TRIAL], fills, subsets, inverse, n_splits,
                                        min_cohorts, seed, max_iter, halving, gram_features)
     outs = [EXPERT_PREFIX + h for h in subsets]
-    preds = score_packed(data, by_fold, outs, len(features), ["sample_id"], ["fold"], fills=fills, target=inverse)
+    preds = score_many(data, fold_models, list(subsets), outs, len(features), ["sample_id"], ["fold"], ["held_out"], fills,
+                       inverse)
     store.save("stage2_trials", report)
-    store.save_models("stage2", models, features)
+    store.save_fitted("stage2", models, features)
     store.save("stage2_settings", {"target": target, "hallmarks": list(subsets)})
     store.save("stage2_oof", oof1.join(preds, "sample_id"))
     return store.load("stage2_oof")
 
 
+def apply_family(df: DataFrame, models: DataFrame, out: str, p: int, fold: str | None = None) -> DataFrame:
+    """Score packed rows with the model of their tissue or the global one, per fold if ``fold`` is given.
+
+    Few models are shipped to the tasks; a family too large for that is joined to the rows.
+    """
+    models = settle(models, "models")
+    if few_numbers(models):
+        model_keys = ["held_out", "model_key"] if fold else ["model_key"]
+        arrays = model_arrays([r.asDict() for r in models.collect()], model_keys, p)
+        return score_packed(df, arrays, [out], p, df.columns, [fold, "Tissue"] if fold else ["Tissue"],
+                            lambda key: (*key[:-1], GLOBAL))
+    if fold is None:
+        return score_with_fallback(df, models, "Tissue", out).drop("model_key")
+    keyed = models.withColumn("model_key", F.concat_ws("|", "held_out", "model_key"))
+    rows = df.withColumn("__key", F.concat_ws("|", fold, "Tissue"))
+    other = F.concat_ws("|", F.col(fold), F.lit(GLOBAL))
+    return score_with_fallback(rows, keyed, "__key", out, other).drop("__key", "model_key")
+
+
 def train_stage3(store: ModelStore, stage1: DataFrame, stage2: DataFrame, context: DataFrame | None,
                  alpha: float = 1.0, candidates: list[dict] | None = None, min_samples: int = 50, n_splits: int = 5,
                  seed: int = 42) -> DataFrame:
@@ -202,11 +208,8 @@ def train_stage3(store: ModelStore, stage1: DataFrame, stage2: DataFrame, contex
     held_out = training_triangles(per_fold_tissue, ["Tissue"], n_splits)
     fold_models = fit_tissue_family(held_out, p, best["alpha"], min_samples, keys=["held_out"], use=use)
 
-    keep = [c for c in data.columns if c != "values"]
-    scored = score_packed(data, model_arrays(models, ["model_key"]), ["stage3_correction"], p, [*keep, "values"],
-                          ["Tissue"], lambda key: (GLOBAL,))
-    scored = score_packed(scored, model_arrays(fold_models, ["held_out", "model_key"]), ["oof_correction"], p,
-                          [*keep, "stage3_correction"], ["fold", "Tissue"], lambda key: (key[0], GLOBAL))
+    scored = apply_family(data, models, "stage3_correction", p)
+    scored = apply_family(scored, fold_models, "oof_correction", p, "fold").drop("values")
     table = scored.withColumn("fused_age", fused_age(F.col(STAGE1_PRED), F.col("stage3_correction"))).withColumn(
         "oof_fused_age", fused_age(F.col(STAGE1_PRED), F.col("oof_correction")))
     chosen = [everything[i] for i in use]
@@ -223,36 +226,30 @@ def predict_stage1(store: ModelStore, samples: DataFrame, packed: DataFrame, bat
     ``batch_medians`` those of the batch."""
     features, fills = _features(store)
     if batch_medians:
-        fills = fill_vector(fill_values(unpack(packed, features)), features)
-    models, _ = store.load_models("stage1")
+        fills = packed_fills(packed, len(features))
     joined = resolve_metadata(samples).join(packed, "sample_id")
-    return score_packed(joined, model_arrays(models.filter(F.col("model_key") == GLOBAL), []), [STAGE1_PRED],
-                        len(features), ["sample_id", "Age", "Tissue", "project_id"], fills=fills, target=AGE_TARGET)
+    return score_many(joined, store.load_fitted("stage1"), [GLOBAL], [STAGE1_PRED], len(features),
+                      ["sample_id", "Age", "Tissue", "project_id"], fills=fills, target=AGE_TARGET)
 
 
 def predict_stage2(store: ModelStore, packed: DataFrame) -> DataFrame:
     """One column ``pred_resid_<hallmark>`` per expert."""
     features, fills = _features(store)
     settings = store.load_settings("stage2_settings")
-    models, _ = store.load_models("stage2")
     hallmarks = settings["hallmarks"]
-    arrays = model_arrays(models, [], "model_key", hallmarks)
     target = AGE_TARGET if settings["target"] == "age" else PLAIN_TARGET
-    return score_packed(packed, arrays, [EXPERT_PREFIX + h for h in hallmarks], len(features), ["sample_id"],
-                        fills=fills, target=target)
+    return score_many(packed, store.load_fitted("stage2"), hallmarks, [EXPERT_PREFIX + h for h in hallmarks],
+                      len(features), ["sample_id"], fills=fills, target=target)
 
 
 def predict_stage3(store: ModelStore, df: DataFrame) -> DataFrame:
     """Correction by the model of the sample's tissue, the global one for unseen tissues."""
     df = resolve_stage1_prediction(df, strict=False)
     features = store.load_settings("stage3_settings")["features"]
-    models, _ = store.load_models("stage3")
     if "Tissue" not in df.columns:
         df = df.withColumn("Tissue", F.lit(GLOBAL))
-    ready = pack_columns(align_columns(df, []), features)
-    keep = [c for c in df.columns if c != "values"]
-    scored = score_packed(ready, model_arrays(models, ["model_key"]), ["pred_residual_stage3"], len(features), keep,
-                          ["Tissue"], lambda key: (GLOBAL,))
+    models = store.load_models("stage3")
+    scored = apply_family(pack_columns(df, features), models, "pred_residual_stage3", len(features)).drop("values")
     scored = scored.fillna(0.0, ["pred_residual_stage3"])
     table = scored.withColumn("fused_age", fused_age(F.col(STAGE1_PRED), F.col("pred_residual_stage3")))
     return order_output(table, FIRST_SCORING, rest=False)
@@ -263,20 +260,16 @@ def predict_all(store: ModelStore, samples: DataFrame, packed: DataFrame, contex
     features, fills = _features(store)
     settings = store.load_settings("stage2_settings")
     hallmarks = settings["hallmarks"]
-    experts = [EXPERT_PREFIX + h for h in hallmarks]
-    first, _ = store.load_models("stage1")
-    second, _ = store.load_models("stage2")
+    experts, p = [EXPERT_PREFIX + h for h in hallmarks], len(features)
     meta = ["sample_id", "Age", "Tissue", "project_id"]
     joined = resolve_metadata(samples).join(packed, "sample_id")
-    p = len(features)
-    one = model_arrays(first.filter(F.col("model_key") == GLOBAL), [])
-    many = model_arrays(second, [], "model_key", hallmarks)
+    first, second = store.load_fitted("stage1"), store.load_fitted("stage2")
     if settings["target"] == "age":
-        both = {(): (np.concatenate([one[()][0], many[()][0]]), np.hstack([one[()][1], many[()][1]]))}
-        scored = score_packed(joined, both, [STAGE1_PRED, *experts], p, meta, fills=fills, target=AGE_TARGET)
+        scored = score_many(joined, first + second, [GLOBAL, *hallmarks], [STAGE1_PRED, *experts], p, meta, fills=fills,
+                            target=AGE_TARGET)
     else:
-        scored = score_packed(joined, one, [STAGE1_PRED], p, [*meta, "values"], fills=fills, target=AGE_TARGET)
-        scored = score_packed(scored, many, experts, p, [*meta, STAGE1_PRED], fills=fills)
+        scored = score_many(joined, first, [GLOBAL], [STAGE1_PRED], p, [*meta, "values"], fills=fills, target=AGE_TARGET)
+        scored = score_many(scored, second, hallmarks, experts, p, [*meta, STAGE1_PRED], fills=fills)
     if context is not None:
         scored = join_context(scored, context, training=False)
     return predict_stage3(store, scored)

@@ -46,22 +46,38 @@ class ModelStore:
         except AnalysisException as error:
             raise FileNotFoundError(f"no artifact {name} in {self.path}") from error
 
-    def save_models(self, stage: str, models: DataFrame, features: list[str], means: list[float] | None = None,
-                    scales: list[float] | None = None) -> None:
-        """``models`` (``model_key, intercept, weights``) as a coefficient and an intercept table."""
+    def save_models(self, stage: str, models: DataFrame, features: list[str]) -> None:
+        """Packed models (``model_key, intercept, weights``) as a coefficient and an intercept table."""
         from ..operators.linear import coefficient_table
 
-        means, scales = means or [0.0] * len(features), scales or [1.0] * len(features)
-        table = coefficient_table(models, features, ["model_key"])
-        table = table.withColumn("mean", F.get(F.lit(means), F.col("idx"))).withColumn(
-            "scale", F.get(F.lit(scales), F.col("idx")))
-        self.save(f"{stage}_coefficients", table.select("model_key", "idx", "feature", "mean", "scale", "weight"))
+        self.save(f"{stage}_coefficients", coefficient_table(models, features, ["model_key"]).select(
+            "model_key", "idx", "feature", "weight"))
         self.save(f"{stage}_intercepts", models.select("model_key", "intercept"))
 
-    def load_models(self, stage: str) -> tuple[DataFrame, list[str]]:
-        """Back to packed form.  The group of a model is bounded by its number of features."""
-        coefficients = self.load(f"{stage}_coefficients")
-        features = [r["feature"] for r in coefficients.select("idx", "feature").distinct().orderBy("idx").collect()]
+    def save_fitted(self, stage: str, models: list[dict], features: list[str]) -> None:
+        """The same for models that carry only the weights of the features they ``use``."""
+        rows = [(m["model_key"], float(m["intercept"]), list(m["use"] if m["use"] is not None else range(len(features))),
+                 [float(w) for w in m["weights"]]) for m in models]
+        df = self.spark.createDataFrame(rows, "model_key string, intercept double, at array<int>, weights array<double>")
+        long = df.select("model_key", F.explode(F.arrays_zip("at", "weights")).alias("w")).select(
+            "model_key", F.col("w.at").alias("idx"), F.get(F.lit(features), F.col("w.at")).alias("feature"),
+            F.col("w.weights").alias("weight"))
+        self.save(f"{stage}_coefficients", long)
+        self.save(f"{stage}_intercepts", df.select("model_key", "intercept"))
+
+    def load_models(self, stage: str) -> DataFrame:
+        """Packed models, weights in feature order.  The group of a model is bounded by its features."""
         ordered = F.array_sort(F.collect_list(F.struct("idx", "weight")))
-        packed = coefficients.groupBy("model_key").agg(F.transform(ordered, lambda s: s["weight"]).alias("weights"))
-        return self.load(f"{stage}_intercepts").join(packed, "model_key"), features
+        packed = self.load(f"{stage}_coefficients").groupBy("model_key").agg(ordered.alias("w")).select(
+            "model_key", F.col("w.weight").alias("weights"), F.col("w.idx").alias("use"))
+        return self.load(f"{stage}_intercepts").join(packed, "model_key")
+
+    def load_fitted(self, stage: str) -> list[dict]:
+        """The models on the driver, each with the positions its weights belong to; zeros stay in the store."""
+        from ..operators.linear import active
+
+        models = {r["model_key"]: {**r.asDict(), "use": [], "weights": []} for r in self.load(f"{stage}_intercepts").collect()}
+        for r in active(self.load(f"{stage}_coefficients")).collect():
+            models[r["model_key"]]["use"].append(r["idx"])
+            models[r["model_key"]]["weights"].append(r["weight"])
+        return list(models.values())
