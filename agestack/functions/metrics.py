@@ -30,8 +30,6 @@ def regression_metrics(df: DataFrame, keys: list[str], y: str = "y", yhat: str =
     true, guess = F.col(y).cast("double"), F.col(yhat).cast("double")
     pairs = df.select(*keys, true.alias("__y"), guess.alias("__p"), F.abs(true - guess).alias("__e"))
     pairs = pairs.filter("__e is not null")
-    if not keys:
-        return regression_metrics(df.withColumn("__all", F.lit(1)), ["__all"], y, yhat, digits, group_rows).drop("__all")
     true, guess = F.col("__y"), F.col("__p")
     table = pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
@@ -40,7 +38,11 @@ def regression_metrics(df: DataFrame, keys: list[str], y: str = "y", yhat: str =
         F.round(pearson(true, guess), digits).alias("PearsonR"),
     )
     medians = exact_median(pairs, keys, "__e", "MedianAE", group_rows)
-    return table.join(medians, keys).withColumn("MedianAE", F.round("MedianAE", digits))
+    if keys:
+        table = table.join(medians, keys)
+    else:
+        table = table.withColumn("MedianAE", F.lit(medians.first()[0]).cast("double"))
+    return table.withColumn("MedianAE", F.round("MedianAE", digits))
 
 
 def fold_scores(errors: DataFrame, keys: list[str], fold: str = "fold", y: str = "y", yhat: str = "yhat") -> DataFrame:

@@ -42,10 +42,9 @@ def balanced_sample(samples: DataFrame, min_cohorts: int = 2, min_cap: int = 30,
                     mult: float = 1.0, seed: int = 42) -> tuple[DataFrame, int]:
     """Keep at most ``target_n`` rows of every tissue seen in enough projects, in seeded random order."""
     valid = keep_valid_tissues(samples, min_cohorts)
-    target = target_sizes(valid, min_cap, max_cap, mult).first()["target_n"]
-    if target is None:
-        return samples.limit(0), 0
-    return hash_rank(valid, ["Tissue"], "sample_id", seed, at_most=int(target)), int(target)
+    sizes = target_sizes(valid, min_cap, max_cap, mult).first()
+    target = sizes["target_n"] if sizes["n_tissues"] else 0
+    return hash_rank(valid, ["Tissue"], "sample_id", seed, at_most=target), target
 
 
 def mode_tissue(samples: DataFrame) -> DataFrame:

@@ -93,9 +93,9 @@ def _plain_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataF
     return df.groupBy(*keys).agg(F.median(value).alias(out))
 
 
-def _histogram_median(cells: DataFrame, keys: list[str], out: str, ranks: DataFrame) -> DataFrame:
-    """Median from counts of distinct values; ``ranks`` gives n per key."""
-    counted = cells.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")).join(ranks, keys)
+def _histogram_median(cells: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Median from counts of distinct values; every row of ``cells`` carries its group's size ``__n``."""
+    counted = cells.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"), F.max("__n").alias("__n"))
     upto = F.sum("__c").over(W.partitionBy(*keys).orderBy("__v"))
     low_at, high_at = F.floor((F.col("__n") + 1) / 2), F.floor(F.col("__n") / 2) + 1
 
@@ -117,25 +117,27 @@ def bracketed_median(df: DataFrame, keys: list[str], value: str, out: str = "med
     whole group.  Keys whose sketch missed the median (never seen, but possible) are counted in full.
     """
     cells = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    eps = 2.5 / accuracy
+    eps = min(2.5 / accuracy, 0.5)
     sketch = F.percentile_approx("__v", [0.5 - eps, 0.5 + eps], accuracy)
     marks = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), sketch.alias("__q"))
-    marks = settle(marks.select(*keys, "__n", F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi")), "marks")
+    marks = marks.select(*keys, "__n", F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi"))
+    if keys:
+        marked = cells.join(settle(marks, "marks"), keys)
+    else:
+        one = marks.first()
+        marked = cells.withColumns({c: F.lit(one[c]) for c in ("__n", "__lo", "__hi")})
     squeezed = (
         F.when(F.col("__v") < F.col("__lo"), float("-inf"))
         .when(F.col("__v") > F.col("__hi"), float("inf"))
         .otherwise(F.col("__v"))
     )
-    ranks = marks.select(*keys, "__n")
-    found = settle(
-        _histogram_median(cells.join(marks, keys).select(*keys, squeezed.alias("__v")), keys, out, ranks), "medians"
-    )
+    found = settle(_histogram_median(marked.select(*keys, squeezed.alias("__v"), "__n"), keys, out), "medians")
     lost = F.isnan(out) | (F.abs(out) == float("inf"))
     missed = found.filter(lost)
     if missed.isEmpty():
         return found
-    rest = cells.join(missed.select(*keys), keys, "left_semi")
-    return found.filter(~lost).unionByName(_histogram_median(rest, keys, out, ranks))
+    rest = marked.join(settle(missed.select(*keys), "missed"), keys, "left_semi") if keys else marked
+    return found.filter(~lost).unionByName(_histogram_median(rest, keys, out))
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median",

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 PARTIAL_BYTES = 256 << 20
 PARTIAL_TASKS = 20_000
@@ -153,7 +153,6 @@ def simple_stats(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 def all_but_each_fold(per_fold: DataFrame, keys: list[str], sums: list[str], fold: str = "fold") -> DataFrame:
-    """Training statistics of every fold as total minus the fold's own."""
-    total = per_fold.groupBy(*keys).agg(*[F.sum(c).alias(f"__{c}") for c in sums])
-    kept = [F.col(c) for c in [*keys, fold]]
-    return per_fold.join(total, keys).select(*kept, *[(F.col(f"__{c}") - F.col(c)).alias(c) for c in sums])
+    """Training statistics of every fold as total minus the fold's own (the table has one row per key and fold)."""
+    total = W.partitionBy(*keys)
+    return per_fold.select(*keys, fold, *[(F.sum(c).over(total) - F.col(c)).alias(c) for c in sums])

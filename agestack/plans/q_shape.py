@@ -421,9 +421,9 @@ def set4(spark, sf):
     """Each row takes the prediction (a mean) of the model that did not see its fold: one join, no loop."""
     from ..operators.stats import all_but_each_fold
 
-    parts = t.parts(spark, sf).withColumns({"fold": F.col("p_partkey") % 5, "__k": F.lit(1)})
-    sums = parts.groupBy("__k", "fold").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
-    models = all_but_each_fold(sums, ["__k"], ["s", "n"]).select("fold", (F.col("s") / F.col("n")).alias("oof"))
+    parts = t.parts(spark, sf).withColumn("fold", F.col("p_partkey") % 5)
+    sums = parts.groupBy("fold").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+    models = all_but_each_fold(sums, [], ["s", "n"]).select("fold", (F.col("s") / F.col("n")).alias("oof"))
     return parts.join(settle(models), "fold").select("p_partkey", rounded("oof").alias("oof"))
 
 

@@ -390,8 +390,7 @@ TRAIN_SQL = f"""{SIMPLE_SQL}, f AS (SELECT fold, {SUMS} FROM rows GROUP BY 1), t
 
 
 def _train_stats(spark, sf):
-    rows = _simple(spark, sf).withColumn("__k", F.lit(1))
-    return all_but_each_fold(simple_stats(rows, ["__k", "fold"], "x", "target"), ["__k"], ["n", "sx", "sy", "sxx", "sxy"])
+    return all_but_each_fold(simple_stats(_simple(spark, sf), ["fold"], "x", "target"), [], ["n", "sx", "sy", "sxx", "sxy"])
 
 
 @query("oof1_simple", f"""WITH {TRAIN_SQL}, m AS (SELECT fold, {RIDGE} AS w, (sy - {RIDGE} * sx) / n AS b FROM train)

@@ -52,7 +52,7 @@ def check(spark, con, sf_dir: str, name: str, fn, sql: str | None) -> tuple[list
     start = time.time()
     got = fn(spark, sf_dir).toArrow()
     took = time.time() - start
-    return (differences(got, con.execute(sql).to_arrow_table()) if sql else []), got.num_rows, took
+    return (differences(got, con.sql(sql).to_arrow_table()) if sql else []), got.num_rows, took
 
 
 def main() -> None:
