@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.ranking import exact_median
+from ..operators.ranking import MEDIAN_GROUP_ROWS, exact_median
 
 FLAT = 1e-9
 
@@ -25,7 +25,7 @@ def r_squared(y: Column, yhat: Column) -> Column:
 
 
 def regression_metrics(df: DataFrame, keys: list[str], y: str = "y", yhat: str = "yhat", digits: int = 4,
-                       group_rows: int = 1 << 20) -> DataFrame:
+                       group_rows: int = MEDIAN_GROUP_ROWS) -> DataFrame:
     """``MAE, R2, PearsonR, MedianAE`` and the row count per key, rounded."""
     true, guess = F.col(y).cast("double"), F.col(yhat).cast("double")
     pairs = df.select(*keys, true.alias("__y"), guess.alias("__p"), F.abs(true - guess).alias("__e"))

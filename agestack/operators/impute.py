@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalar import fill_missing, missing_to_null
 from ..session import settle
 from .align import feature_columns
-from .ranking import exact_median
+from .ranking import MEDIAN_GROUP_ROWS, exact_median
 
 
 def fill_values(cells: DataFrame, strategy: str = "median") -> DataFrame:
@@ -27,7 +27,7 @@ def impute_cells(cells: DataFrame, fills: DataFrame) -> DataFrame:
     return cells.join(settle(fills, "fills"), "feature", "left").select(*kept, value.alias("value"))
 
 
-def filter_and_impute(wide: DataFrame, strategy: str = "median", group_rows: int = 1 << 20) -> DataFrame:
+def filter_and_impute(wide: DataFrame, strategy: str = "median", group_rows: int = MEDIAN_GROUP_ROWS) -> DataFrame:
     """Fill the numeric feature columns of a narrow wide table.
 
     Columns are unpivoted first, so that the median route can be chosen by size as for long tables.

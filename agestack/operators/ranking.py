@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.scalar import missing_to_null, seeded_hash
 from ..session import settle
 
-MEDIAN_GROUP_ROWS = 1 << 20
-SKETCH_ACCURACY = 10000
+MEDIAN_GROUP_ROWS = 1 << 17
+VALUE_BUCKETS = 512
 
 
 def bucket_rank(
@@ -89,55 +89,81 @@ def number_rows(df: DataFrame, order: list[str], out: str) -> DataFrame:
     return bucket_rank(ranges, [], [F.col("__p")], [F.col(c) for c in order], out).drop("__p")
 
 
-def _plain_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.median(value).alias(out))
+def _median_ranks() -> tuple[Column, Column]:
+    """The two middle ranks among ``__n`` values, counted from the first value of the current range."""
+    return (F.floor((F.col("__n") + 1) / 2) - F.col("__below")), (F.floor(F.col("__n") / 2) + 1 - F.col("__below"))
 
 
-def _histogram_median(cells: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """Median from counts of distinct values; every row of ``cells`` carries its group's size ``__n``."""
-    counted = cells.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"), F.max("__n").alias("__n"))
-    upto = F.sum("__c").over(W.partitionBy(*keys).orderBy("__v"))
-    low_at, high_at = F.floor((F.col("__n") + 1) / 2), F.floor(F.col("__n") / 2) + 1
+def _in_range(cells: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    """The values inside their key's current range, each with the state of its key."""
+    if keys:
+        marked = cells.join(state, keys)
+    else:
+        row = state.first()
+        marked = cells.withColumns({c: F.lit(row[c]) for c in state.columns})
+    return marked.filter((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
 
-    def holds(rank: Column) -> Column:
-        return F.when((F.col("__upto") >= rank) & (F.col("__upto") - F.col("__c") < rank), F.col("__v"))
 
-    return (
-        counted.withColumn("__upto", upto)
-        .groupBy(*keys)
-        .agg(((F.max(holds(low_at)) + F.max(holds(high_at))) / 2).alias(out))
+def _narrowed(cells: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    """Cut each key's range into equal buckets, count them, keep the one or two that hold the middle ranks."""
+    half = F.col("__lo") * 0.5
+    share = (F.col("__v") * 0.5 - half) / (F.col("__hi") * 0.5 - half)
+    bucket = F.when(F.col("__lo") == F.col("__hi"), F.lit(0)).otherwise(
+        F.least(F.floor(share * VALUE_BUCKETS), F.lit(VALUE_BUCKETS - 1))
+    )
+    counted = _in_range(cells, state, keys).withColumn("__b", bucket).groupBy(*keys, "__b").agg(
+        F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
+        F.max("__n").alias("__n"), F.max("__below").alias("__below"),
+    )
+    counted = counted.withColumn("__upto", F.sum("__c").over(W.partitionBy(*keys).orderBy("__b")))
+    first, last = _median_ranks()
+    middle = counted.filter((F.col("__upto") >= first) & (F.col("__upto") - F.col("__c") < last))
+    return middle.groupBy(*keys).agg(
+        F.max("__n").alias("__n"), F.min("__min").alias("__lo"), F.max("__max").alias("__hi"),
+        F.min(F.col("__below") + F.col("__upto") - F.col("__c")).alias("__below"), F.sum("__c").alias("__inside"),
     )
 
 
-def bracketed_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
-                     accuracy: int = SKETCH_ACCURACY) -> DataFrame:
-    """Exact median for groups of any size: a sketch brackets it, counting inside the bracket finds it.
+def narrowing_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
+                     group_rows: int = MEDIAN_GROUP_ROWS) -> DataFrame:
+    """Exact median for groups of any size.
 
-    Values outside the bracket collapse to one marker per side before the shuffle, so no task sees a
-    whole group.  Keys whose sketch missed the median (never seen, but possible) are counted in full.
+    Each round counts 512 value ranges per key (combined before the shuffle) and keeps the range with the
+    median, until what is left of every key is small; the median is then found among the distinct values
+    left.  One or two rounds are usual; values that differ only in their last bits take seven at most.
     """
     cells = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    eps = min(2.5 / accuracy, 0.5)
-    sketch = F.percentile_approx("__v", [0.5 - eps, 0.5 + eps], accuracy)
-    marks = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), sketch.alias("__q"))
-    marks = marks.select(*keys, "__n", F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi"))
-    if keys:
-        marked = cells.join(settle(marks, "marks"), keys)
-    else:
-        one = marks.first()
-        marked = cells.withColumns({c: F.lit(one[c]) for c in ("__n", "__lo", "__hi")})
-    squeezed = (
-        F.when(F.col("__v") < F.col("__lo"), float("-inf"))
-        .when(F.col("__v") > F.col("__hi"), float("inf"))
-        .otherwise(F.col("__v"))
+    return _narrow_from(cells, _value_ranges(cells, keys), keys, out, group_rows)
+
+
+def _value_ranges(cells: DataFrame, keys: list[str]) -> DataFrame:
+    return settle(cells.groupBy(*keys).agg(
+        F.count("__v").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
+        F.lit(0).cast("long").alias("__below"), F.count("__v").alias("__inside"),
+    ), "ranges")
+
+
+def _narrow_from(cells: DataFrame, state: DataFrame, keys: list[str], out: str, group_rows: int) -> DataFrame:
+    open_width, previous = F.sum(F.col("__hi") * 0.5 - F.col("__lo") * 0.5), None
+    while True:
+        size, width = state.filter("__lo < __hi").agg(F.max("__inside"), open_width).first()
+        if (size or 0) <= group_rows or width == previous:  # small enough, or only repeats of the ends are left
+            break
+        state, previous = settle(_narrowed(cells, state, keys), "ranges"), width
+    counted = _in_range(cells, state, keys).groupBy(*keys, "__v").agg(
+        F.count(F.lit(1)).alias("__c"), F.max("__n").alias("__n"), F.max("__below").alias("__below")
     )
-    found = settle(_histogram_median(marked.select(*keys, squeezed.alias("__v"), "__n"), keys, out), "medians")
-    lost = F.isnan(out) | (F.abs(out) == float("inf"))
-    missed = found.filter(lost)
-    if missed.isEmpty():
-        return found
-    rest = marked.join(settle(missed.select(*keys), "missed"), keys, "left_semi") if keys else marked
-    return found.filter(~lost).unionByName(_histogram_median(rest, keys, out))
+    counted = counted.withColumn("__upto", F.sum("__c").over(W.partitionBy(*keys).orderBy("__v")))
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("__upto") >= rank) & (F.col("__upto") - F.col("__c") < rank), F.col("__v")))
+
+    first, last = _median_ranks()
+    return counted.groupBy(*keys).agg(((value_at(first) + value_at(last)) / 2).alias(out))
+
+
+def _largest(sizes: DataFrame, col: str) -> int:
+    return sizes.agg(F.max(col)).first()[0] or 0
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
@@ -147,9 +173,9 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
     ``largest`` is an upper bound the caller knows (such as the row count of a packed table); without it the
     groups are counted first.
     """
-    clean = df.select(*keys, missing_to_null(F.col(value).cast("double")).alias("__x")).filter("__x is not null")
-    if largest is None:
-        largest = clean.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= group_rows:
-        return _plain_median(clean, keys, "__x", out)
-    return bracketed_median(clean, keys, "__x", out)
+    clean = df.select(*keys, missing_to_null(F.col(value).cast("double")).alias("__v")).filter("__v is not null")
+    if largest is None or largest > group_rows:
+        state = _value_ranges(clean, keys)
+        if _largest(state, "__n") > group_rows:
+            return _narrow_from(clean, state, keys, out, group_rows)
+    return clean.groupBy(*keys).agg(F.median("__v").alias(out))

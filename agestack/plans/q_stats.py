@@ -8,7 +8,7 @@ from ..functions.metrics import fold_scores, mae, micro_macro_mae, regression_me
 from ..functions.scalar import age_to_scale, scale_to_age
 from ..operators import folds, linear, selection
 from ..operators.impute import fill_values, filter_and_impute, impute_cells, impute_packed, packed_fills
-from ..operators.ranking import bracketed_median, exact_median
+from ..operators.ranking import exact_median, narrowing_median
 from ..operators.score import score_simple_with_fallback
 from ..operators.search import grid_candidates, random_candidates
 from ..operators.stats import all_but_each_fold, gram, simple_stats
@@ -24,11 +24,11 @@ def agg1(spark, sf):
     return impute_cells(cells, fill_values(cells)).select("sample_id", "feature", rounded("value").alias("value"))
 
 
-@query("agg1_bracketed_median", f"""WITH {t.CELLS_SQL}
+@query("agg1_narrowing_median", f"""WITH {t.CELLS_SQL}
 SELECT feature, round(median(value), 6) + 0.0 AS median FROM cells WHERE value IS NOT NULL GROUP BY feature""")
-def agg1_bracket(spark, sf):
+def agg1_narrow(spark, sf):
     """The median route for groups too large for one task."""
-    return bracketed_median(t.cells(spark, sf), ["feature"], "value").withColumn("median", rounded("median"))
+    return narrowing_median(t.cells(spark, sf), ["feature"], "value", group_rows=50).withColumn("median", rounded("median"))
 
 
 @query("agg1_impute_packed", f"""WITH {t.FILLED_SQL}

@@ -34,9 +34,9 @@ from ..sources.store import ModelStore
 DEFAULT_TRIAL = {"trial": 0, "alpha": 0.01, "l1": 0.5, "min_cap": 30, "max_cap": 500, "mult": 1.0}
 
 
-def training_table(samples: DataFrame, packed: DataFrame, features: list[str], n_splits: int, seed: int,
-                   healthy_only: bool = True) -> DataFrame:
-    """Samples with a known age, their folds, target and packed features, written once.
+def training_table(store: ModelStore, samples: DataFrame, packed: DataFrame, features: list[str], n_splits: int,
+                   seed: int, healthy_only: bool = True) -> DataFrame:
+    """Samples with a known age, their folds, target and packed features, written once to the store.
 
     Samples without features or without an age cannot be trained on and are left out.
     """
@@ -46,7 +46,8 @@ def training_table(samples: DataFrame, packed: DataFrame, features: list[str], n
     meta = meta.withColumn("y", AGE_TARGET.forward(F.col("Age"))).filter("y is not null")
     meta = settle(meta.join(packed.select("sample_id"), "sample_id", "left_semi"), "meta")
     folded = with_folds(meta, balanced_folds(meta, n_splits, seed))
-    return settle(folded.join(packed, "sample_id"), "training")
+    store.save("training", folded.join(packed, "sample_id"))
+    return store.load("training")
 
 
 def _fit_all(data: DataFrame, p: int, candidates: list[dict], fills: list[float], subsets: dict, target: Target,
@@ -74,7 +75,7 @@ def train_stage1(store: ModelStore, samples: DataFrame, packed: DataFrame, featu
     """Global elastic net on all features.  Saves models, fills, features, trials, the hallmark dictionary and
     the training table; returns the out-of-fold table."""
     p = len(features)
-    data = training_table(samples, packed, features, n_splits, seed, healthy_only)
+    data = training_table(store, samples, packed, features, n_splits, seed, healthy_only)
     fills = packed_fills(data, p)
     report, models, fold_models = _fit_all(data, p, candidates or [DEFAULT_TRIAL], fills, {GLOBAL: None}, AGE_TARGET, n_splits,
                                        min_cohorts, seed, max_iter, halving, gram_features)
@@ -90,7 +91,6 @@ def train_stage1(store: ModelStore, samples: DataFrame, packed: DataFrame, featu
     if orthogonal:
         r = packed_correlation(data, p, "y", fills).join(index, "idx").select("feature", "r")
         dictionary = assign_features(dictionary, r).select("hallmark", F.col("rank").alias("pos"), "feature")
-    store.save("training", data)
     store.save("features", index)
     store.save("stage1_trials", report)
     store.save("hallmark_features", dictionary)

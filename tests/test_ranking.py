@@ -48,19 +48,13 @@ def test_number_rows(spark):
     assert got == list(range(1, 3001))
 
 
-@pytest.mark.parametrize("accuracy", [50, 1000, 10000])
-def test_bracketed_median(skewed, accuracy):
-    got = {r["key"]: r["median"] for r in ranking.bracketed_median(skewed, ["key"], "v", accuracy=accuracy).collect()}
+@pytest.mark.parametrize("rows", [1, 20, 1000, 100000])
+def test_narrowing_median(skewed, rows):
+    got = {r["key"]: r["median"] for r in ranking.narrowing_median(skewed, ["key"], "v", group_rows=rows).collect()}
     want = {r["key"]: r["m"] for r in skewed.groupBy("key").agg(F.median("v").alias("m")).collect()}
     assert got == want
 
 
-def test_bracketed_median_when_the_sketch_misses(skewed, monkeypatch):
-    monkeypatch.setattr(ranking.F, "percentile_approx", lambda *a: F.array(F.max("__v") + 5.0, F.max("__v") + 9.0))
-    got = {r["key"]: r["median"] for r in ranking.bracketed_median(skewed, ["key"], "v").collect()}
-    assert got == {r["key"]: r["m"] for r in skewed.groupBy("key").agg(F.median("v").alias("m")).collect()}
-
-
 def test_median_ignores_missing(spark):
     df = spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("a", 2.0), ("a", None), ("b", None)], "k string, v double")
     for rows in (0, 100):
@@ -69,11 +63,20 @@ def test_median_ignores_missing(spark):
 
 
 def test_medians_agree_with_numpy(spark):
+    """Heavy tails, repeats, extremes and neighbours in the last bit."""
     rng = np.random.default_rng(1)
-    values = np.concatenate([rng.normal(size=501), np.full(700, 0.25), rng.exponential(1e6, size=300)])
-    df = spark.createDataFrame([(0, float(v)) for v in values], "k int, v double")
-    got = ranking.bracketed_median(df, ["k"], "v", accuracy=200).first()["median"]
-    assert got == pytest.approx(float(np.median(values)))
+    sets = {
+        "mixed": np.concatenate([rng.normal(size=501), np.full(700, 0.25), rng.exponential(1e6, size=300)]),
+        "huge": np.concatenate([rng.normal(size=40), [1.7e308, -1.7e308]]),
+        "close": np.nextafter(1.0, 2.0) + np.arange(40) * 2.3e-16,
+        "gap": np.concatenate([np.full(50, -1.0), np.full(50, 1e9)]),
+        "one": np.array([3.5]),
+    }
+    rows = [(k, float(v)) for k, vs in sets.items() for v in vs]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    for size in (1, 30):
+        got = {r["k"]: r["median"] for r in ranking.narrowing_median(df, ["k"], "v", group_rows=size).collect()}
+        assert got == {k: pytest.approx(float(np.median(v)), rel=1e-15) for k, v in sets.items()}
 
 
 @pytest.mark.parametrize("rows", [0, 10000])
