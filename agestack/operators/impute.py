@@ -51,16 +51,20 @@ def filter_and_impute(wide: DataFrame, strategy: str = "median", group_rows: int
 
 
 def packed_fills(packed: DataFrame, p: int, strategy: str = "median") -> list[float]:
-    """Fill value of every column of a packed matrix, 0 for columns without values.
+    """Fill value of every column of a packed matrix, 0 for columns without values.  The row count bounds
+    every group."""
+    cells = packed.select(F.posexplode("values").alias("idx", "value"))
+    return column_fills(cells, p, strategy, packed.count())
 
-    As many numbers as the model has features come to the driver.  The row count bounds every group.
-    """
-    cells = packed.select(F.posexplode("values").alias("feature", "value"))
+
+def column_fills(cells: DataFrame, p: int, strategy: str = "median", largest: int | None = None) -> list[float]:
+    """The same for cells with their column number ``idx``.  As many numbers as the model has features come to
+    the driver."""
     if strategy == "median":
-        fills = exact_median(cells, ["feature"], "value", "fill", largest=packed.count())
+        fills = exact_median(cells, ["idx"], "value", "fill", largest=largest)
     else:
-        fills = fill_values(cells, strategy)
-    by_index = {r["feature"]: r["fill"] for r in fills.collect()}
+        fills = fill_values(cells.withColumnRenamed("idx", "feature"), strategy).withColumnRenamed("feature", "idx")
+    by_index = {r["idx"]: r["fill"] for r in fills.collect()}
     return [float(by_index.get(i) or 0.0) for i in range(p)]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.metrics import regression_metrics
 from ..functions.scalar import AGE_TARGET, age_to_scale
 from ..operators import align, folds, linear
-from ..operators.impute import fill_values, impute_cells, packed_fills
+from ..operators.impute import fill_values, impute_cells
 from ..operators.normalise import expert_columns
 from ..operators.search import ELASTIC_NET_SPACE, PARAMS, RIDGE_SPACE, random_candidates, sampled_fold_stats, search_elastic_net, trial_scores
 from ..operators.stats import gram
@@ -60,7 +60,7 @@ def prd5(spark, sf):
 
 def _training(spark, sf):
     rows = t.packed(spark, sf, with_meta=True).withColumn("y", age_to_scale(F.col("Age")))
-    fills = packed_fills(t.packed(spark, sf), t.DIMS)
+    fills = t.fills(spark, sf)
     return rows, fills
 
 

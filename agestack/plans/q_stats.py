@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import fold_scores, mae, micro_macro_mae, regression_metrics
 from ..functions.scalar import age_to_scale, scale_to_age
 from ..operators import folds, linear, selection
-from ..operators.impute import fill_values, filter_and_impute, impute_cells, impute_packed, packed_fills
+from ..operators.impute import fill_values, filter_and_impute, impute_cells, impute_packed
 from ..operators.ranking import exact_median, narrowing_median
 from ..operators.score import score_simple_with_fallback
 from ..operators.search import grid_candidates, random_candidates
@@ -35,7 +35,7 @@ def agg1_narrow(spark, sf):
 SELECT sample_id, round(sum(value * (dim + 1)), 5) + 0.0 AS weighted FROM filled GROUP BY sample_id""")
 def agg1_packed(spark, sf):
     """The same fill on packed rows; one weighted sum per row stands for the array."""
-    filled = impute_packed(t.packed(spark, sf), packed_fills(t.packed(spark, sf), t.DIMS))
+    filled = impute_packed(t.packed(spark, sf), t.fills(spark, sf))
     terms = F.transform("values", lambda x, i: x * (i + 1))
     total = F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)
     return filled.select("sample_id", rounded(total, 5).alias("weighted"))
@@ -161,7 +161,7 @@ CORR_SQL = f"""{t.FILLED_SQL}, corr AS (
 
 def _correlations(spark, sf):
     rows = t.packed(spark, sf, with_meta=True).withColumn("y", age_to_scale(F.col("Age")))
-    fills = packed_fills(t.packed(spark, sf), t.DIMS)
+    fills = t.fills(spark, sf)
     r = selection.packed_correlation(rows, t.DIMS, "y", fills)
     return r.withColumn("feature", F.get(F.lit(t.FEATURES), F.col("idx"))).select("feature", "n", "r")
 
@@ -496,7 +496,7 @@ def prd1(spark, sf):
 
     weights = np.array([[(d % 9 - 4) / 8] for d in range(t.DIMS)])
     scored = score_packed(t.packed(spark, sf, with_meta=True), {(): (np.array([-0.5]), weights)}, ["pred_age_stage1"], t.DIMS,
-                          ["sample_id", "Age", "Tissue", "project_id"], fills=packed_fills(t.packed(spark, sf), t.DIMS),
+                          ["sample_id", "Age", "Tissue", "project_id"], fills=t.fills(spark, sf),
                           target=AGE_TARGET)
     return scored.withColumn("pred_age_stage1", rounded("pred_age_stage1", 5))
 

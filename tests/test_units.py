@@ -117,6 +117,12 @@ def test_filter_and_impute(spark):
             assert got["b"]["f"] == want and got["b"]["g"] == 0.0 and got["c"]["Age"] is None
 
 
+def test_packed_fills(spark):
+    df = spark.createDataFrame([([1.0, None, 2.0],), ([3.0, None, 4.0],), ([8.0, None, None],)], "values array<float>")
+    assert impute.packed_fills(df, 3) == [3.0, 0.0, 3.0]
+    assert impute.packed_fills(df, 3, "mean") == [4.0, 0.0, 3.0]
+
+
 def test_packing_round_trip(spark):
     cells = spark.createDataFrame([("a", 0, 1.0), ("a", 2, 3.0), ("b", 1, 2.0)], "sample_id string, idx int, value float")
     got = {r["sample_id"]: r["values"] for r in align.pack_cells(cells, 3).collect()}
