@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, mixing
+from . import chat, decontam, html, mixing, quality, urls
 from .common import documents, frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,16 @@ def query(fn):
     return fn
 
 
+@query
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(frame(spark, sf_dir, "pages"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), frame(spark, sf_dir, "labels"))
+
+
 @query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(documents(spark, sf_dir), frame(spark, sf_dir, "benchmark"))
@@ -86,6 +96,36 @@ SELECT doc_id, source, size, source_size, target,
 FROM placed"""
 
 
+#: The rules that op9 is asked to apply.
+URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"),
+             ("net/fr/", "block"))
+
+
+@query
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [*(urls.prefix_rule(*r) for r in URL_RULES), *urls.DEFAULT_GLOBS]
+    return urls.judge_urls(frame(spark, sf_dir, "pages"), rules)
+
+
+_RULE_ROWS = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{v}')" for r, v in URL_RULES)
+SQL["op9_urls"] = rf"""
+WITH rules(rule_host, rule_path, rule, verdict) AS (VALUES {_RULE_ROWS}
+), parts AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS tail FROM pages
+), urls AS (
+    SELECT page_id, translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), best AS (
+    SELECT page_id, host, path, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+    FROM urls LEFT JOIN rules ON ('.' || host) LIKE ('%.' || rule_host) AND starts_with(path, rule_path)
+    GROUP BY page_id, host, path
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE
+    WHEN regexp_matches('.' || host, '\.(spam-|casino)') AND starts_with(path, '/') THEN 'block'
+    WHEN regexp_matches(path, '^/(?s:.*)\.(css|exe|gif|gz|jpg|js|mp4|png|zip)$') THEN 'block' ELSE 'allow' END) AS verdict
+FROM best"""
+
+
 @query
 def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = chat.perspectives(frame(spark, sf_dir, "conversations"))
