@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, html, mixing, quality, urls
+from . import chat, decontam, html, lines, minhash, mixing, quality, urls
 from .common import documents, frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,16 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(frame(spark, sf_dir, "pages"))
 
 
+@query
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(documents(spark, sf_dir)).withColumn("removed", F.array_join(F.transform("removed", lambda x: x.cast("string")), ","))
+
+
+@query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), size=4)
+
+
 @query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), frame(spark, sf_dir, "labels"))
