@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from agestack.session import settle
 
-__all__ = ["WORD", "documents", "frame", "settle", "small", "text_of", "word_count"]
+__all__ = ["WORD", "documents", "frame", "settle", "small", "text_of", "word_count", "words_of"]
 
-#: A word: a run of anything but the six white space characters of ASCII.
+#: A word: a run of anything but the six white space characters of ASCII; and what stands between words.
 WORD = r"[^\x20\x09-\x0D]+"
+GAP = r"[\x20\x09-\x0D]+"
 
 #: At most so many short rows (a few numbers each) are sent to every task at once.
 BROADCAST_ROWS = 500_000
@@ -20,8 +21,13 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def words_of(text: Column, gap: str = GAP) -> Column:
+    """The words between gaps.  Splitting is linear; extracting all matches copies the text for each of them."""
+    return F.array_remove(F.split(text, gap), "")
+
+
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD)).cast("long")
+    return F.size(words_of(text)).cast("long")
 
 
 def frame(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

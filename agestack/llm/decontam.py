@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import settle, small, text_of
+from .common import settle, small, text_of, words_of
 
-#: Letters, digits and everything beyond ASCII, of a text whose capitals may still stand.
-TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What is no letter, no digit and not beyond ASCII stands between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return words_of(text, BETWEEN)
 
 
 def _plain(words: Column) -> Column:
@@ -21,7 +21,7 @@ def _plain(words: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """Distinct ``(item_id, len, h, low, plain)``: each window, and the hash by which documents find it.
+    """Distinct ``(item_id, len, h, plain)``: each window, and the hash by which documents find it.
 
     A shorter item is one window.  The hash is over words in Unicode lower case, which costs far less to make for every
     word of the corpus; ``plain``, with A-Z alone in lower case, decides.
@@ -31,8 +31,7 @@ def benchmark_windows(benchmark: DataFrame, size: int) -> DataFrame:
     items = items.select("item_id", "len", "raw", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("len") + 1)).alias("pos"))
     window = items.select("item_id", "len", F.slice("raw", F.col("pos"), F.col("len")).alias("w"))
     return window.select(
-        "item_id", "len", F.xxhash64(F.lower(F.array_join("w", " "))).alias("h"),
-        F.lower(F.array_join("w", " ")).alias("low"), _plain(F.col("w")).alias("plain"),
+        "item_id", "len", F.xxhash64(F.transform("w", lambda x: F.lower(x))).alias("h"), _plain(F.col("w")).alias("plain"),
     ).distinct()
 
 
@@ -53,8 +52,8 @@ def find_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     for length in lengths:
         at = rows.filter(F.size("__low") >= length).select(
             "*", F.explode(F.sequence(F.lit(0), F.size("__low") - length)).alias("pos"))
-        joined = F.concat_ws(" ", *[F.get(F.col("__low"), F.col("pos") + k) for k in range(length)])
-        at = at.select("doc_id", "__th", "__text", "pos", F.lit(length).alias("len"), F.xxhash64(joined).alias("h"))
+        window = F.array(*[F.get(F.col("__low"), F.col("pos") + k) for k in range(length)])
+        at = at.select("doc_id", "__th", "__text", "pos", F.lit(length).alias("len"), F.xxhash64(window).alias("h"))
         hit = at.join(small(keys.filter(F.col("len") == length).select("h")), "h").select(
             "doc_id", "__th", (F.col("pos") + 1).alias("pos"), "len",
             _plain(F.slice(_words(F.col("__text")), F.col("pos") + 1, F.col("len"))).alias("plain"))

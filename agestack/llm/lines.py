@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WORD, settle, small, text_of
+from .common import settle, small, text_of, words_of
 
 #: Buckets of the word counts by hash; they travel with every task.
 RARITY_BUCKETS = 1 << 16
@@ -21,7 +21,7 @@ NUMER, DENOM = 8, 10
 
 
 def _words(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
+    return words_of(F.lower(line))
 
 
 def _identity(docs: DataFrame, *more: str) -> DataFrame:

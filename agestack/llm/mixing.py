@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from .common import settle, small, text_of, word_count
+from .common import settle, small, text_of, word_count, words_of
 
 HASH_BITS = 60
 #: Rows of a source whose running sum is made in one task; a source of any size has as many such parts as it needs.
@@ -152,7 +152,7 @@ def shard_rows(docs: DataFrame, shards: int = 64, **options) -> DataFrame:
     texts = docs.select("doc_id", "source", text_of().alias("__text")).withColumn("size", word_count(F.col("__text")))
     same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.source").eqNullSafe(F.col("b.source")),
             F.col("a.size") == F.col("b.size")]
-    words = F.regexp_extract_all("__text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    words = words_of(F.col("__text"))
     piece = F.slice(words, (F.col("x.first") + 1).cast("int"), (F.col("x.last") - F.col("x.first")).cast("int"))
     return (
         plan.alias("a").join(texts.dropDuplicates(["doc_id", "source", "size"]).alias("b"), same)
