@@ -15,6 +15,10 @@ def _words(text: Column) -> Column:
     return words_of(text, BETWEEN)
 
 
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
+
+
 def _plain(words: Column) -> Column:
     """One text of the words, A-Z in lower case.  The words themselves hold no space."""
     return F.translate(F.array_join(words, " "), UPPER, LOWER)
@@ -23,15 +27,15 @@ def _plain(words: Column) -> Column:
 def benchmark_windows(benchmark: DataFrame, size: int) -> DataFrame:
     """Distinct ``(item_id, len, h, plain)``: each window, and the hash by which documents find it.
 
-    A shorter item is one window.  The hash is over words in Unicode lower case, which costs far less to make for every
-    word of the corpus; ``plain``, with A-Z alone in lower case, decides.
+    A shorter item is one window.  The hash is over the hashes of words in Unicode lower case, which cost far less to make
+    for every word of the corpus; ``plain``, with A-Z alone in lower case, decides.
     """
     items = benchmark.select("item_id", _words(text_of()).alias("raw")).withColumn("n", F.size("raw")).filter("n > 0")
     items = items.withColumn("len", F.least(F.lit(size), F.col("n")))
     items = items.select("item_id", "len", "raw", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("len") + 1)).alias("pos"))
     window = items.select("item_id", "len", F.slice("raw", F.col("pos"), F.col("len")).alias("w"))
     return window.select(
-        "item_id", "len", F.xxhash64(F.transform("w", lambda x: F.lower(x))).alias("h"), _plain(F.col("w")).alias("plain"),
+        "item_id", "len", F.xxhash64(_hashes(F.col("w"))).alias("h"), _plain(F.col("w")).alias("plain"),
     ).distinct()
 
 
@@ -45,18 +49,16 @@ def find_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     if not lengths:
         lengths = [1]
     text = text_of()
-    rows = docs.select(
-        "doc_id", F.xxhash64(text).alias("__th"), text.alias("__text"), _words(F.lower(text)).alias("__low")
-    ).filter(F.size("__low") >= lengths[0])
+    rows = docs.select("doc_id", F.xxhash64(text).alias("__th"), _words(text).alias("__w"))
+    rows = rows.select("*", _hashes(F.col("__w")).alias("__h"))
     found = None
     for length in lengths:
-        at = rows.filter(F.size("__low") >= length).select(
-            "*", F.explode(F.sequence(F.lit(0), F.size("__low") - length)).alias("pos"))
-        window = F.array(*[F.get(F.col("__low"), F.col("pos") + k) for k in range(length)])
-        at = at.select("doc_id", "__th", "__text", "pos", F.lit(length).alias("len"), F.xxhash64(window).alias("h"))
-        hit = at.join(small(keys.filter(F.col("len") == length).select("h")), "h").select(
-            "doc_id", "__th", (F.col("pos") + 1).alias("pos"), "len",
-            _plain(F.slice(_words(F.col("__text")), F.col("pos") + 1, F.col("len"))).alias("plain"))
+        at = rows.filter(F.size("__w") >= length).select(
+            "*", F.explode(F.sequence(F.lit(0), F.size("__w") - length)).alias("pos"))
+        key = F.xxhash64(*[F.get(F.col("__h"), F.col("pos") + k) for k in range(length)])
+        hit = at.withColumn("h", key).join(small(keys.filter(F.col("len") == length).select("h")), "h").select(
+            "doc_id", "__th", (F.col("pos") + 1).alias("pos"), F.lit(length).alias("len"),
+            _plain(F.slice("__w", F.col("pos") + 1, F.lit(length))).alias("plain"))
         found = hit if found is None else found.unionByName(hit)
     exact = windows.select("len", "plain").distinct()
     return found.join(exact, ["len", "plain"], "left_semi")
