@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import settle, small, text_of, words_of
+from .common import settle, small, text_of
 
 #: What is no letter, no digit and not beyond ASCII stands between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -12,7 +12,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _words(text: Column) -> Column:
-    return words_of(text, BETWEEN)
+    return F.array_remove(F.split(text, BETWEEN), "")
 
 
 def _hashes(words: Column) -> Column:

@@ -2,7 +2,7 @@
 
 A line's words are put in one order for all lines, rare words first.  Two sets of similarity t or more must share a word
 among the first few of each (the prefix), at places that leave room for the overlap they need, and must not differ much
-in size.  Rarity comes from word counts by hash bucket, so its table has a fixed size; where it is wrong the join gets
+in size.  With a prefix longer by SHARED - 1 words they share SHARED words of it, which few other pairs do.  Rarity comes from word counts by hash bucket, so its table has a fixed size; where it is wrong the join gets
 slower, never different, since any one order serves.
 """
 
@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import settle, small, text_of, words_of
 
 #: Buckets of the word counts by hash; they travel with every task.
-RARITY_BUCKETS = 1 << 16
+RARITY_BITS = 20
 #: Bits of a word's key that are its hash; above them stands its rarity, in steps of 1/64 of an octave.
 HASH_BITS = 52
+#: Words of the prefixes that a pair must share; at most the overlap of the smallest similar sets, which is 4.
+SHARED = 3
 #: Similarity as a fraction of whole numbers, so that no rounding decides.
 NUMER, DENOM = 8, 10
 
@@ -31,37 +33,39 @@ def _identity(docs: DataFrame, *more: str) -> DataFrame:
 def word_rarity(docs: DataFrame) -> DataFrame:
     """One row with one array: the rarity (0 to 2047, rarest first) of the words of each hash bucket."""
     words = docs.select(F.explode(_words(text_of())).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    every = docs.sparkSession.range(RARITY_BUCKETS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
+    bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - RARITY_BITS)
+    counts = words.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    every = docs.sparkSession.range(1 << RARITY_BITS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
     full = counts.unionByName(every).groupBy("b").agg(F.sum("n").alias("n"))
-    rarity = F.least(F.lit(2047), F.floor(F.log2(F.col("n") + 1) * 64)).cast("int")
-    return full.agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("b", rarity.alias("r")))), lambda x: x["r"]).alias("rarity"))
+    rarity = F.least(F.lit(2047), F.floor(F.log2(F.col("n") + 1) * 64)).cast("long")
+    packed = F.sort_array(F.collect_list(F.shiftleft("b", 11).bitwiseOR(rarity)))
+    return full.agg(F.transform(packed, lambda x: x.bitwiseAND(F.lit(2047))).alias("rarity"))
 
 
 def line_sets(docs: DataFrame, rarity: DataFrame) -> DataFrame:
-    """``doc_id, __th, line, keys`` for every line with a word: the keys of its distinct words, rare words first."""
-    lines = _identity(docs).select("doc_id", "__th", F.posexplode(F.split("__text", "\n")).alias("line", "content"))
-    lines = lines.withColumn("hashes", F.transform(_words(F.col("content")), lambda w: F.xxhash64(w)))
-    lines = lines.filter(F.size("hashes") > 0).withColumn("rarity", rarity.scalar())
-    key = lambda h: F.shiftleft(
-        F.get(F.col("rarity"), F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")).cast("long"), HASH_BITS
-    ).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
-    return lines.select("doc_id", "__th", "line", F.sort_array(F.array_distinct(F.transform("hashes", key))).alias("keys"))
-
-
-def line_classes(sets: DataFrame) -> DataFrame:
-    """Lines of one word set: ``a, b`` (hashes of the set), ``at`` (the first such line), ``n`` and ``prefix``.
+    """``doc_id, __th, line, a, b, n, prefix`` for every line with a word.
 
-    Lines of up to three words have no prefix: no other set is similar enough to theirs.
+    ``a`` and ``b`` are hashes of its word set, ``n`` the number of words in it, ``prefix`` the keys of the rarest.  Lines of
+    up to three words have no prefix: no other set is similar enough to theirs.
     """
+    lines = _identity(docs).select("doc_id", "__th", F.posexplode(F.split(F.lower("__text"), "\n")).alias("line", "content"))
+    lines = lines.filter(F.btrim("content", F.lit(" \t\v\f\r")) != "").withColumn("__rarity", rarity.scalar())
+    key = lambda h: F.shiftleft(
+        F.get(F.col("__rarity"), F.shiftrightunsigned(h, 64 - RARITY_BITS).cast("int")), HASH_BITS
+    ).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    hashes = F.transform(words_of(F.col("content")), lambda w: F.xxhash64(w))
+    keyed = lines.select("doc_id", "__th", "line", F.sort_array(F.transform(F.array_distinct(hashes), key)).alias("keys"))
     n = F.size("keys")
-    length = n - F.ceil(n * NUMER / DENOM).cast("int") + 1
+    length = n - F.ceil(n * NUMER / DENOM).cast("int") + SHARED
     prefix = F.when(n > 3, F.slice("keys", 1, length)).otherwise(F.expr("cast(array() as array<bigint>)"))
-    each = sets.select(
-        F.xxhash64("keys").alias("a"), F.hash("keys").alias("b"), F.struct("doc_id", "__th", "line").alias("at"),
-        n.alias("n"), prefix.alias("prefix"))
-    return each.groupBy("a", "b").agg(F.min(F.struct("at", "n", "prefix")).alias("x")).select("a", "b", "x.at", "x.n", "x.prefix")
+    sets = keyed.select("doc_id", "__th", "line", F.xxhash64("keys").alias("a"), F.hash("keys").alias("b"), n.alias("n"), prefix.alias("prefix"))
+    return sets
+
+
+def line_classes(sets: DataFrame) -> DataFrame:
+    """Lines of one word set: ``a, b, n, prefix`` and ``at``, the first such line."""
+    each = sets.select("a", "b", F.struct(F.struct("doc_id", "__th", "line").alias("at"), "n", "prefix").alias("x"))
+    return each.groupBy("a", "b").agg(F.min("x").alias("x")).select("a", "b", "x.at", "x.n", "x.prefix")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -72,12 +76,12 @@ def candidates(classes: DataFrame) -> DataFrame:
     # of both, the larger set (equal sizes: the smaller hash) stands left, so a pair comes once per common key
     order = (l("n") > r("n")) | ((l("n") == r("n")) & (F.struct(l("a"), l("b")) < F.struct(r("a"), r("b"))))
     length = l("n") * NUMER <= r("n") * DENOM
-    # overlap >= t / (1 + t) * (sum of sizes); after this key at most the shorter rest can still be common
-    room = (F.least(l("n") - l("p"), r("n") - r("p")) * (NUMER + DENOM)) >= (l("n") + r("n")) * NUMER
+    # overlap >= t / (1 + t) * (sum of sizes): what the first SHARED - 1 common words leave must fit after this one
+    room = (F.least(l("n") - l("p"), r("n") - r("p")) + (SHARED - 1)) * (NUMER + DENOM) >= (l("n") + r("n")) * NUMER
     pairs = left.join(right, (l("key") == r("key")) & order & length & room).select(
         l("a").alias("la"), l("b").alias("lb"), r("a").alias("ra"), r("b").alias("rb"))
     place = classes.select("a", "b", "at")
-    pairs = pairs.distinct()
+    pairs = pairs.groupBy("la", "lb", "ra", "rb").count().filter(F.col("count") >= SHARED).drop("count")
     first = place.select(F.col("a").alias("la"), F.col("b").alias("lb"), F.col("at").alias("x"))
     second = place.select(F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("at").alias("y"))
     return pairs.join(first, ["la", "lb"]).join(second, ["ra", "rb"]).select(
@@ -108,12 +112,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     or more, whether or not that one goes too.
     """
     rarity = settle(word_rarity(docs), "line-rarity")
-    sets = line_sets(docs, rarity)
+    sets = settle(line_sets(docs, rarity), "line-sets")
     classes = settle(line_classes(sets), "line-classes")
     pairs = settle(candidates(classes), "line-pairs")
     later = similar_lines(docs, pairs)
     same = (
-        sets.select(F.xxhash64("keys").alias("a"), F.hash("keys").alias("b"), F.struct("doc_id", "__th", "line").alias("me"))
+        sets.select("a", "b", F.struct("doc_id", "__th", "line").alias("me"))
         .join(classes.select("a", "b", "at"), ["a", "b"]).filter(~F.col("me").eqNullSafe(F.col("at"))).select(F.col("me").alias("other"))
     )
     return same.unionByName(later).select("other.*").groupBy("doc_id", "__th").agg(
