@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, html, lines, minhash, mixing, quality, urls
+from . import chat, decontam, html, lines, minhash, mixing, quality, substrings, urls
 from .common import documents, frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(frame(spark, sf_dir, "pages"))
 
 
+@query
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedup_substrings(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(documents(spark, sf_dir)).withColumn("removed", F.array_join(F.transform("removed", lambda x: x.cast("string")), ","))
