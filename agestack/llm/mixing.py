@@ -28,8 +28,9 @@ def _source_key() -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size`` and the helper columns ``__key`` (of the source) and ``__h`` (place in the order)."""
-    return docs.select("doc_id", "source", word_count(text_of()).alias("size")).withColumn("__key", _source_key())
+    """``doc_id, source, size, text_hash`` and the helper column ``__key`` for the source."""
+    return docs.select("doc_id", "source", word_count(text_of()).alias("size"), F.xxhash64(text_of()).alias("text_hash")).withColumn(
+        "__key", _source_key())
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: int = 2) -> DataFrame:
@@ -92,14 +93,14 @@ def placed(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     parts = rows.groupBy("__key", "__part").agg(F.sum("size").alias("__in"))
     before = W.partitionBy("__key").orderBy("__part").rowsBetween(W.unboundedPreceding, 0)
     parts = parts.select("__key", "__part", (F.sum("__in").over(before) - F.col("__in")).alias("__before"))
-    within = W.partitionBy("__key", "__part").orderBy("__h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("__key", "__part").orderBy("__h", "doc_id", "size", "text_hash").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("__upto", F.sum("size").over(within))
     return rows.join(parts, ["__key", "__part"]).withColumn("start", F.col("__before") + F.col("__upto") - F.col("size"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: int = 2,
         shards: int = 64, block_words: int = 2048, seed: int = 7) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, taken`` and ``pieces``.
+    """One row per document: ``doc_id, source, size, text_hash, source_size, target, taken`` and ``pieces``.
 
     ``pieces`` lists what the mix takes: ``shard``, ``place`` (order within the shard), ``block``, and the words ``first``
     up to ``last`` (exclusive) of the document.  A source's pieces add up to its target, rounded to words; the last
@@ -138,24 +139,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
             ))))"""
     return (
         rows.withColumn("__words", F.round("target").cast("long")).withColumn("pieces", F.expr(pieces))
-        .select("doc_id", "source", "size", "source_size", "target",
+        .select("doc_id", "source", "size", "text_hash", "source_size", "target",
                 F.expr("aggregate(pieces, 0L, (s, x) -> s + x.last - x.first)").alias("taken"), "pieces")
     )
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents the mix takes, all columns, with ``size, source_size, target, taken, pieces`` of ``mix``.
+
+    Columns of these names in ``docs`` give way.  Of rows that agree in doc_id, source and text the columns of any one
+    are used for all.
+    """
+    names = ("size", "source_size", "target", "taken", "pieces")
+    plan = mix(docs, **options).filter("taken > 0").select(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__th"), *names)
+    rows = docs.drop(*names).withColumn("__mine", F.xxhash64(text_of())).dropDuplicates(["doc_id", "source", "__mine"])
+    same = (F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
+            & (F.col("__mine") == F.col("__th")))
+    return rows.join(plan, same).drop("__id", "__source", "__th", "__mine")
+
+
 def shard_rows(docs: DataFrame, shards: int = 64, **options) -> DataFrame:
     """The mixed corpus: ``shard, place, doc_id, source, text``, one row per piece, in order within each shard.
 
     A piece's text is its words joined by one space.
     """
-    plan = mix(docs, shards=shards, **options).select("doc_id", "source", "size", F.explode("pieces").alias("x"))
-    texts = docs.select("doc_id", "source", text_of().alias("__text")).withColumn("size", word_count(F.col("__text")))
-    same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a.source").eqNullSafe(F.col("b.source")),
-            F.col("a.size") == F.col("b.size")]
-    words = words_of(F.col("__text"))
-    piece = F.slice(words, (F.col("x.first") + 1).cast("int"), (F.col("x.last") - F.col("x.first")).cast("int"))
+    rows = mixed_documents(docs, shards=shards, **options).select("doc_id", "source", "text", F.explode("pieces").alias("x"))
+    piece = F.slice(words_of(text_of()), (F.col("x.first") + 1).cast("int"), (F.col("x.last") - F.col("x.first")).cast("int"))
     return (
-        plan.alias("a").join(texts.dropDuplicates(["doc_id", "source", "size"]).alias("b"), same)
-        .select("x.shard", "x.place", "a.doc_id", "a.source", F.array_join(piece, " ").alias("text"))
+        rows.select("x.shard", "x.place", "doc_id", "source", F.array_join(piece, " ").alias("text"))
         .repartition("shard").sortWithinPartitions("shard", "place", "doc_id")
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, html, lines, minhash, mixing, quality, substrings, urls
+from . import chat, decontam, html, lines, lm, minhash, mixing, quality, substrings, urls
 from .common import documents, frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 @query
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(frame(spark, sf_dir, "pages"))
@@ -81,7 +86,7 @@ FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 @query
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).drop("pieces")
+    return mixing.mix(documents(spark, sf_dir)).drop("pieces", "text_hash")
 
 
 SQL["op8_mix"] = r"""
