@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalar import fill_missing, missing_to_null, strip_prefix, with_suffix
 from ..schema import EXPERT_PREFIX, NOT_FEATURES, PC_PREFIX, STAGE1_PRED, SUFFIXES, TISSUE_PREFIX
 from .contract import require_unique
 
+#: Packed numbers that one Arrow batch holds.
+BATCH_NUMBERS = 4 << 20
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -142,24 +147,72 @@ def pack_columns(df: DataFrame, wanted: list[str], out: str = "values") -> DataF
 def pack_cells(cells: DataFrame, n_features: int) -> DataFrame:
     """Long cells (with column index ``idx``) -> one array per sample; absent cells stay NULL.
 
-    The group of a sample is bounded by the number of features.
+    The group of a sample is bounded by the number of features.  Cells are scattered into their places, which takes time
+    in proportion to cells and features; two cells for one place are refused, as are places outside of the model.
     """
-    pairs = F.map_from_entries(F.collect_list(F.struct("idx", "value")))
-    spots = F.sequence(F.lit(0), F.lit(n_features - 1))
-    return (
-        cells.groupBy("sample_id").agg(pairs.alias("__m"))
-        .select("sample_id", F.transform(spots, lambda i: F.try_element_at("__m", i).cast("float")).alias("values"))
-    )
+    schema = T.StructType([cells.schema["sample_id"], T.StructField("values", T.ArrayType(T.FloatType()))])
+    step = max(1, BATCH_NUMBERS // max(1, n_features))
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                lists = batch.column("cells")
+                flat = lists.flatten()
+                idx = flat.field("idx").to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(idx) and (idx.min() < 0 or idx.max() >= n_features):
+                    raise ValueError(f"cells outside of the {n_features} features")
+                place = np.repeat(np.arange(batch.num_rows) * n_features, lists.value_lengths().to_numpy(zero_copy_only=False)) + idx
+                seen = np.zeros(batch.num_rows * n_features, dtype=bool)
+                seen[place] = True
+                if seen.sum() != len(place):
+                    raise ValueError("a sample has two cells for one feature")
+                value = flat.field("value")
+                out = np.zeros(len(seen), dtype=np.float32)
+                out[place] = np.asarray(value.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.float32)
+                seen[place[value.is_null().to_numpy(zero_copy_only=False)]] = False
+                ends = np.arange(0, len(seen) + 1, max(n_features, 1), dtype=np.int32)[:batch.num_rows + 1]
+                packed = pa.ListArray.from_arrays(pa.array(ends), pa.array(out, mask=~seen))
+                yield pa.RecordBatch.from_arrays([batch.column("sample_id"), packed], ["sample_id", "values"])
+
+    grouped = cells.groupBy("sample_id").agg(F.collect_list(F.struct("idx", F.col("value").cast("float").alias("value"))).alias("cells"))
+    return grouped.mapInArrow(scatter, schema)
+
+
+def feature_index(spark, features: list[str]) -> DataFrame:
+    """``idx, feature`` as a table: joins find a name by its number however many features there are."""
+    names = pa.table({"idx": pa.array(range(len(features)), type=pa.int32()), "feature": pa.array(features, type=pa.string())})
+    return spark.createDataFrame(names)
+
+
+def pick_features(packed: DataFrame, positions: list[int] | tuple[int, ...], col: str = "values") -> DataFrame:
+    """Packed rows cut to the features at ``positions``, in their order."""
+    at = np.asarray(positions, dtype=np.int64)
+    kind = packed.schema[col].dataType
+    inner = {"float": pa.float32(), "double": pa.float64()}[kind.elementType.typeName()]
+    where = packed.columns.index(col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(where)
+            sizes = np.diff(lists.offsets.to_numpy())
+            if lists.null_count or (sizes <= at.max(initial=-1)).any():
+                raise ValueError("rows with fewer values than the positions need")
+            start = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else np.zeros(0, dtype=np.int64)
+            values = lists.flatten().take(pa.array((start[:, None] + at).ravel()))
+            ends = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * len(at))
+            columns = [*batch.columns]
+            columns[where] = pa.ListArray.from_arrays(ends, values.cast(inner))
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return packed.mapInArrow(cut, packed.schema)
 
 
 def unpack(packed: DataFrame, features: list[str], keep: list[str] | None = None) -> DataFrame:
     """Packed rows -> long cells with feature names."""
-    names = F.lit(features)
     kept = keep if keep is not None else ["sample_id"]
-    return (
-        packed.select(*kept, F.posexplode("values").alias("idx", "value"))
-        .withColumn("feature", F.get(names, F.col("idx")))
-    )
+    cells = packed.select(*kept, F.posexplode("values").alias("idx", "value"))
+    return cells.join(feature_index(packed.sparkSession, features), "idx").select(*kept, "idx", "value", "feature")
 
 
 def spread_experts(long_predictions: DataFrame, hallmarks: list[str], value: str = "pred") -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.scalar import fill_missing, missing_to_null
 from ..session import settle
 from .align import feature_columns
 from .ranking import MEDIAN_GROUP_ROWS, exact_median
+from .stats import matrix
 
 
 def fill_values(cells: DataFrame, strategy: str = "median") -> DataFrame:
@@ -69,6 +74,15 @@ def column_fills(cells: DataFrame, p: int, strategy: str = "median", largest: in
 
 
 def impute_packed(packed: DataFrame, fills: list[float]) -> DataFrame:
-    vector = F.lit([float(v) for v in fills])
-    filled = F.transform("values", lambda x, i: fill_missing(x.cast("double"), F.get(vector, i)))
-    return packed.withColumn("values", filled)
+    vector, where = np.asarray(fills, dtype=np.float64), packed.columns.index("values")
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType())) if f.name == "values" else f for f in packed.schema])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(where), len(vector), vector)
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(vector))
+            columns = [*batch.columns]
+            columns[where] = pa.ListArray.from_arrays(ends, pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return packed.mapInArrow(fill, schema)

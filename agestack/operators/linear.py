@@ -11,8 +11,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-GRAM_FEATURES = 2000
-
 
 def _centred(total: np.ndarray, use: np.ndarray | None = None):
     """n, means and centred cross products from Z'Z, for the feature positions in ``use``."""
@@ -176,9 +174,10 @@ def fit_ridge_wide(df: DataFrame, y: str, alpha: float) -> DataFrame:
 
 def coefficient_table(models: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
     """One row per key and feature."""
-    names = F.lit(features)
+    from .align import feature_index
+
     long = models.select(*keys, F.posexplode("weights").alias("idx", "weight"))
-    return long.withColumn("feature", F.get(names, F.col("idx")))
+    return long.join(feature_index(models.sparkSession, features), "idx").select(*keys, "idx", "weight", "feature")
 
 
 def active(coefficients: DataFrame, cut: float = 1e-12) -> DataFrame:

@@ -84,9 +84,13 @@ def fingerprint(df: DataFrame, out: str = "digest") -> DataFrame:
 
 
 def table_digest(df: DataFrame) -> DataFrame:
-    """One digest per table that does not depend on row order: a sum over record fingerprints."""
-    head = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
-    return fingerprint(df).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(head).alias("digest_sum"))
+    """One digest per table that does not depend on row order: the sums of each 32-bit word of the record fingerprints.
+
+    The eight sums are decimals of 38 digits, which no number of rows overflows.
+    """
+    words = [F.conv(F.substring("digest", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+    sums = [F.sum(w).cast("string") for w in words]
+    return fingerprint(df).agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws(",", *[F.coalesce(s, F.lit("0")) for s in sums]).alias("digest_sums"))
 
 
 def file_fingerprints(spark, path: str, pattern: str = "*") -> DataFrame:
@@ -98,5 +102,5 @@ def file_fingerprints(spark, path: str, pattern: str = "*") -> DataFrame:
         .load(path)
     )
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("digest")
+        "path", F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("digest")
     )

@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions.scalar import AGE_TARGET, PLAIN_TARGET, Target, hash_fraction
 from ..session import settle
+from .align import pick_features
 from .folds import fold_samples, fold_targets, valid_copies
-from .impute import impute_packed
 from .linear import (
-    GRAM_FEATURES, elastic_net_weights, fit_elastic_net_wide, ridge_weights, solve_per_key,
+    elastic_net_weights, ridge_weights, solve_per_key,
 )
 from .score import MODEL_NUMBERS, model_arrays
-from .stats import fewer_tasks, gram, matrix
+from .stats import brought_together, fewer_tasks, gram, matrix
 
 # The default search ranges of the three stages.
 ELASTIC_NET_SPACE = {
@@ -116,8 +116,9 @@ def stacked(models: list[dict], fold: str, p: int) -> dict:
 class SampledStats:
     """Sampled training rows of every training set, and the band each trial uses in each set.
 
-    A narrow matrix has one set of Gram statistics for all feature subsets.  For a matrix too wide for that,
-    subsets up to the limit get their own, and larger ones are fitted by gradient aggregation.
+    The ``solver`` is the caller's choice, not that of the width.  ``gram``: one set of Gram statistics of all features
+    serves every job.  ``working_set``: for matrices too wide for that; statistics of the features that matter, found by
+    gradients of all features.  Both solve the same problem to the same tolerance.
     """
 
     rows: DataFrame
@@ -126,7 +127,7 @@ class SampledStats:
     p: int
     y: str
     fills: list[float] | None
-    gram_features: int
+    solver: str = "gram"
     triangles: dict = field(default_factory=dict)
 
     def stats(self, use: tuple[int, ...] | None) -> DataFrame:
@@ -134,26 +135,17 @@ class SampledStats:
         if use not in self.triangles:
             rows, fills, p = self.rows, self.fills, self.p
             if use is not None:
-                rows, p = rows.withColumn("values", pick(use)), len(use)
+                rows, p = pick_features(rows, use), len(use)
                 fills = None if fills is None else [fills[i] for i in use]
             parts = gram(rows, ["held_out", "band"], p, self.y, fills)
             upto = W.partitionBy("held_out", "i", "j").orderBy("band").rowsBetween(W.unboundedPreceding, 0)
             self.triangles[use] = settle(parts.withColumn("v", F.sum("v").over(upto)), "gram")
         return self.triangles[use]
 
-    @property
-    def narrow(self) -> bool:
-        return self.p <= self.gram_features
-
-
-def pick(use: tuple[int, ...]) -> Column:
-    """The features at the given positions of the packed row."""
-    return F.transform(F.lit(list(use)), lambda i: F.get("values", i))
-
 
 def sampled_fold_stats(data: DataFrame, p: int, y: str, caps: DataFrame, n_splits: int = 5, min_cohorts: int = 2,
                        seed: int = 42, fills: list[float] | None = None,
-                       gram_features: int = GRAM_FEATURES) -> SampledStats:
+                       solver: str = "gram") -> SampledStats:
     """The balanced sample of every training set and every sampler setting, in one pass.
 
     Balanced samples are nested, so each sampled row enters one band, the smallest size that includes it;
@@ -181,9 +173,11 @@ def sampled_fold_stats(data: DataFrame, p: int, y: str, caps: DataFrame, n_split
         if usable:
             uses.append({**w, "band": max(usable)})
     matrix_rows = data.select("sample_id", "values", y)
-    if p > gram_features:  # read again per fit, so keep only the sampled rows
+    if solver not in ("gram", "working_set"):
+        raise ValueError(f"no solver {solver!r}")
+    if solver == "working_set":  # read again in every round, so keep only the sampled rows
         matrix_rows = settle(matrix_rows.join(banded.select("sample_id").distinct(), "sample_id", "left_semi"), "rows")
-    return SampledStats(matrix_rows.join(banded, "sample_id"), uses, n_splits, p, y, fills, gram_features)
+    return SampledStats(matrix_rows.join(banded, "sample_id"), uses, n_splits, p, y, fills, solver)
 
 
 def _solver(max_iter: int):
@@ -204,28 +198,99 @@ def fit_jobs(sampled: SampledStats, jobs: list[dict], max_iter: int = 2000) -> l
         rows = solve_per_key(stats, keys, p, some, _solver(max_iter)).collect()
         return [{**r.asDict(), "use": by_number[r["trial"]]} for r in rows]
 
-    if sampled.narrow:
+    if sampled.solver == "gram":
         return solved(sampled.stats(None), sampled.p, jobs)
-    out: list[dict] = []
-    for use in dict.fromkeys(c["use"] for c in jobs):
-        same = [c for c in jobs if c["use"] == use]
-        if use is not None and len(use) <= sampled.gram_features:
-            out += solved(sampled.stats(use), len(use), [{**c, "use": None} for c in same])
-        else:
-            out += [fit_wide(sampled, c, max_iter) for c in same]
-    return out
+    return fit_working_sets(sampled, jobs, max_iter)
+
 
+def violators(sampled: SampledStats, models: list[dict], grow: int) -> DataFrame:
+    """``job, idx, gradient`` of features without weight whose gradient exceeds the model's L1 bound, the ``grow`` steepest
+    of each piece of features.
 
-def fit_wide(sampled: SampledStats, c: dict, max_iter: int) -> dict:
-    """One job on its sampled rows by gradient aggregation."""
-    rows = sampled.rows.filter((F.col("held_out") == c["held_out"]) & (F.col("band") <= c["band"]))
-    if sampled.fills is not None:
-        rows = impute_packed(rows, sampled.fills)
-    if c["use"] is not None:
-        rows = rows.withColumn("values", pick(c["use"]))
-    model = fit_elastic_net_wide(rows.select("values", sampled.y), sampled.y, c["alpha"], c["l1"], max_iter).first()
-    return {"held_out": c["held_out"], "band": c["band"], "trial": c["trial"], "n": model["n"], "use": c["use"],
-            "intercept": model["intercept"], "weights": model["weights"]}
+    All models share one pass: a batch gives the gradients of all features and models by one matrix product.
+    """
+    p, fills = sampled.p, None if sampled.fills is None else np.asarray(sampled.fills, dtype=np.float64)
+    by_set: dict[int, list[dict]] = {}
+    for m in models:
+        by_set.setdefault(m["held_out"], []).append(m)
+    bounds = {m["job"]: (m["l1_bound"], m["n"], np.asarray(m["at"]), None if m["use"] is None else np.asarray(m["use"])) for m in models}
+    step = 4096
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = matrix(batch.column("values"), p, fills)
+            y = batch.column("__y").to_numpy(zero_copy_only=False)
+            held, band = batch.column("held_out").to_numpy(), batch.column("band").to_numpy()
+            for h in np.unique(held):
+                rows = np.flatnonzero(held == h)
+                own = by_set.get(int(h), [])
+                rest = np.zeros((len(rows), len(own)))
+                for k, m in enumerate(own):
+                    rest[:, k] = np.where(band[rows] <= m["band"], y[rows] - x[np.ix_(rows, m["at"])] @ m["weights"] - m["intercept"], 0.0)
+                here = x[rows].T @ rest
+                totals[int(h)] = totals[int(h)] + here if int(h) in totals else here
+        for h, total in totals.items():
+            for k, m in enumerate(by_set.get(h, [])):
+                pieces = [np.ascontiguousarray(total[a:a + step, k]).tobytes() for a in range(0, p, step)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([m["job"]] * len(pieces), type=pa.int32()), pa.array(range(len(pieces)), type=pa.int32()), pa.array(pieces)],
+                    ["job", "piece", "sums"])
+
+    def steep(table: pa.Table) -> pa.Table:
+        job, piece = table.column("job")[0].as_py(), table.column("piece")[0].as_py()
+        bound, n, at, use = bounds[job]
+        gradient = sum(np.frombuffer(x.as_py()) for x in table.column("sums")) / n
+        idx = np.arange(len(gradient)) + piece * step
+        free = ~np.isin(idx, at) & (True if use is None else np.isin(idx, use)) & (np.abs(gradient) > bound * (1 + 1e-9) + 1e-12)
+        idx, gradient = idx[free], gradient[free]
+        top = np.argsort(-np.abs(gradient), kind="stable")[:grow]
+        return pa.table({"job": pa.array([job] * len(top), type=pa.int32()), "idx": pa.array(idx[top].astype(np.int32)),
+                         "gradient": pa.array(gradient[top])})
+
+    rows = sampled.rows.select("held_out", "band", "values", F.col(sampled.y).cast("double").alias("__y")).filter("__y is not null")
+    parts = brought_together(rows, ["held_out"], 16_384).mapInArrow(partial, "job int, piece int, sums binary")
+    return parts.groupBy("job", "piece").applyInArrow(steep, "job int, idx int, gradient double")
+
+
+def fit_working_sets(sampled: SampledStats, jobs: list[dict], max_iter: int, grow: int = 200, rounds: int = 200) -> list[dict]:
+    """All jobs together: each is solved exactly on its working set of features, from Gram statistics of the union of all
+    sets, and its set grows by the features whose gradient breaks the optimality condition, until none does."""
+    sums = sampled.rows.filter(F.col(sampled.y).isNotNull()).groupBy("held_out", "band").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(sampled.y).cast("double")).alias("s")).collect()
+    live = []
+    for job, c in enumerate(jobs):
+        mine = [r for r in sums if r["held_out"] == c["held_out"] and r["band"] <= c["band"]]
+        n = sum(r["n"] for r in mine)
+        if n:
+            live.append({**c, "job": job, "n": n, "at": [], "weights": np.zeros(0), "intercept": sum(r["s"] for r in mine) / n,
+                         "l1_bound": c["alpha"] * c["l1"]})
+    done = []
+    for _ in range(rounds):
+        found: dict[int, list] = {}
+        width = max(1, MODEL_NUMBERS // max(1, sampled.p))
+        for start in range(0, len(live), width):
+            for r in violators(sampled, live[start:start + width], grow).collect():
+                found.setdefault(r["job"], []).append((-abs(r["gradient"]), r["idx"]))
+        done += [m for m in live if m["job"] not in found]
+        live = [m for m in live if m["job"] in found]
+        if not live:
+            break
+        for m in live:
+            m["at"] = sorted([*m["at"], *(i for _, i in sorted(found[m["job"]])[:grow])])
+        union = tuple(sorted({i for m in live for i in m["at"]}))
+        place = {f: i for i, f in enumerate(union)}
+        stats = sampled.stats(union)
+        tasks = [{"trial": m["job"], "held_out": m["held_out"], "band": m["band"], "alpha": m["alpha"], "l1": m["l1"],
+                  "use": [place[f] for f in m["at"]]} for m in live]
+        fitted = {r["trial"]: r for r in solve_per_key(stats, ["held_out", "band"], len(union), tasks, _solver(max_iter)).collect()}
+        sampled.triangles.pop(union)
+        for m in live:
+            m["weights"], m["intercept"] = np.asarray(fitted[m["job"]]["weights"]), fitted[m["job"]]["intercept"]
+    else:
+        raise RuntimeError(f"{len(live)} models did not settle in {rounds} rounds")
+    return [{"held_out": m["held_out"], "band": m["band"], "trial": m["trial"], "n": m["n"], "use": m["at"],
+             "intercept": m["intercept"], "weights": m["weights"]} for m in done]
 
 
 def jobs_for(sampled: SampledStats, chosen: dict[str, dict], subsets: dict[str, list[int] | None],

@@ -1,7 +1,8 @@
 """Additive statistics of packed rows: per-feature moments and Gram matrices.
 
-Both stream Arrow batches through numpy inside the tasks and emit one small partial result per task; Spark
-adds the partials up.  What is shuffled depends on the number of tasks and features, never on the rows.
+Both stream Arrow batches through numpy inside the tasks and emit small partial results, which Spark adds up.  Moments
+shuffle numbers in proportion to tasks and features.  A Gram matrix has as many numbers as features squared, so its rows
+are first brought together: what is shuffled is in proportion to rows times features.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from ..session import settle
+
 PARTIAL_BYTES = 256 << 20
 PARTIAL_TASKS = 20_000
 
@@ -25,7 +28,15 @@ def fewer_tasks(df: DataFrame) -> DataFrame:
 
 
 def matrix(column: pa.Array, p: int, fills: np.ndarray | None = None) -> np.ndarray:
-    """An Arrow list column as a float64 matrix; missing cells take their feature's fill value."""
+    """An Arrow list column as a float64 matrix; missing cells take their feature's fill value.
+
+    Rows of another width than ``p`` are refused: flattened, they would shift all cells behind them.
+    """
+    if column.null_count:
+        raise ValueError(f"{column.null_count} rows have no values")
+    widths = np.diff(column.offsets.to_numpy())
+    if (widths != p).any():
+        raise ValueError(f"rows of {sorted(set(widths[widths != p].tolist()))[:5]} values where the model has {p} features")
     x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), p)
     if fills is not None:
         gaps = np.isnan(x)
@@ -96,11 +107,29 @@ def moments(df: DataFrame, keys: list[str], p: int, y: str, fills: list[float] |
     )
 
 
+def brought_together(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """``rows`` dealt so that those of a key lie in at most one task per ``size`` of them (and at least one).
+
+    A key of any size is split by a hash of its values; equal rows alone stay together.
+    """
+    counts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias("__parts"))
+    counts = settle(counts.withColumnsRenamed({k: f"__{k}" for k in keys}), "key-counts")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    marked = rows.join(counts, same) if keys else rows.withColumn("__parts", counts.scalar())
+    part = F.pmod(F.xxhash64("values"), F.col("__parts")).alias("__part")
+    return marked.select(*rows.columns, part).repartition(*keys, "__part").drop("__part")
+
+
 def gram(df: DataFrame, keys: list[str], p: int, y: str, fills: list[float] | None = None) -> DataFrame:
     """Per key the upper triangle of Z'Z with Z = [1, x_1..x_p, y], as rows ``(keys, i, j, v)``.
 
     Groups may be as large as they like: every task adds up its own rows of every key first.
     """
+    return gram_parts(df, keys, p, y, fills).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
+
+
+def gram_parts(df: DataFrame, keys: list[str], p: int, y: str, fills: list[float] | None = None) -> DataFrame:
+    """The triangles of each task: at most one per key and p rows of it, besides one per key."""
     m = p + 2
     upper = np.triu_indices(m)
     vector = None if fills is None else np.asarray(fills, dtype=np.float64)
@@ -137,10 +166,7 @@ def gram(df: DataFrame, keys: list[str], p: int, y: str, fills: list[float] | No
         yield from emit()
 
     rows = df.select(*keys, "values", F.col(y).cast("double").alias("__y")).filter("__y is not null")
-    return (
-        fewer_tasks(rows).mapInArrow(partial, schema)
-        .groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
-    )
+    return brought_together(rows, keys, m).mapInArrow(partial, schema)
 
 
 def simple_stats(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

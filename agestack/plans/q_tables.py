@@ -210,26 +210,53 @@ def nrm7(spark, sf):
     return df.select("l_orderkey", "l_linenumber", *normalise.expert_columns(df.columns))
 
 
-@query("nrm8_record_fingerprint", """
-SELECT c_custkey, sha256(json_object('c_custkey', c_custkey, 'c_mktsegment', c_mktsegment, 'c_name', c_name,
-                                     'c_nationkey', c_nationkey)) AS digest
-FROM customer""")
+def _record_sql(columns: list[str]) -> str:
+    fields = ", ".join(f"'{c}', {c}" for c in sorted(columns))
+    return f"sha256(json_object({fields}))"
+
+
+CUSTOMER_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+ORDERS_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+def _printed(df: DataFrame) -> DataFrame:
+    """Doubles in whole cents, dates and times as text, so that both engines write the same JSON."""
+    kinds = dict(df.dtypes)
+    return df.select(*[
+        F.round(F.col(c) * 100).cast("long").alias(c) if kinds[c] == "double"
+        else F.col(c).cast("string").alias(c) if kinds[c].startswith(("date", "timestamp")) else F.col(c) for c in df.columns])
+
+
+_CUSTOMER_ROWS = "SELECT * REPLACE (CAST(round(c_acctbal * 100) AS BIGINT) AS c_acctbal) FROM customer"
+_ORDERS_ROWS = """SELECT * REPLACE (CAST(round(o_totalprice * 100) AS BIGINT) AS o_totalprice,
+    CAST(o_orderdate AS VARCHAR) AS o_orderdate) FROM orders"""
+_WORD_SUMS = " || ',' || ".join(
+    f"CAST(sum(CAST('0x' || substr(digest, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
+
+
+@query("nrm8_record_fingerprint", f"SELECT c_custkey, {_record_sql(CUSTOMER_COLUMNS)} AS digest FROM ({_CUSTOMER_ROWS})")
 def nrm8(spark, sf):
-    df = t.table(spark, sf, "customer").select("c_name", "c_custkey", "c_nationkey", "c_mktsegment")
-    return normalise.fingerprint(df).select("c_custkey", "digest")
+    return normalise.fingerprint(_printed(t.table(spark, sf, "customer"))).select("c_custkey", "digest")
 
 
-@query("nrm8_table_digest", """
-SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(sha256(json_object('o_custkey', o_custkey, 'o_orderkey', o_orderkey,
-  'o_orderpriority', o_orderpriority)), 1, 8) AS BIGINT)) AS BIGINT) AS digest_sum
-FROM orders""")
+@query("nrm8_table_digest", f"""
+SELECT count(*) AS n_rows, {_WORD_SUMS} AS digest_sums
+FROM (SELECT {_record_sql(ORDERS_COLUMNS)} AS digest FROM ({_ORDERS_ROWS}))""")
 def nrm8_table(spark, sf):
-    return normalise.table_digest(t.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
+    return normalise.table_digest(_printed(t.table(spark, sf, "orders")))
 
 
-@query("nrm9_file_fingerprint")
+@query("nrm9_file_fingerprint", """
+SELECT n_nationkey, 1 AS n_files, length(n_name) + 1 AS length, sha256(n_name || chr(10)) AS digest FROM nation""")
 def nrm9(spark, sf):
-    return normalise.file_fingerprints(spark, sf, "*.parquet")
+    """One text file per nation, fingerprinted as files."""
+    path = scratch_path(spark, "nations")
+    names = t.table(spark, sf, "nation").select("n_name", "n_nationkey")
+    names.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    found = normalise.file_fingerprints(spark, path, "*.txt")
+    key = F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int")
+    return found.withColumn("n_nationkey", key).groupBy("n_nationkey").agg(
+        F.count(F.lit(1)).cast("int").alias("n_files"), F.max("length").alias("length"), F.max("digest").alias("digest"))
 
 
 @query("jn2_align_to_anchor", """

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalar import AGE_TARGET, PLAIN_TARGET, Target
 from ..operators.align import (
     FIRST_SCORING, FIRST_TRAINING, expand_over_modalities, join_context, join_stages, one_hot,
-    order_output, pack_columns, pc_names,
+    order_output, pack_columns, pc_names, pick_features,
 )
 from ..operators.contract import require_unique, require_width
 from ..operators.folds import balanced_folds, healthy_filter, with_folds
 from ..operators.impute import packed_fills
-from ..operators.linear import GRAM_FEATURES, fit_tissue_family
+from ..operators.linear import fit_tissue_family
 from ..operators.normalise import expert_columns, resolve_metadata, resolve_stage1_prediction
 from ..operators.score import (
     GLOBAL, few_numbers, fused_age, model_arrays, residual, score_many, score_packed, score_with_fallback,
@@ -34,14 +34,21 @@ from ..sources.store import ModelStore
 DEFAULT_TRIAL = {"trial": 0, "alpha": 0.01, "l1": 0.5, "min_cap": 30, "max_cap": 500, "mult": 1.0}
 
 
+def require_inputs(samples: DataFrame | None, packed: DataFrame, p: int) -> None:
+    """Refuse repeated ids, which joins would multiply, and packed rows of another width than the model's."""
+    if samples is not None:
+        require_unique(samples)
+    require_unique(packed)
+    require_width(packed, p)
+
+
 def training_table(store: ModelStore, samples: DataFrame, packed: DataFrame, features: list[str], n_splits: int,
                    seed: int, healthy_only: bool = True) -> DataFrame:
     """Samples with a known age, their folds, target and packed features, written once to the store.
 
     Samples without features or without an age cannot be trained on and are left out.
     """
-    require_unique(packed)
-    require_width(packed, len(features))
+    require_inputs(samples, packed, len(features))
     meta = healthy_filter(samples, healthy_only).fillna("Unknown", ["project_id", "Tissue"])
     meta = meta.withColumn("y", AGE_TARGET.forward(F.col("Age"))).filter("y is not null")
     meta = settle(meta.join(packed.select("sample_id"), "sample_id", "left_semi"), "meta")
@@ -52,7 +59,7 @@ def training_table(store: ModelStore, samples: DataFrame, packed: DataFrame, fea
 
 def _fit_all(data: DataFrame, p: int, candidates: list[dict], fills: list[float], subsets: dict, target: Target,
              n_splits: int, min_cohorts: int, seed: int, max_iter: int, halving: bool,
-             gram_features: int) -> tuple[DataFrame, list[dict], list[dict]]:
+             solver: str) -> tuple[DataFrame, list[dict], list[dict]]:
     """Search, held-out models and final models of all model keys from one balanced sample.
 
     Returns the trial report, the final models and the models per held-out fold.
@@ -60,7 +67,7 @@ def _fit_all(data: DataFrame, p: int, candidates: list[dict], fills: list[float]
     spark = data.sparkSession
     caps = spark.createDataFrame([(c["trial"], c["min_cap"], c["max_cap"], float(c["mult"])) for c in candidates],
                                  "trial int, min_cap int, max_cap int, mult double")
-    sampled = sampled_fold_stats(data, p, "y", caps, n_splits, min_cohorts, seed, fills, gram_features)
+    sampled = sampled_fold_stats(data, p, "y", caps, n_splits, min_cohorts, seed, fills, solver)
     report = search_elastic_net(data, candidates, sampled, target, max_iter, halving, subsets)
     jobs = jobs_for(sampled, best_params(report), subsets, list(range(n_splits + 1)))
     keys = list(subsets)
@@ -71,14 +78,14 @@ def _fit_all(data: DataFrame, p: int, candidates: list[dict], fills: list[float]
 def train_stage1(store: ModelStore, samples: DataFrame, packed: DataFrame, features: list[str],
                  hallmark_sites: DataFrame, candidates: list[dict] | None = None, n_splits: int = 5, seed: int = 42,
                  min_cohorts: int = 2, max_iter: int = 2000, halving: bool = False, orthogonal: bool = True,
-                 healthy_only: bool = True, gram_features: int = GRAM_FEATURES) -> DataFrame:
+                 healthy_only: bool = True, solver: str = "gram") -> DataFrame:
     """Global elastic net on all features.  Saves models, fills, features, trials, the hallmark dictionary and
     the training table; returns the out-of-fold table."""
     p = len(features)
     data = training_table(store, samples, packed, features, n_splits, seed, healthy_only)
     fills = packed_fills(data, p)
     report, models, fold_models = _fit_all(data, p, candidates or [DEFAULT_TRIAL], fills, {GLOBAL: None}, AGE_TARGET, n_splits,
-                                       min_cohorts, seed, max_iter, halving, gram_features)
+                                       min_cohorts, seed, max_iter, halving, solver)
     meta = ["sample_id", "Age", "project_id", "Tissue", "Sex", "Is_Healthy"]
     oof = score_many(data, fold_models, [GLOBAL], ["pred_age"], p, meta, ["fold"], ["held_out"], fills, AGE_TARGET)
     oof = oof.withColumnRenamed("Age", "age").select(
@@ -116,7 +123,7 @@ def hallmark_subsets(store: ModelStore, features: list[str]) -> dict[str, list[i
 
 def train_stage2(store: ModelStore, candidates: list[dict] | None = None, n_splits: int = 5, seed: int = 42,
                  min_cohorts: int = 2, max_iter: int = 2000, halving: bool = False, target: str = "age",
-                 gram_features: int = GRAM_FEATURES) -> DataFrame:
+                 solver: str = "gram") -> DataFrame:
     """One expert per hallmark.  All experts share one pass for statistics and one for scoring.
 
     ``target='age'`` fits the transformed age; ``'residual'`` fits age minus the stage-1 prediction.
@@ -130,7 +137,7 @@ def train_stage2(store: ModelStore, candidates: list[dict] | None = None, n_spli
         data = settle(data.join(pred, "sample_id").withColumn("y", residual(F.col("Age"), F.col("pred_age"))).drop("pred_age"))
         inverse = PLAIN_TARGET
     report, models, fold_models = _fit_all(data, len(features), candidates or [DEFAULT_TRIAL], fills, subsets, inverse, n_splits,
-                                       min_cohorts, seed, max_iter, halving, gram_features)
+                                       min_cohorts, seed, max_iter, halving, solver)
     outs = [EXPERT_PREFIX + h for h in subsets]
     preds = score_many(data, fold_models, list(subsets), outs, len(features), ["sample_id"], ["fold"], ["held_out"], fills,
                        inverse)
@@ -142,7 +149,7 @@ def train_stage2(store: ModelStore, candidates: list[dict] | None = None, n_spli
 
 
 def apply_family(df: DataFrame, models: DataFrame, out: str, p: int, fold: str | None = None) -> DataFrame:
-    """Score packed rows with the model of their tissue or the global one, per fold if ``fold`` is given.
+    """Score packed rows with the model of their tissue or the global one, per fold if ``fold`` is given; 0 without either.
 
     Few models are shipped to the tasks; a family too large for that is joined to the rows.
     """
@@ -150,8 +157,9 @@ def apply_family(df: DataFrame, models: DataFrame, out: str, p: int, fold: str |
     if few_numbers(models):
         model_keys = ["held_out", "model_key"] if fold else ["model_key"]
         arrays = model_arrays([r.asDict() for r in models.collect()], model_keys, p)
-        return score_packed(df, arrays, [out], p, df.columns, [fold, "Tissue"] if fold else ["Tissue"],
-                            lambda key: (*key[:-1], GLOBAL))
+        scored = score_packed(df, arrays, [out], p, df.columns, [fold, "Tissue"] if fold else ["Tissue"],
+                              lambda key: (*key[:-1], GLOBAL))
+        return scored.fillna(0.0, [out])
     if fold is None:
         return score_with_fallback(df, models, "Tissue", out).drop("model_key")
     keyed = models.withColumn("model_key", F.concat_ws("|", "held_out", "model_key"))
@@ -168,6 +176,8 @@ def train_stage3(store: ModelStore, stage1: DataFrame, stage2: DataFrame, contex
 
     The rows are read once for statistics; search, models and held-out models come from their sums.
     """
+    for table in (stage1, stage2, *([] if context is None else [context])):
+        require_unique(table)
     experts = expert_columns(stage2.columns)
     df = join_stages(resolve_stage1_prediction(stage1), stage2, experts)
     pcs: list[str] = []
@@ -213,7 +223,7 @@ def train_stage3(store: ModelStore, stage1: DataFrame, stage2: DataFrame, contex
     table = scored.withColumn("fused_age", fused_age(F.col(STAGE1_PRED), F.col("stage3_correction"))).withColumn(
         "oof_fused_age", fused_age(F.col(STAGE1_PRED), F.col("oof_correction")))
     chosen = [everything[i] for i in use]
-    cut = models.withColumn("weights", F.transform(F.lit(use), lambda i: F.get("weights", i)))
+    cut = pick_features(models, use, "weights")
     store.save_models("stage3", cut, chosen)
     store.save("stage3_settings", {**{k: best[k] for k in ("alpha", "use_pcs", "use_tissue_dummies")},
                                    "pcs": pcs if best["use_pcs"] else [], "features": chosen})
@@ -225,6 +235,7 @@ def predict_stage1(store: ModelStore, samples: DataFrame, packed: DataFrame, bat
     """Score aligned packed samples with the global model; gaps take the stored training medians, or with
     ``batch_medians`` those of the batch."""
     features, fills = _features(store)
+    require_inputs(samples, packed, len(features))
     if batch_medians:
         fills = packed_fills(packed, len(features))
     joined = resolve_metadata(samples).join(packed, "sample_id")
@@ -235,6 +246,7 @@ def predict_stage1(store: ModelStore, samples: DataFrame, packed: DataFrame, bat
 def predict_stage2(store: ModelStore, packed: DataFrame) -> DataFrame:
     """One column ``pred_resid_<hallmark>`` per expert."""
     features, fills = _features(store)
+    require_inputs(None, packed, len(features))
     settings = store.load_settings("stage2_settings")
     hallmarks = settings["hallmarks"]
     target = AGE_TARGET if settings["target"] == "age" else PLAIN_TARGET
@@ -258,6 +270,9 @@ def predict_stage3(store: ModelStore, df: DataFrame) -> DataFrame:
 def predict_all(store: ModelStore, samples: DataFrame, packed: DataFrame, context: DataFrame | None) -> DataFrame:
     """All three stages as one lazy plan; stages 1 and 2 score each packed row in the same matrix product."""
     features, fills = _features(store)
+    require_inputs(samples, packed, len(features))
+    if context is not None:
+        require_unique(context)
     settings = store.load_settings("stage2_settings")
     hallmarks = settings["hallmarks"]
     experts, p = [EXPERT_PREFIX + h for h in hallmarks], len(features)

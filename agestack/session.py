@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scratch_root: str | None = None
+_runs: dict[str, str] = {}
 
 
 def local_session(app: str = "agestack", cores: str | int = 8, **conf: str) -> SparkSession:
@@ -31,21 +33,40 @@ def local_session(app: str = "agestack", cores: str | int = 8, **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a temporary folder of this machine.
+    Only a session whose tasks run in the driver's own process may fall back to a temporary folder of this machine.
     """
-    global _scratch_root
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if _scratch_root is None:
-        _scratch_root = tempfile.mkdtemp(prefix="agestack-")
-    return _scratch_root
+    if "" not in _runs:
+        _runs[""] = tempfile.mkdtemp(prefix="agestack-")
+        atexit.register(shutil.rmtree, _runs[""], ignore_errors=True)
+    return _runs[""]
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it is deleted when the driver's JVM ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _runs:
+        folder = f"{shared_dir(spark)}/agestack/run-{uuid.uuid4().hex}"
+        jvm = spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _runs[app] = folder
+    return _runs[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/agestack/{label}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables now.  Tables that are still to be read must be stored first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, label: str = "table") -> DataFrame:

@@ -56,14 +56,24 @@ class ModelStore:
 
     def save_fitted(self, stage: str, models: list[dict], features: list[str]) -> None:
         """The same for models that carry only the weights of the features they ``use``."""
-        rows = [(m["model_key"], float(m["intercept"]), list(m["use"] if m["use"] is not None else range(len(features))),
-                 [float(w) for w in m["weights"]]) for m in models]
-        df = self.spark.createDataFrame(rows, "model_key string, intercept double, at array<int>, weights array<double>")
-        long = df.select("model_key", F.explode(F.arrays_zip("at", "weights")).alias("w")).select(
-            "model_key", F.col("w.at").alias("idx"), F.get(F.lit(features), F.col("w.at")).alias("feature"),
-            F.col("w.weights").alias("weight"))
+        import numpy as np
+        import pyarrow as pa
+
+        from ..operators.align import feature_index
+
+        uses = [np.arange(len(features)) if m["use"] is None else np.asarray(m["use"]) for m in models]
+        keys = np.repeat(np.arange(len(models)), [len(u) for u in uses])
+        cells = pa.table({
+            "model": pa.array(keys, type=pa.int32()), "idx": pa.array(np.concatenate([*uses, []]).astype(np.int32)),
+            "weight": pa.array(np.concatenate([*(np.asarray(m["weights"], dtype=float) for m in models), []]))})
+        names = pa.table({"model": pa.array(range(len(models)), type=pa.int32()),
+                          "model_key": pa.array([m["model_key"] for m in models], type=pa.string()),
+                          "intercept": pa.array([float(m["intercept"]) for m in models], type=pa.float64())})
+        keyed = self.spark.createDataFrame(names)
+        long = self.spark.createDataFrame(cells).join(keyed.select("model", "model_key"), "model").join(
+            feature_index(self.spark, features), "idx").select("model_key", "idx", "feature", "weight")
         self.save(f"{stage}_coefficients", long)
-        self.save(f"{stage}_intercepts", df.select("model_key", "intercept"))
+        self.save(f"{stage}_intercepts", keyed.select("model_key", "intercept"))
 
     def load_models(self, stage: str) -> DataFrame:
         """Packed models, weights in feature order.  The group of a model is bounded by its features."""
@@ -76,8 +86,15 @@ class ModelStore:
         """The models on the driver, each with the positions its weights belong to; zeros stay in the store."""
         from ..operators.linear import active
 
-        models = {r["model_key"]: {**r.asDict(), "use": [], "weights": []} for r in self.load(f"{stage}_intercepts").collect()}
-        for r in active(self.load(f"{stage}_coefficients")).collect():
-            models[r["model_key"]]["use"].append(r["idx"])
-            models[r["model_key"]]["weights"].append(r["weight"])
-        return list(models.values())
+        import numpy as np
+
+        models = {r["model_key"]: r.asDict() for r in self.load(f"{stage}_intercepts").collect()}
+        cells = active(self.load(f"{stage}_coefficients")).select("model_key", "idx", "weight").toArrow()
+        keys = cells.column("model_key").combine_chunks().dictionary_encode()
+        codes = keys.indices.to_numpy(zero_copy_only=False) if len(cells) else np.zeros(0, dtype=int)
+        idx, weight = cells.column("idx").to_numpy(), cells.column("weight").to_numpy()
+        order = np.argsort(codes, kind="stable")
+        bounds = np.searchsorted(codes[order], np.arange(len(keys.dictionary) + 1))
+        at = {k: order[bounds[i]:bounds[i + 1]] for i, k in enumerate(keys.dictionary.to_pylist())}
+        none = np.zeros(0, dtype=int)
+        return [{**m, "use": idx[at.get(k, none)], "weights": weight[at.get(k, none)]} for k, m in models.items()]

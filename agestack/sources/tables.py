@@ -53,14 +53,12 @@ def read_hallmarks(spark: SparkSession, path: str, whole_file: bool = False) ->
 
 
 def hallmark_map(objects: DataFrame, col: str = "value") -> DataFrame:
-    spark = objects.sparkSession
-    objects.select(F.col(col).alias("object")).createOrReplaceTempView("__hallmark_objects")
-    entries = spark.sql("""
+    entries = objects.sparkSession.sql("""
         SELECT h.key AS hallmark, s.pos, s.value AS entry
-        FROM __hallmark_objects,
+        FROM {objects},
              LATERAL variant_explode(parse_json(object)) AS h,
              LATERAL variant_explode(h.value) AS s
-    """)
+    """, objects=objects.select(F.col(col).alias("object")))
     text = entries.filter("schema_of_variant(entry) = 'STRING'")
     return text.select("hallmark", "pos", F.expr("variant_get(entry, '$', 'string')").alias("site"))
 

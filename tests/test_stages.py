@@ -56,14 +56,34 @@ def test_partitions_do_not_matter(spark, inputs, narrow):
     assert max(abs(a[k] - b[k]) for k in a) < 1e-6
 
 
-def test_wide_route_agrees(spark, inputs, narrow):
-    """With a low limit, stage 1 goes through gradient aggregation and the experts get statistics of their own."""
-    store, wide = _train(spark, inputs, gram_features=40)
-    a, b = _by_id(narrow[1], "pred_age"), _by_id(wide, "pred_age")
-    assert max(abs(a[k] - b[k]) for k in a) < 0.05
-    second = stages.train_stage2(store, TRIALS, n_splits=3, min_cohorts=1, gram_features=40)
-    c, d = _by_id(narrow[2], "pred_resid_H1"), _by_id(second, "pred_resid_H1")
-    assert max(abs(c[k] - d[k]) for k in c) < 0.05
+def test_solvers_agree(spark, inputs, narrow):
+    """The solver is the caller's choice and changes no result."""
+    store, wide = _train(spark, inputs, solver="working_set")
+    second = stages.train_stage2(store, TRIALS, n_splits=3, min_cohorts=1, solver="working_set")
+    for name in ("stage1", "stage2"):
+        a, b = (sorted(map(tuple, s.load(f"{name}_coefficients").filter("abs(weight) > 1e-9").select("model_key", "idx", "weight").collect()))
+                for s in (narrow[0], store))
+        assert [x[:2] for x in a] == [x[:2] for x in b]
+        assert max(abs(x[2] - y[2]) for x, y in zip(a, b)) < 1e-6
+    for x, y, col in ((narrow[1], wide, "pred_age"), (narrow[2], second, "pred_resid_H1")):
+        a, b = _by_id(x, col), _by_id(y, col)
+        assert max(abs(a[k] - b[k]) for k in a) < 1e-6
+
+
+def test_bad_inputs_are_refused(spark, inputs, narrow):
+    store, context = narrow[0], t.context(spark, SF).drop("Tissue")
+    samples, packed = inputs
+    short = packed.withColumn("values", F.when(F.col("sample_id") == packed.first()["sample_id"], F.slice("values", 1, 3)).otherwise(F.col("values")))
+    empty = packed.withColumn("values", F.when(F.col("sample_id") != packed.first()["sample_id"], F.col("values")))
+    for bad in ((samples.unionByName(samples), packed), (samples, packed.unionByName(packed)), (samples, short), (samples, empty)):
+        with pytest.raises(ValueError):
+            _train(spark, bad)
+        with pytest.raises(ValueError):
+            stages.predict_all(store, *bad, context)
+    with pytest.raises(ValueError):
+        stages.predict_all(store, samples, packed, context.unionByName(context))
+    with pytest.raises(ValueError):
+        stages.train_stage3(store, narrow[1].unionByName(narrow[1]), narrow[2], context, n_splits=3)
 
 
 def test_scoring_in_parts_agrees(spark, inputs, narrow, monkeypatch):
