@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.metrics import regression_metrics
 from ..functions.scalar import AGE_TARGET, age_to_scale
 from ..operators import align, folds, linear
-from ..operators.impute import fill_values, impute_cells
+from ..operators.impute import impute_packed
 from ..operators.normalise import expert_columns
 from ..operators.search import ELASTIC_NET_SPACE, PARAMS, RIDGE_SPACE, random_candidates, sampled_fold_stats, search_elastic_net, trial_scores
 from ..operators.stats import gram
 from ..session import scratch_path, settle
 from ..sources.store import ModelStore
 from . import stages, standins as t
+from .assembly import assemble
 from .registry import query, rounded
 
 N_TRIALS = 6
@@ -46,18 +47,44 @@ def trained(spark: SparkSession, sf: str) -> ModelStore:
 
 
 @query("prd5_assemble_inputs", f"""WITH {t.FILLED_SQL}
-SELECT sample_id, feature, dim AS idx, round(value, 6) + 0.0 AS value FROM filled WHERE dim < 60""")
+SELECT sample_id, feature, dim AS idx, round(value, 6) + 0.0 AS value FROM filled""")
 def prd5(spark, sf):
-    """Three wide modality tables -> cells -> imputed -> packed in model order (and back, to compare)."""
-    index = t.feature_index(spark).filter("idx < 60")
-    wide = [align.melt_modality(t.wide_modality(spark, sf, m), m) for m in ("beta", "chalm", "camda")]
-    cells = align.stack_modalities(wide)
-    filled = impute_cells(cells, fill_values(cells)).join(index, "feature").select("sample_id", "idx", "value")
-    packed = align.pack_cells(filled, 60)
-    back = align.unpack(packed, t.FEATURES[:60])
+    """Three wide modality tables and the components -> packed in model order -> imputed (and unpacked, to compare)."""
+    wide = {m: t.wide_modality(spark, sf, m) for m in ("beta", "chalm", "camda")}
+    made = assemble(t.samples(spark, sf), wide, t.gappy_context(spark, sf), t.feature_index(spark))
+    back = align.unpack(impute_packed(made.packed, t.fills(spark, sf)), t.FEATURES)
+    return back.select("sample_id", "feature", "idx", rounded("value").alias("value"))
+
+
+#: Each modality lacks other samples; some samples are in none.
+PRESENT = {"beta": "sample_id % 5 <> 2", "chalm": "sample_id % 3 = 0", "camda": "sample_id % 7 > 3"}
+_PRESENT_SQL = " OR ".join(f"(modality = '{m}' AND {c.replace('sample_id', 'CAST(sample_id AS BIGINT)')})" for m, c in PRESENT.items())
+
+
+def _partial(spark, sf):
+    wide = {m: t.wide_modality(spark, sf, m).filter(c) for m, c in PRESENT.items()}
+    ages = t.samples(spark, sf).withColumn("Age", F.when(F.expr("sample_id % 13 <> 1"), F.col("Age")))
+    return assemble(ages, wide, samples=ages)
+
+
+@query("prd5_assemble_partial", f"""WITH {t.CELLS_SQL}, held AS (SELECT * FROM cells WHERE {_PRESENT_SQL}),
+numbered AS (SELECT feature, CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT feature FROM held)),
+kept AS (SELECT DISTINCT sample_id FROM held WHERE CAST(sample_id AS BIGINT) % 13 <> 1)
+SELECT sample_id, feature, idx, round(value, 6) + 0.0 AS value
+FROM kept CROSS JOIN numbered LEFT JOIN held USING (sample_id, feature)""")
+def prd5_partial(spark, sf):
+    made = _partial(spark, sf)
+    back = align.unpack(made.packed, made.names())
     return back.select("sample_id", "feature", "idx", rounded(F.col("value").cast("double")).alias("value"))
 
 
+@query("jn2_excluded_ids", f"""WITH {t.CELLS_SQL}, held AS (SELECT DISTINCT sample_id FROM cells WHERE {_PRESENT_SQL})
+SELECT sample_id, CASE WHEN s.sample_id IS NULL THEN 'no features' ELSE 'no age' END AS reason
+FROM samples a LEFT JOIN held s USING (sample_id) WHERE s.sample_id IS NULL OR CAST(a.sample_id AS BIGINT) % 13 = 1""")
+def jn2_excluded(spark, sf):
+    return _partial(spark, sf).excluded
+
+
 def _training(spark, sf):
     rows = t.packed(spark, sf, with_meta=True).withColumn("y", age_to_scale(F.col("Age")))
     fills = t.fills(spark, sf)
@@ -79,8 +106,6 @@ def fit1(spark, sf):
 @query("fit1_elastic_net_wide")
 def fit1_wide(spark, sf):
     """The same fit through gradient aggregation; must agree with ``fit1_elastic_net``."""
-    from ..operators.impute import impute_packed
-
     rows, fills = _training(spark, sf)
     model = linear.fit_elastic_net_wide(settle(impute_packed(rows, fills).select("values", "y")), "y", 0.005, 0.5)
     return linear.coefficient_table(model, t.FEATURES, []).select("feature", rounded("weight", 4).alias("weight"))

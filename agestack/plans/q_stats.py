@@ -286,14 +286,13 @@ def agg13(spark, sf):
 
 @query("agg13_gram", f"""WITH {t.CELLS_SQL}, z AS (
   SELECT sample_id, "Tissue", 0 AS k, 1.0::DOUBLE AS v FROM samples
-  UNION ALL SELECT sample_id, "Tissue", dim - 59, coalesce(value, 0) FROM cells WHERE dim >= 60
-  UNION ALL SELECT sample_id, "Tissue", 5, "Age" FROM samples)
+  UNION ALL SELECT sample_id, "Tissue", dim + 1, coalesce(value, 0) FROM cells
+  UNION ALL SELECT sample_id, "Tissue", {t.DIMS + 1}, "Age" FROM samples)
 SELECT a."Tissue", a.k AS i, b.k AS j, round(sum(a.v * b.v), 4) + 0.0 AS v
 FROM z a JOIN z b ON a.sample_id = b.sample_id AND a.k <= b.k GROUP BY ALL""")
 def agg13_gram(spark, sf):
-    """Gram matrix of the four context components and the age, per tissue."""
-    rows = t.packed(spark, sf, with_meta=True).withColumn("values", F.slice("values", 61, 4))
-    return gram(rows, ["Tissue"], 4, "Age", [0.0] * 4).withColumn("v", rounded("v", 4))
+    """Gram matrix of all features and the age, per tissue."""
+    return gram(t.packed(spark, sf, with_meta=True), ["Tissue"], t.DIMS, "Age", [0.0] * t.DIMS).withColumn("v", rounded("v", 4))
 
 
 RIDGE = "(sxy - sx * sy / n) / (sxx - sx * sx / n + 1.0)"

@@ -119,6 +119,12 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*_meta(df)[:1], _meta(df)[2], *pcs)
 
 
+def gappy_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sample_id, RF_PC1..4`` with the gaps of the packed rows."""
+    df = packed(spark, sf_dir)
+    return df.select("sample_id", *[F.get("values", F.lit(60 + i)).alias(f"RF_PC{i + 1}") for i in range(4)])
+
+
 def feature_index(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(FEATURES)), "idx int, feature string")
 
