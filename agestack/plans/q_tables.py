@@ -44,20 +44,21 @@ def src3(spark, sf):
 
 
 @query("src4_hallmark_json", """
-SELECT p_brand AS hallmark, 'cg' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS site FROM part""")
+SELECT hallmark, site, CAST(row_number() OVER (PARTITION BY hallmark, chunk ORDER BY site) - (chunk % 2) AS INTEGER) AS pos
+FROM (SELECT p_brand AS hallmark, 'cg' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS site, p_partkey // 500 AS chunk FROM part)""")
 def src4(spark, sf):
     """Brands as hallmarks.  Objects carry at most 500 sites each: half as lists with a number to skip, half
-    as nested objects."""
+    as nested objects, whose keys are not in their alphabetical order."""
     part = t.table(spark, sf, "part").withColumn("chunk", F.floor(F.col("p_partkey") / 500))
     quoted = F.collect_list(F.concat(F.lit('"'), site_name(F.col("p_partkey")), F.lit('"')))
-    listed = part.groupBy("p_brand", "chunk").agg(quoted.alias("sites"))
+    listed = part.groupBy("p_brand", "chunk").agg(F.array_sort(quoted).alias("sites"))
     as_list = F.concat(F.lit("[17,"), F.array_join("sites", ","), F.lit("]"))
-    keyed = F.transform("sites", lambda s, i: F.concat(F.lit('"k'), i.cast("string"), F.lit('":'), s))
+    keyed = F.transform("sites", lambda s, i: F.concat(F.lit('"k'), (1000 - i).cast("string"), F.lit('":'), s))
     as_object = F.concat(F.lit("{"), F.array_join(keyed, ","), F.lit("}"))
     body = F.when(F.col("chunk") % 2 == 0, as_list).otherwise(as_object)
     path = scratch_path(spark, "hallmarks")
     listed.select(F.concat(F.lit('{"'), "p_brand", F.lit('":'), body, F.lit("}"))).write.text(path)
-    return read_hallmarks(spark, path).select("hallmark", "site")
+    return read_hallmarks(spark, path).select("hallmark", "site", "pos")
 
 
 @query("src5_prediction_input", f"""WITH {t.PARTS_SQL}

@@ -46,7 +46,8 @@ def read_context(spark: SparkSession, path: str, schema: T.StructType | str) ->
 def read_hallmarks(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
     """Hallmark dictionaries (JSON objects: hallmark -> list or object of sites) -> ``hallmark, pos, site``.
 
-    One object per line, or one object per file with ``whole_file``.  Entries that are not text are skipped.
+    One object per line, or one object per file with ``whole_file``.  Entries that are not text are skipped; ``pos`` is
+    the place in the list or, among the keys, in the object as written.
     """
     lines = spark.read.option("wholetext", whole_file).text(path)
     return hallmark_map(lines.select("value"))
@@ -54,13 +55,14 @@ def read_hallmarks(spark: SparkSession, path: str, whole_file: bool = False) ->
 
 def hallmark_map(objects: DataFrame, col: str = "value") -> DataFrame:
     entries = objects.sparkSession.sql("""
-        SELECT h.key AS hallmark, s.pos, s.value AS entry
+        SELECT h.key AS hallmark, s.value AS entry, CASE WHEN s.key IS NULL THEN s.pos ELSE array_position(map_keys(
+            from_json(element_at(from_json(object, 'map<string,string>'), h.key), 'map<string,string>')), s.key) - 1 END AS pos
         FROM {objects},
              LATERAL variant_explode(parse_json(object)) AS h,
              LATERAL variant_explode(h.value) AS s
     """, objects=objects.select(F.col(col).alias("object")))
     text = entries.filter("schema_of_variant(entry) = 'STRING'")
-    return text.select("hallmark", "pos", F.expr("variant_get(entry, '$', 'string')").alias("site"))
+    return text.select("hallmark", F.col("pos").cast("int").alias("pos"), F.expr("variant_get(entry, '$', 'string')").alias("site"))
 
 
 def save_predictions(df: DataFrame, path: str) -> str:
