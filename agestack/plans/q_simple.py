@@ -125,6 +125,79 @@ def trn3_simple(spark, sf):
     return trained(spark, sf).load("stage2_oof").select("sample_id", rounded("pred_resid_H1", 5).alias("pred_resid_H1"))
 
 
+@query("oof2_simple", f"""WITH {BEST_SQL}
+SELECT sample_id, "Age" AS age, project_id, "Tissue", round({INV}, 5) + 0.0 AS pred_age, round({INV}, 5) + 0.0 AS "pred_resid_H1"
+FROM targeted JOIN models ON held_out = fold SEMI JOIN best USING (trial)""")
+def oof2_simple(spark, sf):
+    """The stage-2 table: the expert sees the same feature as the global model here, so both predict alike."""
+    df = trained(spark, sf).load("stage2_oof")
+    return df.select("sample_id", "age", "project_id", "Tissue", *[rounded(c, 5).alias(c) for c in ("pred_age", "pred_resid_H1")])
+
+
+@query("fit4_simple_expert", f"""WITH {BEST_SQL}
+SELECT 'H1' AS model_key, '{FEATURE}' AS feature, 0 AS idx, round(w, 5) + 0.0 AS weight
+FROM models SEMI JOIN best USING (trial) WHERE held_out = 5""")
+def fit4_simple(spark, sf):
+    """The expert of the one hallmark, as stored."""
+    return trained(spark, sf).load("stage2_coefficients").select("model_key", "feature", "idx", rounded("weight", 5).alias("weight"))
+
+
+@query("art4_simple_store", f"""WITH {BEST_SQL}
+SELECT 'H1' AS model_key, round(b, 5) + 0.0 AS intercept, 'age' AS target, 'H1' AS hallmarks
+FROM models SEMI JOIN best USING (trial) WHERE held_out = 5""")
+def art4_simple(spark, sf):
+    """Intercepts and settings of stage 2 as stored."""
+    store = trained(spark, sf)
+    settings = store.load_settings("stage2_settings")
+    return store.load("stage2_intercepts").select(
+        "model_key", rounded("intercept", 5).alias("intercept"), F.lit(settings["target"]).alias("target"),
+        F.lit(",".join(settings["hallmarks"])).alias("hallmarks"))
+
+
+@query("art7_simple_report", f"""WITH {BEST_SQL}
+SELECT 'H1' AS model_key, trial, CAST(fold AS INTEGER) AS fold, target_n, alpha, l1, min_cap, max_cap, mult, round(mae, 5) + 0.0 AS mae
+FROM report JOIN cand USING (trial) JOIN (SELECT trial, held_out AS fold, target_n FROM models) USING (trial, fold)""")
+def art7_simple(spark, sf):
+    return trained(spark, sf).load("stage2_trials").withColumn("mae", rounded("mae", 5))
+
+
+@query("sel5_simple_halving", f"""WITH {BEST_SQL}, second AS (
+  SELECT trial FROM report WHERE fold = 0 ORDER BY mae, trial LIMIT 2), third AS (
+  SELECT trial FROM report SEMI JOIN second USING (trial) WHERE fold <= 1 GROUP BY trial ORDER BY sum(mae), trial LIMIT 1)
+SELECT trial, CAST(fold AS INTEGER) AS fold, round(mae, 5) + 0.0 AS mae FROM report
+WHERE fold = 0 OR (fold = 1 AND trial IN (FROM second)) OR (fold > 1 AND trial IN (FROM third))""")
+def sel5_simple(spark, sf):
+    """Three candidates on the first fold, the better two on the second, the best of these on the others."""
+    data = trained(spark, sf).load("training")
+    caps = spark.createDataFrame([(c["trial"], c["min_cap"], c["max_cap"], c["mult"]) for c in CANDIDATES],
+                                 "trial int, min_cap int, max_cap int, mult double")
+    report = search_elastic_net(data, CANDIDATES, sampled_fold_stats(data, 1, "y", caps), halving=True)
+    return report.select("trial", "fold", rounded("mae", 5).alias("mae"))
+
+
+ALL_SQL = f"""{BEST_SQL}, chosen AS (SELECT held_out, w, b FROM models SEMI JOIN best USING (trial)), oof AS (
+  SELECT t."Tissue", "Age" - {INV} AS target, {INV} AS x FROM targeted t JOIN chosen ON held_out = fold), s3 AS (
+  SELECT "Tissue" AS model_key, {SUMS} FROM oof GROUP BY ALL HAVING count(*) >= 50
+  UNION ALL SELECT 'Global', {SUMS} FROM oof), fusion AS (
+  SELECT model_key, {RIDGE} AS w3, (sy - {RIDGE} * sx) / n AS b3 FROM s3), first AS (
+  SELECT sample_id, "Age", "Tissue", project_id, {INV} AS p FROM targeted JOIN chosen ON held_out = 5)"""
+
+
+@query("prd4_simple_all", f"""WITH {ALL_SQL}
+SELECT sample_id, "Age", f."Tissue", f.project_id, round(p, 4) + 0.0 AS pred_age_stage1, round(p, 4) + 0.0 AS "pred_resid_H1",
+       round(coalesce(a.b3 + a.w3 * p, g.b3 + g.w3 * p), 4) + 0.0 AS pred_residual_stage3,
+       round(p + coalesce(a.b3 + a.w3 * p, g.b3 + g.w3 * p), 4) + 0.0 AS fused_age
+FROM first f LEFT JOIN fusion a ON a.model_key = f."Tissue" JOIN fusion g ON g.model_key = 'Global'""")
+def prd4_simple(spark, sf):
+    """All three stored stages on the samples, end to end."""
+    store = trained(spark, sf)
+    stages.train_stage3(store, store.load("stage1_oof"), store.load("stage2_oof"), None)
+    samples = settle(_samples(spark, sf))
+    out = stages.predict_all(store, samples.drop("values"), samples.select("sample_id", "values"), None)
+    numbers = ["pred_age_stage1", "pred_resid_H1", "pred_residual_stage3", "fused_age"]
+    return out.select("sample_id", "Age", "Tissue", "project_id", *[rounded(c, 4).alias(c) for c in numbers])
+
+
 # Stage 3 on the parts: brand = tissue, project = type and name, one expert (the retail price in hundreds).
 FUSION_SQL = f"""rows AS (
   SELECT CAST(p_partkey AS VARCHAR) AS sample_id, p_brand AS "Tissue", p_type || '|' || p_name AS project_id,
