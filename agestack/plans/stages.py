@@ -23,7 +23,7 @@ from ..operators.score import (
     GLOBAL, few_numbers, fused_age, model_arrays, residual, score_many, score_packed, score_with_fallback,
 )
 from ..operators.search import (
-    best_params, fit_jobs, jobs_for, sampled_fold_stats, search_elastic_net, search_ridge, training_triangles,
+    ELASTIC_NET_SPACE, best_params, fit_jobs, jobs_for, random_candidates, sampled_fold_stats, search_elastic_net, search_ridge, training_triangles,
 )
 from ..operators.selection import assign_features, packed_correlation
 from ..operators.stats import gram
@@ -31,7 +31,15 @@ from ..schema import EXPERT_PREFIX, STAGE1_PRED, TISSUE_PREFIX
 from ..session import settle
 from ..sources.store import ModelStore
 
-DEFAULT_TRIAL = {"trial": 0, "alpha": 0.01, "l1": 0.5, "min_cap": 30, "max_cap": 500, "mult": 1.0}
+#: Trials of a search whose candidates are not given.
+N_TRIALS = 50
+
+
+def drawn(spark, candidates: list[dict] | None, n_trials: int, space: dict | None, seed: int) -> list[dict]:
+    """The given candidates, or ``n_trials`` drawn from ``space`` (by default the elastic-net ranges)."""
+    if candidates is not None:
+        return candidates
+    return [r.asDict() for r in random_candidates(spark, n_trials, space or ELASTIC_NET_SPACE, seed).orderBy("trial").collect()]
 
 
 def require_inputs(samples: DataFrame | None, packed: DataFrame, p: int) -> None:
@@ -78,13 +86,13 @@ def _fit_all(data: DataFrame, p: int, candidates: list[dict], fills: list[float]
 def train_stage1(store: ModelStore, samples: DataFrame, packed: DataFrame, features: list[str],
                  hallmark_sites: DataFrame, candidates: list[dict] | None = None, n_splits: int = 5, seed: int = 42,
                  min_cohorts: int = 2, max_iter: int = 2000, halving: bool = False, orthogonal: bool = True,
-                 healthy_only: bool = True, solver: str = "gram") -> DataFrame:
+                 healthy_only: bool = True, solver: str = "gram", n_trials: int = N_TRIALS, space: dict | None = None) -> DataFrame:
     """Global elastic net on all features.  Saves models, fills, features, trials, the hallmark dictionary and
     the training table; returns the out-of-fold table."""
     p = len(features)
     data = training_table(store, samples, packed, features, n_splits, seed, healthy_only)
     fills = packed_fills(data, p)
-    report, models, fold_models = _fit_all(data, p, candidates or [DEFAULT_TRIAL], fills, {GLOBAL: None}, AGE_TARGET, n_splits,
+    report, models, fold_models = _fit_all(data, p, drawn(data.sparkSession, candidates, n_trials, space, seed), fills, {GLOBAL: None}, AGE_TARGET, n_splits,
                                        min_cohorts, seed, max_iter, halving, solver)
     meta = ["sample_id", "Age", "project_id", "Tissue", "Sex", "Is_Healthy"]
     oof = score_many(data, fold_models, [GLOBAL], ["pred_age"], p, meta, ["fold"], ["held_out"], fills, AGE_TARGET)
@@ -123,7 +131,7 @@ def hallmark_subsets(store: ModelStore, features: list[str]) -> dict[str, list[i
 
 def train_stage2(store: ModelStore, candidates: list[dict] | None = None, n_splits: int = 5, seed: int = 42,
                  min_cohorts: int = 2, max_iter: int = 2000, halving: bool = False, target: str = "age",
-                 solver: str = "gram") -> DataFrame:
+                 solver: str = "gram", n_trials: int = N_TRIALS, space: dict | None = None) -> DataFrame:
     """One expert per hallmark.  All experts share one pass for statistics and one for scoring.
 
     ``target='age'`` fits the transformed age; ``'residual'`` fits age minus the stage-1 prediction.
@@ -136,7 +144,7 @@ def train_stage2(store: ModelStore, candidates: list[dict] | None = None, n_spli
         pred = oof1.select("sample_id", "pred_age")
         data = settle(data.join(pred, "sample_id").withColumn("y", residual(F.col("Age"), F.col("pred_age"))).drop("pred_age"))
         inverse = PLAIN_TARGET
-    report, models, fold_models = _fit_all(data, len(features), candidates or [DEFAULT_TRIAL], fills, subsets, inverse, n_splits,
+    report, models, fold_models = _fit_all(data, len(features), drawn(data.sparkSession, candidates, n_trials, space, seed), fills, subsets, inverse, n_splits,
                                        min_cohorts, seed, max_iter, halving, solver)
     outs = [EXPERT_PREFIX + h for h in subsets]
     preds = score_many(data, fold_models, list(subsets), outs, len(features), ["sample_id"], ["fold"], ["held_out"], fills,

@@ -149,3 +149,13 @@ def test_large_family_is_joined(spark, narrow, monkeypatch):
     monkeypatch.setattr(stages, "few_numbers", lambda models: False)
     joined = _by_id(stages.predict_stage3(store, second), "pred_residual_stage3")
     assert max(abs(shipped[k] - joined[k]) for k in shipped) < 1e-9
+
+
+def test_default_search(spark, inputs):
+    """Without candidates a search draws its own, as many as asked for."""
+    store = ModelStore(spark, scratch_path(spark, "default"))
+    first = stages.train_stage1(store, *inputs, t.FEATURES, t.hallmark_sites(spark), n_splits=3, min_cohorts=1, n_trials=3,
+                                space={"alpha": ("log", 0.01, 0.1), "l1": ("uniform", 0.4, 0.6), "min_cap": ("int", 5, 6), "max_cap": ("int", 20, 30),
+                                       "mult": ("uniform", 0.8, 1.0)})
+    assert first.filter("pred_age is not null").count() == inputs[0].filter("Is_Healthy").count()
+    assert store.load("stage1_trials").select("trial").distinct().count() == 3
