@@ -14,7 +14,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 #: Texts are worked on together until they hold so many bytes.
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def encode(text: str | None) -> bytes:

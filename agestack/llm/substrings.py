@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import settle, small, text_of
+from .common import BROADCAST_ROWS, settle, small, text_of
 from .hashing import chunks, encode, hashed_words, mixed, window_hashes
 
 ROUNDS = 2
@@ -89,8 +89,48 @@ def places(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
 
 
-def _ranges(table: pa.Array, row: int) -> list[tuple[int, int]]:
-    return [(x["first"], x["last"]) for x in table[row].as_py() or ()]
+def _runs(flags: np.ndarray) -> list[dict]:
+    """The stretches of true places."""
+    edge = np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8))
+    return [{"first": int(a), "last": int(b) - 1} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
+
+
+def _marked(ranges: list[dict] | None) -> np.ndarray:
+    flags = np.zeros(max((x["last"] for x in ranges or ()), default=-1) + 1, dtype=bool)
+    for x in ranges or ():
+        flags[x["first"]:x["last"] + 1] = True
+    return flags
+
+
+def joined_ranges(ranges: DataFrame) -> DataFrame:
+    """``__id, ranges`` with neighbouring ranges made one."""
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_runs(_marked(x.as_py())) for x in batch.column("ranges")]
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(out, type=kind)], ["__id", "ranges"])
+
+    return ranges.select("__id", "ranges").mapInArrow(run, T.StructType([ranges.schema["__id"], ranges.schema["ranges"]]))
+
+
+def repeated_ranges(ranges: DataFrame) -> DataFrame:
+    """``__id, hits``: the windows of ``ranges`` without those in the list ``firsts``, for documents that have any."""
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for marks, firsts in zip(batch.column("ranges"), batch.column("firsts")):
+                flags = _marked(marks.as_py())
+                if firsts.is_valid:
+                    flags[firsts.values.to_numpy(zero_copy_only=False)] = False
+                out.append(_runs(flags))
+            table = pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(out, type=kind)], ["__id", "hits"])
+            yield table.filter(pa.array([bool(x) for x in out], type=pa.bool_()))
+
+    schema = T.StructType([ranges.schema["__id"], T.StructField("hits", ranges.schema["ranges"].dataType)])
+    return ranges.select("__id", "ranges", "firsts").mapInArrow(run, schema)
 
 
 def listed_windows(docs: DataFrame, size: int) -> DataFrame:
@@ -105,8 +145,8 @@ def listed_windows(docs: DataFrame, size: int) -> DataFrame:
                 whole = window_hashes(words, size)
                 wanted = np.zeros(len(whole), dtype=bool)
                 for i in range(len(part)):
-                    for first, last in _ranges(batch.column("ranges"), begin + i):
-                        wanted[at[i] + first:at[i] + last + 1] = True
+                    for x in batch.column("ranges")[begin + i].as_py() or ():
+                        wanted[at[i] + x["first"]:at[i] + x["last"] + 1] = True
                 place = np.flatnonzero(wanted)
                 doc = np.searchsorted(at, place, side="right") - 1
                 yield pa.RecordBatch.from_arrays([
@@ -118,41 +158,35 @@ def listed_windows(docs: DataFrame, size: int) -> DataFrame:
 
 
 def cut(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_words, n_removed, text`` from documents with ``ranges`` (windows to judge) and ``firsts`` (to spare)."""
+    """``doc_id, n_words, n_removed, text`` without the words of the windows in ``hits``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, total, gone, texts = batch.column("doc_id"), [], [], []
-            for row, text in enumerate(batch.column("text")):
-                words = encode(text.as_py()).split()
-                ranges = _ranges(batch.column("ranges"), row)
-                if ranges:
-                    judged = np.zeros(len(words), dtype=bool)
-                    for first, last in ranges:
-                        judged[first:last + 1] = True
-                    for first, last in _ranges(batch.column("firsts"), row):
-                        judged[first:last + 1] = False
-                    edge = np.zeros(len(words) + size + 1, dtype=np.int64)
-                    hit = np.flatnonzero(judged)
-                    edge[hit] += 1
-                    edge[hit + size] -= 1
-                    keep = np.cumsum(edge)[:len(words)] == 0
-                    kept = [w for w, k in zip(words, keep) if k]
-                else:
-                    kept = words
-                total.append(len(words))
-                gone.append(len(words) - len(kept))
-                texts.append(b" ".join(kept).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(total, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(texts, type=pa.string())],
-                ["doc_id", "n_words", "n_removed", "text"])
+            for first, part in chunks(encode(t.as_py()) for t in batch.column("text")):
+                total, gone, texts = [], [], []
+                for text, hits in zip(part, batch.column("hits").slice(first, len(part))):
+                    words = text.split()
+                    kept, begin = [], 0
+                    for x in hits.as_py() or ():
+                        kept += words[begin:x["first"]] if x["first"] > begin else []
+                        begin = x["last"] + size
+                    kept += words[begin:]
+                    total.append(len(words))
+                    gone.append(len(words) - len(kept))
+                    texts.append(b" ".join(kept).decode("utf-8", "surrogatepass"))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").slice(first, len(part)), pa.array(total, type=pa.int64()), pa.array(gone, type=pa.int64()),
+                    pa.array(texts, type=pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("text", T.StringType())])
-    return docs.select("doc_id", "text", "ranges", "firsts").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", "hits").mapInArrow(run, schema)
 
 
-_RANGES = "array<struct<first:int,last:int>>"
+def few(ranges: DataFrame, column: str) -> DataFrame:
+    """Marked for broadcast if rows and ranges are few; else the texts are shuffled to where their ranges are."""
+    total = ranges.agg(F.sum(F.size(column))).first()[0] or 0
+    return small(ranges) if total <= 4 * BROADCAST_ROWS else ranges
 
 
 def dedup_substrings(docs: DataFrame, size: int = 20) -> DataFrame:
@@ -170,19 +204,14 @@ def dedup_substrings(docs: DataFrame, size: int = 20) -> DataFrame:
         raise ValueError("a window must be long enough to hold a symbol start in its middle")
     picked = places(docs, size)
     repeated = settle(picked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "sub-keys")
-    ranges = picked.join(small(repeated), "key").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    ranges = settle(ranges.withColumnRenamed("doc_id", "__id"), "sub-ranges")
+    ranges = picked.join(repeated, "key").groupBy(F.col("doc_id").alias("__id")).agg(
+        F.collect_list(F.struct("first", "last")).alias("ranges"))
+    ranges = settle(joined_ranges(ranges), "sub-ranges")
     texts = docs.select("doc_id", text_of().alias("text"))
-    named = small(ranges.select("__id"))
     same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    some = texts.join(named, same, "left_semi")
-    windows = listed_windows(some.join(ranges, same), size)
+    windows = listed_windows(texts.join(few(ranges, "ranges"), same), size)
     firsts = windows.groupBy("w").agg(F.min(F.struct("doc_id", "at")).alias("x")).select("x.doc_id", "x.at")
-    firsts = firsts.groupBy(F.col("doc_id").alias("__id")).agg(F.transform(
-        F.collect_set("at"), lambda a: F.struct(a.alias("first"), a.alias("last"))).alias("firsts"))
-    judged = settle(ranges.join(firsts.withColumnRenamed("__id", "__f"), F.col("__id").eqNullSafe(F.col("__f")), "left").select(
-        "__id", "ranges", "firsts"), "sub-judged")
-    touched = cut(some.join(judged, same).select("doc_id", "text", "ranges", "firsts"), size)
-    rest = texts.join(named, same, "left_anti")
-    none = F.lit(None).cast(_RANGES)
-    return touched.unionByName(cut(rest.select("doc_id", "text", none.alias("ranges"), none.alias("firsts")), size))
+    firsts = firsts.groupBy(F.col("doc_id").alias("__f")).agg(F.collect_list("at").alias("firsts"))
+    both = ranges.join(firsts, F.col("__id").eqNullSafe(F.col("__f")), "left")
+    hits = settle(repeated_ranges(both.select("__id", "ranges", "firsts")), "sub-hits")
+    return cut(texts.join(few(hits, "hits"), same, "left").select("doc_id", "text", "hits"), size)
