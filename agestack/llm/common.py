@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from agestack.session import settle
+from agestack import session
 
-__all__ = ["WORD", "documents", "frame", "settle", "small", "text_of", "word_count", "words_of"]
+#: Rows sent to Python at a time while a step is written; they hold whole texts, and both sides keep a batch in memory.
+BATCH_ROWS = 1000
 
 #: A word: a run of anything but the six white space characters of ASCII.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +19,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 500_000
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, tasks exchange batches of at most ``BATCH_ROWS`` rows with Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def settle(df: DataFrame, label: str = "table") -> DataFrame:
+    """Written to the shared folder and read back, in small batches where Python takes part."""
+    with small_batches(df.sparkSession):
+        return session.settle(df, label)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, empty where there is none."""
     return F.coalesce(F.col(column), F.lit(""))

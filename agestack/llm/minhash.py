@@ -7,6 +7,7 @@ are decided on their whole shingle sets.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from math import comb
 
@@ -25,6 +26,10 @@ HASHES = BANDS * ROWS
 BATCH = 16
 #: A pair is given up when similarity >= threshold has a lower posterior probability than this.
 MISS = 1e-7
+#: Rounds in which one member of a band meets the others, before those that are still apart are joined by prefixes.
+MEETINGS = 2
+#: Bits of a shingle by which its rarity is counted; the table of counts goes to every task.
+RARITY_BITS = 20
 NUMER, DENOM = 80, 100
 
 _rng = np.random.Generator(np.random.PCG64(7919))
@@ -134,10 +139,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, numer: int, denom: i
         last = (None, None)
         for batch in batches:
             keep = []
-            for x, s, t in zip(*[batch.column(c).to_pylist() for c in ("x", "s", "t")]):
-                if last[0] != (x, s):
-                    last = ((x, s), shingle_set(hashed_words([encode(s).lower()])[0], size))
-                other = shingle_set(hashed_words([encode(t).lower()])[0], size)
+            for s, t in zip(batch.column("s"), batch.column("t")):  # one text after the other, for the memory
+                s = s.as_py()
+                if last[0] != s:
+                    last = (s, shingle_set(hashed_words([encode(s).lower()])[0], size))
+                other = shingle_set(hashed_words([encode(t.as_py()).lower()])[0], size)
                 common = len(np.intersect1d(last[1], other, assume_unique=True))
                 keep.append(common > 0 and common * denom >= (len(last[1]) + len(other) - common) * numer)
             yield batch.select(["x", "y"]).filter(pa.array(keep, type=pa.bool_()))
@@ -147,6 +153,101 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, numer: int, denom: i
     return both.select("x", "y", "s", "t").mapInArrow(run, "x long, y long")
 
 
+def shingle_rarity(texts: DataFrame, size: int) -> np.ndarray:
+    """Shingles of the texts by hash bucket: as many numbers as buckets, whatever the size of the corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+        for batch in batches:
+            for _, part in chunks(encode(t.as_py()).lower() for t in batch.column("text")):
+                words, at = hashed_words(part)
+                for i in range(len(part)):
+                    np.add.at(total, (shingle_set(words[at[i]:at[i + 1]], size) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = settle(counted, "near-rarity").toArrow()
+    rarity = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+    rarity[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    return np.minimum(rarity, np.iinfo(np.int32).max).astype(np.int32)
+
+
+def prefix_pairs(docs: DataFrame, nodes: DataFrame, size: int, numer: int, denom: int) -> DataFrame:
+    """``x, y`` of all documents of ``nodes`` (``rep, component``) that may be linked across components, exactly.
+
+    Two sets of the similarity asked for share one of the first n - ceil(t n) + 1 shingles of each, rare ones first.  In a
+    large group of texts that differ from each other a little too much, those are shingles that no other text has.
+    """
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text")).join(small(nodes), "rep")
+    texts = settle(texts.select("rep", "component", "text"), "near-texts")
+    rarity = shingle_rarity(texts, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in chunks(encode(t.as_py()).lower() for t in batch.column("text")):
+                words, at = hashed_words(part)
+                keys, sizes = [], []
+                for i in range(len(part)):
+                    found = shingle_set(words[at[i]:at[i + 1]], size)
+                    order = np.lexsort((found, rarity[(found >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]))
+                    n = len(found)
+                    keys.append(found[order[:n - -(-numer * n // denom) + 1]] if n else found)
+                    sizes.append(n)
+                lengths = [len(k) for k in keys]
+                owner = np.repeat(np.arange(len(part)), lengths)
+                start = np.cumsum(lengths) - lengths
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(keys).view(np.int64)), batch.column("rep").take(pa.array(owner + first)),
+                    batch.column("component").take(pa.array(owner + first)), pa.array(np.asarray(sizes, dtype=np.int32)[owner]),
+                    pa.array((np.arange(len(owner)) - start[owner]).astype(np.int32))], ["key", "rep", "component", "n", "p"])
+
+    index = texts.mapInArrow(run, "key long, rep long, component long, n int, p int")
+    left, right = index.alias("l"), index.alias("r")
+    n, m = F.col("l.n"), F.col("r.n")
+    room = F.least(n - F.col("l.p"), m - F.col("r.p")) * (numer + denom) >= (n + m) * numer
+    alike = F.greatest(n, m) * numer <= F.least(n, m) * denom
+    return left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") < F.col("r.rep"))
+                     & (F.col("l.component") != F.col("r.component")) & alike & room).select(
+        F.col("l.rep").alias("x"), F.col("r.rep").alias("y")).distinct()
+
+
+def linked(docs: DataFrame, classes: DataFrame, size: int, numer: int, denom: int) -> DataFrame:
+    """``x, y``: enough links between the classes to connect all that links connect.
+
+    All pairs of a band are candidates, but few are needed once every member has met some others.  So rounds of meetings
+    come first: in each, one member of a band meets those that are not yet connected with it.  Members of bands that are
+    then still in several components are joined by their rarest shingles.
+    """
+    threshold = numer / denom
+
+    def test(pairs: DataFrame) -> DataFrame:
+        return settle(confirmed(settle(likely(pairs, classes, threshold), "near-likely"), docs, size, numer, denom), "near-links")
+
+    bands = band_keys(classes)
+    shared = bands.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key")
+    left = settle(bands.join(shared, "key"), "near-members").withColumn("component", F.col("rep"))
+    found: list[DataFrame] = []
+    for meeting in range(MEETINGS + 1):
+        apart = left.groupBy("key").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"),
+            F.min(F.struct(F.xxhash64("rep", F.lit(meeting)).alias("h"), F.col("rep").alias("x"), F.col("component").alias("c"))).alias("m")
+        ).filter("low < high").select("key", "m.x", "m.c")
+        left = settle(left.join(apart, "key"), "near-left")
+        if meeting == MEETINGS or left.isEmpty():
+            break
+        pairs = left.filter("component <> c").select(F.least("x", "rep").alias("x"), F.greatest("x", "rep").alias("y")).distinct()
+        found.append(test(pairs))
+        labels = components(functools.reduce(DataFrame.unionByName, found))
+        left = left.select("key", "rep").join(labels.select(F.col("v").alias("rep"), "component"), "rep", "left").select(
+            "key", "rep", F.coalesce("component", "rep").alias("component"))
+    if not left.isEmpty():
+        nodes = settle(left.select("rep", "component").distinct(), "near-nodes")
+        found.append(test(prefix_pairs(docs, nodes, size, numer, denom)))
+    none = classes.select(F.col("rep").alias("x"), F.col("rep").alias("y")).limit(0)
+    return functools.reduce(DataFrame.unionByName, found, none)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, numer: int = NUMER, denom: int = DENOM) -> DataFrame:
     """Per row ``doc_id, n_shingles, component_id, kept``.
 
@@ -158,31 +259,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, numer: int = NUMER, denom: i
     them is linked with, all are.  Rows without a doc_id are compared with nothing, have no component and are kept.  No
     rows give no rows.  Other columns are ignored.
     """
-    threshold = numer / denom
     prints = settle(fingerprints(docs, size), "near-prints")
     sets = prints.filter("doc_id is not null and n_shingles > 0")
     classes = settle(
         sets.groupBy("n_shingles", "a", "b").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("rep"), "sig")).alias("x"))
         .select("n_shingles", "a", "b", "x.rep", "x.sig"), "near-classes")
-    bands = band_keys(classes)
-    centres = bands.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre < last")
-    members = settle(bands.join(centres.select("key", "centre"), "key"), "near-bands")
-    # every member with the first of its band, then those that this has not brought together
-    stars = members.filter("rep > centre").select(F.col("centre").alias("x"), F.col("rep").alias("y")).distinct()
-    stars = settle(stars, "near-stars")
-    links = settle(confirmed(settle(likely(stars, classes, threshold), "near-likely"), docs, size, numer, denom), "near-links")
-    found = components(links)
-    placed = members.join(found.select(F.col("v").alias("rep"), "component"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    placed = settle(placed.join(apart.select("key"), "key"), "near-apart")
-    others = placed.alias("p").join(placed.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.rep") < F.col("q.rep"))
-                                    & (F.col("p.component") != F.col("q.component")))
-    others = others.select(F.col("p.rep").alias("x"), F.col("q.rep").alias("y")).distinct().join(stars, ["x", "y"], "left_anti")
-    more = confirmed(settle(likely(others, classes, threshold), "near-likely"), docs, size, numer, denom)
+    links = linked(docs, classes, size, numer, denom)
     copies = sets.select("doc_id", "n_shingles", "a", "b").join(classes.drop("sig"), ["n_shingles", "a", "b"]).select(
         F.col("doc_id").cast("long").alias("x"), F.col("rep").alias("y")).filter("x <> y")
-    whole = components(links.unionByName(more).unionByName(copies)).select(F.col("v").alias("__id"), "component")
+    whole = components(links.unionByName(copies)).select(F.col("v").alias("__id"), "component")
     rows = prints.select("doc_id", "n_shingles").join(whole, F.col("doc_id") == F.col("__id"), "left")
     component = F.coalesce("component", F.col("doc_id").cast("long"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"),
