@@ -26,7 +26,7 @@ from .common import settle, text_of
 from .hashing import encode, hashed_words, mixed
 
 #: Bytes of text in a block, and of text to a bucket of n-gram counts.
-BLOCK_BYTES, BUCKET_BYTES = 6_000_000, 12_000_000
+BLOCK_BYTES, BUCKET_BYTES = 4_500_000, 12_000_000
 #: Counts beyond this share one entry of the counts of counts.
 TOP = 1000
 #: Up to this count the discount is Turing's own, where that is sound; above, and else, it follows the fitted line.
