@@ -2,28 +2,40 @@
 
 A line's words are put in one order for all lines, rare words first.  Two sets of similarity t or more must share a word
 among the first few of each (the prefix), at places that leave room for the overlap they need, and must not differ much
-in size.  With a prefix longer by SHARED - 1 words they share SHARED words of it, which few other pairs do.  Rarity comes from word counts by hash bucket, so its table has a fixed size; where it is wrong the join gets
-slower, never different, since any one order serves.
+in size.  A 64-bit parity map of each set bounds their difference from below, before any pair leaves the join.  Rarity comes
+from word counts by hash bucket, so its table has a fixed size; where it is off the join gets slower, never different,
+since any one order serves.
+
+Many versions of one line would pair each with each.  So lines are first paired with one line that shares their rarest
+words or extreme hashes; those that look settled by that are joined no further, and return to the join if they fail.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import settle, small, text_of, words_of
+from .common import settle, small, text_of
 
 #: Buckets of the word counts by hash; they travel with every task.
 RARITY_BITS = 20
 #: Bits of a word's key that are its hash; above them stands its rarity, in steps of 1/64 of an octave.
 HASH_BITS = 52
-#: Words of the prefixes that a pair must share; at most the overlap of the smallest similar sets, which is 4.
-SHARED = 3
+#: Rarest words of a line by which it meets one other line before the full join.
+HEADS = 2
+#: Rounds of such meetings; in each, lines not yet settled meet the earliest of those that share the word.
+MEETINGS = 3
+#: Index entries (five numbers each) that may go to every task.
+INDEX_ROWS = 1_000_000
 #: Similarity as a fraction of whole numbers, so that no rounding decides.
 NUMER, DENOM = 8, 10
 
 
 def _words(line: Column) -> Column:
-    return words_of(F.lower(line))
+    """The words of a line in lower case: what stands between spaces, tabs and carriage returns."""
+    plain = F.replace(F.replace(F.lower(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _identity(docs: DataFrame, *more: str) -> DataFrame:
@@ -32,7 +44,7 @@ def _identity(docs: DataFrame, *more: str) -> DataFrame:
 
 def word_rarity(docs: DataFrame) -> DataFrame:
     """One row with one array: the rarity (0 to 2047, rarest first) of the words of each hash bucket."""
-    words = docs.select(F.explode(_words(text_of())).alias("w"))
+    words = docs.select(F.explode(_words(F.replace(text_of(), F.lit("\n"), F.lit(" ")))).alias("w"))
     bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - RARITY_BITS)
     counts = words.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
     every = docs.sparkSession.range(1 << RARITY_BITS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
@@ -43,53 +55,117 @@ def word_rarity(docs: DataFrame) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, rarity: DataFrame) -> DataFrame:
-    """``doc_id, __th, line, a, b, n, prefix`` for every line with a word.
+    """``doc_id, __th, line, a, b, n, sig, ends, prefix`` for every line with a word.
 
-    ``a`` and ``b`` are hashes of its word set, ``n`` the number of words in it, ``prefix`` the keys of the rarest.  Lines of
-    up to three words have no prefix: no other set is similar enough to theirs.
+    ``a`` and ``b`` are hashes of its word set, ``n`` the number of words in it, ``sig`` its parity map (each word flips one of
+    64 bits), ``ends`` the hash of its least and greatest word hash, ``prefix`` the keys of the rarest words.  Lines of up to three words have no prefix: no other set is similar
+    enough to theirs.
     """
-    lines = _identity(docs).select("doc_id", "__th", F.posexplode(F.split(F.lower("__text"), "\n")).alias("line", "content"))
-    lines = lines.filter(F.btrim("content", F.lit(" \t\v\f\r")) != "").withColumn("__rarity", rarity.scalar())
+    lines = _identity(docs).select("doc_id", "__th", F.posexplode(F.split("__text", "\n")).alias("line", "content"))
+    lines = lines.filter(F.btrim("content", F.lit(" \t\r")) != "")
     key = lambda h: F.shiftleft(
         F.get(F.col("__rarity"), F.shiftrightunsigned(h, 64 - RARITY_BITS).cast("int")), HASH_BITS
     ).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    hashes = F.transform(words_of(F.col("content")), lambda w: F.xxhash64(w))
-    keyed = lines.select("doc_id", "__th", "line", F.sort_array(F.transform(F.array_distinct(hashes), key)).alias("keys"))
+    hashes = F.array_distinct(F.transform(_words(F.col("content")), lambda w: F.xxhash64(w)))
+    # the table joins in the very projection that uses it, once, so that no row carries it
+    keyed = lines.withColumn("__rarity", rarity.scalar()).select(
+        "doc_id", "__th", "line", F.sort_array(F.transform(hashes, key)).alias("keys"))
     n = F.size("keys")
-    length = n - F.ceil(n * NUMER / DENOM).cast("int") + SHARED
-    prefix = F.when(n > 3, F.slice("keys", 1, length)).otherwise(F.expr("cast(array() as array<bigint>)"))
-    sets = keyed.select("doc_id", "__th", "line", F.xxhash64("keys").alias("a"), F.hash("keys").alias("b"), n.alias("n"), prefix.alias("prefix"))
-    return sets
+    prefix = F.when(n > 3, F.slice("keys", 1, n - F.ceil(n * NUMER / DENOM).cast("int") + 1)).otherwise(
+        F.expr("cast(array() as array<bigint>)"))
+    sig = F.expr("aggregate(keys, 0L, (s, k) -> s ^ shiftleft(1L, cast(k & 63 as int)))")
+    low = F.transform("keys", lambda k: k.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    ends = F.when(n > 3, F.xxhash64(F.array_min(low), F.array_max(low)))
+    return keyed.select("doc_id", "__th", "line", F.xxhash64("keys").alias("a"), F.hash("keys").alias("b"), n.alias("n"), sig.alias("sig"),
+                        ends.alias("ends"), prefix.alias("prefix"))
 
 
 def line_classes(sets: DataFrame) -> DataFrame:
-    """Lines of one word set: ``a, b, n, prefix`` and ``at``, the first such line."""
-    each = sets.select("a", "b", F.struct(F.struct("doc_id", "__th", "line").alias("at"), "n", "prefix").alias("x"))
-    return each.groupBy("a", "b").agg(F.min("x").alias("x")).select("a", "b", "x.at", "x.n", "x.prefix")
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs ``at, other`` of lines that pass the prefix, length and place filters; ``at`` comes first."""
-    index = classes.select("a", "b", "n", F.posexplode("prefix").alias("p", "key"))
-    left, right = index.alias("l"), index.alias("r")
-    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-    # of both, the larger set (equal sizes: the smaller hash) stands left, so a pair comes once per common key
-    order = (l("n") > r("n")) | ((l("n") == r("n")) & (F.struct(l("a"), l("b")) < F.struct(r("a"), r("b"))))
-    length = l("n") * NUMER <= r("n") * DENOM
-    # overlap >= t / (1 + t) * (sum of sizes): what the first SHARED - 1 common words leave must fit after this one
-    room = (F.least(l("n") - l("p"), r("n") - r("p")) + (SHARED - 1)) * (NUMER + DENOM) >= (l("n") + r("n")) * NUMER
-    pairs = left.join(right, (l("key") == r("key")) & order & length & room).select(
-        l("a").alias("la"), l("b").alias("lb"), r("a").alias("ra"), r("b").alias("rb"))
-    place = classes.select("a", "b", "at")
-    pairs = pairs.groupBy("la", "lb", "ra", "rb").count().filter(F.col("count") >= SHARED).drop("count")
-    first = place.select(F.col("a").alias("la"), F.col("b").alias("lb"), F.col("at").alias("x"))
-    second = place.select(F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("at").alias("y"))
-    return pairs.join(first, ["la", "lb"]).join(second, ["ra", "rb"]).select(
-        F.least("x", "y").alias("at"), F.greatest("x", "y").alias("other"))
+    """Lines of one word set: ``id, n, sig, ends, prefix`` and ``at``, the first such line.
+
+    Written before use, the ids are fixed; they are small next to hashes, and there is one for each entry of the index.
+    """
+    each = sets.select("a", "b", F.struct(F.struct("doc_id", "__th", "line").alias("at"), "n", "sig", "ends", "prefix").alias("x"))
+    firsts = each.groupBy("a", "b").agg(F.min("x").alias("x"))
+    return firsts.select(F.monotonically_increasing_id().alias("id"), "x.at", "x.n", "x.sig", "x.ends", "x.prefix")
+
+
+def _difference(x: str, y: str) -> Column:
+    """At least so many words are in one of the sets only: each flips one bit."""
+    return F.bit_count(F.col(f"{x}.sig").bitwiseXOR(F.col(f"{y}.sig")))
+
+
+def _size(side: str) -> Column:
+    return F.col(f"{side}.n")
+
+
+def _possible(x: str, y: str, size=_size) -> Column:
+    """Sizes and parity maps allow the similarity: the difference is at most (1 - t) / (1 + t) of the sum of sizes."""
+    n, m = size(x), size(y)
+    return (F.greatest(n, m) * NUMER <= F.least(n, m) * DENOM) & (
+        _difference(x, y) * (NUMER + DENOM) <= (n + m) * (DENOM - NUMER))
+
+
+def _clear(x: str, y: str, size=_size) -> Column:
+    """The difference that the parity maps let expect is in bounds (d flips leave 32 (1 - exp(-d / 32)) of 64 bits set)."""
+    flips = -32 * F.log(F.greatest(1 - _difference(x, y) / 32, F.lit(1e-9)))
+    return flips * (NUMER + DENOM) <= (size(x) + size(y)) * (DENOM - NUMER)
+
+
+def settled_by_one(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``x, y`` of the earliest line of a head word, or of a pair of extreme hashes, with others of it, and the ``id`` of lines they seem to settle.
+
+    """
+    keys = F.concat(F.slice("prefix", 1, HEADS), F.array("ends"))
+    heads = classes.filter("n > 3").select("id", F.explode(keys).alias("key"))
+    shared = heads.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
+    rows = settle(heads.join(shared, "key").join(classes.select("id", "at", "n", "sig"), "id"), "line-heads")
+    pairs, done = [], []
+    for _ in range(MEETINGS):
+        centres = rows.groupBy("key").agg(F.min(F.struct("at", "id", "n", "sig")).alias("c"), F.count(F.lit(1)).alias("k"))
+        met = rows.alias("y").join(centres.filter("k > 1").select("key", "c.*").alias("x"), "key").filter("x.id <> y.id")
+        met = settle(met.select("key", F.col("x.id").alias("x"), *[F.col(f"y.{c}").alias(c) for c in ("id", "at", "n", "sig")],
+                                _possible("x", "y").alias("possible"), (_possible("x", "y") & _clear("x", "y")).alias("clear")), "line-met")
+        pairs.append(met.filter("possible").select("x", F.col("id").alias("y")))
+        done.append(met.filter("clear").select("id"))
+        rows = met.select("key", "id", "at", "n", "sig").join(small(done[-1].distinct()), "id", "left_anti")
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts).distinct()
+    return settle(union(pairs), "line-ones"), settle(union(done), "line-likely")
+
+
+def index_of(classes: DataFrame, **flags: DataFrame) -> DataFrame:
+    """One row per line and word of its prefix; ``flags`` name ids for which a column of that name is true."""
+    for name, ids in flags.items():
+        classes = classes.join(small(ids.select("id", F.lit(True).alias(name))), "id", "left")
+    marks = [F.coalesce(name, F.lit(False)).alias(name) for name in flags]
+    rows = classes.filter("n > 3").select("id", F.col("at.doc_id").alias("d"), "sig", "n", *marks, F.posexplode("prefix").alias("p", "key"))
+    return rows.select("key", "id", "d", "sig", F.shiftleft("n", 16).bitwiseOR(F.col("p")).alias("np"), *flags)
+
+
+def candidates(later: DataFrame, earlier: DataFrame, wanted: Column) -> DataFrame:
+    """Pairs ``x`` of the index ``earlier`` and ``y`` of ``later`` that pass the prefix, place, length and parity filters and
+    are ``wanted`` (of ``l`` and ``r``), x in no later document than y; ``clear`` as in ``settled_by_one``."""
+    left, right = later.alias("l"), earlier.alias("r")
+    n = lambda side: F.shiftright(F.col(f"{side}.np"), 16)
+    rest = lambda side: n(side) - F.col(f"{side}.np").bitwiseAND(F.lit(0xFFFF))
+    # overlap >= t / (1 + t) * (sum of sizes); from the first common word on at most the shorter rest is common
+    room = F.least(rest("l"), rest("r")) * (NUMER + DENOM) >= (n("l") + n("r")) * NUMER
+    before = F.coalesce(F.col("r.d") <= F.col("l.d"), F.col("r.d").isNull()) & (F.col("l.id") != F.col("r.id"))
+    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & wanted & before & room & _possible("l", "r", n))
+    return pairs.select(F.col("r.id").alias("x"), F.col("l.id").alias("y"), _clear("l", "r", n).alias("clear")).distinct()
+
+
+def placed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The first lines of both sets: ``at`` and, after it, ``other``; ``later`` is the id of the latter."""
+    place = classes.select("id", "at")
+    both = pairs.join(place.select(F.col("id").alias("x"), F.struct("at", "id").alias("u")), "x").join(
+        place.select(F.col("id").alias("y"), F.struct("at", "id").alias("v")), "y")
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).select(
+        F.col("u.at").alias("at"), F.col("v.at").alias("other"), F.col("v.id").alias("later"))
 
 
 def similar_lines(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``other`` lines of pairs whose whole word sets have the similarity asked for."""
+    """``id`` of the later lines of pairs whose whole word sets have the similarity asked for."""
     wanted = pairs.select(F.col("at").alias("w")).unionByName(pairs.select(F.col("other").alias("w"))).distinct().select("w.*")
     wanted = settle(wanted, "line-wanted")
     holders = small(settle(wanted.select(F.col("doc_id").alias("__id"), F.col("__th").alias("__h")).distinct(), "line-docs"))
@@ -102,46 +178,62 @@ def similar_lines(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.join(sets.select(F.col("k").alias("at"), F.col("words").alias("u")), "at").join(
         sets.select(F.col("k").alias("other"), F.col("words").alias("v")), "other")
     common = F.size(F.array_intersect("u", "v"))
-    return both.filter(common * DENOM >= (F.size("u") + F.size("v") - common) * NUMER).select("other").distinct()
+    return both.filter(common * DENOM >= (F.size("u") + F.size("v") - common) * NUMER).select(F.col("later").alias("id")).distinct()
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, __th, lines``: the numbers (from 0) of the lines to remove, for documents that have any.
+def first_lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, __th, lines``: the numbers (from 0) of the lines with words that stay, for documents that have any.
 
     A line goes if an earlier line (smaller doc_id, then text hash, then line number) has a word set of similarity 0.8
     or more, whether or not that one goes too.
     """
     rarity = settle(word_rarity(docs), "line-rarity")
-    sets = settle(line_sets(docs, rarity), "line-sets")
-    classes = settle(line_classes(sets), "line-classes")
-    pairs = settle(candidates(classes), "line-pairs")
-    later = similar_lines(docs, pairs)
-    same = (
-        sets.select("a", "b", F.struct("doc_id", "__th", "line").alias("me"))
-        .join(classes.select("a", "b", "at"), ["a", "b"]).filter(~F.col("me").eqNullSafe(F.col("at"))).select(F.col("me").alias("other"))
-    )
-    return same.unionByName(later).select("other.*").groupBy("doc_id", "__th").agg(
-        F.array_sort(F.collect_set("line")).alias("lines"))
+    classes = settle(line_classes(line_sets(docs, rarity)), "line-classes")
+    ones, likely = settled_by_one(classes)
+    # lines that no meeting settled: among themselves, then those still open with the settled ones
+    index = index_of(classes, settled=likely)
+    first = settle(candidates(index, index, ~F.col("l.settled") & ~F.col("r.settled")), "line-open")
+    seems = settle(likely.unionByName(first.filter("clear").select(F.col("y").alias("id"))).distinct(), "line-likely")
+    index = index_of(classes, settled=likely, seems=seems)
+    second = candidates(index.filter("not seems"), small(index.filter("settled"), INDEX_ROWS), F.lit(True))
+    pairs = ones.unionByName(first.select("x", "y")).unionByName(second.select("x", "y")).distinct()
+    gone = settle(similar_lines(docs, settle(placed(pairs, classes), "line-pairs")), "line-gone")
+    failed = settle(seems.join(small(gone), "id", "left_anti"), "line-failed")
+    if failed.limit(1).count():
+        index = index_of(classes, failed=failed)
+        again = candidates(small(index.filter("failed"), INDEX_ROWS), index, F.lit(True)).select("x", "y")
+        gone = settle(gone.unionByName(similar_lines(docs, settle(placed(again, classes), "line-pairs"))).distinct(), "line-gone")
+    stays = classes.select("id", "at").join(gone, "id", "left_anti")
+    return stays.select("at.*").groupBy("doc_id", "__th").agg(F.collect_set("line").alias("lines"))
+
+
+def _judged(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Lists of lines that stay, the condition that joins them to ``docs``, and each line's verdict in a lambda."""
+    stay = first_lines(docs).select(F.col("doc_id").alias("__id"), F.col("__th").alias("__h"), F.col("lines").alias("__stay"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of()) == F.col("__h"))
+    gone = lambda x, i: (F.btrim(x, F.lit(" \t\r")) != "") & ~F.coalesce(F.array_contains("__stay", i), F.lit(False))
+    return stay, same, gone
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """Per row ``doc_id, n_lines, n_removed, removed`` (line numbers from 0).
 
-    Lines are the pieces between newlines; words are split at white space and compared in lower case.  Lines without
-    words are like no other and stay.  Null texts are one empty line.  Rows that repeat doc_id and text are one document
-    and get the same result.  No rows give no rows.  Other columns are ignored.
+    Lines are the pieces between newlines; words are split at spaces, tabs and carriage returns and compared in lower
+    case.  Lines without words are like no other and stay.  Null texts are one empty line.  Rows that repeat doc_id and
+    text are one document and get the same result.  No rows give no rows.  Other columns are ignored.
     """
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("__th").alias("__h"), "lines")
-    rows = _identity(docs).select("doc_id", "__th", F.size(F.split("__text", "\n")).cast("long").alias("n_lines"))
-    removed = F.coalesce("lines", F.expr("cast(array() as array<int>)"))
-    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left").select(
-        "doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    stay, _, _ = _judged(docs)
+    # texts stay where they are: only the numbers of the lines with words go to the join
+    with_words = F.filter(F.transform(F.split("__text", "\n"), lambda x, i: F.when(F.btrim(x, F.lit(" \t\r")) != "", i)), lambda i: i.isNotNull())
+    rows = _identity(docs).select("doc_id", "__th", F.size(F.split("__text", "\n")).cast("long").alias("n_lines"), with_words.alias("__all"))
+    joined = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
+    removed = F.when(F.col("__stay").isNull(), F.col("__all")).otherwise(F.array_except("__all", "__stay"))
+    return joined.select("doc_id", "n_lines", removed.alias("removed")).select(
+        "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with ``text`` less its repeated lines.  Texts that lose none stay as they are."""
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("__th").alias("__h"), F.col("lines").alias("__lines"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of()) == F.col("__h"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__lines", i)), "\n")
-    joined = docs.join(gone, same, "left")
-    return joined.withColumn("text", F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    stay, same, gone = _judged(docs)
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~gone(x, i)), "\n")
+    return docs.join(stay, same, "left").withColumn("text", kept).select(*docs.columns)
