@@ -139,15 +139,15 @@ def index_of(classes: DataFrame, **flags: DataFrame) -> DataFrame:
         classes = classes.join(small(ids.select("id", F.lit(True).alias(name))), "id", "left")
     marks = [F.coalesce(name, F.lit(False)).alias(name) for name in flags]
     rows = classes.filter("n > 3").select("id", F.col("at.doc_id").alias("d"), "sig", "n", *marks, F.posexplode("prefix").alias("p", "key"))
-    return rows.select("key", "id", "d", "sig", F.shiftleft("n", 16).bitwiseOR(F.col("p")).alias("np"), *flags)
+    return rows.select("key", "id", "d", "sig", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p")).alias("np"), *flags)
 
 
 def candidates(later: DataFrame, earlier: DataFrame, wanted: Column) -> DataFrame:
     """Pairs ``x`` of the index ``earlier`` and ``y`` of ``later`` that pass the prefix, place, length and parity filters and
     are ``wanted`` (of ``l`` and ``r``), x in no later document than y; ``clear`` as in ``settled_by_one``."""
     left, right = later.alias("l"), earlier.alias("r")
-    n = lambda side: F.shiftright(F.col(f"{side}.np"), 16)
-    rest = lambda side: n(side) - F.col(f"{side}.np").bitwiseAND(F.lit(0xFFFF))
+    n = lambda side: F.shiftright(F.col(f"{side}.np"), 32)
+    rest = lambda side: n(side) - F.col(f"{side}.np").bitwiseAND(F.lit(0xFFFFFFFF))
     # overlap >= t / (1 + t) * (sum of sizes); from the first common word on at most the shorter rest is common
     room = F.least(rest("l"), rest("r")) * (NUMER + DENOM) >= (n("l") + n("r")) * NUMER
     before = F.coalesce(F.col("r.d") <= F.col("l.d"), F.col("r.d").isNull()) & (F.col("l.id") != F.col("r.id"))

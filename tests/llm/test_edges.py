@@ -97,6 +97,13 @@ def test_lines(docs):
     assert lines.line_report(docs([])).collect() == []
 
 
+def test_very_long_lines(docs):
+    words = LONG.split()
+    rows = [(1, LONG), (2, " ".join(words[:-5000])), (3, " ".join(words[:40_000])), (4, " ".join(reversed(words)))]
+    got = {r.doc_id: r.n_removed for r in lines.line_report(docs(rows)).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
 @pytest.mark.parametrize("n", [3, 4, 5, 9, 10, 44, 45])
 def test_lines_at_the_threshold(docs, n):
     """Sets of n words and of one more, or with one exchanged, at similarities about 0.8."""
