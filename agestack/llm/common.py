@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -32,9 +33,17 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 def settle(df: DataFrame, label: str = "table") -> DataFrame:
-    """Written to the shared folder and read back, in small batches where Python takes part."""
-    with small_batches(df.sparkSession):
-        return session.settle(df, label)
+    """Written to the shared folder and read back, in small batches where Python takes part.
+
+    The shuffle files behind ``df`` are then of no more use.  Spark deletes them once the driver has collected the objects
+    that name them, which may be long after, so the driver is asked to collect now.
+    """
+    spark = df.sparkSession
+    with small_batches(spark):
+        written = session.settle(df, label)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return written
 
 
 def text_of(column: str = "text") -> Column:
