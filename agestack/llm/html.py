@@ -15,11 +15,18 @@ SKIPPED = frozenset("""aside button canvas datalist dialog footer form head head
     noscript object option script select style svg template textarea title""".split())
 #: Those of them that an article or a main part ends, if the page forgot to.
 WRAPPERS = frozenset(("aside", "footer", "form", "header", "menu", "nav"))
-#: Words in class, id or role that name such a part.
-HINTS = frozenset("""ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies
-    disqus footer header masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo
-    promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar
-    widget""".split())
+#: Parts that hold articles of their own; an article after the page's first one does not end them.
+NESTING = frozenset("""comment comment-list comment-section comments comments-area comments-section disqus disqus_thread related
+    related-articles related-posts replies reply respond""".split())
+#: Whole words in class, id or role that name such a part; "has-sidebar" names none.
+HINTS = NESTING | frozenset("""ad ad-container ad-slot ads advert advertisement advertising banner breadcrumb breadcrumbs consent
+    cookie cookie-banner cookie-notice cookies footer header main-menu main-nav masthead menu modal nav nav-menu navbar
+    navigation newsletter notice overlay page-footer pagination popup promo promotion search search-form share share-buttons
+    sharing sidebar signup site-footer site-header site-nav social social-links social-share sponsor sponsored subscribe
+    toolbar widget""".split())
+#: Elements whose id names a part, and not a place to link to, within an article.
+NAMED_BY_ID = frozenset(("div", "ol", "ul"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that stand within a line.
 INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp
@@ -29,6 +36,16 @@ MAIN = frozenset(("article", "main"))
 RADIUS, SIGMAS = 2, 0.5
 
 
+def hints(tag: str, attrs: list[tuple[str, str | None]], in_main: bool) -> set[str]:
+    """The words of ``HINTS`` that name the element."""
+    if in_main:
+        by_id = tag in NAMED_BY_ID
+    else:
+        by_id = tag not in HEADINGS and tag not in INLINE and tag not in ("p", "li")
+    keys = ("class", "id", "role") if by_id else ("class", "role")
+    return {w for k, v in attrs if k in keys and v for w in v.lower().split() if w in HINTS}
+
+
 class Lines(HTMLParser):
     """Takes parser events and gathers lines: ``(text, linked characters, tags, region, inside a main part)``.
 
@@ -38,7 +55,8 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.open: list[tuple[str, bool]] = []  # element, skipped by itself
+        self.open: list[tuple[str, bool, bool]] = []  # element, skipped by itself, until a main part begins
+        self.seen_main = False
         self.skipping = self.in_main = self.in_link = 0
         self.parts: list[str] = []
         self.linked = self.tags = 0
@@ -56,7 +74,16 @@ class Lines(HTMLParser):
             self.linked = self.tags = 0
         self.parts.clear()
 
-    def _leave(self, tag: str, skipped: bool) -> None:
+    def _reopen(self, tag: str) -> None:
+        """A main part ends what the page forgot to end before it."""
+        for k, (name, skipped, ends) in enumerate(self.open):
+            if skipped and (ends or name not in SKIPPED and (tag == "main" or not self.seen_main)):
+                self._end_line()
+                self.open[k] = (name, False, False)
+                self.skipping -= 1
+        self.seen_main = self.seen_main or not self.skipping
+
+    def _leave(self, tag: str, skipped: bool, _: bool) -> None:
         self.skipping -= skipped
         self.in_main -= tag in MAIN
         self.in_link -= tag == "a"
@@ -65,12 +92,7 @@ class Lines(HTMLParser):
         if not self.skipping:
             self.tags += 1
         if tag in MAIN:
-            for k in range(len(self.open)):
-                name, skipped = self.open[k]
-                if skipped and name in WRAPPERS:
-                    self._end_line()
-                    self.open[k] = (name, False)
-                    self.skipping -= 1
+            self._reopen(tag)
         if tag not in INLINE and not self.skipping:
             self._end_line()
             if tag not in ("p", "li", "hr") and not re.fullmatch("h[1-6]", tag):
@@ -80,15 +102,16 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         skipped = tag in SKIPPED and not (tag == "header" and self.in_main)
+        ends = skipped and tag in WRAPPERS
         if not skipped and tag not in ("html", "body") and (tag not in MAIN or self.in_main):
-            named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-            skipped = any(w in HINTS for w in re.split(r"[^a-z]+", named.lower()))
+            named = hints(tag, attrs, self.in_main > 0)
+            skipped, ends = bool(named), bool(named) and not named & NESTING and tag not in MAIN
         if skipped and not self.skipping:
             self._end_line()
         self.skipping += skipped
         self.in_main += tag in MAIN
         self.in_link += tag == "a"
-        self.open.append((tag, skipped))
+        self.open.append((tag, skipped, ends))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -101,7 +124,7 @@ class Lines(HTMLParser):
                 if tag not in ("p", "li") and not re.fullmatch("h[1-6]", tag):
                     self._new_region()
         for k in range(len(self.open) - 1, -1, -1):
-            name, _ = self.open[k]
+            name = self.open[k][0]
             if name == tag:
                 for left in reversed(self.open[k:]):
                     self._leave(*left)

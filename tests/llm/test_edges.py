@@ -64,6 +64,28 @@ def test_html(spark):
     assert html.extract(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("named", ["site has-sidebar", "layout no-sidebar", "page with-header", "search-page"])
+def test_html_names_are_whole_words(named):
+    assert html.main_text(f"<body><div class='{named}'><article><h1>T</h1><p>body</p></article></div>") == "T\nbody"
+    assert html.main_text(f"<body><div id='{named.split()[-1]}'><h1>T</h1><p>body</p></div>") == "T\nbody"
+
+
+def test_html_article_ends_what_began_outside():
+    ad = "<div class=ad>buy"
+    assert html.main_text(f"<body>{ad}<article><p>body</p></article>") == "body"
+    assert html.main_text(f"<body>{ad}<main>{ad}<article><p>body</p></article></main>") == "body"
+    assert html.main_text(f"<body>{ad}<article><p>one</p></article>{ad}<article><p>two</p></article>") == "one\ntwo"
+    assert html.main_text("<body><div class='page sidebar'><main><p>body</p></main></div>") == "body"
+    comments = "<div class=comments><article><p>nice</p></article></div>"
+    assert html.main_text(f"<main><p>body</p>{comments}<p>end</p></main>{comments}") == "body\nend"
+
+
+def test_html_ids_within_an_article_are_places():
+    page = ("<article><h1 id=header>T</h1><section id=related-work><p>a</p></section><section id=search><h2 id=search>S</h2><p id=share>b</p>"
+            "</section><div id=comments><p>nice</p></div><section class=related><p>more</p></section></article>")
+    assert html.main_text(page) == "T\na\nS\nb"
+
+
 def test_substrings(docs):
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.text[:9]) for r in substrings.dedup_substrings(odd(docs)).collect())
     assert got == [
