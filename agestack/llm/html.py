@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,6 +30,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that stand within a line.
 INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp
     small span strike strong sub sup time tt u var wbr""".split())
+#: Blocks that belong to the container around them.
+WITHIN = INLINE | HEADINGS | frozenset("""address blockquote body caption colgroup dd details dl dt figcaption figure head hgroup
+    hr html li ol p pre summary table tbody tfoot thead tr ul""".split())
+CELLS = frozenset(("td", "th"))
 MAIN = frozenset(("article", "main"))
 #: Lines that the Gaussian reaches to either side, and the threshold in standard deviations of the smoothed ratios.
 RADIUS, SIGMAS = 2, 0.5
@@ -49,23 +52,24 @@ def hints(tag: str, attrs: list[tuple[str, str | None]], in_main: bool) -> set[s
 class Lines(HTMLParser):
     """Takes parser events and gathers lines: ``(text, linked characters, tags, region, inside a main part)``.
 
-    A line ends where a block begins or ends.  A region is a stretch of lines within one block container.
+    A line ends where a block begins or ends.  A region is all lines of one container but those of containers in it;
+    lists, tables and quotations are no containers.  Neither is a table cell, or a division of a container, that holds
+    no block: it is a paragraph of the region around it.  The page itself is region 0, an article is one region,
+    whatever it holds.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.open: list[tuple[str, bool, bool]] = []  # element, skipped by itself, until a main part begins
+        # element, skipped by itself, until a main part begins, region around it if it is a container
+        self.open: list[tuple[str, bool, bool, int | None]] = []
         self.seen_main = False
         self.skipping = self.in_main = self.in_link = 0
         self.parts: list[str] = []
         self.linked = self.tags = 0
-        self.region = 0
-
-    def _new_region(self) -> None:
-        """An article is one region, whatever blocks it has."""
-        if not self.in_main:
-            self.region += 1
+        self.region = self.regions = 0
+        self.without_blocks: set[int] = set()
+        self.part_of: dict[int, int] = {}
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -76,14 +80,18 @@ class Lines(HTMLParser):
 
     def _reopen(self, tag: str) -> None:
         """A main part ends what the page forgot to end before it."""
-        for k, (name, skipped, ends) in enumerate(self.open):
+        for k, (name, skipped, ends, around) in enumerate(self.open):
             if skipped and (ends or name not in SKIPPED and (tag == "main" or not self.seen_main)):
                 self._end_line()
-                self.open[k] = (name, False, False)
+                self.open[k] = (name, False, False, around)
                 self.skipping -= 1
         self.seen_main = self.seen_main or not self.skipping
 
-    def _leave(self, tag: str, skipped: bool, _: bool) -> None:
+    def _leave(self, tag: str, skipped: bool, _: bool, around: int | None) -> None:
+        if around is not None:
+            if self.region in self.without_blocks and (around or tag in CELLS):
+                self.part_of[self.region] = around
+            self.region = around
         self.skipping -= skipped
         self.in_main -= tag in MAIN
         self.in_link -= tag == "a"
@@ -95,8 +103,8 @@ class Lines(HTMLParser):
             self._reopen(tag)
         if tag not in INLINE and not self.skipping:
             self._end_line()
-            if tag not in ("p", "li", "hr") and not re.fullmatch("h[1-6]", tag):
-                self._new_region()
+            if tag not in SKIPPED:
+                self.without_blocks.discard(self.region)
         elif tag in ("br", "img", "wbr") and not self.skipping:
             self.parts.append(" " if tag == "br" else "")
         if tag in VOID:
@@ -108,10 +116,17 @@ class Lines(HTMLParser):
             skipped, ends = bool(named), bool(named) and not named & NESTING and tag not in MAIN
         if skipped and not self.skipping:
             self._end_line()
+        around = None
+        if not skipped and not self.skipping and not self.in_main and tag not in WITHIN:
+            around = self.region
+            self.regions += 1
+            self.region = self.regions
+            if tag not in MAIN:
+                self.without_blocks.add(self.region)
         self.skipping += skipped
         self.in_main += tag in MAIN
         self.in_link += tag == "a"
-        self.open.append((tag, skipped, ends))
+        self.open.append((tag, skipped, ends, around))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -121,8 +136,6 @@ class Lines(HTMLParser):
             self.tags += 1
             if tag not in INLINE:
                 self._end_line()
-                if tag not in ("p", "li") and not re.fullmatch("h[1-6]", tag):
-                    self._new_region()
         for k in range(len(self.open) - 1, -1, -1):
             name = self.open[k][0]
             if name == tag:
@@ -142,6 +155,11 @@ class Lines(HTMLParser):
     def close(self) -> None:
         super().close()
         self._end_line()
+        for left in reversed(self.open):
+            self._leave(*left)
+        self.open.clear()
+        self.lines = [(text, linked, tags, self.part_of.get(region, region), main)
+                      for text, linked, tags, region, main in self.lines]
 
 
 def tag_ratios(lines: list[tuple[str, int, int, int, bool]]) -> np.ndarray:
@@ -162,8 +180,8 @@ def main_text(html: str) -> str:
     """The lines of the regions in which a smoothed ratio reaches the threshold, joined by newlines.
 
     Headings and short lines belong to the region around them, whatever their own ratio.  An ``article`` or ``main``
-    element is one region; if any is selected, regions outside of them are not.  Elsewhere lines that are links alone
-    never count.
+    element is one region; if any is selected, regions outside of them are not.  Elsewhere lines between selected ones
+    stay, whatever their region, and lines that are links alone count only between selected ones of their own region.
     """
     parser = Lines()
     parser.feed(html)
@@ -174,10 +192,21 @@ def main_text(html: str) -> str:
     smooth = tag_ratios(lines)
     plain = [linked < len(text) or main for text, linked, _, _, main in lines]
     high = smooth >= SIGMAS * smooth.std()
-    chosen = {(line[4], line[3]) for line, own, up in zip(lines, plain, high) if own and up}
-    if any(main for main, _ in chosen):
-        chosen = {region for region in chosen if region[0]}
-    return "\n".join(line[0] for line, own in zip(lines, plain) if own and (line[4], line[3]) in chosen)
+    picked = [i for i in range(len(lines)) if plain[i] and high[i]]
+    if any(lines[i][4] for i in picked):
+        chosen = {lines[i][3] for i in picked if lines[i][4]}
+        return "\n".join(text for text, _, _, region, main in lines if main and region in chosen)
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for i in picked:
+        first.setdefault(lines[i][3], i)
+        last[lines[i][3]] = i
+    kept = []
+    for i, (text, _, _, region, main) in enumerate(lines):
+        within = region in first and not main
+        if (within or picked and picked[0] < i < picked[-1] and not main) if plain[i] else (within and first[region] < i < last[region]):
+            kept.append(text)
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

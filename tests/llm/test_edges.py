@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns, for every operator."""
 
+import random
 import re
 
 import pytest
@@ -86,6 +87,45 @@ def test_html_ids_within_an_article_are_places():
     assert html.main_text(page) == "T\na\nS\nb"
 
 
+def test_html_short_lines_of_a_page_without_article():
+    long, items = "w" * 300, ["i" * 14, "j" * 14]
+    page = f"<h1>{'t' * 20}</h1><p>{long}</p><ul><li>{items[0]}</li><li>{items[1]}</li></ul><p>{long}</p>"
+    assert html.main_text(f"<body>{page}<div>All rights</div></body>").split("\n") == ["t" * 20, long, *items, long]
+    assert html.main_text(f"<p>{long}</p><ul><li><a href=x>see</a></li></ul><p>{long}</p><ul><li><a href=y>home</a></ul>") == f"{long}\nsee\n{long}"
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_html_without_article_against_the_blocks_written(seed):
+    """Short and long blocks of all kinds between two long paragraphs, with a menu before and a footer after."""
+    rng, want = random.Random(seed), []
+
+    def text(low, high):
+        want.append(" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(rng.randint(low, high))))
+        return want[-1]
+
+    def block(depth):
+        kind = rng.choice(["p", "p", "div", "ul", "table", "blockquote", "pre", "h3", "dl", "short", "section"][:11 if depth else 10])
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{text(1, 3)}</li>" for _ in range(rng.randint(1, 6))) + "</ul>"
+        if kind == "dl":
+            return f"<dl><dt>{text(1, 2)}<dd>{text(1, 4)}</dl>"
+        if kind == "table":
+            return "<table>" + "".join(f"<tr><td>{text(1, 2)}</td><td><p>{text(1, 2)}</p></td></tr>" for _ in range(rng.randint(1, 4))) + "</table>"
+        if kind == "section":
+            return "<section>" + "".join(block(depth - 1) for _ in range(rng.randint(1, 3))) + "</section>"
+        if kind == "blockquote":
+            return f"<blockquote><p>{text(1, 5)}</p></blockquote>"
+        if kind in ("short", "h3"):
+            return f"<{'div' if kind == 'short' else kind}>{text(1, 3)}</{'div' if kind == 'short' else kind}>"
+        return f"<{kind}>{text(30, 60)}</{kind}>"
+
+    tag = rng.choice(["body", "div", "section", "td"])
+    inner = f"<h1>{text(2, 4)}</h1><p>{text(50, 60)}</p>" + "".join(block(2) for _ in range(rng.randint(1, 8))) + f"<p>{text(50, 60)}</p><p>{text(1, 2)}</p>"
+    inner = {"body": inner, "td": f"<table><tr><td>{inner}</td></tr></table>"}.get(tag, f"<{tag}>{inner}</{tag}>")
+    page = f"<body><ul><li><a href=x>Home</a></li></ul><div><p>Menu</p></div>{inner}<div><p>All rights</p></div><div>End</div></body>"
+    assert html.main_text(page).split("\n") == want
+
+
 def test_substrings(docs):
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.text[:9]) for r in substrings.dedup_substrings(odd(docs)).collect())
     assert got == [
