@@ -71,7 +71,7 @@ def _split(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], np.ndarray
 
 
 def places(docs: DataFrame, size: int) -> DataFrame:
-    """``key, doc_id, first, last`` of every place that windows of the documents pick (window numbers, from 0)."""
+    """``key, doc_id, __th, first, last`` of every place that windows of the documents pick (window numbers, from 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,12 +81,13 @@ def places(docs: DataFrame, size: int) -> DataFrame:
                 owner = doc[first]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(key.view(np.int64)), batch.column("doc_id").take(pa.array(owner + begin)),
+                    batch.column("__th").take(pa.array(owner + begin)),
                     pa.array((first - at[owner]).astype(np.int32)), pa.array((last - at[owner]).astype(np.int32)),
-                ], ["key", "doc_id", "first", "last"])
+                ], ["key", "doc_id", "__th", "first", "last"])
 
-    schema = T.StructType([T.StructField("key", T.LongType()), docs.schema["doc_id"],
+    schema = T.StructType([T.StructField("key", T.LongType()), docs.schema["doc_id"], docs.schema["__th"],
                            T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", "__th", "text").mapInArrow(run, schema)
 
 
 def _runs(flags: np.ndarray) -> list[dict]:
@@ -103,19 +104,21 @@ def _marked(ranges: list[dict] | None) -> np.ndarray:
 
 
 def joined_ranges(ranges: DataFrame) -> DataFrame:
-    """``__id, ranges`` with neighbouring ranges made one."""
+    """``__id, __h, ranges`` with neighbouring ranges made one."""
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [_runs(_marked(x.as_py())) for x in batch.column("ranges")]
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(out, type=kind)], ["__id", "ranges"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("__id"), batch.column("__h"), pa.array(out, type=kind)], ["__id", "__h", "ranges"])
 
-    return ranges.select("__id", "ranges").mapInArrow(run, T.StructType([ranges.schema["__id"], ranges.schema["ranges"]]))
+    schema = T.StructType([ranges.schema[name] for name in ("__id", "__h", "ranges")])
+    return ranges.select("__id", "__h", "ranges").mapInArrow(run, schema)
 
 
 def repeated_ranges(ranges: DataFrame) -> DataFrame:
-    """``__id, hits``: the windows of ``ranges`` without those in the list ``firsts``, for documents that have any."""
+    """``__id, __h, hits``: the windows of ``ranges`` without those in the list ``firsts``, for documents that have any."""
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,17 +127,19 @@ def repeated_ranges(ranges: DataFrame) -> DataFrame:
             for marks, firsts in zip(batch.column("ranges"), batch.column("firsts")):
                 flags = _marked(marks.as_py())
                 if firsts.is_valid:
-                    flags[firsts.values.to_numpy(zero_copy_only=False)] = False
+                    at = firsts.values.to_numpy(zero_copy_only=False)
+                    flags[at[at < len(flags)]] = False
                 out.append(_runs(flags))
-            table = pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(out, type=kind)], ["__id", "hits"])
+            table = pa.RecordBatch.from_arrays(
+                [batch.column("__id"), batch.column("__h"), pa.array(out, type=kind)], ["__id", "__h", "hits"])
             yield table.filter(pa.array([bool(x) for x in out], type=pa.bool_()))
 
-    schema = T.StructType([ranges.schema["__id"], T.StructField("hits", ranges.schema["ranges"].dataType)])
-    return ranges.select("__id", "ranges", "firsts").mapInArrow(run, schema)
+    schema = T.StructType([ranges.schema["__id"], ranges.schema["__h"], T.StructField("hits", ranges.schema["ranges"].dataType)])
+    return ranges.select("__id", "__h", "ranges", "firsts").mapInArrow(run, schema)
 
 
 def listed_windows(docs: DataFrame, size: int) -> DataFrame:
-    """``w, doc_id, at``: hash and number of every window in the documents' ``ranges``.
+    """``w, doc_id, __th, at``: hash and number of every window in the documents' ``ranges``.
 
     Of equal windows a task met together only the first is given, which is all that counts.
     """
@@ -145,16 +150,19 @@ def listed_windows(docs: DataFrame, size: int) -> DataFrame:
                 whole = window_hashes(words, size)
                 wanted = np.zeros(len(whole), dtype=bool)
                 for i in range(len(part)):
+                    end = max(at[i + 1] - size + 1, at[i])  # windows beyond it reach into the next text
                     for x in batch.column("ranges")[begin + i].as_py() or ():
-                        wanted[at[i] + x["first"]:at[i] + x["last"] + 1] = True
+                        wanted[at[i] + x["first"]:min(at[i] + x["last"] + 1, end)] = True
                 place = np.flatnonzero(wanted)
                 doc = np.searchsorted(at, place, side="right") - 1
                 yield pa.RecordBatch.from_arrays([
                     pa.array(whole[place].view(np.int64)), batch.column("doc_id").take(pa.array(doc + begin)),
-                    pa.array((place - at[doc]).astype(np.int32))], ["w", "doc_id", "at"])
+                    batch.column("__th").take(pa.array(doc + begin)), pa.array((place - at[doc]).astype(np.int32))],
+                    ["w", "doc_id", "__th", "at"])
 
-    schema = T.StructType([T.StructField("w", T.LongType()), docs.schema["doc_id"], T.StructField("at", T.IntegerType())])
-    return docs.select("doc_id", "text", "ranges").mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("w", T.LongType()), docs.schema["doc_id"], docs.schema["__th"],
+                           T.StructField("at", T.IntegerType())])
+    return docs.select("doc_id", "__th", "text", "ranges").mapInArrow(run, schema)
 
 
 def cut(docs: DataFrame, size: int) -> DataFrame:
@@ -196,22 +204,23 @@ def dedup_substrings(docs: DataFrame, size: int = 20) -> DataFrame:
     smaller doc_id, or earlier in its own.  All windows are judged on the input.  Words are split at white space and
     compared as they are.
 
-    Null texts, and those of fewer words than a window, lose nothing.  Rows without a doc_id stand before all others and
-    count as one document, as do rows that repeat a doc_id: the same window at the same place of both is no repeat.  No
-    rows give no rows.  Other columns are ignored.
+    Null texts, and those of fewer words than a window, lose nothing.  Rows without a doc_id stand before all others.  Rows
+    that agree in doc_id (or have none) and text are one document: the same window at the same place of both is no
+    repeat.  Those that agree in doc_id alone are documents of their own, in the order of a hash of their texts.  No rows
+    give no rows.  Other columns are ignored.
     """
     if size < 2 * REACH + 2 ** ROUNDS - 1:
         raise ValueError("a window must be long enough to hold a symbol start in its middle")
-    picked = places(docs, size)
+    texts = docs.select("doc_id", F.xxhash64(text_of()).alias("__th"), text_of().alias("text"))
+    picked = places(texts, size)
     repeated = settle(picked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "sub-keys")
-    ranges = picked.join(repeated, "key").groupBy(F.col("doc_id").alias("__id")).agg(
+    ranges = picked.join(repeated, "key").groupBy(F.col("doc_id").alias("__id"), F.col("__th").alias("__h")).agg(
         F.collect_list(F.struct("first", "last")).alias("ranges"))
     ranges = settle(joined_ranges(ranges), "sub-ranges")
-    texts = docs.select("doc_id", text_of().alias("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h"))
     windows = listed_windows(texts.join(few(ranges, "ranges"), same), size)
-    firsts = windows.groupBy("w").agg(F.min(F.struct("doc_id", "at")).alias("x")).select("x.doc_id", "x.at")
-    firsts = firsts.groupBy(F.col("doc_id").alias("__f")).agg(F.collect_list("at").alias("firsts"))
-    both = ranges.join(firsts, F.col("__id").eqNullSafe(F.col("__f")), "left")
-    hits = settle(repeated_ranges(both.select("__id", "ranges", "firsts")), "sub-hits")
+    firsts = windows.groupBy("w").agg(F.min(F.struct("doc_id", "__th", "at")).alias("x")).select("x.doc_id", "x.__th", "x.at")
+    firsts = firsts.groupBy("doc_id", "__th").agg(F.collect_list("at").alias("firsts"))
+    both = ranges.join(firsts, same, "left")
+    hits = settle(repeated_ranges(both.select("__id", "__h", "ranges", "firsts")), "sub-hits")
     return cut(texts.join(few(hits, "hits"), same, "left").select("doc_id", "text", "hits"), size)

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -147,6 +148,30 @@ def test_substrings_longer_than_a_batch_of_copies(docs):
     assert sorted(r.n_removed for r in got) == [0] + [200] * 299
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_substrings_of_rows_that_share_an_id(docs, shared):
+    """Texts of different lengths under one id, or none, against plain Python in the same order of rows."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    passages = [" ".join(f"q{k}w{i}" for i in range(25 + 10 * k)) for k in range(4)]
+    some = [" ".join(f"{n}u{i}" for i in range(rng.randint(0, 40))) + " " + " ".join(rng.sample(passages, rng.randint(1, 3))) for n in range(12)]
+    rows = [(shared if n % 3 else n, t) for n, t in enumerate(some)] + [(shared, some[1]), (3, passages[0] + " end"), (9, passages[2])]
+    frame = docs(rows)
+    order = frame.distinct().select("doc_id", "text").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()
+    seen, want = set(), {}
+    for d, text in order:
+        words = text.split()
+        keep = [True] * len(words)
+        for i in range(len(words) - 19):
+            if (window := tuple(words[i:i + 20])) in seen:
+                keep[i:i + 20] = [False] * 20
+            seen.add(window)
+        want[d, " ".join(w for w, k in zip(words, keep) if k), len(words)] = sum(r == (d, text) for r in rows)
+    got = Counter((r.doc_id, r.text, r.n_words) for r in substrings.dedup_substrings(frame.repartition(1)).collect())
+    assert got == Counter(want)
+
+
 def test_lines(docs):
     a = "the quick brown fox jumps over the lazy dog again and again"
     rows = [(1, f"{a}\n\n \nshort"), (2, f"x\n{a} now\nshort\n\n"), (2, f"x\n{a} now\nshort\n\n"), (3, None), (4, ""), (5, LONG), (None, a.upper())]
