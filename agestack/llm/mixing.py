@@ -5,7 +5,8 @@ The stream is cut into blocks.  A splitting tree over the output shards divides
 the left half's quotas are one draw from the multivariate hypergeometric distribution, so every shard gets whole
 blocks, no block twice, and each source exactly its quota.  Within a shard the pieces stand in the order of a hash.
 
-Only the quotas (one number per source) and the tree (one number per source and shard) pass through the driver.
+Only the quotas (one number per source) and the tree (one number per source and shard) pass through the driver, and only
+while they are few; the draw for many sources is made in Spark.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from .common import settle, small, text_of, word_count, words_of
 HASH_BITS = 60
 #: Rows of a source whose running sum is made in one task; a source of any size has as many such parts as it needs.
 ROWS_PER_PART = 4096
-#: The tree is made on the driver; beyond so many numbers, use fewer shards.
+#: The tree is made on the driver; beyond so many numbers, blocks are drawn in Spark.
 TREE_NUMBERS = 4_000_000
 
 
@@ -51,7 +52,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     each = each.select(
         "*", F.sum("source_size").over(W.partitionBy()).alias("total"),
         (F.sum("cap").over(filling.rowsBetween(W.unboundedPreceding, 0)) - F.col("cap")).alias("caps"),
-        F.sum("w").over(filling.rowsBetween(0, W.unboundedFollowing)).alias("rest"),
+        # a frame up to the end would cost the square of the sources
+        (F.sum("w").over(W.partitionBy()) - F.sum("w").over(filling.rowsBetween(W.unboundedPreceding, 0)) + F.col("w")).alias("rest"),
     )
     level = F.max((F.col("total") * F.lit(share) - F.col("caps")) / F.col("rest")).over(W.partitionBy())
     return each.withColumn("level", level).select(
@@ -79,8 +81,37 @@ def splitting_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return splits
 
 
-def placed(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """Adds ``start``, the words of its source that stand before a document.
+def drawn_runs(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """``__key, __runs``: per source with blocks ``(first, shard)``, the first block of each shard that has any, in order.
+
+    The draw of the splitting tree for any number of sources.  In the order of a seeded hash of all blocks each node's left
+    half takes the first ones, so it has as many as in the tree and a source's share of them has the same distribution.
+    A block's rank is found by counts of hash ranges, then within its range.
+    """
+    total = quotas.agg(F.sum("quota")).first()[0] or 0
+    levels = shards.bit_length() - 1
+    bits = min((total // ROWS_PER_PART).bit_length() + 1, 32)
+    blocks = quotas.filter("quota > 0").select(
+        "__key", "quota", F.explode(F.expr(f"sequence(0L, (quota - 1) div {ROWS_PER_PART})")).alias("chunk"))
+    each = f"sequence(chunk * {ROWS_PER_PART}, least((chunk + 1) * {ROWS_PER_PART}, quota) - 1)"
+    blocks = blocks.repartition("__key", "chunk").select("__key", F.explode(F.expr(each)).alias("b"))
+    blocks = blocks.withColumn("h", F.xxhash64(F.lit(seed), "__key", "b")).withColumn("range", F.shiftright("h", 64 - bits))
+    ranges = blocks.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, 0))
+    ranges = ranges.select("range", (upto - F.col("n")).alias("before"))
+    place = F.row_number().over(W.partitionBy("range").orderBy("h", "__key", "b")) - 1
+    ranked = blocks.withColumn("place", place).join(ranges, "range").select("__key", (F.col("before") + F.col("place")).alias("rank"))
+    shard = f"""aggregate(sequence(1, {levels}), named_struct('n', 1, 'r', rank, 't', {total}L), (a, i) ->
+        if(a.r >= a.t div 2, named_struct('n', a.n * 2 + 1, 'r', a.r - a.t div 2, 't', a.t - a.t div 2),
+           named_struct('n', a.n * 2, 'r', a.r, 't', a.t div 2)), a -> a.n - {shards})""" if levels else "0"
+    counts = ranked.groupBy("__key", F.expr(shard).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    runs = counts.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("c"))
+    first = "aggregate(slice(c, 1, i), 0L, (s, y) -> s + y.n)"
+    return runs.select("__key", F.expr(f"transform(c, (x, i) -> named_struct('first', {first}, 'shard', x.shard))").alias("__runs"))
+
+
+def placed(sizes: DataFrame, sources: DataFrame, seed: int, runs: DataFrame | None = None) -> DataFrame:
+    """Adds ``start``, the words of its source that stand before a document, and the columns of ``runs`` if given.
 
     The running sum has two steps, so that a large source does not meet in one task: sums of hash ranges, then rows
     within a range.
@@ -93,6 +124,8 @@ def placed(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     parts = rows.groupBy("__key", "__part").agg(F.sum("size").alias("__in"))
     before = W.partitionBy("__key").orderBy("__part").rowsBetween(W.unboundedPreceding, 0)
     parts = parts.select("__key", "__part", (F.sum("__in").over(before) - F.col("__in")).alias("__before"))
+    if runs is not None:  # to the parts, so that the rows of a large source do not meet
+        parts = parts.join(runs, "__key", "left")
     within = W.partitionBy("__key", "__part").orderBy("__h", "doc_id", "size", "text_hash").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("__upto", F.sum("size").over(within))
     return rows.join(parts, ["__key", "__part"]).withColumn("start", F.col("__before") + F.col("__upto") - F.col("size"))
@@ -114,18 +147,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     sizes = sized(docs)
     spark = docs.sparkSession
     sources = settle(targets(sizes, weights, share, limit), "mix-sources")
-    quotas = sources.select(
-        "__key", F.ceil(F.round("target") / block_words).cast("long").alias("quota")
-    ).orderBy("__key").limit(TREE_NUMBERS // shards + 1).collect()
-    if len(quotas) * shards > TREE_NUMBERS:
-        raise ValueError(f"{len(quotas)} sources by {shards} shards: use fewer shards")
-    tree = splitting_tree([r.quota for r in quotas], shards, seed)
-    schema = T.StructType([T.StructField("__key", T.StringType()), T.StructField("__splits", T.ArrayType(T.LongType()))])
-    splits = spark.createDataFrame([(r["__key"], tree[i].tolist()) for i, r in enumerate(quotas)], schema)
-    rows = placed(sizes, sources, seed).join(small(splits), "__key")
+    quotas = sources.select("__key", F.ceil(F.round("target") / block_words).cast("long").alias("quota"))
+    few = quotas.orderBy("__key").limit(TREE_NUMBERS // shards + 1).collect()
     levels = shards.bit_length() - 1
+    if len(few) * shards <= TREE_NUMBERS:
+        tree = splitting_tree([r.quota for r in few], shards, seed)
+        schema = T.StructType([T.StructField("__key", T.StringType()), T.StructField("__splits", T.ArrayType(T.LongType()))])
+        splits = spark.createDataFrame([(r["__key"], tree[i].tolist()) for i, r in enumerate(few)], schema)
+        rows = placed(sizes, sources, seed).join(small(splits), "__key")
+        shard = f"aggregate(sequence(1, {levels}), 1, (n, i) -> n * 2 + if(b >= __splits[n], 1, 0)) - {shards}" if levels else "0"
+    else:
+        rows = placed(sizes, sources, seed, settle(drawn_runs(quotas, shards, seed), "mix-runs"))
+        shard = "element_at(filter(__runs, r -> r.first <= b), -1).shard"
     passes = ", ".join(f"{p}L" for p in range(limit))
-    shard = f"aggregate(sequence(1, {levels}), 1, (n, i) -> n * 2 + if(b >= __splits[n], 1, 0)) - {shards}" if levels else "0"
     pieces = f"""
         flatten(transform(array({passes}), p -> transform(
             if(least(start + p * source_size + size, __words) > start + p * source_size,

@@ -291,6 +291,43 @@ def test_mix(docs):
     assert sum(len(r.text.split()) for r in texts) == sum(r.taken for r in got)
 
 
+def test_mix_of_more_sources_than_the_tree_holds(docs, monkeypatch):
+    rows = [(i, "a b c d e " * (i % 7), f"s{i % 40}") for i in range(400)] + [(i, "x " * 90, "big") for i in range(400, 600)] + [
+        (600, None, None), (601, "n m", None), (602, "", "empty")]
+    frame = docs(rows)
+    tree = mixing.mix(frame, shards=16, block_words=16).collect()
+    monkeypatch.setattr(mixing, "TREE_NUMBERS", 100)
+    got = mixing.mix(frame, shards=16, block_words=16)
+    assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
+    got = got.collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(frame.repartition(3), shards=16, block_words=16).collect()))
+
+    def but_shards(rows):
+        return sorted(str((r.doc_id, r.source, r["size"], r.target, r.taken, [(p["block"], p["first"], p["last"], p["place"]) for p in r.pieces])) for r in rows)
+
+    def blocks(rows):
+        found = {}
+        for r in rows:
+            for p in r.pieces:
+                assert found.setdefault((r.source, p["block"]), p["shard"]) == p["shard"]  # a block lies in one shard
+        return found
+
+    assert but_shards(got) == but_shards(tree)
+    mine = blocks(got)
+    assert Counter(mine.values()) == Counter(blocks(tree).values())
+    assert all(mine[s, b] <= mine.get((s, b + 1), 99) for s, b in mine)  # shards own runs of a source's blocks
+    big = Counter(k for (s, _), k in mine.items() if s == "big")
+    assert len(big) == 16 and max(big.values()) < 2 * min(big.values())
+    assert len(mixing.mix(frame, shards=1, block_words=16).filter("taken > 0").collect()) == sum(r.taken > 0 for r in tree)
+
+
+def test_mix_of_a_source_per_document(spark):
+    n = mixing.TREE_NUMBERS // 64 + 500
+    frame = spark.range(n).selectExpr("id AS doc_id", "'a b c d' AS text", "concat('site', id) AS source")
+    row = mixing.mix(frame).selectExpr("count(*) AS n", "sum(taken) AS taken", "sum(target) AS target", "count(DISTINCT pieces[0].shard) AS shards").first()
+    assert row.n == n and abs(row.taken - row.target) < n / 2 and row.taken > n and row.shards == 64
+
+
 def test_splitting_tree():
     tree = mixing.splitting_tree([1000, 10, 0, 500], 16, 3)
     assert tree.shape == (4, 16) and (tree == mixing.splitting_tree([1000, 10, 0, 500], 16, 3)).all()
