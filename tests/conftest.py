@@ -12,5 +12,3 @@ def spark():
 
     return local_session("tests", 4)
 
-
-SF = "/root/testdata/sf0.001"

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from agestack.operators import folds
 from agestack.plans import standins as t
-from conftest import SF
+from oracle import SF
 
 
 @pytest.fixture(scope="module")

@@ -3,7 +3,7 @@
 import pytest
 
 from agestack.plans import catalog
-from conftest import SF
+from oracle import SF
 from oracle import check, duck
 
 

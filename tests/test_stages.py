@@ -7,7 +7,7 @@ from agestack.operators import score
 from agestack.plans import stages, standins as t
 from agestack.session import scratch_path
 from agestack.sources.store import ModelStore
-from conftest import SF
+from oracle import SF
 
 TRIALS = [
     {"trial": 0, "alpha": 0.02, "l1": 0.5, "min_cap": 5, "max_cap": 50, "mult": 1.0},
