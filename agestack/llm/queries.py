@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, html, lines, lm, minhash, mixing, quality, substrings, urls
+from . import chat, decontam, html, lines, lm, minhash, mixing, quality, substrings, tokens, urls
 from .common import documents, frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,11 @@ SELECT conv_id, speaker, segment, count(*) AS n_messages,
            FILTER (WHERE role = speaker), '') AS spans,
        (max(upto) - coalesce(sum(body) FILTER (WHERE role = speaker), 0))::BIGINT AS n_masked
 FROM placed GROUP BY conv_id, speaker, segment"""
+
+
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return tokens.token_table(documents(spark, sf_dir), file.read())
