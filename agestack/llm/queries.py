@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, html, lines, lm, minhash, mixing, quality, substrings, tokens, urls
+from . import chat, codes, decontam, html, lines, lm, minhash, mixing, quality, substrings, tokens, urls
 from .common import documents, frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,37 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         return tokens.token_table(documents(spark, sf_dir), file.read())
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(frame(spark, sf_dir, "embeddings"))
+
+
+_KEPT = """SELECT vec_id, label, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"""
+_ASSIGN = """assign{n} AS (
+    SELECT vec_id, x.p, min(((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) + (x.c - y.c) * (x.c - y.c)
+                             + (x.d - y.d) * (x.d - y.d)) * 64 + y.e) AS k
+    FROM parts x JOIN book{n} y ON x.p = y.p GROUP BY vec_id, x.p
+)"""
+_MOVE = """book{m} AS (
+    SELECT p, e, coalesce(m.a, o.a) AS a, coalesce(m.b, o.b) AS b, coalesce(m.c, o.c) AS c, coalesce(m.d, o.d) AS d
+    FROM book{n} o LEFT JOIN (
+        SELECT p, k % 64 AS e, floor(sum(a) / count(*))::BIGINT AS a, floor(sum(b) / count(*))::BIGINT AS b,
+               floor(sum(c) / count(*))::BIGINT AS c, floor(sum(d) / count(*))::BIGINT AS d
+        FROM parts JOIN assign{n} USING (vec_id, p) GROUP BY p, k % 64) m USING (p, e)
+)"""
+SQL["op12_vector_codes"] = f"""
+WITH kept AS ({_KEPT}
+), parts AS (
+    SELECT vec_id, p, v[4 * p + 1] AS a, v[4 * p + 2] AS b, v[4 * p + 3] AS c, v[4 * p + 4] AS d FROM kept, range(16) t(p)
+), seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64
+), book0 AS (SELECT p, e, a, b, c, d FROM parts JOIN seeds USING (vec_id)
+), {_ASSIGN.format(n=0)}, {_MOVE.format(n=0, m=1)}, {_ASSIGN.format(n=1)}, {_MOVE.format(n=1, m=2)}, {_ASSIGN.format(n=2)}
+, codes AS (
+    SELECT vec_id, string_agg(format('{{:02x}}', k % 64), '' ORDER BY p) AS code, sum(k // 64)::BIGINT AS error FROM assign2 GROUP BY vec_id
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(concat_ws(',', a, b, c, d), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256
+FROM codes JOIN kept USING (vec_id)"""
