@@ -21,25 +21,25 @@ BROADCAST_ROWS = 500_000
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Within it, tasks exchange batches of at most ``BATCH_ROWS`` rows with Python."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Within it, tasks exchange batches of at most ``rows`` rows with Python."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
-def settle(df: DataFrame, label: str = "table") -> DataFrame:
-    """Written to the shared folder and read back, in small batches where Python takes part.
+def settle(df: DataFrame, label: str = "table", rows: int = BATCH_ROWS) -> DataFrame:
+    """Written to the shared folder and read back, in batches of at most ``rows`` rows where Python takes part.
 
     The shuffle files behind ``df`` are then of no more use.  Spark deletes them once the driver has collected the objects
     that name them, which may be long after, so the driver is asked to collect now.
     """
     spark = df.sparkSession
-    with small_batches(spark):
+    with small_batches(spark, rows):
         written = session.settle(df, label)
     gc.collect()
     spark.sparkContext._jvm.System.gc()

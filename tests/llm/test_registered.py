@@ -40,7 +40,7 @@ def test_sql(spark, con, name):
 
 def test_one_query_per_operator():
     assert [n.partition("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].partition("_")[0]))] == [
-        f"op{n}" for n in range(1, 13)]
+        f"op{n}" for n in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", ["op4_lines", "op7_decontaminate", "op8_mix", "op10_perspectives"])
