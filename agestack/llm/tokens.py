@@ -39,8 +39,8 @@ RANK_BITS = 512
 PIECE = 1 << 18
 #: Texts are cut at spaces to pieces of at least so many characters while they are encoded.
 TEXT_PIECE = 1_000_000
-#: Words and characters of words whose ids a Python worker remembers; beyond, it starts anew.
-KNOWN_WORDS, KNOWN_CHARS = 600_000, 24_000_000
+#: Words and characters of words whose ids a Python worker remembers; beyond, it forgets those not met again.
+KNOWN_WORDS, KNOWN_CHARS = 400_000, 16_000_000
 MAGIC = b"DACS0001"
 
 
@@ -89,6 +89,7 @@ class Encoder:
             and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added))
         self.added = [t["content"] for t in added]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words not met since ``known`` was begun
         self.parts: dict[str, bytes] = {}
         self.chars = 0
 
@@ -121,7 +122,10 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         other = []
         for word in words:
-            if word.isalpha() and (word.isascii() or max(word) < _LATIN):
+            code = self.older.get(word)
+            if code is not None:
+                self.known[word] = code
+            elif word.isalpha() and (word.isascii() or max(word) < _LATIN):
                 self.known[word] = self._model(" " + word)
             elif (word.isascii() or max(word) < _LATIN) and not _ODD.search(word) and not (
                     self.added and any(a in word for a in self.added)):
@@ -161,7 +165,7 @@ class Encoder:
         if not self.by_words:
             return self._ids(texts)
         if len(self.known) > KNOWN_WORDS or self.chars > KNOWN_CHARS:
-            self.known, self.parts, self.chars = {}, {}, 0
+            self.older, self.known, self.parts, self.chars = self.known, {}, {}, 0
         pieces = self._pieces(texts)
         heads = self._ids([p[0] for p in pieces])
         rests = [p[1:] for p in pieces]
