@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.scalar import fill_missing, missing_to_null
 from ..session import settle
 from .align import feature_columns
+from .grids import grid_medians
 from .ranking import MEDIAN_GROUP_ROWS, exact_median
 from .stats import matrix
 
@@ -56,10 +57,16 @@ def filter_and_impute(wide: DataFrame, strategy: str = "median", group_rows: int
 
 
 def packed_fills(packed: DataFrame, p: int, strategy: str = "median") -> list[float]:
-    """Fill value of every column of a packed matrix, 0 for columns without values.  The row count bounds
-    every group."""
-    cells = packed.select(F.posexplode("values").alias("idx", "value"))
-    return column_fills(cells, p, strategy, packed.count())
+    """Fill value of every column of a packed matrix, 0 for columns without values."""
+    if strategy == "median":
+        return np.nan_to_num(grid_medians(packed, p)[0], nan=0.0, posinf=np.inf, neginf=-np.inf).tolist()
+    return column_fills(packed.select(F.posexplode("values").alias("idx", "value")), p, strategy, packed.count())
+
+
+def fold_fills(packed: DataFrame, p: int, fold: str, n_splits: int) -> np.ndarray:
+    """Medians ``[held-out fold, feature]`` of the rows outside each fold, and in the last row those of all rows; 0 for columns
+    without values."""
+    return np.nan_to_num(grid_medians(packed, p, fold, n_splits), nan=0.0, posinf=np.inf, neginf=-np.inf)
 
 
 def column_fills(cells: DataFrame, p: int, strategy: str = "median", largest: int | None = None) -> list[float]:
@@ -73,14 +80,17 @@ def column_fills(cells: DataFrame, p: int, strategy: str = "median", largest: in
     return [float(by_index.get(i) or 0.0) for i in range(p)]
 
 
-def impute_packed(packed: DataFrame, fills: list[float]) -> DataFrame:
+def impute_packed(packed: DataFrame, fills: list[float] | np.ndarray, key: str | None = None) -> DataFrame:
+    """Packed rows without gaps.  With ``key`` a row takes the line of ``fills`` that its whole number names."""
     vector, where = np.asarray(fills, dtype=np.float64), packed.columns.index("values")
+    p = vector.shape[-1]
     schema = T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType())) if f.name == "values" else f for f in packed.schema])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(where), len(vector), vector)
-            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(vector))
+            own = vector if key is None else vector[batch.column(key).to_numpy(zero_copy_only=False).astype(np.int64)]
+            x = matrix(batch.column(where), p, own)
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * p)
             columns = [*batch.columns]
             columns[where] = pa.ListArray.from_arrays(ends, pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)

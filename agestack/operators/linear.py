@@ -23,18 +23,35 @@ def _centred(total: np.ndarray, use: np.ndarray | None = None):
     return n, mx, my, sxx, sxy
 
 
-def ridge_weights(total: np.ndarray, alpha: float, use: np.ndarray | None = None) -> tuple[float, np.ndarray]:
-    """Minimise ||y - Xw - b||^2 + alpha ||w||^2."""
+def unit_scales(total: np.ndarray, use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Means and standard deviations (of the whole set, 1 for constant features) from Z'Z."""
+    p = len(total) - 2
+    at = 1 + (np.arange(p) if use is None else use)
+    mean, square = total[0, at] / total[0, 0], total[at, at] / total[0, 0]
+    spread = square - mean * mean
+    # a difference that rounding alone can make is none
+    return mean, np.where(spread > 1e-12 * np.maximum(square, 1e-300), np.sqrt(np.maximum(spread, 0.0)), 1.0)
+
+
+def ridge_weights(total: np.ndarray, alpha: float, use: np.ndarray | None = None,
+                  standardize: bool = False) -> tuple[float, np.ndarray]:
+    """Minimise ||y - Xw - b||^2 + alpha ||w||^2; with ``standardize`` the penalty is on the weights of features of unit
+    scale, and the weights returned are those of the features as they are."""
     _, mx, my, sxx, sxy = _centred(total, use)
-    w = np.linalg.lstsq(sxx + alpha * np.eye(len(sxy)), sxy, rcond=None)[0]
+    scale = unit_scales(total, use)[1] if standardize else np.ones(len(sxy))
+    w = np.linalg.lstsq(sxx / np.outer(scale, scale) + alpha * np.eye(len(sxy)), sxy / scale, rcond=None)[0] / scale
     return float(my - mx @ w), w
 
 
 def elastic_net_weights(total: np.ndarray, alpha: float, l1_ratio: float, max_iter: int = 2000, tol: float = 1e-9,
-                        use: np.ndarray | None = None) -> tuple[float, np.ndarray]:
-    """Minimise ||y - Xw - b||^2 / 2n + alpha l1 |w| + alpha (1 - l1) ||w||^2 / 2 by cyclic descent."""
+                        use: np.ndarray | None = None, standardize: bool = False) -> tuple[float, np.ndarray]:
+    """Minimise ||y - Xw - b||^2 / 2n + alpha l1 |w| + alpha (1 - l1) ||w||^2 / 2 by cyclic descent.
+
+    ``standardize``: as for ``ridge_weights``; a congruence of the statistics, no second look at the rows.
+    """
     n, mx, my, sxx, sxy = _centred(total, use)
-    quad, lin = sxx / n, sxy / n
+    scale = unit_scales(total, use)[1] if standardize else np.ones(len(sxy))
+    quad, lin = sxx / n / np.outer(scale, scale), sxy / n / scale
     l1, l2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio)
     w, grad = np.zeros(len(lin)), lin.copy()
     for _ in range(max_iter):
@@ -51,6 +68,7 @@ def elastic_net_weights(total: np.ndarray, alpha: float, l1_ratio: float, max_it
                 w[j] = new
         if step <= tol * max(1.0, np.abs(w).max(initial=0.0)):
             break
+    w = w / scale
     return float(my - mx @ w), w
 
 
@@ -100,20 +118,37 @@ def spread(w: np.ndarray, p: int, use: np.ndarray | None) -> np.ndarray:
     return full
 
 
-def fit_ridge(stats: DataFrame, keys: list[str], p: int, alpha: float, use: list[int] | None = None) -> DataFrame:
+def fit_ridge(stats: DataFrame, keys: list[str], p: int, alpha: float, use: list[int] | None = None,
+              standardize: bool = False) -> DataFrame:
     positions = None if use is None else np.asarray(use, dtype=int)
 
     def solve(total: np.ndarray, c: dict) -> tuple[float, np.ndarray]:
-        base, w = ridge_weights(total, c["alpha"], positions)
+        base, w = ridge_weights(total, c["alpha"], positions, standardize)
         return base, spread(w, p, positions)
 
     return solve_per_key(stats, keys, p, [{"alpha": alpha}], solve)
 
 
 def fit_elastic_net(stats: DataFrame, keys: list[str], p: int, alpha: float, l1_ratio: float,
-                    max_iter: int = 2000) -> DataFrame:
+                    max_iter: int = 2000, standardize: bool = False) -> DataFrame:
     return solve_per_key(stats, keys, p, [{"alpha": alpha, "l1": l1_ratio}],
-                         lambda t, c: elastic_net_weights(t, c["alpha"], c["l1"], max_iter))
+                         lambda t, c: elastic_net_weights(t, c["alpha"], c["l1"], max_iter, standardize=standardize))
+
+
+def scale_table(stats: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, idx, mean, scale`` of every feature from Gram triangles: all that scoring at unit scale needs, without the rows."""
+    n = F.max(F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("v")))
+    last = F.max("j")
+    total = stats.groupBy(*keys).agg(n.alias("n"), last.alias("last"))
+    sums = stats.filter("i = 0 and j > 0").select(*keys, F.col("j").alias("at"), F.col("v").alias("s"))
+    squares = stats.filter("i = j and i > 0").select(*keys, F.col("i").alias("at"), F.col("v").alias("q"))
+    same = [*keys, "at"]
+    each = sums.join(squares, same)
+    each = (each.join(total, keys) if keys else each.crossJoin(F.broadcast(total))).filter("at < last")
+    mean, square = F.col("s") / F.col("n"), F.col("q") / F.col("n")
+    spread = square - mean * mean
+    scale = F.when(spread > 1e-12 * square, F.sqrt(spread)).otherwise(1.0)
+    return each.select(*keys, (F.col("at") - 1).alias("idx"), mean.alias("mean"), scale.alias("scale"))
 
 
 def fit_tissue_family(per_tissue: DataFrame, p: int, alpha: float, min_samples: int = 50, key: str = "Tissue",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,8 +14,9 @@ from ..functions.scalar import AGE_TARGET, PLAIN_TARGET, Target, hash_fraction
 from ..session import settle
 from .align import pick_features
 from .folds import fold_samples, fold_targets, valid_copies
+from .impute import impute_packed
 from .linear import (
-    elastic_net_weights, ridge_weights, solve_per_key,
+    elastic_net_weights, ridge_weights, scale_table, solve_per_key,
 )
 from .score import MODEL_NUMBERS, model_arrays
 from .stats import brought_together, fewer_tasks, gram, matrix
@@ -128,6 +130,7 @@ class SampledStats:
     y: str
     fills: list[float] | None
     solver: str = "gram"
+    standardize: bool = False
     triangles: dict = field(default_factory=dict)
 
     def stats(self, use: tuple[int, ...] | None) -> DataFrame:
@@ -144,10 +147,13 @@ class SampledStats:
 
 
 def sampled_fold_stats(data: DataFrame, p: int, y: str, caps: DataFrame, n_splits: int = 5, min_cohorts: int = 2,
-                       seed: int = 42, fills: list[float] | None = None,
-                       solver: str = "gram") -> SampledStats:
+                       seed: int = 42, fills: list[float] | None = None, solver: str = "gram",
+                       standardize: bool = False, set_fills: np.ndarray | None = None) -> SampledStats:
     """The balanced sample of every training set and every sampler setting, in one pass.
 
+    ``set_fills`` has a line of fill values for every training set, in place of ``fills`` for all.  ``standardize``: penalties are on
+    features of unit scale in their own training set.
+
     Balanced samples are nested, so each sampled row enters one band, the smallest size that includes it;
     adding up the bands gives the statistics of every size without sampling or summing twice.
     """
@@ -175,15 +181,20 @@ def sampled_fold_stats(data: DataFrame, p: int, y: str, caps: DataFrame, n_split
     matrix_rows = data.select("sample_id", "values", y)
     if solver not in ("gram", "working_set"):
         raise ValueError(f"no solver {solver!r}")
+    if solver == "working_set" and standardize:
+        raise ValueError("features of unit scale need the solver 'gram'")
     if solver == "working_set":  # read again in every round, so keep only the sampled rows
         matrix_rows = settle(matrix_rows.join(banded.select("sample_id").distinct(), "sample_id", "left_semi"), "rows")
-    return SampledStats(matrix_rows.join(banded, "sample_id"), uses, n_splits, p, y, fills, solver)
+    rows = matrix_rows.join(banded, "sample_id")
+    if set_fills is not None:
+        rows, fills = impute_packed(rows, set_fills, "held_out"), None
+    return SampledStats(rows, uses, n_splits, p, y, fills, solver, standardize)
 
 
-def _solver(max_iter: int):
+def _solver(max_iter: int, standardize: bool = False):
     def solve(total: np.ndarray, c: dict) -> tuple[float, np.ndarray]:
         positions = None if c["use"] is None else np.asarray(c["use"])
-        return elastic_net_weights(total, c["alpha"], c["l1"], max_iter, use=positions)
+        return elastic_net_weights(total, c["alpha"], c["l1"], max_iter, use=positions, standardize=standardize)
     return solve
 
 
@@ -195,7 +206,7 @@ def fit_jobs(sampled: SampledStats, jobs: list[dict], max_iter: int = 2000) -> l
     keys, by_number = ["held_out", "band"], {c["trial"]: c["use"] for c in jobs}
 
     def solved(stats: DataFrame, p: int, some: list[dict]) -> list[dict]:
-        rows = solve_per_key(stats, keys, p, some, _solver(max_iter)).collect()
+        rows = solve_per_key(stats, keys, p, some, _solver(max_iter, sampled.standardize)).collect()
         return [{**r.asDict(), "use": by_number[r["trial"]]} for r in rows]
 
     if sampled.solver == "gram":
@@ -203,6 +214,22 @@ def fit_jobs(sampled: SampledStats, jobs: list[dict], max_iter: int = 2000) -> l
     return fit_working_sets(sampled, jobs, max_iter)
 
 
+def scales_of(sampled: SampledStats, models: list[dict]) -> list[dict]:
+    """The models with ``mean`` and ``scale`` of their features in their own training set."""
+    wanted = {(m["held_out"], m["band"]) for m in models}
+    found: dict[tuple, dict] = {k: {} for k in wanted}
+    stats = sampled.stats(None)
+    some = functools.reduce(Column.__or__, [(F.col("held_out") == h) & (F.col("band") == b) for h, b in wanted])
+    for r in scale_table(stats.filter(some), ["held_out", "band"]).collect():
+        found[(r["held_out"], r["band"])][r["idx"]] = (r["mean"], r["scale"])
+    out = []
+    for m in models:
+        at = range(sampled.p) if m["use"] is None else m["use"]
+        pairs = np.array([found[(m["held_out"], m["band"])][i] for i in at]).reshape(-1, 2)
+        out.append({**m, "mean": pairs[:, 0], "scale": pairs[:, 1]})
+    return out
+
+
 def violators(sampled: SampledStats, models: list[dict], grow: int) -> DataFrame:
     """``job, idx, gradient`` of features without weight whose gradient exceeds the model's L1 bound, the ``grow`` steepest
     of each piece of features.

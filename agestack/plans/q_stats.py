@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.metrics import fold_scores, mae, micro_macro_mae, regression_metrics
-from ..functions.scalar import age_to_scale, scale_to_age
+from ..functions.scalar import AGE_TARGET, age_to_scale, scale_to_age
 from ..operators import folds, linear, selection
-from ..operators.impute import fill_values, filter_and_impute, impute_cells, impute_packed
+from ..operators.align import pick_features
+from ..operators.impute import fill_values, filter_and_impute, fold_fills, impute_cells, impute_packed
+from ..operators.linear import fit_elastic_net, fit_ridge, scale_table
 from ..operators.ranking import exact_median, narrowing_median
 from ..operators.score import score_simple_with_fallback
 from ..operators.search import grid_candidates, random_candidates
 from ..operators.stats import all_but_each_fold, gram, simple_stats
-from ..session import settle
+from ..session import scratch_path, settle
+from ..sources.store import ModelStore
 from . import standins as t
 from .registry import query, rounded
 
@@ -518,3 +522,59 @@ def agg6_median(spark, sf):
     error = F.abs(F.col("l_quantity") - F.col("l_extendedprice") / 2000).alias("e")
     return exact_median(t.table(spark, sf, "lineitem").select("l_linestatus", error), ["l_linestatus"], "e",
                         group_rows=1000).withColumn("median", rounded("median"))
+
+
+@query("agg1_fold_medians", f"""WITH {t.CELLS_SQL}, outside AS (
+  SELECT h.held_out, c.feature, c.dim, c.value FROM cells c JOIN (SELECT CAST(x AS INTEGER) AS held_out FROM range(6) r(x)) h
+    ON CAST(c.sample_id AS BIGINT) % 5 <> h.held_out)
+SELECT held_out, dim, round(coalesce(median(value), 0), 6) + 0.0 AS fill FROM outside GROUP BY held_out, dim""")
+def agg1_folds(spark, sf):
+    """Medians of the rows outside each of five folds, and of all rows (set 5), from one set of grids."""
+    rows = t.packed(spark, sf).withColumn("fold", (F.col("sample_id").cast("long") % 5).cast("int"))
+    fills = fold_fills(rows, t.DIMS, "fold", 5)
+    table = [(h, d, float(v)) for (h, d), v in np.ndenumerate(fills)]
+    return spark.createDataFrame(table, "held_out int, dim int, fill double").withColumn("fill", rounded("fill"))
+
+
+_UNIT_SQL = f"""WITH {t.FILLED_SQL}, rows AS (
+  SELECT "Tissue", {t.Y_SQL} AS y, max(value) FILTER (dim = 0) AS a, max(value) FILTER (dim = 1) AS b
+  FROM filled WHERE dim < 2 GROUP BY sample_id, "Tissue", "Age"), sums AS (
+  SELECT "Tissue", count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb,
+         covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS "by" FROM rows GROUP BY "Tissue")"""
+
+
+def _two_features(spark, sf):
+    rows = impute_packed(t.packed(spark, sf, with_meta=True), t.fills(spark, sf)).withColumn("y", AGE_TARGET.forward(F.col("Age")))
+    return pick_features(rows, [0, 1])
+
+
+@query("fn10_standardized_ridge", _UNIT_SQL + """, solved AS (
+  SELECT *, n + 2.0 AS d, n * ab / (sa * sb) AS c, n * ay / sa AS ra, n * "by" / sb AS rb FROM sums), weights AS (
+  SELECT *, (d * ra - c * rb) / (d * d - c * c) / sa AS wa, (d * rb - c * ra) / (d * d - c * c) / sb AS wb FROM solved)
+SELECT "Tissue", round(wa, 6) + 0.0 AS w0, round(wb, 6) + 0.0 AS w1, round(my - wa * ma - wb * mb, 6) + 0.0 AS intercept FROM weights""")
+def fn10_ridge(spark, sf):
+    """Ridge of two features at unit scale, per tissue, by a congruence of the Gram statistics."""
+    models = fit_ridge(gram(_two_features(spark, sf), ["Tissue"], 2, "y"), ["Tissue"], 2, 2.0, standardize=True)
+    return models.select("Tissue", *[rounded(F.get("weights", F.lit(i))).alias(f"w{i}") for i in (0, 1)], rounded("intercept").alias("intercept"))
+
+
+@query("fn10_stored_scaling", _UNIT_SQL + """, unit AS (
+  SELECT *, sign(ay / sa) * greatest(abs(ay / sa) - 0.01 * 0.5, 0) / (1 + 0.01 * 0.5) AS u FROM sums)
+SELECT "Tissue" AS model_key, round(ma, 6) + 0.0 AS mean, round(sa, 6) + 0.0 AS scale, round(u, 6) + 0.0 AS unit_weight,
+       round(my, 6) + 0.0 AS unit_intercept, round(u / sa, 6) + 0.0 AS weight, round(my - u / sa * ma, 6) + 0.0 AS intercept FROM unit""")
+def fn10_stored(spark, sf):
+    """An elastic net per tissue, trained and stored at unit scale, and what scoring loads: scale folded into the weights."""
+    stats = settle(gram(pick_features(_two_features(spark, sf), [0]), ["Tissue"], 1, "y"), "gram")
+    fitted = fit_elastic_net(stats, ["Tissue"], 1, 0.01, 0.5, standardize=True).join(scale_table(stats, ["Tissue"]), "Tissue")
+    models = [{"model_key": r["Tissue"], "intercept": r["intercept"], "weights": r["weights"], "use": [0], "mean": np.array([r["mean"]]),
+               "scale": np.array([r["scale"]])} for r in fitted.collect()]
+    store = ModelStore(spark, scratch_path(spark, "store"))
+    store.save_fitted("unit", models, t.FEATURES[:1])
+    loaded = spark.createDataFrame([(m["model_key"], float(m["weights"].sum()), float(m["intercept"])) for m in store.load_fitted("unit")],
+                                   "model_key string, weight double, intercept double")
+    kept = store.load("unit_scaling").join(store.load("unit_coefficients"), ["model_key", "idx", "feature"]).join(
+        store.load("unit_intercepts").withColumnRenamed("intercept", "unit_intercept"), "model_key")
+    names = {"mean": "mean", "scale": "scale", "unit_weight": kept["weight"], "unit_intercept": "unit_intercept", "weight": loaded["weight"],
+             "intercept": loaded["intercept"]}
+    both = kept.join(loaded, "model_key")
+    return both.select(loaded["model_key"], *[rounded(c).alias(n) for n, c in names.items()])

@@ -7,6 +7,8 @@ hands the next one tables in a ``ModelStore``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import AGE_TARGET, PLAIN_TARGET, Target
@@ -16,14 +18,14 @@ from ..operators.align import (
 )
 from ..operators.contract import require_unique, require_width
 from ..operators.folds import balanced_folds, healthy_filter, with_folds
-from ..operators.impute import packed_fills
+from ..operators.impute import fold_fills, impute_packed, packed_fills
 from ..operators.linear import fit_tissue_family
 from ..operators.normalise import expert_columns, resolve_metadata, resolve_stage1_prediction
 from ..operators.score import (
     GLOBAL, few_numbers, fused_age, model_arrays, residual, score_many, score_packed, score_with_fallback,
 )
 from ..operators.search import (
-    ELASTIC_NET_SPACE, best_params, fit_jobs, jobs_for, random_candidates, sampled_fold_stats, search_elastic_net, search_ridge, training_triangles,
+    ELASTIC_NET_SPACE, best_params, fit_jobs, jobs_for, random_candidates, sampled_fold_stats, scales_of, search_elastic_net, search_ridge, training_triangles,
 )
 from ..operators.selection import assign_features, packed_correlation
 from ..operators.stats import gram
@@ -66,34 +68,60 @@ def training_table(store: ModelStore, samples: DataFrame, packed: DataFrame, fea
 
 
 def _fit_all(data: DataFrame, p: int, candidates: list[dict], fills: list[float], subsets: dict, target: Target,
-             n_splits: int, min_cohorts: int, seed: int, max_iter: int, halving: bool,
-             solver: str) -> tuple[DataFrame, list[dict], list[dict]]:
+             n_splits: int, min_cohorts: int, seed: int, max_iter: int, halving: bool, solver: str,
+             standardize: bool = False, set_fills: np.ndarray | None = None) -> tuple[DataFrame, list[dict], list[dict]]:
     """Search, held-out models and final models of all model keys from one balanced sample.
 
-    Returns the trial report, the final models and the models per held-out fold.
+    Returns the trial report, the final models and the models per held-out fold.  With ``set_fills`` the gaps of ``data`` are
+    filled already, each row's as its own held-out set's.
     """
     spark = data.sparkSession
     caps = spark.createDataFrame([(c["trial"], c["min_cap"], c["max_cap"], float(c["mult"])) for c in candidates],
                                  "trial int, min_cap int, max_cap int, mult double")
-    sampled = sampled_fold_stats(data, p, "y", caps, n_splits, min_cohorts, seed, fills, solver)
+    rows = data if set_fills is None else data.withColumn("values", F.col("gappy"))
+    sampled = sampled_fold_stats(rows, p, "y", caps, n_splits, min_cohorts, seed, fills, solver, standardize, set_fills)
     report = search_elastic_net(data, candidates, sampled, target, max_iter, halving, subsets)
     jobs = jobs_for(sampled, best_params(report), subsets, list(range(n_splits + 1)))
     keys = list(subsets)
     fitted = [{**m, "model_key": keys[m["trial"]]} for m in fit_jobs(sampled, jobs, max_iter)]
-    return report, [m for m in fitted if m["held_out"] == n_splits], [m for m in fitted if m["held_out"] < n_splits]
+    final = [m for m in fitted if m["held_out"] == n_splits]
+    return report, scales_of(sampled, final) if standardize and final else final, [m for m in fitted if m["held_out"] < n_splits]
+
+
+def _filled_by_fold(data: DataFrame, set_fills: np.ndarray | None) -> DataFrame:
+    """``data`` with the gaps of each row filled by the medians of the rows outside its fold; ``gappy`` keeps them as they were."""
+    return data if set_fills is None else impute_packed(data.withColumn("gappy", F.col("values")), set_fills, "fold")
+
+
+def _stored_fills(store: ModelStore, n_splits: int, p: int) -> np.ndarray | None:
+    """Fill values per held-out fold, if stage 1 was trained with them."""
+    if not store.load_settings("stage1_settings")["fold_medians"]:
+        return None
+    out = np.zeros((n_splits + 1, p))
+    rows = store.load("fold_medians").toArrow()
+    out[rows.column("held_out").to_numpy(), rows.column("idx").to_numpy()] = rows.column("fill").to_numpy()
+    return out
 
 
 def train_stage1(store: ModelStore, samples: DataFrame, packed: DataFrame, features: list[str],
                  hallmark_sites: DataFrame, candidates: list[dict] | None = None, n_splits: int = 5, seed: int = 42,
                  min_cohorts: int = 2, max_iter: int = 2000, halving: bool = False, orthogonal: bool = True,
-                 healthy_only: bool = True, solver: str = "gram", n_trials: int = N_TRIALS, space: dict | None = None) -> DataFrame:
+                 healthy_only: bool = True, solver: str = "gram", n_trials: int = N_TRIALS, space: dict | None = None,
+                 standardize: bool = False, fold_medians: bool = False) -> DataFrame:
     """Global elastic net on all features.  Saves models, fills, features, trials, the hallmark dictionary and
-    the training table; returns the out-of-fold table."""
+    the training table; returns the out-of-fold table.
+
+    ``standardize``: penalties are on features of unit scale; their means and scales are stored with the weights.
+    ``fold_medians``: held-out models and errors never see medians of their own fold; by default all training rows give the
+    medians.  Stage 2 follows the choice of either made here, unless told otherwise for ``standardize``.
+    """
     p = len(features)
     data = training_table(store, samples, packed, features, n_splits, seed, healthy_only)
-    fills = packed_fills(data, p)
+    set_fills = fold_fills(data, p, "fold", n_splits) if fold_medians else None
+    fills = set_fills[n_splits].tolist() if fold_medians else packed_fills(data, p)
+    plain, data = data, _filled_by_fold(data, set_fills)
     report, models, fold_models = _fit_all(data, p, drawn(data.sparkSession, candidates, n_trials, space, seed), fills, {GLOBAL: None}, AGE_TARGET, n_splits,
-                                       min_cohorts, seed, max_iter, halving, solver)
+                                       min_cohorts, seed, max_iter, halving, solver, standardize, set_fills)
     meta = ["sample_id", "Age", "project_id", "Tissue", "Sex", "Is_Healthy"]
     oof = score_many(data, fold_models, [GLOBAL], ["pred_age"], p, meta, ["fold"], ["held_out"], fills, AGE_TARGET)
     oof = oof.withColumnRenamed("Age", "age").select(
@@ -104,9 +132,13 @@ def train_stage1(store: ModelStore, samples: DataFrame, packed: DataFrame, featu
                                   "idx int, feature string, fill double")
     dictionary = expand_over_modalities(hallmark_sites, index)
     if orthogonal:
-        r = packed_correlation(data, p, "y", fills).join(index, "idx").select("feature", "r")
+        r = packed_correlation(plain, p, "y", fills).join(index, "idx").select("feature", "r")
         dictionary = assign_features(dictionary, r).select("hallmark", F.col("rank").alias("pos"), "feature")
     store.save("features", index)
+    store.save("stage1_settings", {"standardize": standardize, "fold_medians": fold_medians})
+    if set_fills is not None:
+        held_out, idx = (a.ravel().astype(np.int32) for a in np.indices(set_fills.shape))
+        store.save("fold_medians", spark.createDataFrame(pa.table({"held_out": held_out, "idx": idx, "fill": set_fills.ravel()})))
     store.save("stage1_trials", report)
     store.save("hallmark_features", dictionary)
     store.save_fitted("stage1", models, features)
@@ -131,7 +163,8 @@ def hallmark_subsets(store: ModelStore, features: list[str]) -> dict[str, list[i
 
 def train_stage2(store: ModelStore, candidates: list[dict] | None = None, n_splits: int = 5, seed: int = 42,
                  min_cohorts: int = 2, max_iter: int = 2000, halving: bool = False, target: str = "age",
-                 solver: str = "gram", n_trials: int = N_TRIALS, space: dict | None = None) -> DataFrame:
+                 solver: str = "gram", n_trials: int = N_TRIALS, space: dict | None = None,
+                 standardize: bool | None = None) -> DataFrame:
     """One expert per hallmark.  All experts share one pass for statistics and one for scoring.
 
     ``target='age'`` fits the transformed age; ``'residual'`` fits age minus the stage-1 prediction.
@@ -144,8 +177,12 @@ def train_stage2(store: ModelStore, candidates: list[dict] | None = None, n_spli
         pred = oof1.select("sample_id", "pred_age")
         data = settle(data.join(pred, "sample_id").withColumn("y", residual(F.col("Age"), F.col("pred_age"))).drop("pred_age"))
         inverse = PLAIN_TARGET
+    set_fills = _stored_fills(store, n_splits, len(features))
+    data = _filled_by_fold(data, set_fills)
+    if standardize is None:
+        standardize = store.load_settings("stage1_settings")["standardize"]
     report, models, fold_models = _fit_all(data, len(features), drawn(data.sparkSession, candidates, n_trials, space, seed), fills, subsets, inverse, n_splits,
-                                       min_cohorts, seed, max_iter, halving, solver)
+                                       min_cohorts, seed, max_iter, halving, solver, standardize, set_fills)
     outs = [EXPERT_PREFIX + h for h in subsets]
     preds = score_many(data, fold_models, list(subsets), outs, len(features), ["sample_id"], ["fold"], ["held_out"], fills,
                        inverse)

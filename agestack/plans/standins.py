@@ -98,10 +98,9 @@ def cells(spark: SparkSession, sf_dir: str, with_meta: bool = False) -> DataFram
 
 def fills(spark: SparkSession, sf_dir: str) -> list[float]:
     """Median of every column, 0 where there is no value."""
-    from ..operators.impute import column_fills
+    from ..operators.impute import packed_fills
 
-    numbered = cells(spark, sf_dir).select(F.col("dim").alias("idx"), "value")
-    return column_fills(numbered, DIMS, largest=table(spark, sf_dir, "embeddings").count())
+    return packed_fills(packed(spark, sf_dir), DIMS)
 
 
 def wide_modality(spark: SparkSession, sf_dir: str, modality: str) -> DataFrame:

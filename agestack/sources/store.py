@@ -55,7 +55,11 @@ class ModelStore:
         self.save(f"{stage}_intercepts", models.select("model_key", "intercept"))
 
     def save_fitted(self, stage: str, models: list[dict], features: list[str]) -> None:
-        """The same for models that carry only the weights of the features they ``use``."""
+        """The same for models that carry only the weights of the features they ``use``.
+
+        Models with ``mean`` and ``scale`` are stored at unit scale: weights and intercept are those of the features less their
+        mean, divided by their scale, and both are kept in ``<stage>_scaling``.
+        """
         import numpy as np
         import pyarrow as pa
 
@@ -65,14 +69,18 @@ class ModelStore:
         keys = np.repeat(np.arange(len(models)), [len(u) for u in uses])
         cells = pa.table({
             "model": pa.array(keys, type=pa.int32()), "idx": pa.array(np.concatenate([*uses, []]).astype(np.int32)),
-            "weight": pa.array(np.concatenate([*(np.asarray(m["weights"], dtype=float) for m in models), []]))})
+            "weight": pa.array(np.concatenate([*(np.asarray(m["weights"], dtype=float) * m.get("scale", 1.0) for m in models), []])),
+            "mean": pa.array(np.concatenate([*(np.broadcast_to(m.get("mean", np.nan), len(u)) for m, u in zip(models, uses)), []])),
+            "scale": pa.array(np.concatenate([*(np.broadcast_to(m.get("scale", np.nan), len(u)) for m, u in zip(models, uses)), []]))})
         names = pa.table({"model": pa.array(range(len(models)), type=pa.int32()),
                           "model_key": pa.array([m["model_key"] for m in models], type=pa.string()),
-                          "intercept": pa.array([float(m["intercept"]) for m in models], type=pa.float64())})
+                          "intercept": pa.array([float(m["intercept"] + np.sum(m.get("mean", 0.0) * np.asarray(m["weights"], dtype=float)))
+                                                 for m in models], type=pa.float64())})
         keyed = self.spark.createDataFrame(names)
         long = self.spark.createDataFrame(cells).join(keyed.select("model", "model_key"), "model").join(
-            feature_index(self.spark, features), "idx").select("model_key", "idx", "feature", "weight")
-        self.save(f"{stage}_coefficients", long)
+            feature_index(self.spark, features), "idx")
+        self.save(f"{stage}_coefficients", long.select("model_key", "idx", "feature", "weight"))
+        self.save(f"{stage}_scaling", long.filter("not isnan(scale)").select("model_key", "idx", "feature", "mean", "scale"))
         self.save(f"{stage}_intercepts", keyed.select("model_key", "intercept"))
 
     def load_models(self, stage: str) -> DataFrame:
@@ -83,13 +91,29 @@ class ModelStore:
         return self.load(f"{stage}_intercepts").join(packed, "model_key")
 
     def load_fitted(self, stage: str) -> list[dict]:
-        """The models on the driver, each with the positions its weights belong to; zeros stay in the store."""
+        """The models on the driver, each with the positions its weights belong to; zeros stay in the store.
+
+        Those stored at unit scale come back for the features as they are: weight / scale, and the intercept less what the
+        means take.
+        """
         from ..operators.linear import active
 
         import numpy as np
 
         models = {r["model_key"]: r.asDict() for r in self.load(f"{stage}_intercepts").collect()}
-        cells = active(self.load(f"{stage}_coefficients")).select("model_key", "idx", "weight").toArrow()
+        stored = active(self.load(f"{stage}_coefficients")).select("model_key", "idx", "weight")
+        try:
+            scaling = self.load(f"{stage}_scaling").select("model_key", "idx", "mean", "scale")
+        except FileNotFoundError:  # a store from before there was scaling
+            scaling = None
+        if scaling is not None and scaling.limit(1).count():
+            folded = stored.join(scaling, ["model_key", "idx"], "left").withColumn(
+                "weight", F.col("weight") / F.coalesce("scale", F.lit(1.0)))
+            taken = folded.groupBy("model_key").agg(F.sum(F.col("weight") * F.coalesce("mean", F.lit(0.0))).alias("taken"))
+            for r in taken.collect():
+                models[r["model_key"]]["intercept"] -= r["taken"]
+            stored = folded.select("model_key", "idx", "weight")
+        cells = stored.toArrow()
         keys = cells.column("model_key").combine_chunks().dictionary_encode()
         codes = keys.indices.to_numpy(zero_copy_only=False) if len(cells) else np.zeros(0, dtype=int)
         idx, weight = cells.column("idx").to_numpy(), cells.column("weight").to_numpy()

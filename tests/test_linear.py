@@ -122,3 +122,32 @@ def test_no_active_feature_scores_the_intercept(spark):
     cells = spark.createDataFrame([("s", "f", 1.0)], "sample_id string, feature string, value double")
     weights = spark.createDataFrame([("f", 0.0, 1.0, 0.0)], "feature string, mean double, scale double, weight double")
     assert score.score_cells(cells, weights, 2.5, cells).first()["score"] == 2.5
+
+
+def test_unit_scale_is_a_congruence(data):
+    """Statistics of raw features, solved at unit scale, give what scaled features give; a constant feature keeps scale 1."""
+    df, x, y, _ = data
+    raw = x * [1.0, 50.0, 0.01, 1.0, 7.0, 1.0] + [0, 3.0, 0, -2.0, 100.0, 0]
+    z = lambda a: np.column_stack([np.ones(len(a)), a, y])
+    total = z(raw).T @ z(raw)
+    mean, scale = linear.unit_scales(total)
+    sd = raw.std(axis=0)
+    sd[5] = 1.0
+    np.testing.assert_allclose(scale, sd, rtol=1e-9)
+    np.testing.assert_allclose(mean, raw.mean(axis=0))
+    unit = (raw - raw.mean(axis=0)) / sd
+    for solve, args in ((linear.ridge_weights, (2.5,)), (linear.elastic_net_weights, (0.05, 0.5))):
+        base, w = solve(total, *args, standardize=True)
+        unit_base, u = solve(z(unit).T @ z(unit), *args)
+        np.testing.assert_allclose(w * sd, u, atol=1e-7)
+        assert base + raw[3] @ w == pytest.approx(unit_base + unit[3] @ u, abs=1e-6)
+
+
+def test_scale_table(data):
+    df, x, _, tissue = data
+    got = {(r["Tissue"], r["idx"]): (r["mean"], r["scale"]) for r in linear.scale_table(gram(df, ["Tissue"], P, "y"), ["Tissue"]).collect()}
+    assert len(got) == 3 * P
+    for (name, i), (mean, scale) in got.items():
+        own = x[tissue == name, i]
+        assert mean == pytest.approx(own.mean(), abs=1e-6) and scale == pytest.approx(own.std() if i < 5 else 1.0, abs=1e-6)
+    assert linear.scale_table(gram(df, [], P, "y"), []).count() == P

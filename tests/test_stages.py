@@ -159,3 +159,38 @@ def test_default_search(spark, inputs):
                                        "mult": ("uniform", 0.8, 1.0)})
     assert first.filter("pred_age is not null").count() == inputs[0].filter("Is_Healthy").count()
     assert store.load("stage1_trials").select("trial").distinct().count() == 3
+
+
+def test_unit_scale_and_medians_of_each_training_set(spark, inputs, narrow):
+    """Both options end to end: what is stored, and that scoring folds it in."""
+    import numpy as np
+
+    from agestack.functions.scalar import AGE_TARGET
+
+    store, first = _train(spark, inputs, standardize=True, fold_medians=True)
+    second = stages.train_stage2(store, TRIALS, n_splits=3, min_cohorts=1)
+    assert second.count() == first.count() == narrow[1].count()
+    plain, other = _by_id(narrow[1], "pred_age"), _by_id(first, "pred_age")
+    assert max(abs(plain[k] - other[k]) for k in plain) > 1e-3
+
+    rows = store.load("training").select("sample_id", "fold", "values").collect()
+    x = np.array([[np.nan if v is None else v for v in r["values"]] for r in rows], dtype=float)
+    fold = np.array([r["fold"] for r in rows])
+    for r in store.load("fold_medians").collect():
+        own = x[fold != r["held_out"], r["idx"]]
+        own = own[~np.isnan(own)]
+        assert r["fill"] == (np.median(own) if len(own) else 0.0)
+
+    fills = {r["idx"]: r["fill"] for r in store.load("features").collect()}
+    unit = {r["idx"]: (r["weight"], r["mean"], r["scale"]) for r in
+            store.load("stage1_coefficients").join(store.load("stage1_scaling"), ["model_key", "idx"]).collect()}
+    assert len(unit) == len(t.FEATURES)
+    base = store.load("stage1_intercepts").first()["intercept"]
+    got = _by_id(stages.predict_stage1(store, *inputs), "pred_age_stage1")
+    inverse = AGE_TARGET.inverse_array
+    for r in inputs[1].limit(20).collect():
+        cells = [fills[i] if v is None else v for i, v in enumerate(r["values"])]
+        want = inverse(np.array([base + sum(w * (cells[i] - m) / s for i, (w, m, s) in unit.items())]))[0]
+        assert got[r["sample_id"]] == pytest.approx(want, abs=1e-4)
+    with pytest.raises(ValueError):
+        _train(spark, inputs, standardize=True, solver="working_set")
