@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..functions.scalar import AGE_TARGET, PLAIN_TARGET, Target, hash_fraction
 from ..session import settle
 from .align import pick_features
+from .arrowhead import fit_arrowhead
 from .folds import fold_samples, fold_targets, valid_copies
 from .impute import impute_packed
 from .linear import (
@@ -67,10 +68,10 @@ def best_trial(scores: DataFrame, params: list[str], score: str = "score", keys:
 
 
 def candidate_errors(data: DataFrame, models: dict, p: int, y: str, fills: list[float] | None,
-                     target: Target, fold: str = "fold") -> DataFrame:
+                     target: Target, fold: str = "fold", offsets: dict | None = None) -> DataFrame:
     """Absolute error sums of all candidates on their held-out rows, in one pass without moving rows.
 
-    ``models`` maps fold -> (job numbers, intercepts, weight matrix).
+    ``models`` maps fold -> (job numbers, intercepts, weight matrix); ``offsets`` maps fold -> tissue -> what to add for each job.
     """
     vector = np.zeros(p) if fills is None else np.asarray(fills, dtype=np.float64)
     inverse = target.inverse_array
@@ -85,7 +86,12 @@ def candidate_errors(data: DataFrame, models: dict, p: int, y: str, fills: list[
             for f in {int(f) for f in np.unique(folds)} & set(models):
                 _, bases, weights = models[f]
                 rows = folds == f
-                errors = np.abs(inverse(x[rows] @ weights + bases) - inverse(truth[rows])[:, None]).sum(0)
+                scores = x[rows] @ weights + bases
+                if offsets is not None:
+                    names, which = np.unique(np.asarray(batch.column("__t").to_pylist(), dtype=object)[rows].astype(str), return_inverse=True)
+                    none = np.zeros(len(bases))
+                    scores = scores + np.array([offsets.get(f, {}).get(n, none) for n in names])[which]
+                errors = np.abs(inverse(scores) - inverse(truth[rows])[:, None]).sum(0)
                 sums[f] = sums.get(f, 0.0) + errors
                 rows_seen[f] = rows_seen.get(f, 0) + int(rows.sum())
         for f, total in sums.items():
@@ -95,7 +101,8 @@ def candidate_errors(data: DataFrame, models: dict, p: int, y: str, fills: list[
                 pa.array([rows_seen[f]] * len(jobs), pa.int64()),
             ], ["fold", "job", "abs_error", "n"])
 
-    rows = data.select(F.col(fold).cast("int").alias("__f"), "values", F.col(y).cast("double").alias("__y"))
+    rows = data.select(F.col(fold).cast("int").alias("__f"), "values", F.col(y).cast("double").alias("__y"),
+                       *([] if offsets is None else [F.col("Tissue").alias("__t")]))
     partial = fewer_tasks(rows.filter("__y is not null")).mapInArrow(run, "fold int, job int, abs_error double, n long")
     return partial.groupBy("fold", "job").agg((F.sum("abs_error") / F.sum("n")).alias("mae"), F.sum("n").alias("n"))
 
@@ -413,17 +420,31 @@ def training_triangles(per_fold: DataFrame, keys: list[str], n_splits: int) -> D
 
 
 def search_ridge(data: DataFrame, per_fold: DataFrame, p: int, candidates: list[dict], y: str, n_splits: int,
-                 target: Target = PLAIN_TARGET) -> DataFrame:
+                 target: Target = PLAIN_TARGET, per_fold_tissue: DataFrame | None = None) -> DataFrame:
     """MAE per fold (``fold, job, mae, n``; the job is the trial) of ridge candidates ``trial, alpha, use``.
 
-    All candidates are solved from the same fold statistics and scored in one pass.
+    All candidates are solved from the same fold statistics and scored in one pass.  Those with ``offsets`` have an indicator
+    per tissue besides, from ``per_fold_tissue``.
     """
     stats = settle(training_triangles(per_fold, [], n_splits), "gram")
+    plain = [c for c in candidates if not c.get("offsets")]
+    moved = [c for c in candidates if c.get("offsets")]
 
     def solve(total: np.ndarray, c: dict) -> tuple[float, np.ndarray]:
         return ridge_weights(total, c["alpha"], np.asarray(c["use"], dtype=int))
 
     uses = {c["trial"]: c["use"] for c in candidates}
-    fitted = [{**r.asDict(), "use": uses[r["trial"]]}
-              for r in solve_per_key(stats, ["held_out"], p, candidates, solve).collect()]
-    return candidate_errors(data, stacked(fitted, "held_out", p), p, y, None, target)
+    found = solve_per_key(stats, ["held_out"], p, plain, solve).collect() if plain else []
+    offsets: dict | None = None
+    if moved:
+        whole = fit_arrowhead(training_triangles(per_fold_tissue, ["Tissue"], n_splits), ["held_out"], p, moved).collect()
+        found += whole
+    fitted = [{**r.asDict(), "use": uses[r["trial"]]} for r in found]
+    models = stacked(fitted, "held_out", p)
+    if moved:
+        offsets = {}
+        for r in whole:
+            jobs = models[r["held_out"]][0]
+            for name, d in zip(r["tissues"], r["offsets"]):
+                offsets.setdefault(r["held_out"], {}).setdefault(name, np.zeros(len(jobs)))[jobs.index(r["trial"])] = d
+    return candidate_errors(data, models, p, y, None, target, offsets=offsets)

@@ -9,6 +9,7 @@ from ..functions.metrics import fold_scores, mae, micro_macro_mae, regression_me
 from ..functions.scalar import AGE_TARGET, age_to_scale, scale_to_age
 from ..operators import folds, linear, selection
 from ..operators.align import pick_features
+from ..operators.arrowhead import fit_arrowhead
 from ..operators.impute import fill_values, filter_and_impute, fold_fills, impute_cells, impute_packed
 from ..operators.linear import fit_elastic_net, fit_ridge, scale_table
 from ..operators.ranking import exact_median, narrowing_median
@@ -578,3 +579,22 @@ def fn10_stored(spark, sf):
              "intercept": loaded["intercept"]}
     both = kept.join(loaded, "model_key")
     return both.select(loaded["model_key"], *[rounded(c).alias(n) for n, c in names.items()])
+
+
+@query("trn4_tissue_offsets", f"""WITH {t.SAMPLES_SQL}, rows AS (
+  SELECT "Tissue", {t.Y_SQL} AS y, CAST(embedding[1] AS DOUBLE) AS x FROM samples), g AS (
+  SELECT "Tissue", count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM rows GROUP BY "Tissue"), e AS (
+  SELECT sum(n * 3.0 / (n + 3.0)) AS a, sum(sx * 3.0 / (n + 3.0)) AS b, sum(sxx - sx * sx / (n + 3.0)) + 3.0 AS c,
+         sum(sy * 3.0 / (n + 3.0)) AS u, sum(sxy - sx * sy / (n + 3.0)) AS v FROM g), s AS (
+  SELECT (c * u - b * v) / (a * c - b * b) AS base, (a * v - b * u) / (a * c - b * b) AS w FROM e)
+SELECT "Tissue", round(base, 6) + 0.0 AS intercept, round(w, 6) + 0.0 AS weight,
+       round((sy - n * base - sx * w) / (n + 3.0), 6) + 0.0 AS "offset" FROM g, s""")
+def trn4_offsets(spark, sf):
+    """Ridge of one feature and an indicator per tissue, the indicators taken out of the equations."""
+    rows = t.samples(spark, sf).join(t.table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("sample_id"), F.slice("embedding", 1, 1).alias("values")), "sample_id")
+    stats = gram(rows.withColumn("y", AGE_TARGET.forward(F.col("Age"))), ["Tissue"], 1, "y")
+    fitted = fit_arrowhead(stats, [], 1, [{"alpha": 3.0}])
+    each = fitted.select("intercept", F.get("weights", F.lit(0)).alias("weight"), F.explode(F.arrays_zip("tissues", "offsets")).alias("t"))
+    return each.select(F.col("t.tissues").alias("Tissue"), rounded("intercept").alias("intercept"), rounded("weight").alias("weight"),
+                       rounded("t.offsets").alias("offset"))

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import AGE_TARGET, PLAIN_TARGET, Target
 from ..operators.align import (
-    FIRST_SCORING, FIRST_TRAINING, expand_over_modalities, join_context, join_stages, one_hot,
+    FIRST_SCORING, FIRST_TRAINING, expand_over_modalities, join_context, join_stages,
     order_output, pack_columns, pc_names, pick_features,
 )
+from ..operators.arrowhead import fit_arrowhead, with_offsets
 from ..operators.contract import require_unique, require_width
 from ..operators.folds import balanced_folds, healthy_filter, with_folds
 from ..operators.impute import fold_fills, impute_packed, packed_fills
@@ -219,6 +220,9 @@ def train_stage3(store: ModelStore, stage1: DataFrame, stage2: DataFrame, contex
     """Ridge fusion of the experts: target is age minus the stage-1 prediction, one model per large tissue plus
     a global one.  The table holds the in-sample correction and, as ``oof_correction``, the held-out one.
 
+    With tissue indicators (a choice of the candidates) the global model has an offset per tissue, and a tissue too small for
+    a model of its own is stored with the global one moved by its offset; ``stage3_offsets`` keeps the offsets themselves.
+
     The rows are read once for statistics; search, models and held-out models come from their sums.
     """
     for table in (stage1, stage2, *([] if context is None else [context])):
@@ -231,37 +235,42 @@ def train_stage3(store: ModelStore, stage1: DataFrame, stage2: DataFrame, contex
         df = join_context(df, context, training=True)
     df = df.withColumn("target_residual", residual(F.col("age"), F.col(STAGE1_PRED)))
     df = df.fillna("Unknown", ["project_id", "Tissue"])
-    tissues = sorted(r["Tissue"] for r in df.select("Tissue").distinct().collect())
-    dummies = [TISSUE_PREFIX + t for t in tissues]
-    everything = experts + pcs + dummies
-    spots = {"experts": range(len(experts)), "pcs": range(len(experts), len(experts) + len(pcs)),
-             "dummies": range(len(experts) + len(pcs), len(everything))}
+    everything = experts + pcs
     p = len(everything)
     df = settle(df, "stage3")
     folds = balanced_folds(df.select("project_id", "Tissue"), n_splits, seed)
-    data = settle(with_folds(pack_columns(one_hot(df, tissues), everything).drop(*dummies), folds), "stage3")
+    data = settle(with_folds(pack_columns(df, everything), folds), "stage3")
 
     per_fold_tissue = settle(gram(data, ["fold", "Tissue"], p, "target_residual"), "gram")
 
-    def positions(use_pcs: bool, use_dummies: bool) -> list[int]:
-        return [*spots["experts"], *(spots["pcs"] if use_pcs else []), *(spots["dummies"] if use_dummies else [])]
+    def positions(use_pcs: bool) -> list[int]:
+        return list(range(p if use_pcs else len(experts)))
 
     best = {"alpha": alpha, "use_pcs": bool(pcs), "use_tissue_dummies": False}
     if candidates:
         per_fold = per_fold_tissue.groupBy("fold", "i", "j").agg(F.sum("v").alias("v"))
-        runs = [{"trial": c["trial"], "alpha": c["alpha"], "use": positions(c["use_pcs"], c["use_tissue_dummies"])}
+        runs = [{"trial": c["trial"], "alpha": c["alpha"], "use": positions(c["use_pcs"]), "offsets": bool(c["use_tissue_dummies"])}
                 for c in candidates]
-        report = settle(search_ridge(data, per_fold, p, runs, "target_residual", n_splits), "trials")
+        report = settle(search_ridge(data, per_fold, p, runs, "target_residual", n_splits, per_fold_tissue=per_fold_tissue), "trials")
         scores = report.groupBy("job").agg(F.avg("mae").alias("score"))
         winner = scores.orderBy("score", "job").first()["job"]
         best = next(c for c in candidates if c["trial"] == winner)
         store.save("stage3_trials", report.withColumnRenamed("job", "trial"))
-    use = positions(best["use_pcs"], best["use_tissue_dummies"])
-
-    per_tissue = per_fold_tissue.groupBy("Tissue", "i", "j").agg(F.sum("v").alias("v"))
-    models = settle(fit_tissue_family(per_tissue, p, best["alpha"], min_samples, use=use), "models")
-    held_out = training_triangles(per_fold_tissue, ["Tissue"], n_splits)
-    fold_models = fit_tissue_family(held_out, p, best["alpha"], min_samples, keys=["held_out"], use=use)
+    use = positions(best["use_pcs"])
+
+    def family(stats: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+        """One model per large tissue and the global one; with offsets, one for every tissue seen."""
+        models = fit_tissue_family(stats, p, best["alpha"], min_samples, keys=keys, use=use)
+        if not best["use_tissue_dummies"]:
+            return models, None
+        whole = fit_arrowhead(stats, keys, p, [{"alpha": best["alpha"], "use": use}])
+        full = F.concat("weights", F.array_repeat(F.lit(0.0), p - len(use)))
+        whole = settle(whole.withColumn("weights", full), "arrowhead")
+        return with_offsets(models, whole, keys), whole
+
+    models, whole = family(per_fold_tissue.groupBy("Tissue", "i", "j").agg(F.sum("v").alias("v")), [])
+    models = settle(models, "models")
+    fold_models, _ = family(training_triangles(per_fold_tissue, ["Tissue"], n_splits), ["held_out"])
 
     scored = apply_family(data, models, "stage3_correction", p)
     scored = apply_family(scored, fold_models, "oof_correction", p, "fold").drop("values")
@@ -272,6 +281,11 @@ def train_stage3(store: ModelStore, stage1: DataFrame, stage2: DataFrame, contex
     store.save_models("stage3", cut, chosen)
     store.save("stage3_settings", {**{k: best[k] for k in ("alpha", "use_pcs", "use_tissue_dummies")},
                                    "pcs": pcs if best["use_pcs"] else [], "features": chosen})
+    spark = data.sparkSession
+    offsets = spark.createDataFrame([], "feature string, weight double") if whole is None else whole.select(
+        F.explode(F.arrays_zip("tissues", "offsets")).alias("t")).select(
+        F.concat(F.lit(TISSUE_PREFIX), "t.tissues").alias("feature"), F.col("t.offsets").alias("weight"))
+    store.save("stage3_offsets", offsets)
     store.save("stage3_oof", order_output(table, FIRST_TRAINING, rest=True))
     return store.load("stage3_oof")
 
