@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -17,6 +19,9 @@ WRAPPERS = frozenset(("aside", "footer", "form", "header", "menu", "nav"))
 #: Parts that hold articles of their own; an article after the page's first one does not end them.
 NESTING = frozenset("""comment comment-list comment-section comments comments-area comments-section disqus disqus_thread related
     related-articles related-posts replies reply respond""".split())
+#: First or last pieces of a word that names readers' comments, as in "user-comments", and first pieces that tell of a state.
+COMMENT_FIRST, COMMENT_LAST = frozenset(("comment", "comments")), frozenset(("comments", "replies"))
+STATES = frozenset("closed disable disabled has hide is no open show toggle with without".split())
 #: Whole words in class, id or role that name such a part; "has-sidebar" names none.
 HINTS = NESTING | frozenset("""ad ad-container ad-slot ads advert advertisement advertising banner breadcrumb breadcrumbs consent
     cookie cookie-banner cookie-notice cookies footer header main-menu main-nav masthead menu modal nav nav-menu navbar
@@ -39,14 +44,45 @@ MAIN = frozenset(("article", "main"))
 RADIUS, SIGMAS = 2, 0.5
 
 
+def of_comments(word: str) -> bool:
+    """Whether a word of class or id names readers' comments: "comments", "comment-list", "user-comments", not "has-comments"."""
+    if "comment" not in word and "replies" not in word:
+        return False
+    pieces = re.split("[-_]+", word)
+    return pieces[0] in COMMENT_FIRST or pieces[-1] in COMMENT_LAST and pieces[0] not in STATES
+
+
 def hints(tag: str, attrs: list[tuple[str, str | None]], in_main: bool) -> set[str]:
-    """The words of ``HINTS`` that name the element."""
+    """The words of ``HINTS`` that name the element; readers' comments as "comments".
+
+    An outermost article is named by nothing but comments.  Within an article the id of a section names comments, or else a
+    place to link to.
+    """
     if in_main:
         by_id = tag in NAMED_BY_ID
     else:
         by_id = tag not in HEADINGS and tag not in INLINE and tag not in ("p", "li")
-    keys = ("class", "id", "role") if by_id else ("class", "role")
-    return {w for k, v in attrs if k in keys and v for w in v.lower().split() if w in HINTS}
+    found = set()
+    for key, value in attrs:
+        if key not in ("class", "id", "role", "itemtype") or not value:
+            continue
+        if key == "itemtype":
+            if value.rstrip("/").lower().endswith("schema.org/comment"):
+                found.add("comments")
+            continue
+        for word in value.lower().split():
+            if (key != "id" or by_id or tag == "section") and of_comments(word) and tag not in HEADINGS and tag not in INLINE:
+                found.add("comments")
+            elif (key != "id" or by_id) and word in HINTS:
+                found.add(word)
+    return found & COMMENTS if tag in MAIN and not in_main else found
+
+
+COMMENTS = frozenset(("comments",))
+
+
+#: A document type with declarations of its own, up to the bracket that ends them.
+_SUBSET = re.compile(r"<!doctype[^>\[]*\[[^\]]*\]\s*>", re.IGNORECASE)
 
 
 class Lines(HTMLParser):
@@ -63,6 +99,12 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, int, bool]] = []
         # element, skipped by itself, until a main part begins, region around it if it is a container
         self.open: list[tuple[str, bool, bool, int | None]] = []
+        # how many of each element are open, in all and since each open main part began; so no stray end tag looks for its start
+        self.names: Counter[str] = Counter()
+        self.inner: list[Counter[str]] = [Counter()]
+        # places in ``open`` of skipped elements that any main part ends, and of those that the first one or a ``main`` does
+        self.ending: list[int] = []
+        self.named: list[int] = []
         self.seen_main = False
         self.skipping = self.in_main = self.in_link = 0
         self.parts: list[str] = []
@@ -80,11 +122,15 @@ class Lines(HTMLParser):
 
     def _reopen(self, tag: str) -> None:
         """A main part ends what the page forgot to end before it."""
-        for k, (name, skipped, ends, around) in enumerate(self.open):
-            if skipped and (ends or name not in SKIPPED and (tag == "main" or not self.seen_main)):
-                self._end_line()
-                self.open[k] = (name, False, False, around)
-                self.skipping -= 1
+        places = self.ending + (self.named if tag == "main" or not self.seen_main else [])
+        for k in places:
+            name, _, _, around = self.open[k]
+            self._end_line()
+            self.open[k] = (name, False, False, around)
+            self.skipping -= 1
+        self.ending.clear()
+        if tag == "main" or not self.seen_main:
+            self.named.clear()
         self.seen_main = self.seen_main or not self.skipping
 
     def _leave(self, tag: str, skipped: bool, _: bool, around: int | None) -> None:
@@ -95,6 +141,10 @@ class Lines(HTMLParser):
         self.skipping -= skipped
         self.in_main -= tag in MAIN
         self.in_link -= tag == "a"
+        if tag in MAIN:
+            self.inner.pop()
+        self.names[tag] -= 1
+        self.inner[-1][tag] -= 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if not self.skipping:
@@ -111,7 +161,7 @@ class Lines(HTMLParser):
             return
         skipped = tag in SKIPPED and not (tag == "header" and self.in_main)
         ends = skipped and tag in WRAPPERS
-        if not skipped and tag not in ("html", "body") and (tag not in MAIN or self.in_main):
+        if not skipped and tag not in ("html", "body"):
             named = hints(tag, attrs, self.in_main > 0)
             skipped, ends = bool(named), bool(named) and not named & NESTING and tag not in MAIN
         if skipped and not self.skipping:
@@ -126,7 +176,15 @@ class Lines(HTMLParser):
         self.skipping += skipped
         self.in_main += tag in MAIN
         self.in_link += tag == "a"
+        if skipped and ends:
+            self.ending.append(len(self.open))
+        elif skipped and tag not in SKIPPED:
+            self.named.append(len(self.open))
         self.open.append((tag, skipped, ends, around))
+        self.names[tag] += 1
+        self.inner[-1][tag] += 1
+        if tag in MAIN:
+            self.inner.append(Counter())
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -136,15 +194,28 @@ class Lines(HTMLParser):
             self.tags += 1
             if tag not in INLINE:
                 self._end_line()
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == tag:
-                for left in reversed(self.open[k:]):
-                    self._leave(*left)
-                del self.open[k:]
+        # within an article a stray end tag of an inline element ends nothing outside it
+        if not (self.inner[-1] if tag in INLINE else self.names)[tag]:
+            return
+        while self.open:
+            left = self.open.pop()
+            self._leave(*left)
+            if left[0] == tag:
                 break
-            if name in MAIN and tag in INLINE:
-                break  # a stray end tag within an article ends nothing outside it
+        for places in (self.ending, self.named):
+            while places and places[-1] >= len(self.open):
+                places.pop()
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Declarations that the standard library refuses, or ends too early, are passed over."""
+        raw = self.rawdata
+        if raw.startswith("<![", i) and not raw.startswith("<![CDATA[", i):
+            return self.parse_bogus_comment(i)
+        if raw[i:i + 9].lower() == "<!doctype":
+            inner = _SUBSET.match(raw, i)
+            if inner:
+                return inner.end()
+        return super().parse_html_declaration(i)
 
     def handle_data(self, data: str) -> None:
         if not self.skipping:
@@ -155,9 +226,8 @@ class Lines(HTMLParser):
     def close(self) -> None:
         super().close()
         self._end_line()
-        for left in reversed(self.open):
-            self._leave(*left)
-        self.open.clear()
+        while self.open:
+            self._leave(*self.open.pop())
         self.lines = [(text, linked, tags, self.part_of.get(region, region), main)
                       for text, linked, tags, region, main in self.lines]
 

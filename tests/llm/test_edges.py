@@ -95,6 +95,48 @@ def test_html_short_lines_of_a_page_without_article():
     assert html.main_text(f"<p>{long}</p><ul><li><a href=x>see</a></li></ul><p>{long}</p><ul><li><a href=y>home</a></ul>") == f"{long}\nsee\n{long}"
 
 
+def test_html_comments_in_all_their_places():
+    body = "<p>body</p>"
+    for part in ("<section id=comments><p>nice</p></section>", "<div class=user-comments><p>nice</p></div>", "<div id=post_comments>nice</div>",
+                 "<div class='comments-wrapper x'><p>nice</p></div>", "<ol class=comment-list><li>nice</ol>", "<article class=comment><p>nice</p></article>",
+                 "<div itemscope itemtype='https://schema.org/Comment'><p>nice</p></div>", "<div class=reader-replies><p>nice</p></div>"):
+        assert html.main_text(f"<article>{body}{part}<p>end</p></article>") == "body\nend", part
+        assert html.main_text(f"<article>{body}</article>{part}") == "body", part
+    assert html.main_text(f"<article class=has-comments>{body}<div class=no-comments><p>more</p></div></article>") == "body\nmore"
+    assert html.main_text(f"<article>{body}<h2 id=comments>T</h2><section id=comments-on-law><p>law</p></section></article>").startswith("body\nT")
+
+
+def test_html_declarations():
+    body = "<article><p>body</p></article>"
+    for odd in ("<![foo[bar]]>", "<![if !IE]>", "<![endif]>", "<!DOCTYPE html [<!ENTITY x \"y\">]>", "<!doctype html>", "<![CDATA[x]]>", "<!-- a -->", "<!x>",
+                "<?php echo 1 ?>"):
+        assert html.main_text(odd + body) == "body", odd
+    for cut in ("<![", "<![CDATA[", "<!DOCTYPE [", "<!", "<", "</", "<a href='", "&#", "&#x", "&#99999999999;"):
+        html.main_text(body + cut)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_html_never_raises(seed):
+    rng = random.Random(seed)
+    bits = ["<![", "]]>", "<!", "<!--", "-->", "<!DOCTYPE", "[", "]", ">", "<", "</", "<div", " class=ad", " id='c", "'", "\"", "&#", "&amp", ";", "<script>", "</script",
+            "<article>", "</article>", "<main>", "</main>", "<span>", "</span>", "<textarea>", "<svg>", "<plaintext>", "<?", "/>", "text", "\x00", "\ud7ff", "<a", "=",
+            "<div class=comments>", "</div>", "<nav>", "CDATA[", "<p>"]
+    for _ in range(400):
+        html.main_text("".join(rng.choices(bits, k=rng.randint(1, 40))))
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 40_000 + "</span>" * 40_000, "<span><article>" + "<div>" * 40_000 + "</span>" * 40_000, "<article>" * 40_000,
+    "<button>" * 20_000 + "<div class=ad><main>" * 20_000, "<div class=comments>" * 20_000 + "<article>" * 20_000, "<a>" * 60_000 + "</p>" * 60_000,
+    "<p>" + "x<b>" * 60_000])
+def test_html_takes_time_in_proportion(page):
+    import time
+
+    start = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - start < 6
+
+
 @pytest.mark.parametrize("seed", range(60))
 def test_html_without_article_against_the_blocks_written(seed):
     """Short and long blocks of all kinds between two long paragraphs, with a menu before and a footer after."""
