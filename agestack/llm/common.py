@@ -46,6 +46,15 @@ def settle(df: DataFrame, label: str = "table", rows: int = BATCH_ROWS) -> DataF
     return written
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that no later step reads."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, empty where there is none."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import settle, text_of
+from .common import discard, settle, text_of
 from .hashing import encode, hashed_words, mixed
 
 #: Bytes of text in a block, and of text to a bucket of n-gram counts.
@@ -154,7 +154,8 @@ def questions(stored: DataFrame, order: int, bits: int) -> DataFrame:
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """Per question ``block, bucket, counts``: training counts, doubled, plus one for the block that counts as first.
+    """Per question ``block, bucket, counts``: 0 if no other block's training texts hold the n-gram, which most do not; else the
+    counts of the others, doubled, plus one for the block that counts as first.
 
     Rows without a block are counts of counts: ``size`` (0 for single words), ``r`` (capped), ``n`` n-grams, ``total``.
     """
@@ -170,7 +171,8 @@ def answers(asked: DataFrame) -> DataFrame:
         first = np.zeros(len(own), dtype=np.int64)
         _, lead = np.unique(inverse[holders], return_index=True)
         first[holders[lead]] = 1
-        reply = (2 * total[inverse] + first).astype(np.uint64)
+        others = total[inverse] - own
+        reply = np.where(others > 0, 2 * others + first, 0).astype(np.uint64)
         ends = np.cumsum([len(k) for k in keys])
         replies = [pack(reply[e - len(k):e]) for k, e in zip(keys, ends)]
         begin = mixed(np.array([_BEGIN]))[0]
@@ -225,7 +227,7 @@ def discounted(c: np.ndarray, rule: tuple[float, dict[int, float]]) -> np.ndarra
 
 
 _EVALUATED = ("kind string, block long, row int, n_tokens long, n_known long, base double, seen double, "
-              "key long, mass double, lower double, times long")
+              "key long, mass double, lower double, times long")  # and the doc_id
 
 
 def evaluate(stored: DataFrame, replies: DataFrame, order: int, words: int, kinds: int, rules: list) -> DataFrame:
@@ -233,14 +235,17 @@ def evaluate(stored: DataFrame, replies: DataFrame, order: int, words: int, kind
 
     ``words`` and ``kinds`` are the training tokens and the distinct ones.
     """
-    schema = T.StructType.fromDDL(_EVALUATED)
+    id_type = stored.schema["ids"].dataType.elementType
+    schema = T.StructType([*T.StructType.fromDDL(_EVALUATED).fields, T.StructField("doc_id", id_type)])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        id_kind = left.schema.field("ids").type.value_type
         (row,) = left.to_pylist()
         b = Block(row, order)
         right = right.sort_by("bucket")
         reply = np.concatenate([unpack(x.as_py(), np.uint64) for x in right.column("counts")]).astype(np.int64)
-        count, first = reply >> 1, (reply & 1).astype(bool)
+        own = b.train_counts()
+        count, first = own + (reply >> 1), np.where(reply > 0, reply & 1, own > 0).astype(bool)
         n_docs, tokens = len(b.ids), b.token
 
         def estimate(k: int, place: np.ndarray) -> np.ndarray:
@@ -292,9 +297,10 @@ def evaluate(stored: DataFrame, replies: DataFrame, order: int, words: int, kind
         for kind, columns in parts.items():
             n = len(next(iter(columns.values())))
             arrays = [pa.array([kind] * n, type=pa.string()), pa.array(np.full(n, row["block"]))]
-            for field in schema.fields[2:]:
+            for field in schema.fields[2:-1]:
                 t = {"integer": pa.int32(), "long": pa.int64(), "double": pa.float64()}[field.dataType.typeName()]
                 arrays.append(pa.array(columns[field.name]).cast(t) if field.name in columns else pa.nulls(n, t))
+            arrays.append(pa.array(b.ids, type=id_kind) if kind == "doc" else pa.nulls(n, id_kind))
             tables.append(pa.Table.from_arrays(arrays, schema.names))
         return pa.concat_tables(tables)
 
@@ -325,15 +331,15 @@ def score(docs: DataFrame, order: int = 2, train: Column | None = None) -> DataF
     rules = [discounts({r.r: r.n for r in rows if r["size"] == k}) for k in range(order)]
     parts = settle(evaluate(stored, replies.filter("block is not null").select("block", "bucket", "counts"),
                             order, words, kinds, rules), "lm-parts")
+    discard(stored, replies)
     unknown = 1 - (parts.filter("kind = 'words'").agg(F.sum("mass")).first()[0] or 0.0)
     weights = parts.filter("kind = 'mass'").groupBy("key").agg(F.sum("mass").alias("mass"), F.sum("lower").alias("lower"))
     weights = weights.select("key", F.log10((1 - F.col("mass")) / (1 - F.col("lower"))).alias("weight"))
     backed = parts.filter("kind = 'need'").select("key", "block", "row", "times").join(weights, "key").groupBy("block", "row").agg(
         F.sum(F.col("times") * F.col("weight")).alias("backed"))
-    ids = stored.select("block", F.posexplode("ids").alias("row", "doc_id"))
-    sums = parts.filter("kind = 'doc'").select("block", "row", "n_tokens", "n_known", "base", "seen")
+    sums = parts.filter("kind = 'doc'").select("block", "row", "doc_id", "n_tokens", "n_known", "base", "seen")
     log_unknown = float(np.log10(max(unknown, 1e-300)))
-    return sums.join(ids, ["block", "row"]).join(backed, ["block", "row"], "left").select(
+    return sums.join(backed, ["block", "row"], "left").select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(words).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"),
         (F.col("seen") + F.coalesce("backed", F.lit(0.0)) + (F.col("n_tokens") - F.col("n_known")) * log_unknown).alias("score"))
