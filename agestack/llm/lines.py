@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import settle, small, text_of
+from .common import discard, settle, small, text_of
 
 #: Buckets of the word counts by hash; they travel with every task.
 RARITY_BITS = 20
@@ -120,7 +120,7 @@ def settled_by_one(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = classes.filter("n > 3").select("id", F.explode(keys).alias("key"))
     shared = heads.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
     rows = settle(heads.join(shared, "key").join(classes.select("id", "at", "n", "sig"), "id"), "line-heads")
-    pairs, done = [], []
+    pairs, done, written = [], [], [rows]
     for _ in range(MEETINGS):
         centres = rows.groupBy("key").agg(F.min(F.struct("at", "id", "n", "sig")).alias("c"), F.count(F.lit(1)).alias("k"))
         met = rows.alias("y").join(centres.filter("k > 1").select("key", "c.*").alias("x"), "key").filter("x.id <> y.id")
@@ -128,18 +128,29 @@ def settled_by_one(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
                                 _possible("x", "y").alias("possible"), (_possible("x", "y") & _clear("x", "y")).alias("clear")), "line-met")
         pairs.append(met.filter("possible").select("x", F.col("id").alias("y")))
         done.append(met.filter("clear").select("id"))
+        written.append(met)
         rows = met.select("key", "id", "at", "n", "sig").join(small(done[-1].distinct()), "id", "left_anti")
     union = lambda parts: functools.reduce(DataFrame.unionByName, parts).distinct()
-    return settle(union(pairs), "line-ones"), settle(union(done), "line-likely")
+    found = settle(union(pairs), "line-ones"), settle(union(done), "line-likely")
+    discard(*written)
+    return found
 
 
-def index_of(classes: DataFrame, **flags: DataFrame) -> DataFrame:
-    """One row per line and word of its prefix; ``flags`` name ids for which a column of that name is true."""
+def shared_index(classes: DataFrame) -> DataFrame:
+    """One row per line and word of its prefix, of words that another line's prefix has too; most have none.
+
+    One shuffle by word counts the lines of each; the rows that stay are written, and serve every later join.
+    """
+    rows = classes.filter("n > 3").select("id", F.col("at.doc_id").alias("d"), "sig", "n", F.posexplode("prefix").alias("p", "key"))
+    rows = rows.select("key", "id", "d", "sig", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p")).alias("np"))
+    return rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("k > 1").drop("k")
+
+
+def marked(index: DataFrame, **flags: DataFrame) -> DataFrame:
+    """The index with columns that are true for the ids of ``flags``."""
     for name, ids in flags.items():
-        classes = classes.join(small(ids.select("id", F.lit(True).alias(name))), "id", "left")
-    marks = [F.coalesce(name, F.lit(False)).alias(name) for name in flags]
-    rows = classes.filter("n > 3").select("id", F.col("at.doc_id").alias("d"), "sig", "n", *marks, F.posexplode("prefix").alias("p", "key"))
-    return rows.select("key", "id", "d", "sig", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p")).alias("np"), *flags)
+        index = index.join(small(ids.select("id", F.lit(True).alias(name))), "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return index
 
 
 def candidates(later: DataFrame, earlier: DataFrame, wanted: Column) -> DataFrame:
@@ -189,20 +200,27 @@ def first_lines(docs: DataFrame) -> DataFrame:
     """
     rarity = settle(word_rarity(docs), "line-rarity")
     classes = settle(line_classes(line_sets(docs, rarity)), "line-classes")
+    shared = settle(shared_index(classes), "line-index")
+    discard(rarity)
     ones, likely = settled_by_one(classes)
     # lines that no meeting settled: among themselves, then those still open with the settled ones
-    index = index_of(classes, settled=likely)
+    index = marked(shared, settled=likely)
     first = settle(candidates(index, index, ~F.col("l.settled") & ~F.col("r.settled")), "line-open")
     seems = settle(likely.unionByName(first.filter("clear").select(F.col("y").alias("id"))).distinct(), "line-likely")
-    index = index_of(classes, settled=likely, seems=seems)
+    index = marked(shared, settled=likely, seems=seems)
     second = candidates(index.filter("not seems"), small(index.filter("settled"), INDEX_ROWS), F.lit(True))
-    pairs = ones.unionByName(first.select("x", "y")).unionByName(second.select("x", "y")).distinct()
-    gone = settle(similar_lines(docs, settle(placed(pairs, classes), "line-pairs")), "line-gone")
+    pairs = settle(ones.unionByName(first.select("x", "y")).unionByName(second.select("x", "y")).distinct(), "line-both")
+    discard(ones, first, likely)
+    at = settle(placed(pairs, classes), "line-pairs")
+    discard(pairs)
+    gone = settle(similar_lines(docs, at), "line-gone")
+    discard(at)
     failed = settle(seems.join(small(gone), "id", "left_anti"), "line-failed")
     if failed.limit(1).count():
-        index = index_of(classes, failed=failed)
+        index = marked(shared, failed=failed)
         again = candidates(small(index.filter("failed"), INDEX_ROWS), index, F.lit(True)).select("x", "y")
         gone = settle(gone.unionByName(similar_lines(docs, settle(placed(again, classes), "line-pairs"))).distinct(), "line-gone")
+    discard(shared)
     stays = classes.select("id", "at").join(gone, "id", "left_anti")
     return stays.select("at.*").groupBy("doc_id", "__th").agg(F.collect_set("line").alias("lines"))
 
