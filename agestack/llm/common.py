@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -46,6 +47,17 @@ def settle(df: DataFrame, label: str = "table", rows: int = BATCH_ROWS) -> DataF
     return written
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver let go of the shuffle files behind written steps, and wait a moment for it.
+
+    Events of the last step that still wait to be logged hold on to its plan, hence the second time.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete settled tables that no later step reads."""
     for table in tables:

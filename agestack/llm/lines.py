@@ -16,7 +16,7 @@ import functools
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import discard, settle, small, text_of
+from .common import discard, release, settle, small, text_of
 
 #: Buckets of the word counts by hash; they travel with every task.
 RARITY_BITS = 20
@@ -200,8 +200,10 @@ def first_lines(docs: DataFrame) -> DataFrame:
     """
     rarity = settle(word_rarity(docs), "line-rarity")
     classes = settle(line_classes(line_sets(docs, rarity)), "line-classes")
+    release(docs.sparkSession)
     shared = settle(shared_index(classes), "line-index")
     discard(rarity)
+    release(docs.sparkSession)
     ones, likely = settled_by_one(classes)
     # lines that no meeting settled: among themselves, then those still open with the settled ones
     index = marked(shared, settled=likely)
@@ -211,6 +213,7 @@ def first_lines(docs: DataFrame) -> DataFrame:
     second = candidates(index.filter("not seems"), small(index.filter("settled"), INDEX_ROWS), F.lit(True))
     pairs = settle(ones.unionByName(first.select("x", "y")).unionByName(second.select("x", "y")).distinct(), "line-both")
     discard(ones, first, likely)
+    release(docs.sparkSession)
     at = settle(placed(pairs, classes), "line-pairs")
     discard(pairs)
     gone = settle(similar_lines(docs, at), "line-gone")

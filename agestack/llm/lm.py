@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import discard, settle, text_of
+from .common import discard, release, settle, text_of
 from .hashing import encode, hashed_words, mixed
 
 #: Bytes of text in a block, and of text to a bucket of n-gram counts.
@@ -325,6 +325,7 @@ def score(docs: DataFrame, order: int = 2, train: Column | None = None) -> DataF
     bits = max(1, int(np.ceil(np.log2(max(total / BUCKET_BYTES, 1)))))
     stored = settle(blocks(docs, train), "lm-blocks")
     replies = settle(answers(questions(stored, order, bits)), "lm-counts")
+    release(docs.sparkSession)
     rows = replies.filter("block is null").groupBy("size", "r").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
     words = sum(r.total for r in rows if r["size"] == 0)
     kinds = sum(r.n for r in rows if r["size"] == 0)
@@ -332,6 +333,7 @@ def score(docs: DataFrame, order: int = 2, train: Column | None = None) -> DataF
     parts = settle(evaluate(stored, replies.filter("block is not null").select("block", "bucket", "counts"),
                             order, words, kinds, rules), "lm-parts")
     discard(stored, replies)
+    release(docs.sparkSession)
     unknown = 1 - (parts.filter("kind = 'words'").agg(F.sum("mass")).first()[0] or 0.0)
     weights = parts.filter("kind = 'mass'").groupBy("key").agg(F.sum("mass").alias("mass"), F.sum("lower").alias("lower"))
     weights = weights.select("key", F.log10((1 - F.col("mass")) / (1 - F.col("lower"))).alias("weight"))
