@@ -16,8 +16,9 @@ from ..operators.search import ELASTIC_NET_SPACE, PARAMS, RIDGE_SPACE, random_ca
 from ..operators.stats import gram
 from ..session import scratch_path, settle
 from ..sources.store import ModelStore
+from ..sources.tables import save_predictions
 from . import stages, standins as t
-from .assembly import assemble
+from .assembly import assemble, assemble_files
 from .registry import query, rounded
 
 N_TRIALS = 6
@@ -96,6 +97,38 @@ def _weights(models, keys):
     return table.select(*keys, "feature", rounded("weight").alias("weight"))
 
 
+_MODEL_SQL = f"""WITH {t.FILLED_SQL}
+SELECT sample_id, feature, dim AS idx, round(value, 6) + 0.0 AS value FROM filled"""
+
+
+def _files(spark, sf, conditions=None):
+    paths = {}
+    for modality in ("beta", "chalm", "camda"):
+        wide = t.wide_modality(spark, sf, modality).filter((conditions or {}).get(modality, "true"))
+        paths[modality] = save_predictions(wide, scratch_path(spark, modality) + ".parquet")
+    return paths
+
+
+@query("prd5_assemble_files", _MODEL_SQL)
+def prd5_files(spark, sf):
+    """Three modality files, read by column tiles, and the components -> packed in model order -> imputed."""
+    made = assemble_files(t.samples(spark, sf), _files(spark, sf), t.gappy_context(spark, sf), t.feature_index(spark))
+    back = align.unpack(impute_packed(made.packed, t.fills(spark, sf)), t.FEATURES)
+    return back.select("sample_id", "feature", "idx", rounded("value").alias("value"))
+
+
+@query("prd5_assemble_files_excluded", f"""WITH {t.CELLS_SQL}, held AS (SELECT sample_id, count(value) AS n FROM cells WHERE {_PRESENT_SQL} GROUP BY sample_id)
+SELECT a.sample_id, CASE WHEN s.sample_id IS NULL THEN 'no features' WHEN CAST(a.sample_id AS BIGINT) % 13 = 1 THEN 'no age' END AS reason,
+       CASE WHEN CAST(a.sample_id AS BIGINT) % 13 <> 1 THEN s.n END AS n_values
+FROM samples a LEFT JOIN held s USING (sample_id)""")
+def prd5_files_excluded(spark, sf):
+    """Files that lack samples: the reason an id is excluded for, or the numbers its packed row holds."""
+    ages = t.samples(spark, sf).withColumn("Age", F.when(F.expr("sample_id % 13 <> 1"), F.col("Age")))
+    made = assemble_files(ages, _files(spark, sf, PRESENT), samples=ages)
+    held = F.size(F.filter("values", lambda x: x.isNotNull())).cast("long")
+    return made.packed.select("sample_id", held.alias("n_values")).join(made.excluded, "sample_id", "full").select("sample_id", "reason", "n_values")
+
+
 @query("fit1_elastic_net")
 def fit1(spark, sf):
     """All 64 features, whole table."""

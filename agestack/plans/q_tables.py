@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import site_name
 from ..operators import contract, normalise
-from ..operators.align import align_to_anchor, pc_names
+from ..operators.align import align_to_anchor, pc_names, unpack
 from ..schema import SUFFIXES, modality_columns, pc_columns
 from ..session import scratch_path, settle
 from ..sources.store import ModelStore
 from ..sources.tables import load_table, read_context, read_hallmarks, read_modality, save_predictions
+from ..sources.wide import read_packed
 from . import standins as t
 from .registry import query, rounded
 
@@ -30,6 +31,20 @@ def src2(spark, sf):
     return read_modality(spark, path, "chalm").withColumn("value", rounded(F.col("value").cast("double")))
 
 
+@query("src2_packed_files", f"""WITH {t.CELLS_SQL}, held AS (SELECT * FROM cells WHERE modality <> 'pc')
+SELECT sample_id, modality, feature, CAST(dim % 20 AS INTEGER) AS idx, round(value, 6) + 0.0 AS value FROM held""")
+def src2_packed(spark, sf):
+    """All modality files by column tiles, a packed row per sample (and unpacked, to compare)."""
+    parts = []
+    for modality in SUFFIXES:
+        path = save_predictions(t.wide_modality(spark, sf, modality), scratch_path(spark, modality) + ".parquet")
+        made = read_packed(spark, path, modality)
+        names = [r["feature"] for r in made.features.orderBy("idx").collect()]
+        parts.append(unpack(made.packed, names).withColumn("modality", F.lit(modality)))
+    cells = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return cells.select("sample_id", "modality", "feature", "idx", rounded(F.col("value").cast("double")).alias("value"))
+
+
 @query("src3_read_context", f"""WITH {t.SAMPLES_SQL}
 SELECT sample_id, "Tissue", round(CAST(embedding[61] AS DOUBLE), 6) + 0.0 AS "RF_PC1",
        round(CAST(embedding[62] AS DOUBLE), 6) + 0.0 AS "RF_PC2",
