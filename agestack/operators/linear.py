@@ -5,11 +5,18 @@ A model table has one row per key: ``intercept`` and ``weights`` (array in featu
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..session import settle
+
+#: Elastic-net jobs that one task solves, each from the weights of the one before.
+PATH_JOBS = 5
 
 
 def _centred(total: np.ndarray, use: np.ndarray | None = None):
@@ -43,17 +50,8 @@ def ridge_weights(total: np.ndarray, alpha: float, use: np.ndarray | None = None
     return float(my - mx @ w), w
 
 
-def elastic_net_weights(total: np.ndarray, alpha: float, l1_ratio: float, max_iter: int = 2000, tol: float = 1e-9,
-                        use: np.ndarray | None = None, standardize: bool = False) -> tuple[float, np.ndarray]:
-    """Minimise ||y - Xw - b||^2 / 2n + alpha l1 |w| + alpha (1 - l1) ||w||^2 / 2 by cyclic descent.
-
-    ``standardize``: as for ``ridge_weights``; a congruence of the statistics, no second look at the rows.
-    """
-    n, mx, my, sxx, sxy = _centred(total, use)
-    scale = unit_scales(total, use)[1] if standardize else np.ones(len(sxy))
-    quad, lin = sxx / n / np.outer(scale, scale), sxy / n / scale
-    l1, l2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio)
-    w, grad = np.zeros(len(lin)), lin.copy()
+def _descend(quad: np.ndarray, grad: np.ndarray, w: np.ndarray, l1: float, l2: float, max_iter: int, tol: float) -> None:
+    """Cyclic descent from ``w``, whose gradient is ``grad``; both are changed in place."""
     for _ in range(max_iter):
         step = 0.0
         for j in range(len(w)):
@@ -68,10 +66,55 @@ def elastic_net_weights(total: np.ndarray, alpha: float, l1_ratio: float, max_it
                 w[j] = new
         if step <= tol * max(1.0, np.abs(w).max(initial=0.0)):
             break
+
+
+def elastic_net_weights(total: np.ndarray, alpha: float, l1_ratio: float, max_iter: int = 2000, tol: float = 1e-9,
+                        use: np.ndarray | None = None, standardize: bool = False) -> tuple[float, np.ndarray]:
+    """Minimise ||y - Xw - b||^2 / 2n + alpha l1 |w| + alpha (1 - l1) ||w||^2 / 2 by cyclic descent.
+
+    ``standardize``: as for ``ridge_weights``; a congruence of the statistics, no second look at the rows.
+    """
+    n, mx, my, sxx, sxy = _centred(total, use)
+    scale = unit_scales(total, use)[1] if standardize else np.ones(len(sxy))
+    quad, lin = sxx / n / np.outer(scale, scale), sxy / n / scale
+    w, grad = np.zeros(len(lin)), lin.copy()
+    _descend(quad, grad, w, alpha * l1_ratio, alpha * (1.0 - l1_ratio), max_iter, tol)
     w = w / scale
     return float(my - mx @ w), w
 
 
+def elastic_net_path(total: np.ndarray, jobs: list[dict], max_iter: int = 2000, tol: float = 1e-9, use: np.ndarray | None = None,
+                     standardize: bool = False) -> list[tuple[float, np.ndarray]]:
+    """``elastic_net_weights`` of many jobs (``alpha, l1``) on one set of statistics, in the order of ``jobs``.
+
+    Jobs are solved by falling L1 penalty, each from the weights of the one before.  The strong rule picks the features
+    that may get weight; features it left out whose gradient breaks the optimality condition join, until none does.
+    """
+    n, mx, my, sxx, sxy = _centred(total, use)
+    scale = unit_scales(total, use)[1] if standardize else np.ones(len(sxy))
+    quad, lin = sxx / n / np.outer(scale, scale), sxy / n / scale
+    w, grad, before = np.zeros(len(lin)), lin.copy(), np.abs(lin).max(initial=0.0)
+    out: list = [None] * len(jobs)
+    for at in sorted(range(len(jobs)), key=lambda i: -jobs[i]["alpha"] * jobs[i]["l1"]):
+        alpha, ratio = jobs[at]["alpha"], jobs[at]["l1"]
+        l1, l2 = alpha * ratio, alpha * (1.0 - ratio)
+        chosen = (np.abs(grad) >= 2 * l1 - before) | (w != 0)
+        while True:
+            some = np.flatnonzero(chosen)
+            part, slope = w[some], grad[some]
+            _descend(quad[np.ix_(some, some)], slope, part, l1, l2, max_iter, tol)
+            w[some] = part
+            grad = lin - quad[:, some] @ part
+            broken = ~chosen & (np.abs(grad) > l1 * (1 + 1e-9) + 1e-12)
+            if not broken.any():
+                break
+            chosen |= broken
+        before = l1
+        weights = w / scale
+        out[at] = (float(my - mx @ weights), weights)
+    return out
+
+
 def _square(pdf: pd.DataFrame, m: int) -> np.ndarray:
     total = np.zeros((m, m))
     i, j, v = pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["v"].to_numpy()
@@ -109,6 +152,58 @@ def solve_per_key(stats: DataFrame, keys: list[str], p: int, candidates: list[di
     return grouped.groupBy(*group_keys).applyInPandas(fit, schema)
 
 
+def fit_paths(stats: DataFrame, keys: list[str], p: int, jobs: list[dict], max_iter: int = 2000, standardize: bool = False,
+              path_jobs: int = PATH_JOBS) -> DataFrame:
+    """``keys, trial, n, intercept, weights`` of elastic-net jobs (``trial, alpha, l1, use`` and a value per key).
+
+    Jobs of one key and feature set are dealt by falling L1 penalty to paths of at most ``path_jobs``, so that every path
+    goes from large to small penalties.  Every path is a task of its own: a key's triangle is packed once into one value
+    and sent to the tasks of its paths.  Jobs whose key has no rows give none.
+    """
+    spark = stats.sparkSession
+    sets: dict[tuple, list[dict]] = {}
+    for job in jobs:
+        positions = None if job["use"] is None else tuple(job["use"])
+        sets.setdefault((*(job[k] for k in keys), positions), []).append(job)
+    paths: list[list[dict]] = []
+    for some in sets.values():
+        ordered, n_paths = sorted(some, key=lambda c: -c["alpha"] * c["l1"]), -(-len(some) // path_jobs)
+        paths += [ordered[i::n_paths] for i in range(n_paths)]
+    key_fields = [T.StructField(k, stats.schema[k].dataType) for k in keys]
+    out = T.StructType(key_fields + [
+        T.StructField("trial", T.IntegerType()), T.StructField("n", T.LongType()),
+        T.StructField("intercept", T.DoubleType()), T.StructField("weights", T.ArrayType(T.DoubleType())),
+    ])
+    if not paths:
+        return spark.createDataFrame([], out)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = _square(pdf, p + 2)
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "triangle": total[np.triu_indices(p + 2)].tobytes()}])
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for row in pdf.to_dict("records"):
+                total, some = np.zeros((p + 2, p + 2)), paths[row["path"]]
+                total[np.triu_indices(p + 2)] = np.frombuffer(row["triangle"])
+                total = np.triu(total) + np.triu(total, 1).T
+                if total[0, 0] < 1:
+                    continue
+                use = None if some[0]["use"] is None else np.asarray(some[0]["use"], dtype=int)
+                for job, (intercept, w) in zip(some, elastic_net_path(total, some, max_iter, use=use, standardize=standardize)):
+                    rows.append({**{k: row[k] for k in keys}, "trial": int(job["trial"]), "n": int(total[0, 0]),
+                                 "intercept": intercept, "weights": w.tolist()})
+            yield pd.DataFrame(rows, columns=out.names)
+
+    listed = pa.Table.from_pylist([{"path": i, **{k: path[0][k] for k in keys}} for i, path in enumerate(paths)],
+                                  schema=to_arrow_schema(T.StructType([T.StructField("path", T.IntegerType()), *key_fields])))
+    wanted = spark.createDataFrame(listed)  # an Arrow table, so Spark knows that it is small
+    packed = settle(stats.join(wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).applyInPandas(
+        pack, T.StructType(key_fields + [T.StructField("triangle", T.BinaryType())])), "triangles")
+    return packed.join(wanted, keys).repartitionById(len(paths), F.col("path")).mapInPandas(solve, out)
+
+
 def spread(w: np.ndarray, p: int, use: np.ndarray | None) -> np.ndarray:
     """Weights of a feature subset as a full-length vector."""
     if use is None:

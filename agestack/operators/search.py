@@ -16,9 +16,7 @@ from .align import pick_features
 from .arrowhead import fit_arrowhead
 from .folds import fold_samples, fold_targets, valid_copies
 from .impute import impute_packed
-from .linear import (
-    elastic_net_weights, ridge_weights, scale_table, solve_per_key,
-)
+from .linear import fit_paths, ridge_weights, scale_table, solve_per_key
 from .score import MODEL_NUMBERS, model_arrays
 from .stats import brought_together, fewer_tasks, gram, matrix
 
@@ -198,13 +196,6 @@ def sampled_fold_stats(data: DataFrame, p: int, y: str, caps: DataFrame, n_split
     return SampledStats(rows, uses, n_splits, p, y, fills, solver, standardize)
 
 
-def _solver(max_iter: int, standardize: bool = False):
-    def solve(total: np.ndarray, c: dict) -> tuple[float, np.ndarray]:
-        positions = None if c["use"] is None else np.asarray(c["use"])
-        return elastic_net_weights(total, c["alpha"], c["l1"], max_iter, use=positions, standardize=standardize)
-    return solve
-
-
 def fit_jobs(sampled: SampledStats, jobs: list[dict], max_iter: int = 2000) -> list[dict]:
     """Fit jobs (``trial`` = job number, ``held_out, band, alpha, l1, use``).
 
@@ -213,7 +204,7 @@ def fit_jobs(sampled: SampledStats, jobs: list[dict], max_iter: int = 2000) -> l
     keys, by_number = ["held_out", "band"], {c["trial"]: c["use"] for c in jobs}
 
     def solved(stats: DataFrame, p: int, some: list[dict]) -> list[dict]:
-        rows = solve_per_key(stats, keys, p, some, _solver(max_iter, sampled.standardize)).collect()
+        rows = fit_paths(stats, keys, p, some, max_iter, sampled.standardize).collect()
         return [{**r.asDict(), "use": by_number[r["trial"]]} for r in rows]
 
     if sampled.solver == "gram":
@@ -317,7 +308,7 @@ def fit_working_sets(sampled: SampledStats, jobs: list[dict], max_iter: int, gro
         stats = sampled.stats(union)
         tasks = [{"trial": m["job"], "held_out": m["held_out"], "band": m["band"], "alpha": m["alpha"], "l1": m["l1"],
                   "use": [place[f] for f in m["at"]]} for m in live]
-        fitted = {r["trial"]: r for r in solve_per_key(stats, ["held_out", "band"], len(union), tasks, _solver(max_iter)).collect()}
+        fitted = {r["trial"]: r for r in fit_paths(stats, ["held_out", "band"], len(union), tasks, max_iter).collect()}
         sampled.triangles.pop(union)
         for m in live:
             m["weights"], m["intercept"] = np.asarray(fitted[m["job"]]["weights"]), fitted[m["job"]]["intercept"]

@@ -151,3 +151,49 @@ def test_scale_table(data):
         own = x[tissue == name, i]
         assert mean == pytest.approx(own.mean(), abs=1e-6) and scale == pytest.approx(own.std() if i < 5 else 1.0, abs=1e-6)
     assert linear.scale_table(gram(df, [], P, "y"), []).count() == P
+
+
+def test_path_gives_the_weights_of_single_jobs():
+    """Correlated features, more of them than rows, penalties from none to all weights: same optimum, conditions hold."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 8))
+    x = np.hstack([base, base @ rng.normal(size=(8, 92)) + 0.3 * rng.normal(size=(60, 92))])
+    y = x[:, 0] - 2 * x[:, 20] + rng.normal(size=60)
+    z = np.column_stack([np.ones(60), x, y])
+    total = z.T @ z
+    jobs = [{"alpha": a, "l1": r} for a in (0.01, 1000.0, 0.3, 0.05, 1.0, 0.3) for r in (0.9, 0.4)]
+    for use, unit in ((None, False), (np.arange(3, 40), True)):
+        path = linear.elastic_net_path(total, jobs, 20_000, use=use, standardize=unit)
+        for job, (b, w) in zip(jobs, path):
+            base_b, base_w = linear.elastic_net_weights(total, job["alpha"], job["l1"], 20_000, use=use, standardize=unit)
+            np.testing.assert_allclose(w, base_w, atol=2e-6)
+            assert b == pytest.approx(base_b, abs=1e-5)
+            if not unit:
+                slope = x.T @ (y - x @ w - b) / 60 - job["alpha"] * (1 - job["l1"]) * w
+                bound = job["alpha"] * job["l1"]
+                assert (np.abs(slope) <= bound + 1e-6).all()
+                np.testing.assert_allclose(slope[w != 0], bound * np.sign(w[w != 0]), atol=1e-6)
+    assert not path[2][1].any() and path[0][1].any()
+
+
+def test_fifty_trials_on_five_sets_are_fifty_tasks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(k), float(rng.normal()), [float(v) for v in rng.normal(size=6)]) for k in range(5) for _ in range(40)]
+    df = spark.createDataFrame(rows, "held_out int, y double, values array<double>")
+    stats = gram(df, ["held_out"], 6, "y")
+    alphas = np.geomspace(1e-3, 1.0, 50)
+    jobs = [{"trial": int(t), "held_out": h, "alpha": float(alphas[t]), "l1": 0.2 + 0.01 * int(t), "use": None if t % 2 else (0, 2, 5)}
+            for t in range(50) for h in range(6)]
+    fitted = linear.fit_paths(stats, ["held_out"], 6, jobs)
+    tasks = fitted.select("held_out", "trial", F.spark_partition_id().alias("task")).collect()
+    assert len(tasks) == 250 and {r["held_out"] for r in tasks} == set(range(5))  # the sixth set has no rows
+    sizes = {}
+    for r in tasks:
+        sizes[r["task"]] = sizes.get(r["task"], 0) + 1
+    assert len(sizes) >= 50 and max(sizes.values()) <= linear.PATH_JOBS
+    plain = {(r["held_out"], r["trial"]): r for r in linear.solve_per_key(
+        stats, ["held_out"], 6, jobs, lambda t, c: linear.elastic_net_weights(t, c["alpha"], c["l1"], use=None if c["use"] is None else np.array(c["use"]))).collect()}
+    for r in fitted.collect():
+        np.testing.assert_allclose(r["weights"], plain[r["held_out"], r["trial"]]["weights"], atol=1e-7)
+        assert r["n"] == 40
+    assert linear.fit_paths(stats, ["held_out"], 6, []).count() == 0
