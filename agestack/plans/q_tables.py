@@ -9,6 +9,7 @@ from ..operators import contract, normalise
 from ..operators.align import align_to_anchor, pc_names, unpack
 from ..schema import SUFFIXES, modality_columns, pc_columns
 from ..session import scratch_path, settle
+from ..sources.files import file_trees
 from ..sources.store import ModelStore
 from ..sources.tables import load_table, read_context, read_hallmarks, read_modality, save_predictions
 from ..sources.wide import read_packed
@@ -275,6 +276,30 @@ def nrm9(spark, sf):
         F.count(F.lit(1)).cast("int").alias("n_files"), F.max("length").alias("length"), F.max("digest").alias("digest"))
 
 
+def _tree_sql(levels: int = 6, range_bytes: int = 256, fan: int = 16) -> str:
+    """Ranges of the files' bytes, and as many levels as any of the given tables needs: one node alone goes up unchanged."""
+    steps = [f"""l{k + 1} AS (SELECT c_nationkey, length, n_ranges, pos // {fan} AS pos, CASE WHEN max(n) = 1 THEN max(digest)
+  ELSE sha256(string_agg(digest, '' ORDER BY l{k}.pos)) END AS digest, (max(n) + {fan - 1}) // {fan} AS n
+  FROM l{k} GROUP BY c_nationkey, length, n_ranges, l{k}.pos // {fan})""" for k in range(levels)]
+    return f"""WITH files AS (SELECT c_nationkey, string_agg(c_name || '|' || c_custkey || chr(10), '' ORDER BY c_custkey) AS body
+  FROM customer GROUP BY 1), cut AS (SELECT *, CAST((length(body) + {range_bytes - 1}) // {range_bytes} AS BIGINT) AS n FROM files),
+l0 AS (SELECT c_nationkey, length(body) AS length, n AS n_ranges, pos, sha256(substr(body, pos * {range_bytes} + 1, {range_bytes})) AS digest, n
+  FROM (SELECT *, unnest(range(0, n)) AS pos FROM cut)), {', '.join(steps)}
+SELECT CAST(c_nationkey AS INTEGER) AS c_nationkey, length, n_ranges, digest FROM l{levels}"""
+
+
+@query("nrm9_file_trees", _tree_sql())
+def nrm9_trees(spark, sf):
+    """One text file per nation with a line per customer, hashed by ranges of 256 bytes and a tree of 16 below one."""
+    path = scratch_path(spark, "customers")
+    lines = t.table(spark, sf, "customer").select("c_nationkey", "c_custkey", F.concat_ws("|", "c_name", "c_custkey").alias("line"))
+    sorted_lines = lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").drop("c_custkey")
+    sorted_lines.write.partitionBy("c_nationkey").text(path)
+    found = file_trees(spark, path, "*.txt", 256, 16)
+    key = F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("int")
+    return found.select(key.alias("c_nationkey"), "length", "n_ranges", "digest")
+
+
 @query("jn2_align_to_anchor", """
 SELECT CAST(d.doc_id AS VARCHAR) AS sample_id, l.quality, l.toxic
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")

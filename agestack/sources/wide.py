@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..operators.align import BATCH_NUMBERS, feature_index
 from ..schema import METADATA, NOT_FEATURES, SUFFIXES
 from ..session import settle
+from .files import open_file
 
 #: Numbers of one tile.
 TILE_NUMBERS = 4 << 20
@@ -37,13 +38,7 @@ _MISSING = np.float32(np.nan)
 
 
 def _open(uri: str) -> pq.ParquetFile:
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        system, path = fs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
-    else:
-        system, path = fs.FileSystem.from_uri(uri)
-    return pq.ParquetFile(system.open_input_file(path))
+    return pq.ParquetFile(open_file(uri))
 
 
 def _id_column(names: list[str]) -> str:
