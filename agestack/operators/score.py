@@ -15,6 +15,8 @@ from .stats import group_rows, matrix
 
 GLOBAL = "Global"
 MODEL_NUMBERS = 20_000_000
+#: Rows that join one copy of a model.
+SALT_ROWS = 100_000
 
 
 def score_cells(cells: DataFrame, coefficients: DataFrame, intercept: float, ids: DataFrame) -> DataFrame:
@@ -56,13 +58,32 @@ def model_key_with_fallback(df: DataFrame, keys: DataFrame, col: str = "Tissue",
     return joined.withColumn("model_key", F.coalesce("__own", other)).drop("__own")
 
 
+def salted_models(keyed: DataFrame, models: DataFrame, rows_per_salt: int = SALT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rows and models with a column ``__salt``, to be joined on it and ``model_key``.
+
+    Rows of a model are counted first.  A model with more than ``rows_per_salt`` rows is copied, once per started
+    ``rows_per_salt``, and its rows are dealt to the copies by a hash of their id (without ids: of the whole row).  Other
+    models stay single, so copies number at most rows / ``rows_per_salt`` beyond the models.
+    """
+    salts = F.ceil(F.count(F.lit(1)) / rows_per_salt).cast("int").alias("__salts")
+    hot = settle(keyed.groupBy("model_key").agg(salts).filter("__salts > 1"), "salts")
+    copies = models.join(hot, "model_key", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
+    by = ["sample_id"] if "sample_id" in keyed.columns else keyed.columns
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("__salts")), F.lit(0)).cast("int")
+    rows = keyed.join(hot, "model_key", "left").withColumn("__salt", salt)
+    return rows.drop("__salts"), copies.drop("__salts")
+
+
 def score_with_fallback(df: DataFrame, models: DataFrame, col: str = "Tissue", out: str = "correction",
-                        fallback: Column | None = None) -> DataFrame:
-    """Score packed rows with the model of their tissue, the global model, or 0 without either."""
+                        fallback: Column | None = None, rows_per_salt: int = SALT_ROWS) -> DataFrame:
+    """Score packed rows with the model of their tissue, the global model, or 0 without either.
+
+    The rows of a hot tissue are spread over copies of its model.
+    """
     models = settle(models.select("model_key", "intercept", "weights"), "models")
-    keyed = model_key_with_fallback(df, models, col, fallback)
+    rows, copies = salted_models(model_key_with_fallback(df, models, col, fallback), models, rows_per_salt)
     score = F.coalesce(F.col("intercept") + dot(F.col("values"), F.col("weights")), F.lit(0.0))
-    return keyed.join(models, "model_key", "left").withColumn(out, score).drop("intercept", "weights")
+    return rows.join(copies, ["model_key", "__salt"], "left").withColumn(out, score).drop("intercept", "weights", "__salt")
 
 
 def score_simple_with_fallback(df: DataFrame, models: DataFrame, x: str, col: str = "Tissue",
