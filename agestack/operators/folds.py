@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalar import clip, seeded_hash
@@ -77,6 +79,94 @@ def balanced_folds(samples: DataFrame, n_splits: int, seed: int) -> DataFrame:
     return ranked.select("project_id", "mode_tissue", "n_samples", fold.cast("int").alias("fold"))
 
 
+def deal(members: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, shares: np.ndarray, rows: np.ndarray, sweeps: int) -> np.ndarray:
+    """The fold of each member, given in the order of dealing as (tissue positions, shares of these tissues).
+
+    ``shares`` (folds x tissues) and ``rows`` (folds) are what the folds hold before.  A member goes where it raises the variance
+    of the tissue shares over the folds least: the shares of a tissue add up to the same in every assignment, so that is the fold
+    with the smallest inner product of its shares and the member's.  Ties go to the fold with fewest rows, then to the first.
+    Each sweep takes every member out again and deals it once more.
+    """
+    shares, rows, numbers = shares.copy(), rows.astype(float), np.arange(len(rows))
+    out = np.full(len(members), -1)
+    for turn in range(sweeps + 1):
+        moved = False
+        for i, (at, share) in enumerate(members):
+            if turn:
+                shares[out[i], at] -= share
+                rows[out[i]] -= sizes[i]
+            pull = np.round((shares[:, at] * share).sum(1), 12)
+            best = int(np.lexsort((numbers, rows, pull))[0])
+            moved |= best != out[i]
+            out[i] = best
+            shares[best, at] += share
+            rows[best] += sizes[i]
+        if not moved:
+            break
+    return out
+
+
+def stratified_folds(samples: DataFrame, n_splits: int, seed: int, sweeps: int = 2, part_projects: int = 1024) -> DataFrame:
+    """``project_id, n_samples, fold``: whole projects, and folds with even shares of every tissue, whatever mix of tissues a
+    project has.
+
+    Projects are dealt by falling spread (the sum of squares of their shares of the tissues), then in seeded order, see ``deal``.
+    The ``part_projects`` of widest spread are dealt by one task.  The others follow in parts of about as many, split by hash, one
+    task each: a part starts from an equal portion of what the first ones left uneven, so that all parts together even it out, but for about
+    one of its smallest projects per part.
+    A task holds that many projects times their tissues, nothing of the samples but counts.
+
+    A null project or tissue is one of its own, though ``with_folds`` matches no null project.  Fewer projects than folds
+    leave folds empty; no rows give no rows.
+    """
+    named = samples.select("project_id", F.coalesce(F.concat(F.lit("="), "project_id"), F.lit("")).alias("item"),
+                           F.coalesce(F.concat(F.lit("="), "Tissue"), F.lit("")).alias("tissue"))
+    counts = settle(named.groupBy("project_id", "item", "tissue").agg(F.count(F.lit(1)).alias("n")), "fold-counts")
+    totals = settle(counts.groupBy("tissue").agg(F.sum("n").alias("total")), "fold-totals")
+    cells = counts.join(totals, "tissue").select("item", "tissue", F.col("n").cast("double").alias("n"), (F.col("n") / F.col("total")).alias("share"))
+    cells = settle(cells, "fold-shares")
+    spread = F.round(F.sum(F.col("share") * F.col("share")), 12)
+    projects = cells.groupBy("item").agg((-spread).alias("narrow")).withColumn("order", seeded_hash(F.col("item"), seed))
+    widest = settle(projects.orderBy("narrow", "order", "item").limit(part_projects), "fold-widest")
+    rest = settle(projects.join(widest, "item", "left_anti"), "fold-rest")
+
+    def dealt(table: pa.Table) -> pa.Table:
+        tissue = table.column("tissue").combine_chunks().dictionary_encode()
+        frame = table.select(["item", "narrow", "order", "n", "share", "held"]).to_pandas().assign(at=tissue.indices.to_numpy())
+        before, free = frame[frame["held"] >= 0], frame[frame["held"] < 0].sort_values(["narrow", "order", "item", "at"], kind="stable")
+        shares, rows = np.zeros((n_splits, len(tissue.dictionary))), np.zeros(n_splits)
+        np.add.at(shares, (before["held"], before["at"]), before["share"])
+        np.add.at(rows, before["held"], before["n"])
+        items = free["item"].to_numpy()
+        cuts = np.flatnonzero(items[1:] != items[:-1]) + 1
+        each = list(zip(np.split(free["at"].to_numpy(), cuts), np.split(free["share"].to_numpy(), cuts)))
+        each, sizes = each if len(items) else [], np.add.reduceat(free["n"].to_numpy(), [0, *cuts]) if len(items) else np.zeros(0)
+        return pa.table({"item": pa.array(items[[0, *cuts]] if len(items) else [], pa.string()),
+                         "fold": pa.array(deal(each, sizes, shares, rows, sweeps), pa.int32())})
+
+    columns, free = ["item", "narrow", "order", "tissue", "n", "share"], F.lit(-1).alias("held")
+    first = settle(cells.join(widest, "item").select(*columns, free).groupBy().applyInArrow(dealt, "item string, fold int"), "fold-first")
+    parts = max(1, -(-rest.count() // part_projects))
+    held = cells.join(first, "item").groupBy("tissue", "fold").agg(F.sum("n").alias("n"), F.sum("share").alias("share"))
+    portions = held.select(
+        F.lit(None).cast("string").alias("item"), F.lit(0.0).alias("narrow"), F.lit("").alias("order"), "tissue", (F.col("n") / parts).alias("n"),
+        (F.col("share") / parts).alias("share"), F.col("fold").alias("held"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    part = F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(parts)).cast("int").alias("part")
+    others = cells.join(rest, "item").select(*columns, free, part).unionByName(portions)
+    later = settle(others.groupBy("part").applyInArrow(dealt, "item string, fold int"), "fold-later")
+    members = counts.groupBy("project_id", "item").agg(F.sum("n").alias("n_samples"))
+    return members.join(first.unionByName(later), "item").select("project_id", "n_samples", "fold")
+
+
+def fold_shares(folded: DataFrame, n_splits: int) -> DataFrame:
+    """``Tissue, fold, n, share`` of every tissue and fold, those without rows included: the share of the tissue's rows the fold holds."""
+    counts = folded.groupBy("Tissue").pivot("fold", list(range(n_splits))).count().fillna(0, [str(f) for f in range(n_splits)])
+    cells = F.array(*[F.struct(F.lit(f).alias("fold"), F.col(f"`{f}`").alias("n")) for f in range(n_splits)])
+    total = sum((F.col(f"`{f}`") for f in range(n_splits)), F.lit(0))
+    return counts.select("Tissue", total.alias("total"), F.explode(cells).alias("c")).select(
+        "Tissue", "c.fold", "c.n", (F.col("c.n") / F.col("total")).alias("share"))
+
+
 def with_folds(samples: DataFrame, folds: DataFrame) -> DataFrame:
     return samples.join(settle(folds.select("project_id", "fold"), "folds"), "project_id")
 

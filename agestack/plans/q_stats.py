@@ -266,6 +266,39 @@ def win5(spark, sf):
     return folds.with_folds(samples, folds.balanced_folds(samples, 5, 42)).select("sample_id", "fold")
 
 
+# Step k deals project (k - 1) % m + 1: three turns over all of them.  The pull of a fold is the sum of inner products with its projects.
+STRATIFIED_SQL = f"""cnt AS (SELECT project_id, "Tissue", count(*) AS n FROM samples GROUP BY ALL), shares AS (
+  SELECT project_id, "Tissue", n, n / sum(n) OVER (PARTITION BY "Tissue") AS share FROM cnt), ordered AS (
+  SELECT project_id, sum(n) AS n, row_number() OVER (ORDER BY round(sum(share * share), 12) DESC, md5('=' || project_id || '|42')) AS i
+  FROM shares GROUP BY project_id), pairs AS (
+  SELECT a.project_id AS a, b.project_id AS b, sum(a.share * b.share) AS g FROM shares a JOIN shares b USING ("Tissue") GROUP BY ALL), lines AS (
+  SELECT x.i, list(CASE WHEN x.i = y.i THEN 0 ELSE coalesce(g, 0) END ORDER BY y.i) AS g, list(CASE WHEN x.i = y.i THEN 0 ELSE y.n END ORDER BY y.i) AS n,
+         count(*) AS m FROM ordered x JOIN ordered y ON true LEFT JOIN pairs ON a = x.project_id AND b = y.project_id GROUP BY x.i), walk AS (
+  SELECT 0 AS k, list_transform(range(m), lambda j: -1) AS f, m FROM lines WHERE i = 1
+  UNION ALL
+  SELECT k + 1, list_transform(f, lambda v, j: CASE WHEN j = l.i THEN list_sort(list_transform(range(5), lambda c: {{
+      'pull': round(list_sum(list_transform(l.g, lambda x, y: CASE WHEN f[y] = c THEN x ELSE 0 END)), 12),
+      'rows': list_sum(list_transform(l.n, lambda x, y: CASE WHEN f[y] = c THEN x ELSE 0 END)), 'c': c}}))[1].c ELSE v END), w.m
+  FROM walk w JOIN lines l ON l.i = w.k % w.m + 1 WHERE k < 3 * w.m), folds AS (
+  SELECT project_id, CAST(f[i] AS INTEGER) AS fold, n FROM ordered, (SELECT f FROM walk ORDER BY k DESC LIMIT 1))"""
+
+
+@query("win5_stratified_folds", f"""WITH RECURSIVE {t.SAMPLES_SQL}, {STRATIFIED_SQL}
+SELECT s.sample_id, f.fold FROM samples s JOIN folds f USING (project_id)""")
+def win5_stratified(spark, sf):
+    samples = t.samples(spark, sf)
+    return folds.with_folds(samples, folds.stratified_folds(samples, 5, 42)).select("sample_id", "fold")
+
+
+@query("win5_fold_shares", f"""WITH RECURSIVE {t.SAMPLES_SQL}, {STRATIFIED_SQL}
+SELECT "Tissue", CAST(c AS INTEGER) AS fold, count(*) FILTER (fold = c) AS n, round(count(*) FILTER (fold = c) / count(*), 6) + 0.0 AS share
+FROM samples JOIN folds USING (project_id), range(5) r(c) GROUP BY "Tissue", c""")
+def win5_shares(spark, sf):
+    samples = t.samples(spark, sf)
+    folded = folds.with_folds(samples, folds.stratified_folds(samples, 5, 42))
+    return folds.fold_shares(folded, 5).withColumn("share", rounded("share"))
+
+
 # One feature per part: its retail price in hundreds; target: age minus prediction; tissue: brand; fold: key mod 5.
 SIMPLE_SQL = f"""{t.PARTS_SQL}, rows AS (
   SELECT p.p_partkey, p.p_brand AS "Tissue", p.project_id, p.y, p.y - p.yhat AS target, p.yhat, p_retailprice / 100 AS x,

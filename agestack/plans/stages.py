@@ -7,6 +7,8 @@ hands the next one tables in a ``ModelStore``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -54,7 +56,7 @@ def require_inputs(samples: DataFrame | None, packed: DataFrame, p: int) -> None
 
 
 def training_table(store: ModelStore, samples: DataFrame, packed: DataFrame, features: list[str], n_splits: int,
-                   seed: int, healthy_only: bool = True) -> DataFrame:
+                   seed: int, healthy_only: bool = True, make_folds: Callable = balanced_folds) -> DataFrame:
     """Samples with a known age, their folds, target and packed features, written once to the store.
 
     Samples without features or without an age cannot be trained on and are left out.
@@ -63,7 +65,7 @@ def training_table(store: ModelStore, samples: DataFrame, packed: DataFrame, fea
     meta = healthy_filter(samples, healthy_only).fillna("Unknown", ["project_id", "Tissue"])
     meta = meta.withColumn("y", AGE_TARGET.forward(F.col("Age"))).filter("y is not null")
     meta = settle(meta.join(packed.select("sample_id"), "sample_id", "left_semi"), "meta")
-    folded = with_folds(meta, balanced_folds(meta, n_splits, seed))
+    folded = with_folds(meta, make_folds(meta, n_splits, seed))
     store.save("training", folded.join(packed, "sample_id"))
     return store.load("training")
 
@@ -108,16 +110,17 @@ def train_stage1(store: ModelStore, samples: DataFrame, packed: DataFrame, featu
                  hallmark_sites: DataFrame, candidates: list[dict] | None = None, n_splits: int = 5, seed: int = 42,
                  min_cohorts: int = 2, max_iter: int = 2000, halving: bool = False, orthogonal: bool = True,
                  healthy_only: bool = True, solver: str = "gram", n_trials: int = N_TRIALS, space: dict | None = None,
-                 standardize: bool = False, fold_medians: bool = False) -> DataFrame:
+                 standardize: bool = False, fold_medians: bool = False, make_folds: Callable = balanced_folds) -> DataFrame:
     """Global elastic net on all features.  Saves models, fills, features, trials, the hallmark dictionary and
     the training table; returns the out-of-fold table.
 
     ``standardize``: penalties are on features of unit scale; their means and scales are stored with the weights.
     ``fold_medians``: held-out models and errors never see medians of their own fold; by default all training rows give the
     medians.  Stage 2 follows the choice of either made here, unless told otherwise for ``standardize``.
+    ``make_folds``: ``balanced_folds`` deals projects by their main tissue, ``stratified_folds`` by all their tissues.
     """
     p = len(features)
-    data = training_table(store, samples, packed, features, n_splits, seed, healthy_only)
+    data = training_table(store, samples, packed, features, n_splits, seed, healthy_only, make_folds)
     set_fills = fold_fills(data, p, "fold", n_splits) if fold_medians else None
     fills = set_fills[n_splits].tolist() if fold_medians else packed_fills(data, p)
     plain, data = data, _filled_by_fold(data, set_fills)
@@ -216,7 +219,7 @@ def apply_family(df: DataFrame, models: DataFrame, out: str, p: int, fold: str |
 
 def train_stage3(store: ModelStore, stage1: DataFrame, stage2: DataFrame, context: DataFrame | None,
                  alpha: float = 1.0, candidates: list[dict] | None = None, min_samples: int = 50, n_splits: int = 5,
-                 seed: int = 42) -> DataFrame:
+                 seed: int = 42, make_folds: Callable = balanced_folds) -> DataFrame:
     """Ridge fusion of the experts: target is age minus the stage-1 prediction, one model per large tissue plus
     a global one.  The table holds the in-sample correction and, as ``oof_correction``, the held-out one.
 
@@ -238,7 +241,7 @@ def train_stage3(store: ModelStore, stage1: DataFrame, stage2: DataFrame, contex
     everything = experts + pcs
     p = len(everything)
     df = settle(df, "stage3")
-    folds = balanced_folds(df.select("project_id", "Tissue"), n_splits, seed)
+    folds = make_folds(df.select("project_id", "Tissue"), n_splits, seed)
     data = settle(with_folds(pack_columns(df, everything), folds), "stage3")
 
     per_fold_tissue = settle(gram(data, ["fold", "Tissue"], p, "target_residual"), "gram")

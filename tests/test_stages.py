@@ -194,3 +194,14 @@ def test_unit_scale_and_medians_of_each_training_set(spark, inputs, narrow):
         assert got[r["sample_id"]] == pytest.approx(want, abs=1e-4)
     with pytest.raises(ValueError):
         _train(spark, inputs, standardize=True, solver="working_set")
+
+
+def test_folds_of_choice(spark, inputs):
+    """Stage 1 trains on the folds it is told to make."""
+    from agestack.operators.folds import stratified_folds
+
+    store, first = _train(spark, inputs, make_folds=stratified_folds)
+    data = store.load("training")
+    made = {r["project_id"]: r["fold"] for r in stratified_folds(data, 3, 42).collect()}
+    assert made == {r["project_id"]: r["fold"] for r in data.select("project_id", "fold").distinct().collect()}
+    assert first.filter("pred_age is not null").count() == data.count()
