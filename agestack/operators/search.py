@@ -65,9 +65,10 @@ def best_trial(scores: DataFrame, params: list[str], score: str = "score", keys:
     )
 
 
-def candidate_errors(data: DataFrame, models: dict, p: int, y: str, fills: list[float] | None,
-                     target: Target, fold: str = "fold", offsets: dict | None = None) -> DataFrame:
-    """Absolute error sums of all candidates on their held-out rows, in one pass without moving rows.
+def candidate_cells(data: DataFrame, models: dict, p: int, y: str, fills: list[float] | None,
+                    target: Target, fold: str = "fold", offsets: dict | None = None) -> DataFrame:
+    """Absolute error sums of all candidates on their held-out rows, per project and tissue, in one pass without moving rows:
+    ``fold, job, project_id, Tissue, abs_error, n``.
 
     ``models`` maps fold -> (job numbers, intercepts, weight matrix); ``offsets`` maps fold -> tissue -> what to add for each job.
     """
@@ -75,34 +76,50 @@ def candidate_errors(data: DataFrame, models: dict, p: int, y: str, fills: list[
     inverse = target.inverse_array
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        rows_seen: dict[int, int] = {}
+        sums: dict[tuple, list] = {}
         for batch in batches:
             x = matrix(batch.column("values"), p, vector)
             truth = np.asarray(batch.column("__y").to_numpy(zero_copy_only=False), dtype=np.float64)
             folds = batch.column("__f").to_numpy(zero_copy_only=False)
+            groups = [batch.column(c).dictionary_encode(null_encoding="encode") for c in ("project_id", "Tissue")]
+            projects, tissues = (g.dictionary.to_pylist() for g in groups)
+            codes = groups[0].indices.to_numpy().astype(np.int64) * max(1, len(tissues)) + groups[1].indices.to_numpy()
             for f in {int(f) for f in np.unique(folds)} & set(models):
                 _, bases, weights = models[f]
-                rows = folds == f
+                rows = np.flatnonzero(folds == f)
+                rows = rows[np.argsort(codes[rows], kind="stable")]
                 scores = x[rows] @ weights + bases
+                here, starts, counts = np.unique(codes[rows], return_index=True, return_counts=True)
+                cells = [(f, projects[c // max(1, len(tissues))], tissues[c % max(1, len(tissues))]) for c in here.tolist()]
                 if offsets is not None:
-                    names, which = np.unique(np.asarray(batch.column("__t").to_pylist(), dtype=object)[rows].astype(str), return_inverse=True)
                     none = np.zeros(len(bases))
-                    scores = scores + np.array([offsets.get(f, {}).get(n, none) for n in names])[which]
-                errors = np.abs(inverse(scores) - inverse(truth[rows])[:, None]).sum(0)
-                sums[f] = sums.get(f, 0.0) + errors
-                rows_seen[f] = rows_seen.get(f, 0) + int(rows.sum())
-        for f, total in sums.items():
+                    moved = np.array([offsets.get(f, {}).get(t, none) for _, _, t in cells])
+                    scores = scores + np.repeat(moved, counts, axis=0)
+                errors = np.add.reduceat(np.abs(inverse(scores) - inverse(truth[rows])[:, None]), starts, axis=0)
+                for cell, total, n in zip(cells, errors, counts.tolist()):
+                    held = sums.get(cell)
+                    if held is None:
+                        sums[cell] = [total, n]
+                    else:
+                        held[0] += total
+                        held[1] += n
+        for (f, project, tissue), (total, n) in sums.items():
             jobs = models[f][0]
             yield pa.RecordBatch.from_arrays([
-                pa.array([f] * len(jobs), pa.int32()), pa.array(jobs, pa.int32()), pa.array(total),
-                pa.array([rows_seen[f]] * len(jobs), pa.int64()),
-            ], ["fold", "job", "abs_error", "n"])
+                pa.array([f] * len(jobs), pa.int32()), pa.array(jobs, pa.int32()), pa.array([project] * len(jobs), pa.string()),
+                pa.array([tissue] * len(jobs), pa.string()), pa.array(total), pa.array([n] * len(jobs), pa.int64()),
+            ], ["fold", "job", "project_id", "Tissue", "abs_error", "n"])
 
-    rows = data.select(F.col(fold).cast("int").alias("__f"), "values", F.col(y).cast("double").alias("__y"),
-                       *([] if offsets is None else [F.col("Tissue").alias("__t")]))
-    partial = fewer_tasks(rows.filter("__y is not null")).mapInArrow(run, "fold int, job int, abs_error double, n long")
-    return partial.groupBy("fold", "job").agg((F.sum("abs_error") / F.sum("n")).alias("mae"), F.sum("n").alias("n"))
+    names = [F.col(c).cast("string").alias(c) if c in data.columns else F.lit(None).cast("string").alias(c) for c in ("project_id", "Tissue")]
+    rows = data.select(F.col(fold).cast("int").alias("__f"), "values", F.col(y).cast("double").alias("__y"), *names)
+    partial = fewer_tasks(rows.filter("__y is not null")).mapInArrow(
+        run, "fold int, job int, project_id string, Tissue string, abs_error double, n long")
+    return partial.groupBy("fold", "job", "project_id", "Tissue").agg(F.sum("abs_error").alias("abs_error"), F.sum("n").alias("n"))
+
+
+def fold_errors(cells: DataFrame) -> DataFrame:
+    """``fold, job, mae, n`` of the cells of candidates."""
+    return cells.groupBy("fold", "job").agg((F.sum("abs_error") / F.sum("n")).alias("mae"), F.sum("n").alias("n"))
 
 
 def stacked(models: list[dict], fold: str, p: int) -> dict:
@@ -336,7 +353,14 @@ def _key_of(use: list[int] | None) -> tuple[int, ...] | None:
 
 def search_elastic_net(data: DataFrame, candidates: list[dict], sampled: SampledStats,
                        target: Target = AGE_TARGET, max_iter: int = 2000, halving: bool = False, subsets: dict[str, list[int] | None] | None = None) -> DataFrame:
-    """Score every candidate for every model key: fit on the balanced sample, held-out MAE in years per fold.
+    """The report of ``search_with_cells`` alone."""
+    return search_with_cells(data, candidates, sampled, target, max_iter, halving, subsets)[0]
+
+
+def search_with_cells(data: DataFrame, candidates: list[dict], sampled: SampledStats, target: Target = AGE_TARGET, max_iter: int = 2000,
+                      halving: bool = False, subsets: dict[str, list[int] | None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Score every candidate for every model key: fit on the balanced sample, held-out MAE in years per fold.  The second table
+    has the error sums behind it, ``model_key, trial, fold, project_id, Tissue, abs_error, n``.
 
     ``subsets`` maps model keys (hallmarks) to feature positions; all keys share one set of statistics and
     each fold's held-out rows are read once for all of them.  With ``halving`` the folds are scored one
@@ -347,6 +371,7 @@ def search_elastic_net(data: DataFrame, candidates: list[dict], sampled: Sampled
     pairs = [(name, t) for name in names for t in sorted(params)]
     used = {(u["trial"], u["held_out"]): u for u in sampled.uses}
     width = max(1, MODEL_NUMBERS // max(1, sampled.p))
+    cells: list[DataFrame] = []
 
     def score(chosen: list[tuple], folds: list[int]) -> list:
         jobs = [
@@ -358,7 +383,8 @@ def search_elastic_net(data: DataFrame, candidates: list[dict], sampled: Sampled
         out: list = []
         for start in range(0, len(jobs), width):
             fitted = fit_jobs(sampled, jobs[start:start + width], max_iter)
-            out += candidate_errors(held_out, stacked(fitted, "held_out", sampled.p), sampled.p, sampled.y, sampled.fills, target).collect()
+            cells.append(settle(candidate_cells(held_out, stacked(fitted, "held_out", sampled.p), sampled.p, sampled.y, sampled.fills, target), "cells"))
+            out += fold_errors(cells[-1]).collect()
         return out
 
     if not halving:
@@ -379,10 +405,13 @@ def search_elastic_net(data: DataFrame, candidates: list[dict], sampled: Sampled
         c = params[t]
         report.append((name, t, r["fold"], float(c["alpha"]), float(c["l1"]), int(c["min_cap"]), int(c["max_cap"]),
                        float(c["mult"]), int(used[(t, r["fold"])]["target_n"]), float(r["mae"])))
-    return data.sparkSession.createDataFrame(
+    spark = data.sparkSession
+    names_of = spark.createDataFrame([(i, *pair) for i, pair in enumerate(pairs)], "job int, model_key string, trial int")
+    every = functools.reduce(DataFrame.unionByName, cells).join(names_of, "job")
+    return spark.createDataFrame(
         report, "model_key string, trial int, fold int, alpha double, l1 double, min_cap int, max_cap int, "
                 "mult double, target_n int, mae double"
-    )
+    ), every.select("model_key", "trial", "fold", "project_id", "Tissue", "abs_error", "n")
 
 
 PARAMS = ["alpha", "l1", "min_cap", "max_cap", "mult"]
@@ -412,7 +441,13 @@ def training_triangles(per_fold: DataFrame, keys: list[str], n_splits: int) -> D
 
 def search_ridge(data: DataFrame, per_fold: DataFrame, p: int, candidates: list[dict], y: str, n_splits: int,
                  target: Target = PLAIN_TARGET, per_fold_tissue: DataFrame | None = None) -> DataFrame:
-    """MAE per fold (``fold, job, mae, n``; the job is the trial) of ridge candidates ``trial, alpha, use``.
+    """MAE per fold (``fold, job, mae, n``; the job is the trial) of ridge candidates, see ``ridge_cells``."""
+    return fold_errors(ridge_cells(data, per_fold, p, candidates, y, n_splits, target, per_fold_tissue))
+
+
+def ridge_cells(data: DataFrame, per_fold: DataFrame, p: int, candidates: list[dict], y: str, n_splits: int,
+                target: Target = PLAIN_TARGET, per_fold_tissue: DataFrame | None = None) -> DataFrame:
+    """Held-out errors per project and tissue (the job is the trial) of ridge candidates ``trial, alpha, use``.
 
     All candidates are solved from the same fold statistics and scored in one pass.  Those with ``offsets`` have an indicator
     per tissue besides, from ``per_fold_tissue``.
@@ -438,4 +473,4 @@ def search_ridge(data: DataFrame, per_fold: DataFrame, p: int, candidates: list[
             jobs = models[r["held_out"]][0]
             for name, d in zip(r["tissues"], r["offsets"]):
                 offsets.setdefault(r["held_out"], {}).setdefault(name, np.zeros(len(jobs)))[jobs.index(r["trial"])] = d
-    return candidate_errors(data, models, p, y, None, target, offsets=offsets)
+    return candidate_cells(data, models, p, y, None, target, offsets=offsets)

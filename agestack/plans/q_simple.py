@@ -14,7 +14,7 @@ from ..operators.search import sampled_fold_stats, search_elastic_net
 from ..session import scratch_path, settle
 from ..sources.store import ModelStore
 from . import stages, standins as t
-from .q_stats import CURVE, MODE_SQL, PULL, RIDGE, SUMS, _hash_rank_sql
+from .q_stats import CURVE, METRICS_SQL, MODE_SQL, PULL, RIDGE, SUMS, _hash_rank_sql
 from .registry import query, rounded
 
 CANDIDATES = [
@@ -161,6 +161,58 @@ def art7_simple(spark, sf):
     return trained(spark, sf).load("stage2_trials").withColumn("mae", rounded("mae", 5))
 
 
+ERRORS_SQL = f"""{BEST_SQL}, errors AS (
+  SELECT trial, CAST(fold AS INTEGER) AS fold, project_id, "Tissue", abs("Age" - {INV}) AS e FROM targeted JOIN models ON held_out = fold), cube AS (
+  SELECT trial, CASE WHEN grouping(fold) = 0 THEN 'fold' WHEN grouping(project_id) = 0 THEN 'project_id'
+                     WHEN grouping("Tissue") = 0 THEN 'Tissue' ELSE 'all' END AS level, fold, project_id, "Tissue", avg(e) AS mae, count(*) AS n
+  FROM errors GROUP BY GROUPING SETS ((trial), (trial, fold), (trial, project_id), (trial, "Tissue")))"""
+
+
+@query("agg9_error_cube", f"""WITH {ERRORS_SQL}
+SELECT 'Global' AS model_key, trial, level, fold, project_id, "Tissue", round(mae, 5) + 0.0 AS mae, n FROM cube""")
+def agg9_cube(spark, sf):
+    """Held-out errors of every trial by fold, project and tissue, as the stage-1 job stores them."""
+    return trained(spark, sf).load("stage1_errors").withColumn("mae", rounded("mae", 5))
+
+
+@query("agg9_trial_report", f"""WITH {ERRORS_SQL}, worst AS (
+  SELECT trial, "Tissue", mae FROM cube WHERE level = 'Tissue' QUALIFY row_number() OVER (PARTITION BY trial ORDER BY mae DESC, "Tissue") = 1)
+SELECT 'Global' AS model_key, c.trial, alpha, l1, min_cap, max_cap, mult, round(max(c.mae) FILTER (level = 'all'), 5) + 0.0 AS micro_mae,
+       round(avg(c.mae) FILTER (level = 'project_id'), 5) + 0.0 AS macro_mae, round(avg(c.mae) FILTER (level = 'Tissue'), 5) + 0.0 AS tissue_mae,
+       round(avg(c.mae) FILTER (level = 'fold'), 5) + 0.0 AS fold_mae, max(n) FILTER (level = 'all') AS n,
+       count(*) FILTER (level = 'fold') AS n_folds, count(*) FILTER (level = 'project_id') AS n_projects,
+       count(*) FILTER (level = 'Tissue') AS n_tissues, w."Tissue" AS worst_tissue, round(w.mae, 5) + 0.0 AS worst_mae
+FROM cube c JOIN worst w USING (trial) JOIN cand USING (trial) GROUP BY ALL""")
+def agg9_report(spark, sf):
+    """One line per trial: over all rows, over projects, over tissues and over folds."""
+    errors = ("micro_mae", "macro_mae", "tissue_mae", "fold_mae", "worst_mae")
+    return trained(spark, sf).load("stage1_report").withColumns({c: rounded(c, 5) for c in errors})
+
+
+PERFORMANCE_SQL = f"""{BEST_SQL}, held AS (
+  SELECT project_id, "Age" AS y, {INV} AS yhat FROM targeted JOIN models ON held_out = fold SEMI JOIN best USING (trial)), macro AS (
+  SELECT round(avg(mae), 4) + 0.0 AS "MacroMAE", count(*) AS n_projects FROM (SELECT avg(abs(y - yhat)) AS mae FROM held GROUP BY project_id)), scored AS (
+  SELECT k AS model_key, y, yhat FROM held, (VALUES ('Global'), ('H1')) v(k))"""
+
+
+@query("imp1_job_performance", f"""WITH {PERFORMANCE_SQL}, metrics AS ({METRICS_SQL.format(key="model_key,", group="GROUP BY model_key")})
+SELECT * FROM metrics, macro""")
+def imp1_performance(spark, sf):
+    """Metrics of the global model and of the expert (which sees the same feature here), as the jobs store them."""
+    store = trained(spark, sf)
+    return store.load("stage1_performance").unionByName(store.load("stage2_performance"))
+
+
+@query("imp1_job_importance", f"""WITH {BEST_SQL}
+SELECT k AS model_key, 0 AS idx, '{FEATURE}' AS feature, round(w, 5) + 0.0 AS weight,
+       round(abs(w) * (SELECT stddev_pop(x) FROM targeted), 5) + 0.0 AS importance, 1.0::DOUBLE AS share, 1::BIGINT AS rank
+FROM models SEMI JOIN best USING (trial), (VALUES ('Global'), ('H1')) v(k) WHERE held_out = 5 AND w <> 0""")
+def imp1_importance(spark, sf):
+    store = trained(spark, sf)
+    table = store.load("stage1_importance").unionByName(store.load("stage2_importance"))
+    return table.withColumns({c: rounded(c, 5) for c in ("weight", "importance", "share")})
+
+
 @query("sel5_simple_halving", f"""WITH {BEST_SQL}, second AS (
   SELECT trial FROM report WHERE fold = 0 ORDER BY mae, trial LIMIT 2), third AS (
   SELECT trial FROM report SEMI JOIN second USING (trial) WHERE fold <= 1 GROUP BY trial ORDER BY sum(mae), trial LIMIT 1)

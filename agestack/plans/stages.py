@@ -22,16 +22,18 @@ from ..operators.arrowhead import fit_arrowhead, with_offsets
 from ..operators.contract import require_unique, require_width
 from ..operators.folds import balanced_folds, healthy_filter, with_folds
 from ..operators.impute import fold_fills, impute_packed, packed_fills
-from ..operators.linear import fit_tissue_family
+from ..operators.linear import fit_tissue_family, scale_table
 from ..operators.normalise import expert_columns, resolve_metadata, resolve_stage1_prediction
+from ..operators.reports import error_cube, importance, performance, spread_of, trial_report
 from ..operators.score import (
     GLOBAL, few_numbers, fused_age, model_arrays, residual, score_many, score_packed, score_with_fallback,
 )
 from ..operators.search import (
-    ELASTIC_NET_SPACE, best_params, fit_jobs, jobs_for, random_candidates, sampled_fold_stats, scales_of, search_elastic_net, search_ridge, training_triangles,
+    ELASTIC_NET_SPACE, PARAMS, best_params, fit_jobs, jobs_for, random_candidates, sampled_fold_stats, ridge_cells, scales_of, search_with_cells,
+    fold_errors, training_triangles,
 )
 from ..operators.selection import assign_features, packed_correlation
-from ..operators.stats import gram
+from ..operators.stats import gram, moments
 from ..schema import EXPERT_PREFIX, STAGE1_PRED, TISSUE_PREFIX
 from ..session import settle
 from ..sources.store import ModelStore
@@ -72,10 +74,10 @@ def training_table(store: ModelStore, samples: DataFrame, packed: DataFrame, fea
 
 def _fit_all(data: DataFrame, p: int, candidates: list[dict], fills: list[float], subsets: dict, target: Target,
              n_splits: int, min_cohorts: int, seed: int, max_iter: int, halving: bool, solver: str,
-             standardize: bool = False, set_fills: np.ndarray | None = None) -> tuple[DataFrame, list[dict], list[dict]]:
+             standardize: bool = False, set_fills: np.ndarray | None = None) -> tuple[DataFrame, DataFrame, list[dict], list[dict]]:
     """Search, held-out models and final models of all model keys from one balanced sample.
 
-    Returns the trial report, the final models and the models per held-out fold.  With ``set_fills`` the gaps of ``data`` are
+    Returns the trial report, the errors behind it, the final models and the models per held-out fold.  With ``set_fills`` the gaps of ``data`` are
     filled already, each row's as its own held-out set's.
     """
     spark = data.sparkSession
@@ -83,12 +85,21 @@ def _fit_all(data: DataFrame, p: int, candidates: list[dict], fills: list[float]
                                  "trial int, min_cap int, max_cap int, mult double")
     rows = data if set_fills is None else data.withColumn("values", F.col("gappy"))
     sampled = sampled_fold_stats(rows, p, "y", caps, n_splits, min_cohorts, seed, fills, solver, standardize, set_fills)
-    report = search_elastic_net(data, candidates, sampled, target, max_iter, halving, subsets)
+    report, cells = search_with_cells(data, candidates, sampled, target, max_iter, halving, subsets)
     jobs = jobs_for(sampled, best_params(report), subsets, list(range(n_splits + 1)))
     keys = list(subsets)
     fitted = [{**m, "model_key": keys[m["trial"]]} for m in fit_jobs(sampled, jobs, max_iter)]
     final = [m for m in fitted if m["held_out"] == n_splits]
-    return report, scales_of(sampled, final) if standardize and final else final, [m for m in fitted if m["held_out"] < n_splits]
+    return report, cells, scales_of(sampled, final) if standardize and final else final, [m for m in fitted if m["held_out"] < n_splits]
+
+
+def _save_search(store: ModelStore, stage: str, trials: DataFrame, cells: DataFrame, params: list[str]) -> None:
+    """The report of all trials by fold, the errors by every grouping, and one line per trial with its parameters."""
+    store.save(f"{stage}_trials", trials)
+    keys = ["model_key", "trial"]
+    store.save(f"{stage}_errors", error_cube(cells, keys))
+    known = trials.select(*keys, *params).distinct()
+    store.save(f"{stage}_report", known.join(trial_report(store.load(f"{stage}_errors"), keys), keys))
 
 
 def _filled_by_fold(data: DataFrame, set_fills: np.ndarray | None) -> DataFrame:
@@ -124,7 +135,7 @@ def train_stage1(store: ModelStore, samples: DataFrame, packed: DataFrame, featu
     set_fills = fold_fills(data, p, "fold", n_splits) if fold_medians else None
     fills = set_fills[n_splits].tolist() if fold_medians else packed_fills(data, p)
     plain, data = data, _filled_by_fold(data, set_fills)
-    report, models, fold_models = _fit_all(data, p, drawn(data.sparkSession, candidates, n_trials, space, seed), fills, {GLOBAL: None}, AGE_TARGET, n_splits,
+    report, cells, models, fold_models = _fit_all(data, p, drawn(data.sparkSession, candidates, n_trials, space, seed), fills, {GLOBAL: None}, AGE_TARGET, n_splits,
                                        min_cohorts, seed, max_iter, halving, solver, standardize, set_fills)
     meta = ["sample_id", "Age", "project_id", "Tissue", "Sex", "Is_Healthy"]
     oof = score_many(data, fold_models, [GLOBAL], ["pred_age"], p, meta, ["fold"], ["held_out"], fills, AGE_TARGET)
@@ -143,13 +154,24 @@ def train_stage1(store: ModelStore, samples: DataFrame, packed: DataFrame, featu
     if set_fills is not None:
         held_out, idx = (a.ravel().astype(np.int32) for a in np.indices(set_fills.shape))
         store.save("fold_medians", spark.createDataFrame(pa.table({"held_out": held_out, "idx": idx, "fill": set_fills.ravel()})))
-    store.save("stage1_trials", report)
+    _save_search(store, "stage1", report, cells, PARAMS)
     store.save("hallmark_features", dictionary)
     store.save_fitted("stage1", models, features)
     store.save("stage1_oof", oof)
+    store.save("feature_spread", spread_of(moments(plain, [], p, "y", fills)))
+    store.save("stage1_performance", performance(store.load("stage1_oof"), F.col("age"), {GLOBAL: "pred_age"}))
+    store.save("stage1_importance", _importance(store, "stage1"))
     return store.load("stage1_oof")
 
 
+def _importance(store: ModelStore, stage: str) -> DataFrame:
+    """Weights that are stored at unit scale are taken back to the features as they are before their spread weighs them."""
+    weights = store.load(f"{stage}_coefficients")
+    scaling = store.load(f"{stage}_scaling").select("model_key", "idx", "scale")
+    plain = weights.join(scaling, ["model_key", "idx"], "left").withColumn("weight", F.col("weight") / F.coalesce("scale", F.lit(1.0)))
+    return importance(plain.drop("scale"), store.load("feature_spread"))
+
+
 def _features(store: ModelStore) -> tuple[list[str], list[float]]:
     rows = store.load("features").orderBy("idx").collect()
     return [r["feature"] for r in rows], [r["fill"] for r in rows]
@@ -185,15 +207,18 @@ def train_stage2(store: ModelStore, candidates: list[dict] | None = None, n_spli
     data = _filled_by_fold(data, set_fills)
     if standardize is None:
         standardize = store.load_settings("stage1_settings")["standardize"]
-    report, models, fold_models = _fit_all(data, len(features), drawn(data.sparkSession, candidates, n_trials, space, seed), fills, subsets, inverse, n_splits,
+    report, cells, models, fold_models = _fit_all(data, len(features), drawn(data.sparkSession, candidates, n_trials, space, seed), fills, subsets, inverse, n_splits,
                                        min_cohorts, seed, max_iter, halving, solver, standardize, set_fills)
     outs = [EXPERT_PREFIX + h for h in subsets]
     preds = score_many(data, fold_models, list(subsets), outs, len(features), ["sample_id"], ["fold"], ["held_out"], fills,
                        inverse)
-    store.save("stage2_trials", report)
+    _save_search(store, "stage2", report, cells, PARAMS)
     store.save_fitted("stage2", models, features)
     store.save("stage2_settings", {"target": target, "hallmarks": list(subsets)})
     store.save("stage2_oof", oof1.join(preds, "sample_id"))
+    truth = F.col("age") if target == "age" else residual(F.col("age"), F.col("pred_age"))
+    store.save("stage2_performance", performance(store.load("stage2_oof"), truth, dict(zip(subsets, outs))))
+    store.save("stage2_importance", _importance(store, "stage2"))
     return store.load("stage2_oof")
 
 
@@ -254,11 +279,16 @@ def train_stage3(store: ModelStore, stage1: DataFrame, stage2: DataFrame, contex
         per_fold = per_fold_tissue.groupBy("fold", "i", "j").agg(F.sum("v").alias("v"))
         runs = [{"trial": c["trial"], "alpha": c["alpha"], "use": positions(c["use_pcs"]), "offsets": bool(c["use_tissue_dummies"])}
                 for c in candidates]
-        report = settle(search_ridge(data, per_fold, p, runs, "target_residual", n_splits, per_fold_tissue=per_fold_tissue), "trials")
+        cells = settle(ridge_cells(data, per_fold, p, runs, "target_residual", n_splits, per_fold_tissue=per_fold_tissue), "cells")
+        report = settle(fold_errors(cells), "trials")
         scores = report.groupBy("job").agg(F.avg("mae").alias("score"))
         winner = scores.orderBy("score", "job").first()["job"]
         best = next(c for c in candidates if c["trial"] == winner)
         store.save("stage3_trials", report.withColumnRenamed("job", "trial"))
+        store.save("stage3_errors", error_cube(cells.withColumnRenamed("job", "trial"), ["trial"]))
+        given = data.sparkSession.createDataFrame([(c["trial"], float(c["alpha"]), bool(c["use_pcs"]), bool(c["use_tissue_dummies"])) for c in candidates],
+                                                  "trial int, alpha double, use_pcs boolean, use_tissue_dummies boolean")
+        store.save("stage3_report", given.join(trial_report(store.load("stage3_errors"), ["trial"]), "trial"))
     use = positions(best["use_pcs"])
 
     def family(stats: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
@@ -290,6 +320,13 @@ def train_stage3(store: ModelStore, stage1: DataFrame, stage2: DataFrame, contex
         F.concat(F.lit(TISSUE_PREFIX), "t.tissues").alias("feature"), F.col("t.offsets").alias("weight"))
     store.save("stage3_offsets", offsets)
     store.save("stage3_oof", order_output(table, FIRST_TRAINING, rest=True))
+    steps = {"stage1": STAGE1_PRED, "stage3": "oof_fused_age", "stage3_in_sample": "fused_age"}
+    store.save("stage3_performance", performance(store.load("stage3_oof"), F.col("age"), steps))
+    whole_sums = per_fold_tissue.groupBy("i", "j").agg(F.sum("v").alias("v")).withColumn("model_key", F.lit(GLOBAL))
+    spread = scale_table(whole_sums, ["model_key"]).select("idx", F.col("scale").alias("sd"))
+    place = spark.createDataFrame([(i, k) for k, i in enumerate(use)], "at int, k int")
+    spread = spread.join(place, spread["idx"] == place["at"]).select(F.col("k").alias("idx"), "sd")
+    store.save("stage3_importance", importance(store.load("stage3_coefficients"), spread))
     return store.load("stage3_oof")
 
 
