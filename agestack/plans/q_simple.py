@@ -298,6 +298,27 @@ def art5_simple(spark, sf):
     return weights.join(store.load("stage3_intercepts").withColumn("intercept", rounded("intercept", 5)), "model_key")
 
 
+@query("imp1_fusion_performance", f"""WITH {FUSION_SQL}, steps AS (
+  SELECT k AS model_key, project_id, age AS y, pred_age_stage1 + CASE k WHEN 'stage3' THEN oof WHEN 'stage3_in_sample' THEN correction ELSE 0 END AS yhat
+  FROM corrected, (VALUES ('stage1'), ('stage3'), ('stage3_in_sample')) v(k)), macro AS (
+  SELECT model_key, round(avg(mae), 4) + 0.0 AS "MacroMAE", count(*) AS n_projects FROM (
+    SELECT model_key, project_id, avg(abs(y - yhat)) AS mae FROM steps GROUP BY ALL) GROUP BY ALL), scored AS (
+  SELECT model_key, y, yhat FROM steps), metrics AS ({METRICS_SQL.format(key="model_key,", group="GROUP BY model_key")})
+SELECT * FROM metrics JOIN macro USING (model_key)""")
+def imp1_fusion(spark, sf):
+    """Metrics before and after the fusion, held out and in sample, as the stage-3 job stores them."""
+    return fused(spark, sf).load("stage3_performance")
+
+
+@query("imp1_fusion_importance", f"""WITH {FUSION_SQL}
+SELECT model_key, 0 AS idx, 'pred_resid_price' AS feature, round(w, 5) + 0.0 AS weight,
+       round(abs(w) * (SELECT stddev_pop(x) FROM data), 5) + 0.0 AS importance, 1.0::DOUBLE AS share, 1::BIGINT AS rank
+FROM family WHERE held_out = 5 AND w <> 0""")
+def imp1_fusion_weights(spark, sf):
+    table = fused(spark, sf).load("stage3_importance")
+    return table.withColumns({c: rounded(c, 5) for c in ("weight", "importance", "share")})
+
+
 @query("prd3_stored_fusion", f"""WITH {FUSION_SQL}, fresh AS (
   SELECT *, CASE WHEN CAST(sample_id AS BIGINT) % 3 = 0 THEN 'Brand#new' ELSE "Tissue" END AS scored_as FROM data)
 SELECT f.sample_id, f.scored_as AS "Tissue", round(coalesce(a.b + a.w * x, g.b + g.w * x), 5) + 0.0 AS pred_residual_stage3
