@@ -19,11 +19,12 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -41,6 +42,8 @@ PIECE = 1 << 18
 TEXT_PIECE = 1_000_000
 #: Words and characters of words whose ids a Python worker remembers; beyond, it forgets those not met again.
 KNOWN_WORDS, KNOWN_CHARS = 400_000, 16_000_000
+#: Characters of texts encoded together, so that words they share are looked up once.
+BATCH_CHARS = 8_000_000
 MAGIC = b"DACS0001"
 
 
@@ -59,11 +62,12 @@ def open_folder(path: str):
 #: What the byte-level pre-tokenizer splits words into, here applied to Latin letters only (below U+0250),
 #: whose classes no version of Unicode has changed.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_LATIN = "\u0250"
 #: Fixed rule: bytes that are printable in Latin-1 stand for themselves, the others for the characters from U+0100 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _OTHERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _BYTES = "".join(chr(_OTHERS.get(b, b)) for b in range(256))
+#: The same with a space for 0xFF, which is in no text: it parts those that are given to the model together.
+_JOINED = _BYTES[:255] + " "
 
 
 class Encoder:
@@ -78,7 +82,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.model = self.tokenizer.model
         spec = json.loads(definition)
         pre = spec.get("pre_tokenizer") or {}
         added = spec.get("added_tokens") or []
@@ -86,11 +89,10 @@ class Encoder:
             not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
             and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
             and not (spec.get("model") or {}).get("dropout")
-            and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added))
+            and not any(" " in t["content"] or t["content"].isalpha() or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added))
         self.added = [t["content"] for t in added]
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # words not met since ``known`` was begun
-        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # parts not met since ``known`` was begun
         self.chars = 0
 
     @classmethod
@@ -107,82 +109,115 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _model(self, part: str) -> bytes:
-        """The ids of what the pre-tokenizer leaves whole."""
-        letters = "\u0120" + part[1:] if part[0] == " " and part.isascii() and part[1:].isalpha() else codecs.charmap_decode(
-            part.encode(), "strict", _BYTES)[0]
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-
-    def _part(self, part: str) -> bytes:
-        code = self.parts.get(part)
-        if code is None:
-            code = self.parts[part] = self._model(part)
-        return code
-
-    def _learn(self, words: list[str]) -> None:
-        other = []
-        for word in words:
-            code = self.older.get(word)
-            if code is not None:
-                self.known[word] = code
-            elif word.isalpha() and (word.isascii() or max(word) < _LATIN):
-                self.known[word] = self._model(" " + word)
-            elif (word.isascii() or max(word) < _LATIN) and not _ODD.search(word) and not (
-                    self.added and any(a in word for a in self.added)):
-                parts = _SPLIT.findall(" " + word)
-                first = parts[0][1:]
-                head = self.known.get(first) if first else None
-                self.known[word] = (head or self._part(parts[0])) + b"".join(map(self._part, parts[1:]))
-            else:
-                other.append(word)
-            self.chars += len(word)
-        for at in range(0, len(other), 10_000):
-            part = other[at:at + 10_000]
-            self.known.update(zip(part, self._ids([" " + x for x in part])))
-
-    def _pieces(self, texts: list[str]) -> list[list[str]]:
-        """The pieces of each text; every one but the first stands for itself with a space before it."""
-        out = []
-        for text in texts:
-            words = text.split(" ")
-            if _GAP.search(text):  # spaces after white space belong to the piece that holds it
-                merged = words[:1]
-                for word in words[1:]:
-                    if merged[-1] and not merged[-1][-1].isspace():
-                        merged.append(word)
-                    elif len(merged) == 1 and not merged[0]:
-                        merged.append(word)
-                    elif len(merged) > 1 and not merged[-1]:
-                        merged[-1] = " " + word  # two spaces in a row: the piece is " " and then " word"
-                    else:
-                        merged[-1] += " " + word
-                words = merged
-            out.append(words)
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit numbers of this machine's byte order."""
-        if not self.by_words:
-            return self._ids(texts)
+    def _model(self, parts: list[str]) -> list[bytes]:
+        """The ids of each of what the pre-tokenizer leaves whole."""
+        if not parts:
+            return []
+        letters = codecs.charmap_decode(b"\xff".join(map(str.encode, parts)), "strict", _JOINED)[0].split(" ")
+        tokenize = self.tokenizer.model.tokenize
+        return [array("I", [t.id for t in tokenize(x)]).tobytes() for x in letters]
+
+    def _codes(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The ids of distinct pieces, as bytes in some order, and the place of each piece there.
+
+        Words that begin with white space are split alone: side by side, it would join that of the word before.
+        """
+        odd = pc.match_substring_regex(words, _WHOLE)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(words, token))
+        odd = odd.to_numpy(zero_copy_only=False)
+        plain = _SPLIT.findall(" " + " ".join(words.filter(pa.array(~odd)).to_pylist())) if not odd.all() else []
+        other = [" " + w for w in words.filter(pa.array(odd)).to_pylist()]
         if len(self.known) > KNOWN_WORDS or self.chars > KNOWN_CHARS:
-            self.older, self.known, self.parts, self.chars = self.known, {}, {}, 0
-        pieces = self._pieces(texts)
-        heads = self._ids([p[0] for p in pieces])
-        rests = [p[1:] for p in pieces]
+            self.older, self.known, self.chars = self.known, {}, 0
+        self._learn(plain, self._model)
+        self._learn(other, self._ids)
+        code = self.known.__getitem__
+        codes = pa.array([*map(code, plain), *map(code, other)], pa.large_binary())
+        first = np.append(pc.starts_with(pa.array(plain, pa.large_string()), " ").to_numpy(zero_copy_only=False),
+                          np.ones(len(other), dtype=bool))
+        ends = np.frombuffer(codes.buffers()[1], dtype=np.int64)[:len(codes) + 1][np.append(first, True)]
+        joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends), codes.buffers()[2]])
+        place = np.empty(len(words), dtype=np.int64)
+        place[~odd] = np.arange(len(words) - len(other))
+        place[odd] = np.arange(len(words) - len(other), len(words))
+        return joined, place
+
+    def _learn(self, parts: list[str], encode: Callable) -> None:
+        known, older = self.known, self.older.get
+        new = list(dict.fromkeys(x for x in parts if x not in known))
+        self.chars += sum(map(len, new))
+        known.update((x, older(x)) for x in new)
+        new = [x for x in new if known[x] is None]
         collecting = gc.isenabled()
         gc.disable()  # many small objects are made, none of which refer to each other
         try:
-            self._learn(list(set().union(*rests).difference(self.known)))
+            known.update(zip(new, encode(new)))
         finally:
             if collecting:
                 gc.enable()
-        found = self.known.__getitem__
-        return [head + b"".join(map(found, rest)) for head, rest in zip(heads, rests)]
 
+    def _merged(self, text: str) -> list[str]:
+        """The pieces of a text; every one but the first stands for itself with a space before it.  Spaces after white space
+        belong to the piece that holds it."""
+        words = text.split(" ")
+        merged = words[:1]
+        for word in words[1:]:
+            if merged[-1] and not merged[-1][-1].isspace():
+                merged.append(word)
+            elif len(merged) == 1 and not merged[0]:
+                merged.append(word)
+            elif len(merged) > 1 and not merged[-1]:
+                merged[-1] = " " + word  # two spaces in a row: the piece is " " and then " word"
+            else:
+                merged[-1] += " " + word
+        return merged
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """The pieces of all texts are numbered by distinct piece, and the ids of each are copied to its places."""
+        column = pa.array(texts, pa.large_string())
+        gaps = pc.match_substring_regex(column, _GAP).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(column.filter(pa.array(~gaps)), " ")
+        pieces, sizes = [split.flatten()], [pc.list_value_length(split).to_numpy(zero_copy_only=False)]
+        if gaps.any():
+            merged = [self._merged(texts[k]) for k in np.flatnonzero(gaps).tolist()]
+            pieces.append(pa.array([x for words in merged for x in words], pa.large_string()))
+            sizes.append(np.array([len(words) for words in merged], dtype=np.int64))
+        pieces, sizes = pa.concat_arrays(pieces), np.concatenate(sizes)
+        rest = np.ones(len(pieces), dtype=bool)
+        rest[np.cumsum(sizes) - sizes] = False
+        heads = self._ids(pieces.filter(pa.array(~rest)).to_pylist())
+        coded = pieces.filter(pa.array(rest)).dictionary_encode()
+        codes, place = self._codes(coded.dictionary)
+        found = codes.take(pa.array(place[coded.indices.to_numpy()]))
+        bounds = np.append(0, np.cumsum(sizes - 1))
+        ends = np.frombuffer(found.buffers()[1], dtype=np.int64)[bounds].tolist() if len(found) else [0] * len(bounds)
+        data = memoryview(found.buffers()[2] or b"")
+        out = [head + data[i:j] for head, i, j in zip(heads, ends, ends[1:])]
+        order = np.argsort(np.append(np.flatnonzero(~gaps), np.flatnonzero(gaps)))
+        return [out[k] for k in order.tolist()]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit numbers of this machine's byte order."""
+        if not self.by_words:
+            return self._ids(texts)
+        out: list[bytes] = []
+        held, chars = [], 0
+        for text in texts:
+            if held and chars + len(text) > BATCH_CHARS:
+                out += self._encode(held)
+                held, chars = [], 0
+            held.append(text)
+            chars += len(text)
+        return out + self._encode(held) if held else out
 
-_GAP = re.compile(r"\s ")
-#: Signs, digits and separators whose classes the two regular expression languages need not agree on.
-_ODD = re.compile(r"[\x1c-\x1f\x80-\xbf\xd7\xf7]")
+
+#: White space (all that Python knows) before a space.
+_SPACES = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_GAP = f"[{_SPACES}] "
+#: Words for the whole tokenizer: signs, digits and separators whose classes the two regular expression languages need not
+#: agree on, all beyond the Latin letters, and words that are empty, begin with white space or hold a space.
+_WHOLE = rf"^$|^[{_SPACES}]| |[\x1c-\x1f\x80-\xbf\xd7\xf7]|[^\x00-\x{{24f}}]"
 
 
 def text_pieces(text: str) -> Iterator[str]:
@@ -204,10 +239,9 @@ _CUT = re.compile(r"\S(?= )")
 
 def widths_of(ids: np.ndarray) -> list[int]:
     """Bits of each level, multiples of four, for which the levels of ``ids`` take least room."""
-    sizes = np.bincount(np.searchsorted(1 << np.arange(4, 32, 4, dtype=np.uint64), ids, side="right"), minlength=8)
-    nibbles = int(np.flatnonzero(sizes)[-1]) + 1 if len(ids) else 1
-    beyond = [int(sizes[k:].sum()) for k in range(nibbles + 1)]  # ids with more than k nibbles
-    beyond[0] = len(ids)
+    top = int(ids.max()) if len(ids) else 0
+    nibbles = max(1, -(-top.bit_length() // 4))
+    beyond = [len(ids), *(int(np.count_nonzero(ids >= np.uint32(1 << 4 * k))) for k in range(1, nibbles)), 0]  # with more than k nibbles
     best: list[tuple[float, list[int]]] = [(0.0, [])] * (nibbles + 1)
     for at in range(nibbles - 1, -1, -1):
         best[at] = min(
@@ -347,6 +381,22 @@ class TokenFile:
 
 # --- Spark ---
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.DataType, list, list[str]]]:
+    """The type of ``doc_id``, ids and texts of batches, several at a time until they hold ``BATCH_CHARS`` bytes of text."""
+    kind, ids, texts, size = None, [], [], 0
+    for batch in batches:
+        more = batch.column("text")
+        if texts and size + more.nbytes > BATCH_CHARS:
+            yield kind, ids, texts
+            ids, texts, size = [], [], 0
+        kind = batch.schema.field("doc_id").type
+        ids += batch.column("doc_id").to_pylist()
+        texts += more.to_pylist()
+        size += more.nbytes
+    if texts:
+        yield kind, ids, texts
+
+
 def write_tokens(docs: DataFrame, folder: str, definition: str, end_id: int = 0) -> DataFrame:
     """Encode every text with the tokenizer of ``definition`` (its JSON), append ``end_id`` to each, and write files to ``folder``.
 
@@ -377,9 +427,7 @@ def write_tokens(docs: DataFrame, folder: str, definition: str, end_id: int = 0)
             row = [part, number, name, len(sizes), n_held, n]
             return pa.RecordBatch.from_pydict({c: [x] for c, x in zip(_FILE.names, row)}, schema=_FILE)
 
-        for batch in batches:
-            kind = batch.schema.field("doc_id").type
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        for kind, ids, texts in _gathered(batches):
             pieces = [list(text_pieces(t)) for t in texts]
             codes = iter(encoder.encode([p for t in pieces for p in t]))
             for doc_id, t in zip(ids, pieces):

@@ -55,6 +55,25 @@ def test_encoder_against_the_tokenizer(definition, tokenizer, seed):
         assert np.frombuffer(code, dtype=np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_every_part_goes_to_the_model_once(monkeypatch, definition, tokenizer):
+    given, model = [], tokens.Encoder._model
+    monkeypatch.setattr(tokens.Encoder, "_model", lambda self, parts: given.extend(parts) or model(self, parts))
+    texts = ["x one one, one. two! (one two) one\n two", "x one; two? one, two.\n\n \none", "x two one"]
+    encoder = tokens.Encoder(definition)
+    for _ in range(2):
+        assert encoder.encode(texts) == [np.array(e.ids, dtype=np.uint32).tobytes() for e in tokenizer.encode_batch(texts)]
+    assert {" one", " two"} <= set(given) and len(given) == len(set(given))
+
+
+def test_added_tokens_of_letters(definition):
+    from tokenizers import Tokenizer
+
+    added = Tokenizer.from_str(definition)
+    added.add_tokens(["qqsep"])
+    text = "a word qqsep and aqqsepb, word"
+    assert tokens.Encoder(added.to_str()).encode([text]) == [np.array(added.encode(text).ids, dtype=np.uint32).tobytes()]
+
+
 def test_other_tokenizers_get_whole_texts():
     with open(P.path("word_bpe_49k.json"), encoding="utf-8") as file:
         encoder = tokens.Encoder(file.read())
